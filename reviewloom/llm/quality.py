@@ -1,2 +1,119 @@
-def document_statistics(a, b): ...
-def not_prose(a): ...
+"""Per-document text statistics and fixed-threshold rules that tell prose from lists, tables and junk.
+
+All statistics are column expressions over the whole text, so that the step is one narrow pass in the JVM. The rules
+follow the published kind of web-text filters (word counts, symbol share, share of lines that end in punctuation or start
+with a bullet, share of common words), each with a fixed threshold, and every rule that fails is named.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Common words that are compared at most; a longer list is an error, not cut.
+MAX_COMMON_WORDS = 50_000
+#: Prose holds at least one sentence end per so many words; texts of unspaced scripts are judged by characters.
+MAX_WORDS_PER_END = 60
+#: Share of common words from which a text without sentence ends reads as sentences.
+MIN_COMMON = 0.25
+#: Share of characters of scripts without spaces from which ends are not required.
+MIN_UNSPACED = 0.08
+#: Share of lines that must be made of cells, or start with a bullet.
+MIN_CELL_LINES, MIN_BULLET_LINES = 0.6, 0.5
+#: Share of letters and digits among visible characters below which a text is no list and no table.
+MIN_ALNUM = 0.35
+#: Words of an item of an enumeration, on average.
+MAX_ITEM_WORDS = 7
+#: Share of different words below which a text only repeats itself.
+MIN_DISTINCT = 0.15
+#: Share of words that can be spoken below which lines are no items.
+MIN_SPEAKABLE = 0.6
+
+_BULLET = r"^\s*(?:[-*•–—+·▪◦‣>]|\[.?\]|[☐☑✓✔]|\(?\p{N}{1,3}[.)]|\(?\p{Ll}[.)])\s"
+_END = r"(?:[\p{L}\p{M}\p{N})\]\"”’»」%*_]\s?[.!?…]+[\p{Pe}\p{Pf}\"'*_~]*(?=\s|$))|[。！？｡।॥؟۔]"
+_WORD = r"[\p{L}\p{M}\p{N}]+"
+_UNSPACED = r"[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+_LINE_END = r"[.!?…。！？｡।॥؟۔:;][\p{Pe}\p{Pf}\"'*_~]*\s*$"
+_CELLS = r"\t|\|.*\||</t[dh]>|[\"'][;,|][\"']|^[^;:]*;[^;]*(?:;|$)|\S {2,}\S"
+
+
+def _share(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+
+def _count(lines: Column, test: Column | str) -> Column:
+    return F.size(F.filter(lines, lambda line: line.rlike(test)))
+
+
+def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+    """One row per document: its statistics, the verdict `kind` (prose, list, table or junk) and the reasons against prose.
+
+    documents: doc_id, text; common_words: word. NULL and blank texts have no words and are junk. Shares are between 0 and
+    1; a share of nothing is 0. Repeated rows are judged alike, each for itself.
+    """
+    common = [r["word"] for r in common_words.where("word is not null").select(F.lower("word").alias("word")).distinct().limit(MAX_COMMON_WORDS + 1).collect()]
+    if len(common) > MAX_COMMON_WORDS:
+        raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
+    text = F.coalesce("text", F.lit(""))
+    base = documents.select("doc_id", text.alias("text"), F.filter(F.split(text, r"\r\n|[\n\r\x{2028}\x{2029}]"), lambda x: x.rlike(r"\S")).alias("lines"), F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)).alias("words"))
+    bare = F.regexp_replace("text", "(?m)" + _BULLET, "")
+    visible = F.length(F.regexp_replace("text", r"[\s\p{Z}]+", ""))
+    counted = base.select(
+        "doc_id",
+        F.size("words").cast("long").alias("n_words"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.length(F.array_join("words", "")).alias("word_chars"),
+        F.size(F.array_distinct("words")).alias("n_distinct"),
+        F.size(F.filter("words", lambda w: w.isin(common))).alias("n_common") if common else F.lit(0).alias("n_common"),
+        F.size(F.filter("words", lambda w: w.rlike(r"[aeiouyàâäáãåæéèêëíìîïóòôöõøúùûü]|[^\x00-\x{24F}]|^\d+$") & ~w.rlike(r"[bcdfghjklmnpqrstvwxz]{5}|\d\p{L}|\p{L}\d\p{L}|^.{25}"))).alias("n_speakable"),
+        F.regexp_count(bare, F.lit(_END)).alias("n_ends"),
+        visible.alias("visible"),
+        F.length(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N}]+", "")).alias("n_alnum"),
+        F.regexp_count("text", F.lit(_UNSPACED)).alias("n_unspaced"),
+        _count(F.col("lines"), _LINE_END).alias("n_punct_lines"),
+        _count(F.col("lines"), _BULLET).alias("n_bullet_lines"),
+        F.size(F.filter("lines", lambda x: x.rlike(_CELLS) | x.rlike(",") & ~x.rlike(r",\s"))).alias("n_cell_lines"),
+        F.regexp_count("text", F.lit(r",\s+")).alias("n_commas"),
+        F.regexp_count("text", F.lit(r"\t|\||</t[dh]>|;")).alias("n_separators"),
+    )
+    stats = counted.select(
+        "*",
+        _share(F.col("word_chars"), F.col("n_words")).alias("mean_word_length"),
+        _share(F.col("visible") - F.col("n_alnum"), F.col("visible")).alias("symbol_ratio"),
+        _share(F.col("n_punct_lines"), F.col("n_lines")).alias("punctuated_line_share"),
+        _share(F.col("n_bullet_lines"), F.col("n_lines")).alias("bullet_line_share"),
+        _share(F.col("n_cell_lines"), F.col("n_lines")).alias("cell_line_share"),
+        _share(F.col("n_common"), F.col("n_words")).alias("common_word_share"),
+    )
+    ends = (F.col("n_ends") > 0) & (F.col("n_words") <= MAX_WORDS_PER_END * F.col("n_ends")) & (F.col("n_words") > F.col("n_ends"))
+    unspaced = F.col("n_unspaced") >= MIN_UNSPACED * F.col("visible")
+    lines_of_marks = (F.col("bullet_line_share") >= MIN_BULLET_LINES) | (F.col("cell_line_share") >= MIN_CELL_LINES)
+    readable = ends | unspaced & (F.col("n_words") > 0) | (F.col("common_word_share") >= MIN_COMMON) & ~lines_of_marks
+    repeats = (F.col("n_words") >= 30) & (F.col("n_distinct") < MIN_DISTINCT * F.col("n_words"))
+    alnum = F.col("n_alnum") >= MIN_ALNUM * F.col("visible")
+    prose = readable & ~(repeats & (F.col("n_ends") == 0)) & alnum
+    speakable = F.col("n_speakable") >= MIN_SPEAKABLE * F.col("n_words")
+    table = alnum & (F.col("n_words") > 2) & (F.col("cell_line_share") >= MIN_CELL_LINES) & ((F.col("n_lines") > 1) | (F.col("n_separators") >= 4))
+    item_words = F.col("n_words") / F.greatest(F.col("n_lines") + F.when(F.col("n_lines") <= 3, F.col("n_commas")).otherwise(0), F.lit(1))
+    marked = F.col("bullet_line_share") >= MIN_BULLET_LINES
+    plain = ((F.col("n_lines") >= 3) | (F.col("n_commas") >= 3)) & (item_words <= MAX_ITEM_WORDS)
+    listed = alnum & (F.col("n_words") > 2) & (marked | plain) & speakable & ~repeats
+    kind = F.when(prose, "prose").when(table & ~(marked & ~(F.col("n_separators") > F.col("n_lines"))), "table").when(listed, "list").otherwise("junk")
+    reasons = {
+        "no_words": F.col("n_words") == 0,
+        "few_sentence_ends": ~ends & ~unspaced,
+        "symbols": ~alnum,
+        "bullet_lines": marked,
+        "cell_lines": F.col("cell_line_share") >= MIN_CELL_LINES,
+        "few_common_words": (F.col("common_word_share") < MIN_COMMON) & ~unspaced,
+        "repetition": repeats,
+        "unspeakable_words": ~speakable,
+    }
+    named = F.array_join(F.filter(F.array(*[F.when(test, name) for name, test in reasons.items()]), lambda x: x.isNotNull()), ",")
+    shares = ["mean_word_length", "symbol_ratio", "punctuated_line_share", "bullet_line_share", "cell_line_share", "common_word_share"]
+    return stats.select("doc_id", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in shares], F.col("n_ends").cast("long").alias("n_sentence_ends"), kind.alias("kind"), F.when(kind != "prose", named).otherwise("").alias("reasons"))
+
+
+def not_prose(statistics: DataFrame) -> DataFrame:
+    """The documents whose verdict is list, table or junk, each once."""
+    return statistics.where("kind <> 'prose'").select("doc_id", "kind", "reasons").distinct()

@@ -1,3 +1,52 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+
+def _normalized(text: str) -> str:
+    """Letters and digits in lower case, with points and commas between digits kept behind stand-ins."""
+    for mark, stand_in in (("[.]", ""), (",", "")):
+        for _ in range(2):  # digits that stand between two marks are taken by the first pass only on one side
+            text = f"regexp_replace({text}, '(\\pN){mark}(\\pN)', '\\1{stand_in}\\2', 'g')"
+    return f"regexp_replace({text}, '[^\\pL\\pN]+', '', 'g')"
+
+
+_P2 = f"""
+WITH pieces AS (
+  SELECT run_id, sentence_id, lower(target_sentence) AS t, list_filter(regexp_split_to_array(lower(target_sentence), '[;|]'), lambda p: regexp_matches(p, '\\S')) AS ps
+  FROM review_sentences WHERE target_sentence IS NOT NULL AND sentence_id IS NOT NULL
+), keyed AS (
+  SELECT DISTINCT run_id, sentence_id,
+    CASE WHEN len(ps) > 1 AND len(list_filter(ps, lambda p: regexp_matches(p, '[:：]'))) = len(ps)
+      THEN 'parts ' || array_to_string(list_sort(list_transform(ps, lambda p: {_normalized("p")})), '|') ELSE 'text ' || {_normalized("t")} END AS k
+  FROM pieces
+)
+"""
+
+_WORDS = "regexp_extract_all(lower(text), '[\\pL\\pN]+')"
+
+ORACLES: dict[str, str] = {
+    "p2_found": _P2
+    + """
+SELECT DISTINCT run_id, first_sentence_id, sentence_id
+FROM (SELECT run_id, sentence_id, min(sentence_id) OVER (PARTITION BY run_id, k) AS first_sentence_id FROM keyed)
+WHERE sentence_id <> first_sentence_id""",
+    "p2_copies": _P2 + "SELECT run_id, min(sentence_id) AS first_sentence_id, count(*) AS n_copies FROM keyed GROUP BY run_id, k",
+    "p5_found": """
+WITH RECURSIVE v AS (
+  SELECT DISTINCT run_id, aspect_norm, issue_norm FROM aspect_sentiment_valid WHERE validity_label = 'VALID' AND issue_norm IS NOT NULL
+), w AS (
+  SELECT DISTINCT run_id, aspect_norm, issue_norm, unnest(regexp_split_to_array(issue_norm, '\\s+')) AS word FROM v
+), linked AS (
+  SELECT a.run_id, a.aspect_norm, a.issue_norm AS x, b.issue_norm AS y FROM w a JOIN w b USING (run_id, aspect_norm, word)
+  WHERE word <> '' GROUP BY ALL HAVING count(*) >= 3
+), reach AS (
+  SELECT run_id, aspect_norm, x, y FROM linked
+  UNION
+  SELECT r.run_id, r.aspect_norm, r.x, l.y FROM reach r JOIN linked l ON r.run_id = l.run_id AND r.aspect_norm = l.aspect_norm AND r.y = l.x
+)
+SELECT run_id, aspect_norm, min(y) AS first_issue, x AS issue_norm FROM reach GROUP BY run_id, aspect_norm, x HAVING min(y) <> x""",
+    "p9_found": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items),
+dw AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 11], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS p FROM d WHERE len(ws) >= 12)),
+iw AS (SELECT DISTINCT item_id, array_to_string(ws[p:p + 11], ' ') AS win FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS p FROM i WHERE len(ws) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (win)""",
+}
