@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 WRAPPER_DEPTH = 4
 #: Distinct field paths that may reach the driver; more means that keys are data, which calls for a map and not for tables.
 MAX_PATHS = 10_000
+#: Length of the field paths that are told apart; lists nested deeper than this are values of their element.
+MAX_DEPTH = 40
 #: Stands for the elements of a list in a path.
 ELEMENTS = "[]"
 
@@ -66,19 +68,18 @@ def elements(value: object) -> list:
     return [value] if isinstance(value, dict) else []
 
 
-def _walk(value: object, path: Path, found: set[tuple[Path, str]]) -> None:
-    if isinstance(value, dict):
-        found.add((path, "object"))
-        for name, inner in value.items():
-            if isinstance(inner, (dict, list)):
-                _walk(inner, (*path, name), found)
-            else:
-                found.add(((*path, name), "value"))
-    elif isinstance(value, list):
-        found.add((path, "list"))
-        for inner in value:
-            if isinstance(inner, (dict, list)):
-                _walk(inner, (*path, ELEMENTS), found)
+def _walk(value: object, found: set[tuple[Path, str]]) -> None:
+    open_values = [(value, ())]
+    while open_values:
+        here, path = open_values.pop()
+        if isinstance(here, dict):
+            found.add((path, "object"))
+            open_values += [(inner, (*path, name)) for name, inner in here.items() if isinstance(inner, (dict, list))]
+            found.update(((*path, name), "value") for name, inner in here.items() if not isinstance(inner, (dict, list)))
+        elif isinstance(here, list):
+            found.add((path, "list"))
+            if len(path) < MAX_DEPTH:
+                open_values += [(inner, (*path, ELEMENTS)) for inner in here if isinstance(inner, (dict, list))]
 
 
 def _infer(payload: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -86,7 +87,7 @@ def _infer(payload: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         found: set[tuple[Path, str]] = set()
         for batch in batches:
             for text in batch.column(payload).to_pylist():
-                _walk(decode(text), (), found)
+                _walk(decode(text), found)
         rows = sorted(found)
         yield pa.RecordBatch.from_arrays([pa.array([list(p) for p, _ in rows], pa.list_(pa.string())), pa.array([k for _, k in rows], pa.string())], ["path", "kind"])
 
@@ -128,17 +129,9 @@ def list_tree(paths: set[tuple[Path, str]], roots: Iterable[Path]) -> list[ListS
     return build({()})
 
 
-def _declare(specs: list[ListSpec], declared: Iterable[str]) -> list[ListSpec]:
-    """Adds lists that are known by name, so that they keep their level even where no row here shows them as lists."""
-    for name in sorted(declared, key=len):
-        level, rest = specs, name
-        while rest:
-            spec = next((s for s in level if rest == (own := ".".join(s.path)) or rest.startswith(own + ".")), None)
-            if spec is None:
-                level.append(ListSpec(tuple(rest.split("."))))
-                break
-            level, rest = spec.children, rest[len(".".join(spec.path)) + 1 :]
-    return specs
+def _declared(names: Iterable[str], root: Path) -> set[tuple[Path, str]]:
+    """Lists that are known by name, so that they keep their level even where no row here shows them as lists."""
+    return {((*root, *name.split(".")), "list") for name in names}
 
 
 def _at(value: object, path: Path) -> object:
@@ -160,7 +153,11 @@ def _expand(items: list, spec: ListSpec, name: str, prefix: str, parent: str | N
 
 
 def _text(value: object) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A value as text; NULL for one that is nested too deeply to be written."""
+    try:
+        return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return None
 
 
 def _expander(payload: str, keys: list[str], specs: list[ListSpec], roots: list[Path], root_fields: set[str], root_list: str | None, fields: tuple[str, ...], with_value: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -224,11 +221,11 @@ def flatten_nested(
     paths = infer_paths(rows, payload)
     if root_list is None:
         roots = wrapper_paths(paths, wanted) if wanted else []
-        specs = _declare(list_tree(paths, roots or [()]), declared)
+        specs = list_tree(paths.union(*(_declared(declared, r) for r in roots or [()])), roots or [()])
     else:
         roots = []
         inner = [d[len(root_list) + 1 :] for d in declared if d.startswith(root_list + ".")]
-        specs = _declare(list_tree(paths, [(ELEMENTS,), ()]), inner)
+        specs = list_tree(paths | _declared(inner, ()), [(ELEMENTS,), ()])
     columns = [df.schema[k] for k in keys] + [T.StructField(n, T.StringType()) for n in ("list_name", "item_path")] + [T.StructField("ordinal", T.IntegerType()), T.StructField("parent_path", T.StringType())]
     columns += [T.StructField(f, T.StringType()) for f in fields] + ([T.StructField("value", T.StringType())] if with_value else [])
     return rows.mapInArrow(_expander(payload, keys, specs, roots, wanted, root_list, fields, with_value), T.StructType([T.StructField(c.name, c.dataType) for c in columns]))
