@@ -3,10 +3,10 @@
 
 def _normalized(text: str) -> str:
     """Letters and digits in lower case, with points and commas between digits kept behind stand-ins."""
-    for mark, stand_in in (("[.]", ""), (",", "")):
+    for mark, stand_in in (("[.]", "\ue000"), (",", "\ue001")):
         for _ in range(2):  # digits that stand between two marks are taken by the first pass only on one side
             text = f"regexp_replace({text}, '(\\pN){mark}(\\pN)', '\\1{stand_in}\\2', 'g')"
-    return f"regexp_replace({text}, '[^\\pL\\pN]+', '', 'g')"
+    return f"regexp_replace({text}, '[^\\pL\\pN\ue000\ue001]+', '', 'g')"
 
 
 _P2 = f"""
