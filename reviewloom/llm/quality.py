@@ -69,6 +69,7 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
         F.regexp_count(bare, F.lit(_END)).alias("n_ends"),
         visible.alias("visible"),
         F.length(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N}]+", "")).alias("n_alnum"),
+        F.length(F.regexp_replace("text", r"[\s\p{Z}|;,\"'-]+", "")).alias("without_rules"),
         F.regexp_count("text", F.lit(_UNSPACED)).alias("n_unspaced"),
         _count(F.col("lines"), _LINE_END).alias("n_punct_lines"),
         _count(F.col("lines"), _BULLET).alias("n_bullet_lines"),
@@ -93,7 +94,8 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
     alnum = F.col("n_alnum") >= MIN_ALNUM * F.col("visible")
     prose = readable & ~(repeats & (F.col("n_ends") == 0)) & alnum
     speakable = F.col("n_speakable") >= MIN_SPEAKABLE * F.col("n_words")
-    table = alnum & (F.col("n_words") > 2) & (F.col("cell_line_share") >= MIN_CELL_LINES) & ((F.col("n_lines") > 1) | (F.col("n_separators") >= 4))
+    cells_alnum = F.col("n_alnum") >= MIN_ALNUM * F.col("without_rules")
+    table = cells_alnum & (F.col("n_words") > 2) & (F.col("cell_line_share") >= MIN_CELL_LINES) & ((F.col("n_lines") > 1) | (F.col("n_separators") >= 4))
     item_words = F.col("n_words") / F.greatest(F.col("n_lines") + F.when(F.col("n_lines") <= 3, F.col("n_commas")).otherwise(0), F.lit(1))
     marked = F.col("bullet_line_share") >= MIN_BULLET_LINES
     plain = ((F.col("n_lines") >= 3) | (F.col("n_commas") >= 3)) & (item_words <= MAX_ITEM_WORDS)
