@@ -35,7 +35,7 @@ def test_verdicts(verdicts):
 def test_statistics(verdicts):
     r = verdicts[1]
     assert (r["n_words"], r["n_lines"], r["n_sentence_ends"]) == (9, 1, 2)
-    assert r["punctuated_line_share"] == 1.0 and r["mean_word_length"] == round(38 / 9, 6) and r["common_word_share"] == round(4 / 9, 6)
+    assert r["punctuated_line_share"] == 1.0 and r["mean_word_length"] == round(38 / 9, 6) and r["common_word_share"] == round(3 / 9, 6)
     assert verdicts[0]["reasons"] == "" and "few_sentence_ends" in verdicts[8]["reasons"]
 
 
