@@ -44,34 +44,37 @@ def _tile(eps: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def distance_links(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
-    """(src, dst) of all ordered pairs within `eps`, each row with itself included.
+def distance_links(df: DataFrame, key: str, vector: str, eps: float, scope: str | None = None) -> DataFrame:
+    """(src, dst) of all ordered pairs within `eps` (of one scope, if given), each row with itself included.
 
     Rows within eps differ by at most eps in any coordinate, so a row meets only its own slab of width eps along the
     first coordinate and the two beside it. Slabs are cut into tiles of bounded size; a tile pair is one matrix product,
     and only pairs within reach leave it.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = materialize(df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.floor(F.col(vector)[0].cast("double") / eps).cast("long").alias("slab")))
-    sizes = rows.groupBy("slab").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
-    tiled = rows.join(sizes, "slab").withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int")).drop("tiles")
-    partner = sizes.select(F.col("slab").alias("other"), F.col("tiles").alias("other_tiles"))
-    left = tiled.withColumn("other", F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1))).join(partner, "other").withColumn("other_tile", F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)))
-    left = left.select("slab", "tile", "other", "other_tile", "k", "v")
-    near = partner.withColumn("slab", F.explode(F.array(F.col("other") - 1, F.col("other"), F.col("other") + 1))).join(sizes, "slab").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    right = tiled.withColumnsRenamed({"slab": "other", "tile": "other_tile"}).join(near.select("other", "slab", "tile"), "other")
-    on = ["slab", "tile", "other", "other_tile"]
+    within = F.lit("") if scope is None else F.coalesce(F.col(scope).cast("string"), F.lit(""))
+    slab = F.floor(F.col(vector)[0].cast("double") / eps).cast("long")
+    rows = materialize(df.select(F.col(key).alias("k"), F.col(vector).alias("v"), within.alias("scope"), slab.alias("slab")))
+    sizes = rows.groupBy("scope", "slab").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
+    tiled = rows.join(sizes, ["scope", "slab"]).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int")).drop("tiles")
+    partner = sizes.select("scope", F.col("slab").alias("other"), F.col("tiles").alias("other_tiles"))
+    beside = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    left = tiled.withColumn("other", beside("slab")).join(partner, ["scope", "other"]).withColumn("other_tile", F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)))
+    near = partner.withColumn("slab", beside("other")).join(sizes, ["scope", "slab"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    right = tiled.withColumnsRenamed({"slab": "other", "tile": "other_tile"}).join(near.select("scope", "other", "slab", "tile"), ["scope", "other"])
+    on = ["scope", "slab", "tile", "other", "other_tile"]
+    left = left.select(*on, "k", "v")
     right = right.select(*[F.col(c).alias(f"{c}_2") for c in on], F.col("k").alias("k2"), F.col("v").alias("v2"))
     return left.groupBy(*on).cogroup(right.groupBy(*[f"{c}_2" for c in on])).applyInPandas(_tile(eps), f"src {kind}, dst {kind}")
 
 
-def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples: int = 5, scope: str | None = None) -> DataFrame:
     """(key, cluster): cluster is the smallest core key of the cluster, NULL for noise.
 
     Core rows have at least `min_samples` rows within eps, themselves included; a row beside several clusters joins that
     of its smallest core neighbour. Repeated keys must be removed before.
     """
-    links = materialize(distance_links(df, key, vector, eps))
+    links = materialize(distance_links(df, key, vector, eps, scope))
     core = links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(F.col("src").alias("core"))
     into_core = links.join(core.withColumnRenamed("core", "dst"), "dst", "left_semi")
     among = into_core.join(core.withColumnRenamed("core", "src"), "src", "left_semi")
