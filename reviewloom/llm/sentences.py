@@ -95,7 +95,9 @@ def _abbreviation(text: str, start: int, dot: int, after: int) -> bool:
             return False
         if _cased(text[start:dot]):
             return word[0].islower() or word[0].isdigit()
-        return word.lower() not in OPENERS
+        second = _WORD.search(text, following.end())
+        opens = word[0].isupper() and (len(word) == 1 or not word.isupper()) and second is not None and second.group()[0].islower()
+        return not opens and word.lower() not in OPENERS
     if len(token) == 1 and token.isalpha():
         before = text[start:dot].rstrip()[:-1].rstrip()
         return not before.endswith((":", "：")) and bool(word) and not (token == "i" and not word[0].isupper())

@@ -24,6 +24,8 @@ CASES = [
     "Size: L; Score: 2.5 of 5; Fit: loose. ⏎Would buy again.",
     "My kids adore it! ⏎Color: teal ; Size: M. ⏎It broke.",
     "*Support closes late.* ⏎_Not worth it._ ⏎“It broke.” ⏎(We like it.) ⏎Yes.",
+    "You Get Screws, A Strap, Etc. ⏎Version 9 of the app fixed it.",
+    "Shipping From The U.S. Warehouse Cost $5. ⏎Fine.",
     "I paid $4; they paid $5. ⏎if not, wait.",
     "It broke. ⏎exactly as described. ⏎The team (Mr.",
 ]
