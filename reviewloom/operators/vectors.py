@@ -157,8 +157,8 @@ def cluster_statistics(df: DataFrame, cluster: str, vector: str, sentiment: str)
     apart = nearest(centres, centres, cluster, "centroid", "distance").select(F.col("k").alias(cluster), (-F.col("score")).alias("inter"))
     rows = basic.join(entropy, cluster).join(apart, cluster, "left")
     several = F.col("cluster_size") > 1
-    totals = rows.agg(F.sum(F.when(several, F.col("intra"))).alias("sum_intra"), F.count_if(several).alias("n_several"))
-    rows = rows.join(F.broadcast(totals))  # one row
+    totals = rows.agg(F.sum(F.when(several, F.col("intra"))).alias("s"), F.count_if(several).alias("n")).first()
+    rows = rows.withColumns({"sum_intra": F.lit(totals["s"]).cast("double"), "n_several": F.lit(totals["n"])})
     mean_intra = F.when(F.col("n_several") > 0, F.col("sum_intra") / F.col("n_several"))
     others = F.when(several, F.col("n_several") - 1).otherwise(F.col("n_several"))
     intra, inter = F.col("intra"), F.col("inter")

@@ -67,11 +67,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, (key, _) in P4_SOURCES.items():
         df = table(spark, sf_dir, name)
         loads = key_loads(df, key)
-        total = df.agg(F.count(F.lit(1)).alias("total"))
+        least = HEAVY_SHARE * df.count()
         # tasks so small that every key of the wanted share is above the load of one
         placement = plan_placement(df, key, max(default_tasks(df), int(1 / HEAVY_SHARE) + 1), loads)
         rows = [(k, n) for k, n, _ in placement.heavy]
-        heavy = spark.createDataFrame(rows, loads.schema).join(F.broadcast(total)).where(F.col("n_rows") >= HEAVY_SHARE * F.col("total"))
+        heavy = spark.createDataFrame(rows, loads.schema).where(F.col("n_rows") >= least)
         part = heavy.select(F.lit(name).alias("source_table"), "key_value")
         out = part if out is None else out.unionByName(part)
     return out
