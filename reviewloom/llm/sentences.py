@@ -54,6 +54,7 @@ _BLANK_LINE = regex.compile(r"\s*\n[^\S\n]*\n\s*| ")
 _LINE = regex.compile(r"\s*(?:\r\n|[\n\r\u0085 ])\s*")
 _SPACE = regex.compile(r"[\s\p{Z}]*")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}'’\-]+")
+_NAME = regex.compile(r"\p{L}[\p{L}\p{M}'’\-]*")
 _LABELS = regex.compile(r"[^\n;|.!?]{1,40}[:：][^\n;|]{1,60}(?:[;|][^\n;|.!?]{1,40}[:：][^\n;|]{1,60})+")
 _LABEL_ONE = regex.compile(r"^\p{L}[\p{L} ]{0,20}[:：]")
 _LAST_VALUE = regex.compile(r"(?<=[\p{Ll}\p{N}])\s+(?=[\p{Pi}\"'(]?\p{Lu}\p{Ll}*[\s'’])")
@@ -95,7 +96,7 @@ def _abbreviation(text: str, start: int, dot: int, after: int) -> bool:
             return False
         if _cased(text[start:dot]):
             return word[0].islower() or word[0].isdigit()
-        second = _WORD.search(text, following.end())
+        second = _NAME.search(text, following.end())
         opens = word[0].isupper() and (len(word) == 1 or not word.isupper()) and second is not None and second.group()[0].islower()
         return not opens and word.lower() not in OPENERS
     if len(token) == 1 and token.isalpha():
