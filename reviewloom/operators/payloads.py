@@ -37,7 +37,7 @@ def judge_payloads(raw: DataFrame, sentences: DataFrame, fuzzy: bool = True) ->
     PARSE_FAIL, evidence that is not in the sentence EVIDENCE_NOT_FOUND; both are issues. Of equal opinions of a sentence
     one is kept. Rows without a sentence in their run are left out.
     """
-    rows = raw.join(sentences.select("run_id", "sentence_id", "target_sentence").dropDuplicates(["run_id", "sentence_id"]), ["run_id", "sentence_id"])
+    rows = raw.join(sentences.groupBy("run_id", "sentence_id").agg(F.min("target_sentence").alias("target_sentence")), ["run_id", "sentence_id"])
     listed = flatten_nested(rows, "llm_output", ["run_id", "sentence_id", "target_sentence"], ("aspects", "has_opinion", "extraction_warnings"), declared=["aspects"], fields=FIELDS).where("list_name = 'aspects'")
     found = normalize.evidence_found(F.col("evidence_text"), F.col("target_sentence"))
     broken = rows.where(F.get_json_object("llm_output", "$").isNull()).select("run_id", "sentence_id", F.lit("PARSE_FAIL").alias("issue_type"))
