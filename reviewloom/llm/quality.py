@@ -65,7 +65,7 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
         F.length(F.array_join("words", "")).alias("word_chars"),
         F.size(F.array_distinct("words")).alias("n_distinct"),
         F.size(F.filter("words", lambda w: w.isin(common))).alias("n_common") if common else F.lit(0).alias("n_common"),
-        F.size(F.filter("words", lambda w: w.rlike(r"[aeiouyàâäáãåæéèêëíìîïóòôöõøúùûü]|[^\x00-\x{24F}]|^\d+$") & ~w.rlike(r"[bcdfghjklmnpqrstvwxz]{5}|\d\p{L}|\p{L}\d\p{L}|^.{25}"))).alias("n_speakable"),
+        "words",
         F.regexp_count(bare, F.lit(_END)).alias("n_ends"),
         visible.alias("visible"),
         F.length(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N}]+", "")).alias("n_alnum"),
@@ -90,6 +90,8 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
     unspaced = F.col("n_unspaced") >= MIN_UNSPACED * F.col("visible")
     lines_of_marks = (F.col("bullet_line_share") >= MIN_BULLET_LINES) | (F.col("cell_line_share") >= MIN_CELL_LINES)
     readable = ends | unspaced & (F.col("n_words") > 0) | (F.col("common_word_share") >= MIN_COMMON) & ~lines_of_marks
+    # the costliest test, so only where no sentence was found; whatever reads as sentences is spoken
+    stats = stats.withColumn("n_speakable", F.when(readable, F.col("n_words")).otherwise(F.size(F.filter("words", lambda w: w.rlike(r"[aeiouyàâäáãåæéèêëíìîïóòôöõøúùûü]|[^\x00-\x{24F}]|^\d+$") & ~w.rlike(r"[bcdfghjklmnpqrstvwxz]{5}|\d\p{L}|\p{L}\d\p{L}|^.{25}")))))
     repeats = (F.col("n_words") >= 30) & (F.col("n_distinct") < MIN_DISTINCT * F.col("n_words"))
     alnum = F.col("n_alnum") >= MIN_ALNUM * F.col("visible")
     prose = readable & ~(repeats & (F.col("n_ends") == 0)) & alnum
