@@ -160,14 +160,14 @@ WITH refs AS (
 _ITEMS = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] ELSE [] END"
 
 
-def _elements(source: str, column: str, name: str, outer: str = "") -> str:
+def list_rows(source: str, column: str, name: str, outer: str = "") -> str:
     """Rows of one list: its elements with their places, JSON nulls left out."""
     place = f"{outer} || '.' || CAST(i - 1 AS VARCHAR)" if outer else "CAST(i - 1 AS VARCHAR)"
     return f"""SELECT source_table, run_id, parent_key, '{name}' AS list_name, {place} AS item_path, l[i] AS item
     FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, {_ITEMS.format(column)} AS l FROM {source})) WHERE json_type(l[i]) <> 'NULL'"""
 
 
-def _decoded(column: str) -> str:
+def decoded_json(column: str) -> str:
     """JSON of a text that may be encoded as a string, or hold its JSON between other words."""
     plain = f"CASE WHEN json_valid({column}) THEN {column} ELSE nullif(regexp_extract({column}, '(?s)[{{\\[].*[}}\\]]'), '') END"
     return f"CAST(CASE WHEN json_type({plain}) = 'VARCHAR' THEN json_extract_string({plain}, '$') ELSE {plain} END AS JSON)"
@@ -175,17 +175,17 @@ def _decoded(column: str) -> str:
 
 _P3 = f"""
 WITH decoded AS (
-  SELECT run_id, sentence_id || '#' || CAST(retry_count AS VARCHAR) AS parent_key, {_decoded("llm_output")} AS p FROM aspect_sentiment_raw WHERE parse_status = 'SUCCESS' AND llm_output IS NOT NULL
+  SELECT run_id, sentence_id || '#' || CAST(retry_count AS VARCHAR) AS parent_key, {decoded_json("llm_output")} AS p FROM aspect_sentiment_raw WHERE parse_status = 'SUCCESS' AND llm_output IS NOT NULL
 ), records AS (
   SELECT 'aspect_sentiment_raw' AS source_table, run_id, parent_key, coalesce(json_extract(p, '$.result'), json_extract(p, '$.data.output'), p) AS r FROM decoded
 ), reported AS (
-  SELECT 'cluster_reports' AS source_table, run_id, cluster_id AS parent_key, {_decoded("evidence_items")} AS e, {_decoded("action_items")} AS a FROM cluster_reports
-), aspects AS ({_elements("records", "json_extract(r, '$.aspects')", "aspects")}),
-warnings AS ({_elements("records", "json_extract(r, '$.extraction_warnings')", "extraction_warnings")}),
-spans AS ({_elements("aspects", "json_extract(item, '$.evidence_spans')", "aspects.evidence_spans", "item_path")}),
-evidence AS ({_elements("reported", "e", "evidence_items")}),
-actions AS ({_elements("reported", "a", "action_items")}),
-steps AS ({_elements("actions", "json_extract(item, '$.validation_plan.steps')", "action_items.validation_plan.steps", "item_path")}),
+  SELECT 'cluster_reports' AS source_table, run_id, cluster_id AS parent_key, {decoded_json("evidence_items")} AS e, {decoded_json("action_items")} AS a FROM cluster_reports
+), aspects AS ({list_rows("records", "json_extract(r, '$.aspects')", "aspects")}),
+warnings AS ({list_rows("records", "json_extract(r, '$.extraction_warnings')", "extraction_warnings")}),
+spans AS ({list_rows("aspects", "json_extract(item, '$.evidence_spans')", "aspects.evidence_spans", "item_path")}),
+evidence AS ({list_rows("reported", "e", "evidence_items")}),
+actions AS ({list_rows("reported", "a", "action_items")}),
+steps AS ({list_rows("actions", "json_extract(item, '$.validation_plan.steps')", "action_items.validation_plan.steps", "item_path")}),
 items AS (SELECT DISTINCT source_table, run_id, parent_key, list_name, item_path FROM (
   SELECT * FROM aspects UNION ALL SELECT * FROM warnings UNION ALL SELECT * FROM spans UNION ALL SELECT * FROM evidence UNION ALL SELECT * FROM actions UNION ALL SELECT * FROM steps))
 """

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators import kernels, payloads, providers, reports
 from reviewloom.operators.selection import build_sentences, distinct_reviews, normalize_reviews
+from reviewloom.plans.general import decoded_json, list_rows
+from reviewloom.plans.opinions_sql import NORMALIZED, REVIEWS, SENTENCES, cascade, chain, strip, validity
 from reviewloom.sources.tables import table
 
 
@@ -112,8 +114,26 @@ QUERIES = {f.__name__: f for f in (c01_encoded_issues, c02_issue_vectors, c04_me
 
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sentence_id ORDER BY created_at DESC, retry_count DESC, llm_model NULLS LAST, prompt_version NULLS LAST, llm_output NULLS LAST) AS k
   FROM aspect_sentiment_raw WHERE parse_status = 'SUCCESS') WHERE k = 1)"""
-_PK = "md5(concat_ws('|', coalesce(parent_asin, ''), coalesce(user_id, ''), coalesce(CAST(unix_ts AS VARCHAR), ''), coalesce(title, ''), coalesce(substring(text, 1, 100), '')))"
+_TEXT = "json_extract_string(item, '$.{}')"
+_JUDGED = f"""
+WITH {_LATEST}, sentences AS (SELECT run_id, sentence_id, min(target_sentence) AS target_sentence FROM review_sentences GROUP BY 1, 2),
+decoded AS (SELECT 'raw' AS source_table, run_id, sentence_id AS parent_key, llm_output, {decoded_json("llm_output")} AS p FROM latest JOIN sentences USING (run_id, sentence_id)),
+records AS (SELECT * EXCLUDE (p), coalesce(json_extract(p, '$.result'), json_extract(p, '$.data.output'), p) AS r FROM decoded),
+items AS ({list_rows("records", "json_extract(r, '$.aspects')", "aspects")}),
+listed AS (
+  SELECT i.run_id, parent_key AS sentence_id, CAST(item_path AS INT) AS ordinal, target_sentence, {_TEXT.format("aspect")} AS aspect_raw, {_TEXT.format("issue")} AS issue_raw, {_TEXT.format("sentiment")} AS sentiment,
+    {_TEXT.format("evidence_text")} AS evidence_text, TRY_CAST({_TEXT.format("sentiment_score")} AS DOUBLE) AS sentiment_score, contains(lower(target_sentence), lower(coalesce({_TEXT.format("evidence_text")}, ''))) AS found
+  FROM items i JOIN sentences s ON i.run_id = s.run_id AND i.parent_key = s.sentence_id
+), {cascade("listed")},
+kept AS (SELECT l.*, aspect_norm, {strip("lower(issue_raw)")} AS issue_norm FROM listed l JOIN cascade c ON l.aspect_raw = c.aspect_raw WHERE found),
+judged AS (SELECT *, row_number() OVER (PARTITION BY run_id, sentence_id, aspect_norm, issue_norm ORDER BY ordinal) AS k FROM kept WHERE {validity("aspect_norm", "issue_norm")} = 'VALID')
+"""
 ORACLES = {
+    "n14_judged_payloads": _JUDGED + "SELECT run_id, sentence_id, aspect_norm, issue_norm, aspect_raw, sentiment, sentiment_score, evidence_text FROM judged WHERE k = 1",
+    "n15_payload_issues": _JUDGED
+    + """SELECT run_id, issue_type, count(*) AS n FROM (SELECT run_id, 'PARSE_FAIL' AS issue_type FROM decoded WHERE NOT json_valid(llm_output) UNION ALL SELECT run_id, 'EVIDENCE_NOT_FOUND' FROM listed WHERE NOT found) GROUP BY 1, 2""",
+    "v04_rebuilt_ids": f"""SELECT count(*) AS n_reviews, count(k) AS n_known FROM (SELECT DISTINCT review_pk FROM review_sentences) s
+      LEFT JOIN (SELECT DISTINCT review_pk AS k FROM ({chain(REVIEWS, NORMALIZED, SENTENCES)} SELECT review_pk FROM sentences)) m ON s.review_pk = m.k""",
     "c02_issue_vectors": "SELECT aspect_norm, count(*) AS n_rows, count(DISTINCT issue_norm) AS n_texts FROM aspect_sentiment_valid WHERE validity_label = 'VALID' AND issue_norm IS NOT NULL GROUP BY 1",
     "l04_completed": "SELECT 'SUCCESS' AS parse_status, CAST(0 AS INT) AS retry_count, count(DISTINCT sentence_id) AS n FROM review_sentences",
     "a25_payload_aspects": f"""WITH {_LATEST}, c AS (SELECT run_id, CASE WHEN json_valid(llm_output) THEN coalesce(json_array_length(llm_output, '$.aspects'), 0) ELSE 0 END AS n FROM latest)
