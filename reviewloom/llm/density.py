@@ -19,94 +19,106 @@ from reviewloom.sources.tables import materialize
 CELL_WORDS = 3
 #: Texts with more frequent words than this get their cells level by level, from dense pairs only.
 DIRECT_WORDS = 14
-#: Typical members reported per cluster.
-TYPICAL = 3
 
 
 def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, r"[\s\p{Z}]+"), lambda w: w != ""))
 
 
-def _triples(sorted_words: Column) -> Column:
-    """All combinations of three of the sorted words, as text with a separator that no word holds."""
-    size = F.size(sorted_words)
+def _cell(keys: list[str], *cell_words: Column) -> Column:
+    """128 bits that name a cell: fixed-size keys keep counting and joining in hash tables without text."""
+    parts = [*[F.col(k) for k in keys], *cell_words]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("c1"), F.xxhash64(F.lit(2), *parts).alias("c2"))
+
 
-    def rest(i: Column) -> Column:
-        return F.slice(sorted_words, i + 2, size)
+def _triples(keys: list[str], sorted_words: Column) -> Column:
+    """The cells of all combinations of three of the sorted words."""
+    size = F.size(sorted_words)
 
     def second(i: Column, a: Column) -> Column:
-        later = rest(i)
-        return F.flatten(F.transform(later, lambda b, j: F.transform(F.slice(later, j + 2, size), lambda c: F.concat_ws("\t", a, b, c))))
+        later = F.slice(sorted_words, i + 2, size)
+        return F.flatten(F.transform(later, lambda b, j: F.transform(F.slice(later, j + 2, size), lambda c: _cell(keys, a, b, c))))
 
     return F.flatten(F.transform(sorted_words, lambda a, i: second(i, a)))
 
 
 def _frequent_words(values: DataFrame, keys: list[str]) -> DataFrame:
     """Each value with its sorted words that another value of the group holds too."""
-    held = values.select(*keys, "value", F.explode(words(F.col("value"))).alias("word"))
+    held = values.select(*keys, "id", F.explode(words(F.col("value"))).alias("word"))
     frequent = held.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return held.join(frequent, [*keys, "word"]).groupBy(*keys, "value").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    return held.join(frequent, [*keys, "word"]).groupBy(*keys, "id").agg(F.sort_array(F.collect_list("word")).alias("words"))
 
 
 def _long_cells(long: DataFrame, keys: list[str], frequent: DataFrame) -> DataFrame:
     """Cells of values with many words, built from pairs of words that are dense themselves."""
 
     def pairs(df: DataFrame) -> DataFrame:
-        a = df.select(*keys, "value", F.posexplode("words").alias("i", "a"), "words")
-        return a.select(*keys, "value", "a", F.explode(F.slice("words", F.col("i") + 2, F.size("words"))).alias("b"))
+        a = df.select(*keys, "id", F.posexplode("words").alias("i", "a"), "words")
+        return a.select(*keys, "id", "a", F.explode(F.slice("words", F.col("i") + 2, F.size("words"))).alias("b"))
 
     own = pairs(long)
     wanted = own.select(*keys, "a", "b").distinct()
     dense = pairs(frequent).join(wanted, [*keys, "a", "b"], "left_semi").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     kept = own.join(dense, [*keys, "a", "b"])
-    right = kept.select(*keys, "value", "a", F.col("b").alias("c"))
-    third = kept.select(*keys, "value", F.col("a").alias("b"), F.col("b").alias("c"))
-    triples = kept.join(right, [*keys, "value", "a"]).where("c > b").join(third, [*keys, "value", "b", "c"], "left_semi")
-    return triples.select(*keys, "value", F.concat_ws("\t", "a", "b", "c").alias("cell"))
+    right = kept.select(*keys, "id", "a", F.col("b").alias("c"))
+    third = kept.select(*keys, "id", F.col("a").alias("b"), F.col("b").alias("c"))
+    triples = kept.join(right, [*keys, "id", "a"]).where("c > b").join(third, [*keys, "id", "b", "c"], "left_semi")
+    return triples.select("id", _cell(keys, F.col("a"), F.col("b"), F.col("c")).alias("cell"))
 
 
 def dense_cells(values: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(members, cells): which distinct value lies in which dense cell, and each dense cell's size and smallest value."""
+    """(members, cells) of distinct values with ids: which id lies in which cell, and each dense cell's size and first id."""
     frequent = materialize(_frequent_words(values, keys).where(F.size("words") >= CELL_WORDS))
     short, long = frequent.where(F.size("words") <= DIRECT_WORDS), frequent.where(F.size("words") > DIRECT_WORDS)
-    members = short.select(*keys, "value", F.explode(_triples(F.col("words"))).alias("cell"))
+    members = short.select("id", F.explode(_triples(keys, F.col("words"))).alias("cell"))
     if not long.isEmpty():
         members = members.unionByName(_long_cells(long, keys, frequent))
-    cells = members.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n_values"), F.min("value").alias("hub")).where("n_values > 1")
+    members = members.select("id", "cell.c1", "cell.c2")
+    cells = members.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_values"), F.min("id").alias("hub")).where("n_values > 1")
     return members, cells
 
 
+def _numbered(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, list[str]]:
+    """Distinct values of each group with ids, and the names of the group columns. The ids are fixed by being written."""
+    names = [f"k{i}" for i in range(len(keys))]
+    group = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names, strict=True)]
+    distinct = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("value")).distinct()
+    return materialize(distinct.withColumn("id", F.monotonically_increasing_id())), names
+
+
+def _labels(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """(id, label) of every id that lies in a dense cell; ids of one cluster have one label."""
+    links = materialize(members.join(cells, ["c1", "c2"]).groupBy("id").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")))
+    edges = links.select(F.explode("hubs").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
+    parts = connected_components(edges).select(F.col("node").alias("least"), "component")
+    return links.select("id", "least").join(parts, "least", "left").select("id", F.coalesce("component", "least").alias("label"))
+
+
 def density_clusters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, first_value) of every distinct value that lies in a cluster; first_value is the cluster's smallest.
 
     NULL or blank values and values of fewer than three different words stay alone and are not returned; NULL keys form
     groups of their own; repeated rows count once. A cell that holds a third of all values is counted by partial sums and
-    represented by its smallest value, so no task gathers its members; the loop runs over cells' smallest values only.
+    represented by its first member, so no task gathers its members; the loop runs over cells' first members only.
     """
-    names = {k: f"k{i}" for i, k in enumerate(keys)}
-    group = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in names.items()]
-    own = list(names.values())
-    values = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("value")).distinct()
-    members, cells = dense_cells(values, own)
-    links = members.join(cells, [*own, "cell"]).groupBy(*own, "value").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs"))
-    links = materialize(links)
-    edges = links.select(*own, "least", F.explode("hubs").alias("hub")).where("hub <> least").distinct()
-    edges = edges.select(F.struct(*own, F.col("hub").alias("v")).alias("src"), F.struct(*own, F.col("least").alias("v")).alias("dst"))
-    labels = connected_components(edges).select(*[F.col(f"node.{n}").alias(n) for n in own], F.col("node.v").alias("least"), F.col("component.v").alias("label"))
-    found = links.drop("hubs").join(labels, [*own, "least"], "left").withColumn("first_value", F.coalesce("label", "least"))
-    back = [F.when(F.col(n) != "\0", F.col(n)).alias(k) for k, n in names.items()]
-    return found.select(*back, F.col("value"), "first_value")
+    values, names = _numbered(df, keys, value)
+    labels = materialize(_labels(*dense_cells(values, names)))
+    held = values.join(labels, "id")
+    firsts = held.groupBy("label").agg(F.min("value").alias("first_value"))
+    back = [F.when(F.col(n) != "\0", F.col(n)).alias(k) for k, n in zip(keys, names, strict=True)]
+    return held.join(firsts, "label").select(*back, "value", "first_value")
 
 
 def describe_clusters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per cluster: keys, first_value, n_values, n_rows, and the most frequent members of its densest cell as `typical`."""
-    clusters = materialize(density_clusters(df, keys, value))
-    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
-    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("c.value") == F.col("r.value")]
-    joined = clusters.alias("c").join(rows.alias("r"), on).select(*[f"c.{k}" for k in keys], "c.value", "c.first_value", "r.n_rows")
-    sizes = joined.groupBy(*keys, "first_value").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n_rows").alias("n_rows"))
-    members, cells = dense_cells(clusters.select(*keys, "value"), keys)
-    held = members.join(cells, [*keys, "cell"]).join(joined.withColumnRenamed("n_rows", "rows_of_value"), [*keys, "value"])
-    densest = held.groupBy(*keys, "first_value").agg(F.max(F.struct("n_values", "cell")).alias("top"))
-    inside = held.join(densest, [*keys, "first_value"]).where("cell = top.cell").groupBy(*keys, "first_value").agg(F.max_by("value", F.struct("rows_of_value", "value")).alias("typical"))
-    return sizes.join(inside, [*keys, "first_value"])
+    """Per cluster: keys, first_value, n_values, n_rows, and the most frequent member of its densest cell as `typical`."""
+    values, names = _numbered(df, keys, value)
+    members, cells = dense_cells(values, names)
+    labels = materialize(_labels(members, cells))
+    rows = df.where(F.col(value).isNotNull()).groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+    held = materialize(values.join(labels, "id").join(rows, [*names, "value"]))
+    sizes = held.groupBy("label", *names).agg(F.count(F.lit(1)).alias("n_values"), F.sum("n_rows").alias("n_rows"), F.min("value").alias("first_value"))
+    inside = members.join(cells, ["c1", "c2"]).join(held.select("id", "label", "value", F.col("n_rows").alias("rows_of_value")), "id")
+    best = inside.groupBy("label", "c1", "c2", "n_values").agg(F.max_by("value", F.struct("rows_of_value", "value")).alias("typical"), F.max("rows_of_value").alias("most"))
+    densest = best.groupBy("label").agg(F.max_by("typical", F.struct("n_values", "most", "typical")).alias("typical"))
+    back = [F.when(F.col(n) != "\0", F.col(n)).alias(k) for k, n in zip(keys, names, strict=True)]
+    return sizes.join(densest, "label").select(*back, "first_value", "n_values", "n_rows", "typical")
