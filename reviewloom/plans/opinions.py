@@ -65,11 +65,11 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opinion.score_sentences(selection.build_sentences(_normalized(spark, sf_dir)))
 
 
-def p12_opinion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def opinion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("sentence_id", "is_candidate", "filter_reason", "priority_weight")
 
 
-def p12_raw_sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def opinion_scores_of_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the stored sentences, which still have their final marks."""
     rows = table(spark, sf_dir, "review_sentences").select("target_sentence").where("target_sentence is not null").distinct()
     return opinion.score_sentences(rows).select("target_sentence", "is_candidate", "filter_reason", "priority_weight")
@@ -150,6 +150,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (s02_review_keys, j01_selected_reviews, f01_category_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, p12_opinion_scores, p12_raw_sentence_scores, a22_score_histogram, t07_aspect_candidates, t11_opinions, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, flagship)
+    for f in (s02_review_keys, j01_selected_reviews, f01_category_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, flagship)
 }
 ORACLES = opinions_sql.ORACLES

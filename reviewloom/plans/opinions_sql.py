@@ -220,8 +220,8 @@ FROM reviews_1 r LEFT JOIN meta m ON r.parent_asin = m.parent_asin WHERE unix_ts
     "x03_normalized_reviews": chain(REVIEWS, NORMALIZED) + "SELECT * FROM normalized",
     "x04_sentences": chain(REVIEWS, NORMALIZED, SENTENCES) + "SELECT * FROM sentences",
     "x04_document_sentences": chain(_DOCS, SENTENCES) + "SELECT sentence_id, target_sentence, context_text FROM sentences",
-    "p12_opinion_scores": chain(*TO_SCORES) + "SELECT sentence_id, is_candidate, filter_reason, priority_weight FROM scored",
-    "p12_raw_sentence_scores": chain("stored AS (SELECT DISTINCT target_sentence FROM review_sentences WHERE target_sentence IS NOT NULL)", scored("stored", "scored")) + "SELECT target_sentence, is_candidate, filter_reason, priority_weight FROM scored",
+    "opinion_scores": chain(*TO_SCORES) + "SELECT sentence_id, is_candidate, filter_reason, priority_weight FROM scored",
+    "opinion_scores_of_stored": chain("stored AS (SELECT DISTINCT target_sentence FROM review_sentences WHERE target_sentence IS NOT NULL)", scored("stored", "scored")) + "SELECT target_sentence, is_candidate, filter_reason, priority_weight FROM scored",
     "a22_score_histogram": chain(*TO_SCORES) + "SELECT CAST(floor(priority_weight) AS INT) AS score, count(*) AS n_sentences FROM scored GROUP BY 1",
     "t07_aspect_candidates": chain(*TO_CANDIDATES) + "SELECT sentence_id, candidate_rank, text, stage, round(confidence, 4) AS confidence FROM ranked",
     "t11_opinions": chain(*TO_OPINIONS) + "SELECT sentence_id, aspect_raw, sentiment, sentiment_score, issue_raw, evidence_text FROM opinions",
