@@ -17,9 +17,19 @@ from reviewloom.sources.tables import materialize
 TILE_ROWS = 2000
 
 
-def best_edges(rows: DataFrame, targets: DataFrame, key: str, vector: str, least: float, most: int = 10, candidates: int = 50) -> DataFrame:
-    """(src, dst, score): undirected edges between rows and their nearest targets, the best per pair, no loops."""
-    near = nearest(rows, targets, key, vector, most=max(most, candidates)).where((F.col("score") >= least) & (F.col("rank") <= most))
+def best_edges(rows: DataFrame, targets: DataFrame, key: str, vector: str, least: float, most: int = 10, candidates: int = 50, bucket: str | None = None) -> DataFrame:
+    """(src, dst, score): undirected edges between rows and their nearest targets, the best per pair, no loops.
+
+    With `bucket`, the candidates are the nearest of all targets, those of other buckets are left out, and each row keeps
+    the `most` best of the rest; NULL is a bucket of its own.
+    """
+    near = nearest(rows, targets, key, vector, most=max(most, candidates)).where(F.col("score") >= least)
+    if bucket is not None:
+        own = rows.select(F.col(key).alias("k"), F.col(bucket).alias("bucket"))
+        other = targets.select(F.col(key).alias("target"), F.col(bucket).alias("other"))
+        near = near.join(own, "k").join(other, "target").where(F.col("bucket").eqNullSafe(F.col("other")))
+        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("rank")))
+    near = near.where(F.col("rank") <= most)
     pairs = near.select(F.least("k", "target").alias("src"), F.greatest("k", "target").alias("dst"), "score")
     return pairs.groupBy("src", "dst").agg(F.max("score").alias("score"))
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Targets that are held by every worker at a time (about 2 MB at 64 dimensions).
 BLOCK = 4096
+#: Rows that are multiplied with a block at a time (about 16 MB of scores).
+STRIPE = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -83,9 +85,7 @@ def _best(ids: list, block: np.ndarray, by: str, most: int) -> Callable[[Iterato
     ids, block = [ids[i] for i in order], block[order]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
-                continue
+        for frame in (f.iloc[i : i + STRIPE] for f in frames for i in range(0, len(f), STRIPE)):
             scores = _scores(np.asarray(frame["v"].tolist(), dtype=np.float64), block, by)
             for i, k in enumerate(frame["k"]):
                 scores[i, [j for j, t in enumerate(ids) if t == k] if len(ids) < 64 else _places(ids, k)] = -np.inf

@@ -65,7 +65,9 @@ def c10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbor_graph.best_edges(_asked(spark, sf_dir), _rows(spark, sf_dir), "vec_id", "embedding", EDGE)
+    """Edges of every row inside its bucket, which is its sentiment."""
+    rows = _rows(spark, sf_dir)
+    return neighbor_graph.best_edges(rows, rows, "vec_id", "embedding", EDGE, bucket="sentiment")
 
 
 def c13_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

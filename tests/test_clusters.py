@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import reviewloom.operators.kernels as kernels
 import reviewloom.operators.neighbor_graph as neighbor_graph
 import reviewloom.operators.vectors as vectors
+from reviewloom.plans import clusters
 
 
 def groups(labels):
@@ -119,3 +120,27 @@ def test_reconciled_labels(spark):
     edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (4, 5, 0.9)], "src long, dst long, score double")
     got = neighbor_graph.reconcile_labels(labels, edges, "k", "c")
     assert {tuple(r) for r in got.collect()} == {(1, 5), (2, 5), (3, 5), (4, -1), (5, -1), (6, 9)}
+
+
+def test_every_row_gets_its_edges_inside_its_bucket(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    ids = [i for i in range(1, 241) if i % 100]
+    centres = rng.normal(0, 1, (12, 8))
+    x = np.array([centres[i % 12] + rng.normal(0, 0.5, 8) for i in ids])
+    rows = [(i, [float(a) for a in v], i % 5) for i, v in zip(ids, x, strict=True)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(cos, -9)
+    want = set()
+    for i, k in enumerate(ids):
+        near = [j for j in np.argsort(-cos[i], kind="stable")[:50] if cos[i, j] >= clusters.EDGE and ids[j] % 3 == k % 3][:10]
+        want |= {(min(k, ids[j]), max(k, ids[j])) for j in near}
+    assert {(r["src"], r["dst"]) for r in clusters.c13_edges(spark, str(tmp_path)).collect()} == want and len(want) > 100
+    label = {k: -1 if k % 11 == 0 else k + 1000 if k % 97 == 5 else k % 5 for k in ids}
+    part = {k: k for k in ids}
+    for _ in ids:
+        for a, b in want:
+            part[a] = part[b] = min(part[a], part[b])
+    least = {p: min([label[k] for k in ids if part[k] == p and label[k] != -1], default=-1) for p in set(part.values())}
+    assert {tuple(r) for r in clusters.c15_reconciled(spark, str(tmp_path)).collect()} == {(k, least[part[k]]) for k in ids}
