@@ -1,7 +1,9 @@
 """Clustering kernels for buckets of bounded size, and the choice of a method by bucket size.
 
 Average linkage and hierarchical density clustering need all distances of a bucket, so they run on buckets of at most
-MAX_KERNEL_ROWS rows, one Arrow group each. Larger buckets go to the distributed density clustering.
+MAX_KERNEL_ROWS rows, one Arrow group each. Larger buckets go to the distributed density clustering, or, where the method
+must not depend on size, to the same hierarchical one with distances computed row by row: memory grows with the rows, time
+with their square, in one task per bucket.
 """
 
 from __future__ import annotations
@@ -68,12 +70,33 @@ def agglomerative(vectors: np.ndarray, threshold: float | None = 0.5, n_clusters
     return _renumber(labels)
 
 
+def _reach(vectors: np.ndarray, min_samples: int) -> Callable[[int], np.ndarray]:
+    """Mutual reachability of a row to all; above MAX_KERNEL_ROWS rows no matrix of all distances is held.
+
+    Distances are rounded, so that ties are the same in both forms.
+    """
+    n, k = len(vectors), min(min_samples, len(vectors)) - 1
+    if n <= MAX_KERNEL_ROWS:
+        d = np.round(_distances(vectors, "euclidean"), 12)
+        core = np.sort(d, axis=1)[:, k]
+        reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+        return lambda u: reach[u]
+    squares = (vectors**2).sum(1)
+
+    def distances(i: int, j: int) -> np.ndarray:
+        out = np.sqrt(np.maximum(squares[i:j, None] + squares[None, :] - 2 * vectors[i:j] @ vectors.T, 0))
+        out[np.arange(j - i), np.arange(i, j)] = 0
+        return np.round(out, 12)
+
+    step = max(1, 4_000_000 // n)
+    core = np.concatenate([np.partition(distances(i, min(i + step, n)), k, axis=1)[:, k] for i in range(0, n, step)])
+    return lambda u: np.maximum(distances(u, u + 1)[0], np.maximum(core[u], core))
+
+
 def condensed_tree(vectors: np.ndarray, min_cluster_size: int, min_samples: int) -> list[tuple[int, int, float, int]]:
     """Rows (parent, child, lambda, size) of the density hierarchy; points are 0..n-1, clusters from n on."""
     n = len(vectors)
-    d = _distances(np.asarray(vectors, dtype=np.float64), "euclidean")
-    core = np.sort(d, axis=1)[:, min(min_samples, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    reach = _reach(np.asarray(vectors, dtype=np.float64), min_samples)
     inside, best, source = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     best[0], edges = 0, []
     for _ in range(n):
@@ -81,8 +104,9 @@ def condensed_tree(vectors: np.ndarray, min_cluster_size: int, min_samples: int)
         if inside.any():
             edges.append((best[u], source[u], u))
         inside[u] = True
-        closer = ~inside & (reach[u] < best)
-        best[closer], source[closer] = reach[u][closer], u
+        near = reach(u)
+        closer = ~inside & (near < best)
+        best[closer], source[closer] = near[closer], u
     parent, children, height = list(range(n)), {}, {}
     sizes = dict.fromkeys(range(n), 1)
 
@@ -187,21 +211,21 @@ def _bucket_kernel(method: str | None, threshold: float, min_cluster_size: int |
     return run
 
 
-def cluster_buckets(df: DataFrame, bucket: str, key: str, vector: str, method: str | None = None, threshold: float = 0.5, min_cluster_size: int | None = None, min_samples: int = 3, eps: float = 0.5) -> DataFrame:
+def cluster_buckets(df: DataFrame, bucket: str, key: str, vector: str, method: str | None = None, threshold: float = 0.5, min_cluster_size: int | None = None, min_samples: int = 3, eps: float = 0.5, exact: bool = False) -> DataFrame:
     """(key, bucket, method, label) of every row: labels count from 0 within a bucket, -1 is noise.
 
     A bucket of one row is its own cluster; below SMALL rows average linkage is used, up to MAX_KERNEL_ROWS hierarchical
-    density clustering, beyond that DBSCAN over all executors, whatever `method` asks for. Parameters follow the method
-    that is used. NULL buckets form one bucket; keys must be unique.
+    density clustering, beyond that DBSCAN over all executors, whatever `method` asks for, unless `exact`
+    keeps the hierarchical one at any size. Parameters follow the method that is used. NULL buckets form one bucket; keys must be unique.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.coalesce(F.col(bucket).cast("string"), F.lit("")).alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     sized = materialize(rows.join(sizes, "bucket"))
-    small = sized.where(F.col("n") <= MAX_KERNEL_ROWS).drop("n")
+    small = (sized if exact else sized.where(F.col("n") <= MAX_KERNEL_ROWS)).drop("n")
     done = small.groupBy("bucket").applyInPandas(_bucket_kernel(method, threshold, min_cluster_size, min_samples), f"k {kind}, bucket string, method string, label int")
     large = sized.where(F.col("n") > MAX_KERNEL_ROWS)
-    if not large.isEmpty():
+    if not exact and not large.isEmpty():
         found = dbscan(large, "k", "v", eps, min_samples, scope="bucket").join(large.select("k", "bucket"), "k")
         names = found.where("cluster is not null").select("bucket", "cluster").distinct()
         earlier = names.alias("a").join(names.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("b.cluster") < F.col("a.cluster")), "left")

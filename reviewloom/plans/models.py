@@ -38,13 +38,13 @@ def c06_bucket_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = table(spark, sf_dir, "aspect_sentiment_valid").where("validity_label = 'VALID'").select(F.concat_ws("|", "run_id", "aspect_norm").alias("bucket"), "issue_norm").distinct()
     v = providers.encode_texts(valid, "issue_norm")
     rows = valid.join(v, F.col("issue_norm") == F.col("text")).select("bucket", F.concat_ws("|", "bucket", "issue_norm").alias("k"), "vector")
-    return kernels.cluster_buckets(rows, "bucket", "k", "vector")
+    return kernels.cluster_buckets(rows, "bucket", "k", "vector", exact=True)
 
 
 def c07_hierarchical_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchical density clustering of the vectors, in buckets."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    return kernels.cluster_buckets(rows, "label", "vec_id", "embedding", method="hdbscan", min_cluster_size=5)
+    return kernels.cluster_buckets(rows, "label", "vec_id", "embedding", method="hdbscan", min_cluster_size=5, exact=True)
 
 
 def c11_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:

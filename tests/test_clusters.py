@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import reviewloom.operators.kernels as kernels
 import reviewloom.operators.neighbor_graph as neighbor_graph
 import reviewloom.operators.vectors as vectors
-from reviewloom.plans import clusters
+from reviewloom.plans import clusters, models
 
 
 def groups(labels):
@@ -144,3 +144,15 @@ def test_every_row_gets_its_edges_inside_its_bucket(spark, tmp_path):
             part[a] = part[b] = min(part[a], part[b])
     least = {p: min([label[k] for k in ids if part[k] == p and label[k] != -1], default=-1) for p in set(part.values())}
     assert {tuple(r) for r in clusters.c15_reconciled(spark, str(tmp_path)).collect()} == {(k, least[part[k]]) for k in ids}
+
+
+def test_a_large_bucket_is_clustered_by_the_method_asked_for(spark, monkeypatch, tmp_path):
+    x, _ = blobs(30, 4)
+    x = np.concatenate([x, np.random.default_rng(2).uniform(-6, 6, (30, 3))])
+    want = kernels.hdbscan(x, 5).tolist()
+    rows = [(i, [float(a) for a in v], 1) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(kernels, "MAX_KERNEL_ROWS", 50)
+    assert kernels.hdbscan(x, 5).tolist() == want and len(set(want)) > 2
+    got = {r["vec_id"]: (r["method"], r["label"]) for r in models.c07_hierarchical_density(spark, str(tmp_path)).collect()}
+    assert got == {i: ("hdbscan", c) for i, c in enumerate(want)}
