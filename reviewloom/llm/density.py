@@ -9,7 +9,7 @@ span no dense cell and are dropped before cells are counted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.graph import connected_components
@@ -122,3 +122,26 @@ def describe_clusters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     densest = best.groupBy("label").agg(F.max_by("typical", F.struct("n_values", "most", "typical")).alias("typical"))
     back = [F.when(F.col(n) != "\0", F.col(n)).alias(k) for k, n in zip(keys, names, strict=True)]
     return sizes.join(densest, "label").select(*back, "first_value", "n_values", "n_rows", "typical")
+
+
+def typical_members(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per group and member of its densest cell: keys, first_value, n_values, n_rows, rank, typical and its typical_rows.
+
+    Ranks go by the rows of a member, then by its text. The densest cell holds the most values; of equal ones, that whose
+    best member is the most frequent. A value in no dense cell is a group of size 1 and its own member. Every member of a
+    cell comes out, so ranks are counted per group in sorted partitions.
+    """
+    values, names = _numbered(df, keys, value)
+    members, cells = dense_cells(values, names)
+    labels = materialize(_labels(members, cells))
+    rows = df.where(F.col(value).isNotNull()).groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("value_rows"))
+    held = materialize(values.join(labels, "id", "left").withColumn("alone", F.col("label").isNull()).withColumn("label", F.coalesce("label", "id")).join(rows, [*names, "value"]))
+    sizes = held.groupBy("label", "alone", *names).agg(F.count(F.lit(1)).alias("n_values"), F.sum("value_rows").alias("n_rows"), F.min("value").alias("first_value"))
+    inside = materialize(members.join(cells, ["c1", "c2"]).join(held.select("id", "label", "value", "value_rows"), "id"))
+    rated = inside.groupBy("label", "c1", "c2", "n_values").agg(F.max(F.struct("value_rows", "value")).alias("best"))
+    densest = rated.groupBy("label").agg(F.max(F.struct("n_values", F.col("best"), "c1", "c2")).alias("d")).select("label", "d.c1", "d.c2")
+    chosen = inside.join(densest, ["label", "c1", "c2"]).select("label", F.lit(False).alias("alone"), "value", "value_rows")
+    chosen = chosen.unionByName(held.where("alone").select("label", "alone", "value", "value_rows"))
+    ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("label", "alone").orderBy(F.desc("value_rows"), "value")))
+    back = [F.when(F.col(n) != "\0", F.col(n)).alias(k) for k, n in zip(keys, names, strict=True)]
+    return sizes.join(ranked, ["label", "alone"]).select(*back, "first_value", "n_values", "n_rows", "rank", F.col("value").alias("typical"), F.col("value_rows").alias("typical_rows"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.canonical import map_to_entries, reference_entries
-from reviewloom.llm.density import density_clusters, describe_clusters
+from reviewloom.llm.density import density_clusters, typical_members
 from reviewloom.llm.format_duplicates import copy_counts, format_duplicates
 from reviewloom.llm.leakage import leaked_items, reparameterised_items
 from reviewloom.llm.packing import pack_items, token_counts
@@ -63,8 +63,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and most typical member of every group of issues."""
-    return describe_clusters(_valid_issues(spark, sf_dir), ["run_id", "aspect_norm"], "issue_norm").withColumnRenamed("first_value", "first_issue")
+    """Size and most typical members of every group of issues, groups of one included."""
+    return typical_members(_valid_issues(spark, sf_dir), ["run_id", "aspect_norm"], "issue_norm").withColumnRenamed("first_value", "first_issue")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import reviewloom.llm.density as module
-from reviewloom.llm.density import density_clusters, describe_clusters
+from reviewloom.llm.density import density_clusters, describe_clusters, typical_members
 
 
 def brute(rows):
@@ -48,3 +48,10 @@ def test_very_long_value_and_empty_table(spark):
 def test_description(spark):
     df = spark.createDataFrame([("r", "a b c d"), ("r", "a b c d"), ("r", "a b c"), ("r", "c d e b"), ("r", "q w z")], "run string, v string")
     assert [tuple(r) for r in describe_clusters(df, ["run"], "v").collect()] == [("r", "a b c", 3, 4, "a b c d")]
+
+
+def test_typical_members_are_all_of_the_densest_cell(spark):
+    df = spark.createDataFrame([("r", "a b c d"), ("r", "a b c d"), ("r", "a b c"), ("r", "c d e b"), ("r", "a b c z"), ("r", "q w z"), (None, "q w z"), ("r", None)], "run string, v string")
+    want = {("r", "a b c", 4, 5, i + 1, v, n) for i, (v, n) in enumerate([("a b c d", 2), ("a b c", 1), ("a b c z", 1)])}
+    assert {tuple(r) for r in typical_members(df, ["run"], "v").collect()} == want | {("r", "q w z", 1, 1, 1, "q w z", 1), (None, "q w z", 1, 1, 1, "q w z", 1)}
+    assert typical_members(df.limit(0), ["run"], "v").count() == 0
