@@ -7,6 +7,8 @@ with a bullet, share of common words), each with a fixed threshold, and every ru
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,60 +30,99 @@ MAX_ITEM_WORDS = 7
 MIN_DISTINCT = 0.15
 #: Share of words that can be spoken below which lines are no items.
 MIN_SPEAKABLE = 0.6
+#: Characters of a run between spaces or marks from which an unspaced script reads as clauses, where no sentence ends.
+MIN_RUN = 5.0
+#: Published thresholds (fixed values). Word count, mean word length, symbols (# and ellipsis) per word, lines that begin with
+#: a bullet, lines that end in an ellipsis, words with a letter, and different stop words are those of the Gopher rules.
+WORD_COUNT, WORD_LENGTH, SYMBOLS_PER_WORD = (50, 100_000), (3.0, 10.0), 0.1
+BULLET_LINES, ELLIPSIS_LINES, ALPHABETIC_WORDS, STOP_WORDS = 0.9, 0.3, 0.8, 2
+#: Published thresholds (fixed values) of FineWeb: punctuated lines, and lines of less than 30 characters.
+PUNCTUATED_LINES, SHORT_LINE, SHORT_LINES = 0.12, 30, 0.67
 
 _BULLET = r"^\s*(?:[-*•–—+·▪◦‣>]|\[.?\]|[☐☑✓✔]|\(?\p{N}{1,3}[.)]|\(?\p{Ll}[.)])\s"
-_END = r"(?:[\p{L}\p{M}\p{N})\]\"”’»」%*_]\s?[.!?…]+[\p{Pe}\p{Pf}\"'*_~]*(?=\s|$))|[。！？｡।॥؟۔]"
-_WORD = r"[\p{L}\p{M}\p{N}]+"
+#: Begins at the mark and looks back, since marks are few.
+_END = r"[.!?…](?:(?<=[\p{L}\p{M}\p{N})\]\"”’»」%*_]\s?.)[.!?…]*[\p{Pe}\p{Pf}\"'*_~]*(?=\s|$))|[。！？｡।॥؟۔]"
+_NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
 #: Thai, Lao, Myanmar, Khmer, kana and Han, by ranges, which are quicker to test than script properties.
 _UNSPACED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]+"
-_LINE_END = r"[.!?…。！？｡।॥؟۔:;][\p{Pe}\p{Pf}\"'*_~]*\s*$"
-_CELLS = r"\t|\|.*\||</t[dh]>|[\"'][;,|][\"']|^[^;:]*;[^;]*(?:;|$)|\S {2,}\S"
+#: The end of a line, read backwards.
+_LINE_END = r"^\s*[\p{Pe}\p{Pf}\"'*_~]*[.!?…。！？｡।॥؟۔:;]"
 
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def _count(lines: Column, test: Column | str) -> Column:
-    return F.size(F.filter(lines, lambda line: line.rlike(test)))
+def _count(lines: Column, test: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter(lines, test))
+
+
+def _held(text: Column, marks: str) -> Column:
+    """How many characters of the text are among the marks."""
+    return F.length(text) - F.length(F.translate(text, marks, ""))
+
+
+def _has(text: Column, part: str) -> Column:
+    return F.contains(text, F.lit(part))
+
+
+def _made_of_cells(line: Column) -> Column:
+    """Whether a line is cut into cells; each pattern is tried only on lines that hold its mark."""
+    quoted = (_has(line, '"') | _has(line, "'")) & line.rlike("[\"'][;,|][\"']")
+    fields = _has(line, ";") & line.rlike(r"^[^;:]*;[^;]*(?:;|$)")
+    columns = _has(line, "  ") & line.rlike(r"\S {2,}\S")
+    return _has(line, "\t") | _has(line, "|") & line.rlike(r"\|.*\|") | _has(line, "</t") & line.rlike("</t[dh]>") | quoted | fields | columns | _has(line, ",") & ~line.rlike(r",\s")
 
 
 def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """One row per document: its statistics, the verdict `kind` (prose, list, table or junk) and the reasons against prose.
+    """One row per document: its statistics, the verdict `kind` (prose, list, table or junk), and the rules that it fails.
 
     documents: doc_id, text; common_words: word. NULL and blank texts have no words and are junk. Shares are between 0 and
-    1; a share of nothing is 0. Repeated rows are judged alike, each for itself.
+    1; a share of nothing is 0. Repeated rows are judged alike, each for itself. `reasons` names every published rule and
+    every rule of the verdict that the text fails, for prose too.
     """
     common = [r["word"] for r in common_words.where("word is not null").select(F.lower("word").alias("word")).distinct().limit(MAX_COMMON_WORDS + 1).collect()]
     if len(common) > MAX_COMMON_WORDS:
         raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
     text = F.coalesce("text", F.lit(""))
-    base = documents.select("doc_id", text.alias("text"), F.filter(F.split(text, r"\r\n|[\n\r\x{2028}\x{2029}]"), lambda x: x.rlike(r"\S")).alias("lines"), F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)).alias("words"))
+    tokens = F.array_remove(F.split(F.lower(text), _NO_WORD), "")
+    base = documents.select("doc_id", text.alias("text"), F.filter(F.split(text, r"\r\n|[\n\r\x{2028}\x{2029}]"), lambda x: x.rlike(r"\S")).alias("lines"), tokens.alias("words"))
     bare = F.regexp_replace("text", "(?m)" + _BULLET, "")
     visible = F.length(F.regexp_replace("text", r"[\s\p{Z}]+", ""))
+    foreign = F.octet_length("text") > F.length("text")
+    unmarked = F.array_join(F.filter("lines", lambda x: ~x.rlike(_BULLET) & ~_made_of_cells(x)), " ")
+    unspaced_chars = lambda t: F.when(foreign, F.length(t) - F.length(F.regexp_replace(t, _UNSPACED, ""))).otherwise(0)
+    is_common = lambda w: w.isin(common) if common else F.lit(False)
     counted = base.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.length(F.array_join("words", "")).alias("word_chars"),
         F.size(F.array_distinct("words")).alias("n_distinct"),
-        F.size(F.filter("words", lambda w: w.isin(common))).alias("n_common") if common else F.lit(0).alias("n_common"),
+        F.size(F.filter("words", is_common)).alias("n_common"),
         "words",
         F.regexp_count(bare, F.lit(_END)).alias("n_ends"),
         visible.alias("visible"),
-        F.length(F.regexp_replace("text", r"[^\p{L}\p{M}\p{N}]+", "")).alias("n_alnum"),
-        F.length(F.regexp_replace("text", r"[\s\p{Z}|;,\"'-]+", "")).alias("without_rules"),
-        (F.length("text") - F.length(F.regexp_replace("text", _UNSPACED, ""))).alias("n_unspaced"),
-        _count(F.col("lines"), _LINE_END).alias("n_punct_lines"),
-        _count(F.col("lines"), _BULLET).alias("n_bullet_lines"),
-        F.size(F.filter("lines", lambda x: x.rlike(_CELLS) | x.rlike(",") & ~x.rlike(r",\s"))).alias("n_cell_lines"),
+        (visible - _held(F.col("text"), "|;,\"'-")).alias("without_rules"),
+        unspaced_chars(F.col("text")).alias("n_unspaced"),
+        unspaced_chars(unmarked).alias("n_unmarked_unspaced"),
+        _count(F.col("lines"), lambda x: F.reverse(x).rlike(_LINE_END)).alias("n_punct_lines"),
+        _count(F.col("lines"), lambda x: x.rlike(_BULLET)).alias("n_bullet_lines"),
+        _count(F.col("lines"), _made_of_cells).alias("n_cell_lines"),
         F.regexp_count("text", F.lit(r",\s+")).alias("n_commas"),
-        F.regexp_count("text", F.lit(r"\t|\||</t[dh]>|;")).alias("n_separators"),
+        (_held(F.col("text"), "\t|;") + F.when(_has(F.col("text"), "</t"), F.regexp_count("text", F.lit("</t[dh]>"))).otherwise(0)).alias("n_separators"),
+        (_held(F.col("text"), "#…") + F.when(_has(F.col("text"), "..."), F.regexp_count("text", F.lit(r"\.{3}"))).otherwise(0)).alias("n_symbols"),
+        _count(F.col("lines"), lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")).alias("n_ellipsis_lines"),
+        _count(F.col("lines"), lambda x: F.length(x) < SHORT_LINE).alias("n_short_lines"),
+        # words of digits only sort before the colon, which spares most words the pattern
+        F.size(F.filter("words", lambda w: (w < ":") & w.rlike(r"^\p{N}+$"))).alias("n_numeric"),
+        F.size(F.array_distinct(F.filter("words", is_common))).alias("n_common_kinds"),
     )
     stats = counted.select(
         "*",
+        F.col("word_chars").alias("n_alnum"),
         _share(F.col("word_chars"), F.col("n_words")).alias("mean_word_length"),
-        _share(F.col("visible") - F.col("n_alnum"), F.col("visible")).alias("symbol_ratio"),
+        _share(F.greatest(F.col("visible") - F.col("word_chars"), F.lit(0)), F.col("visible")).alias("symbol_ratio"),
         _share(F.col("n_punct_lines"), F.col("n_lines")).alias("punctuated_line_share"),
         _share(F.col("n_bullet_lines"), F.col("n_lines")).alias("bullet_line_share"),
         _share(F.col("n_cell_lines"), F.col("n_lines")).alias("cell_line_share"),
@@ -90,7 +131,10 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
     ends = (F.col("n_ends") > 0) & (F.col("n_words") <= MAX_WORDS_PER_END * F.col("n_ends")) & (F.col("n_words") > F.col("n_ends"))
     unspaced = F.col("n_unspaced") >= MIN_UNSPACED * F.col("visible")
     lines_of_marks = (F.col("bullet_line_share") >= MIN_BULLET_LINES) | (F.col("cell_line_share") >= MIN_CELL_LINES)
-    readable = ends | unspaced & (F.col("n_words") > 0) | (F.col("common_word_share") >= MIN_COMMON) & ~lines_of_marks
+    # without spaces a run of letters is a clause; runs that are short, or stand in lines of marks only, are items
+    clauses = (F.col("mean_word_length") >= MIN_RUN) & (F.col("n_unmarked_unspaced") >= MIN_UNSPACED * F.col("visible"))
+    runs = (F.col("n_words") > 0) & ((F.col("n_ends") > 0) | clauses)
+    readable = ends | unspaced & runs | (F.col("common_word_share") >= MIN_COMMON) & ~lines_of_marks
     # the costliest test, so only where no sentence was found; whatever reads as sentences is spoken
     stats = stats.withColumn("n_speakable", F.when(readable, F.col("n_words")).otherwise(F.size(F.filter("words", lambda w: w.rlike(r"[aeiouyàâäáãåæéèêëíìîïóòôöõøúùûü]|[^\x00-\x{24F}]|^\d+$") & ~w.rlike(r"[bcdfghjklmnpqrstvwxz]{5}|\d\p{L}|\p{L}\d\p{L}|^.{25}")))))
     repeats = (F.col("n_words") >= 30) & (F.col("n_distinct") < MIN_DISTINCT * F.col("n_words"))
@@ -104,8 +148,20 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
     plain = ((F.col("n_lines") >= 3) | (F.col("n_commas") >= 3)) & (item_words <= MAX_ITEM_WORDS)
     listed = alnum & (F.col("n_words") > 2) & (marked | plain) & speakable & ~repeats
     kind = F.when(prose, "prose").when(table & ~(marked & ~(F.col("n_separators") > F.col("n_lines"))), "table").when(listed, "list").otherwise("junk")
-    reasons = {
-        "no_words": F.col("n_words") == 0,
+    n, per_line = F.col("n_words"), lambda c: _share(F.col(c), F.col("n_lines"))
+    published = {
+        "gopher_word_count": (n < WORD_COUNT[0]) | (n > WORD_COUNT[1]),
+        "gopher_mean_word_length": (F.col("mean_word_length") < WORD_LENGTH[0]) | (F.col("mean_word_length") > WORD_LENGTH[1]),
+        "gopher_symbols_per_word": _share(F.col("n_symbols"), n) > SYMBOLS_PER_WORD,
+        "gopher_bullet_lines": F.col("bullet_line_share") > BULLET_LINES,
+        "gopher_ellipsis_lines": per_line("n_ellipsis_lines") > ELLIPSIS_LINES,
+        "gopher_alphabetic_words": 1 - _share(F.col("n_numeric"), n) < ALPHABETIC_WORDS,
+        "gopher_stop_words": F.col("n_common_kinds") < STOP_WORDS,
+        "fineweb_punctuated_lines": F.col("punctuated_line_share") <= PUNCTUATED_LINES,
+        "fineweb_short_lines": per_line("n_short_lines") >= SHORT_LINES,
+    }
+    own = {
+        "no_words": n == 0,
         "few_sentence_ends": ~ends & ~unspaced,
         "symbols": ~alnum,
         "bullet_lines": marked,
@@ -114,13 +170,13 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
         "repetition": repeats,
         "unspeakable_words": ~speakable,
     }
-    named = F.array_join(F.filter(F.array(*[F.when(test, name) for name, test in reasons.items()]), lambda x: x.isNotNull()), ",")
+    named = F.array_join(F.filter(F.array(*[F.when(test, name) for name, test in (published | own).items()]), lambda x: x.isNotNull()), ",")
     shares = ["mean_word_length", "symbol_ratio", "punctuated_line_share", "bullet_line_share", "cell_line_share", "common_word_share"]
-    return stats.select("doc_id", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in shares], F.col("n_ends").cast("long").alias("n_sentence_ends"), kind.alias("kind"), F.when(kind != "prose", named).otherwise("").alias("reasons"))
+    return stats.select("doc_id", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in shares], F.col("n_ends").cast("long").alias("n_sentence_ends"), kind.alias("kind"), named.alias("reasons"))
 
 
 def not_prose(statistics: DataFrame) -> DataFrame:
-    """The documents whose verdict is list, table or junk, each once."""
+    """(doc_id, kind) of the documents whose verdict is list, table or junk, each once."""
     # a filter on `kind` would be pushed below the statistics and repeat all of their expressions; it stops at a generator
-    verdicts = statistics.select("doc_id", F.explode(F.array(F.struct("kind", "reasons"))).alias("verdict"))
-    return verdicts.where("verdict.kind <> 'prose'").select("doc_id", "verdict.kind", "verdict.reasons").distinct()
+    verdicts = statistics.select("doc_id", F.explode(F.array("kind")).alias("kind"))
+    return verdicts.where("kind <> 'prose'").distinct()
