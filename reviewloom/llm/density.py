@@ -1,10 +1,11 @@
-"""Similarity clusters of short texts by grid density clustering.
-
-The feature space has one dimension per word, in which a text stands at 0 or 1. A cell is a box that three words span: all
-texts that hold these three words lie in it. A cell is dense if two different texts lie in it, two dense cells are adjacent
-if they share a text, and clusters are the connected sets of dense cells. Two texts with three words in common are thus in
-one cluster, and so are texts that others link; texts in no dense cell stay alone. Words that occur once in their group
-span no dense cell and are dropped before cells are counted.
+"""Similarity clusters of short texts by grid density clustering in subspaces.
+
+Every word of a group is one axis of the feature space, quantised into two intervals: the word is absent or present. The
+grid is laid, as in the published subspace method CLIQUE, over every three axes, since the full grid of a thousand axes
+would hold one text per cell: the cell of three words holds all texts with these words. A cell is dense if two different texts
+lie in it, two dense cells are adjacent if they share a text, and clusters are the connected sets of dense cells. Two texts
+with three words in common are thus in one cluster, and so are texts that others link; texts in no dense cell stay alone.
+Axes that are dense for one text only span no dense cell and are dropped before cells are counted.
 """
 
 from __future__ import annotations
@@ -25,57 +26,60 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, r"[\s\p{Z}]+"), lambda w: w != ""))
 
 
-def _cell(keys: list[str], *cell_words: Column) -> Column:
-    """128 bits that name a cell: fixed-size keys keep counting and joining in hash tables without text."""
-    parts = [*[F.col(k) for k in keys], *cell_words]
-    return F.struct(F.xxhash64(F.lit(1), *parts).alias("c1"), F.xxhash64(F.lit(2), *parts).alias("c2"))
+def _cell(*axes: Column) -> Column:
+    """128 bits that name the cell of some axes, from the two hashes of each: counting and joining move no text."""
+    return F.struct(F.xxhash64(*[w["w1"] for w in axes]).alias("c1"), F.xxhash64(*[w["w2"] for w in axes]).alias("c2"))
 
 
-def _triples(keys: list[str], sorted_words: Column) -> Column:
-    """The cells of all combinations of three of the sorted words."""
-    size = F.size(sorted_words)
+def _triples(axes: Column) -> Column:
+    """The cells of all combinations of three of the sorted axes."""
+    size = F.size(axes)
 
     def second(i: Column, a: Column) -> Column:
-        later = F.slice(sorted_words, i + 2, size)
-        return F.flatten(F.transform(later, lambda b, j: F.transform(F.slice(later, j + 2, size), lambda c: _cell(keys, a, b, c))))
+        later = F.slice(axes, i + 2, size)
+        return F.flatten(F.transform(later, lambda b, j: F.transform(F.slice(later, j + 2, size), lambda c: _cell(a, b, c))))
+
+    return F.flatten(F.transform(axes, lambda a, i: second(i, a)))
 
-    return F.flatten(F.transform(sorted_words, lambda a, i: second(i, a)))
 
+def _axes(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, words): each value with those of its axes that another value of the group holds too, sorted.
 
-def _frequent_words(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Each value with its sorted words that another value of the group holds too."""
-    held = values.select(*keys, "id", F.explode(words(F.col("value"))).alias("word"))
-    frequent = held.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return held.join(frequent, [*keys, "word"]).groupBy(*keys, "id").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    An axis is named by 128 bits of two hashes of its group and word.
+    """
+    name = lambda w: F.struct(*[F.xxhash64(F.lit(i), *[F.col(k) for k in keys], w).alias(f"w{i}") for i in (1, 2)])
+    held = values.select("id", F.explode(F.transform(words(F.col("value")), name)).alias("w")).select("id", "w.w1", "w.w2")
+    frequent = held.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return held.join(frequent, ["w1", "w2"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w1", "w2"))).alias("words"))
 
 
-def _long_cells(long: DataFrame, keys: list[str], frequent: DataFrame) -> DataFrame:
-    """Cells of values with many words, built from pairs of words that are dense themselves."""
+def _long_cells(long: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Cells of values with many axes, built from pairs of axes that are dense themselves."""
 
     def pairs(df: DataFrame) -> DataFrame:
-        a = df.select(*keys, "id", F.posexplode("words").alias("i", "a"), "words")
-        return a.select(*keys, "id", "a", F.explode(F.slice("words", F.col("i") + 2, F.size("words"))).alias("b"))
+        a = df.select("id", F.posexplode("words").alias("i", "a"), "words")
+        return a.select("id", "a", F.explode(F.slice("words", F.col("i") + 2, F.size("words"))).alias("b"))
 
     own = pairs(long)
-    wanted = own.select(*keys, "a", "b").distinct()
-    dense = pairs(frequent).join(wanted, [*keys, "a", "b"], "left_semi").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    kept = own.join(dense, [*keys, "a", "b"])
-    right = kept.select(*keys, "id", "a", F.col("b").alias("c"))
-    third = kept.select(*keys, "id", F.col("a").alias("b"), F.col("b").alias("c"))
-    triples = kept.join(right, [*keys, "id", "a"]).where("c > b").join(third, [*keys, "id", "b", "c"], "left_semi")
-    return triples.select("id", _cell(keys, F.col("a"), F.col("b"), F.col("c")).alias("cell"))
-
-
-def dense_cells(values: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(members, cells) of distinct values with ids: which id lies in which cell, and each dense cell's size and first id."""
-    frequent = materialize(_frequent_words(values, keys).where(F.size("words") >= CELL_WORDS))
+    wanted = own.select("a", "b").distinct()
+    dense = pairs(frequent).join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    kept = own.join(dense, ["a", "b"])
+    right = kept.select("id", "a", F.col("b").alias("c"))
+    third = kept.select("id", F.col("a").alias("b"), F.col("b").alias("c"))
+    triples = kept.join(right, ["id", "a"]).where("c > b").join(third, ["id", "b", "c"], "left_semi")
+    return triples.select("id", _cell(F.col("a"), F.col("b"), F.col("c")).alias("cell"))
+
+
+def dense_cells(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, c1, c2, n_values, hub) of distinct values with ids: every dense cell of each value, its size and its first id."""
+    frequent = materialize(_axes(values, keys).where(F.size("words") >= CELL_WORDS))
     short, long = frequent.where(F.size("words") <= DIRECT_WORDS), frequent.where(F.size("words") > DIRECT_WORDS)
-    members = short.select("id", F.explode(_triples(keys, F.col("words"))).alias("cell"))
+    members = short.select("id", F.explode(_triples(F.col("words"))).alias("cell"))
     if not long.isEmpty():
-        members = members.unionByName(_long_cells(long, keys, frequent))
+        members = members.unionByName(_long_cells(long, frequent))
     members = members.select("id", "cell.c1", "cell.c2")
     cells = members.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_values"), F.min("id").alias("hub")).where("n_values > 1")
-    return members, cells
+    return members.join(cells, ["c1", "c2"])
 
 
 def _numbered(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, list[str]]:
@@ -86,9 +90,9 @@ def _numbered(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, li
     return materialize(distinct.withColumn("id", F.monotonically_increasing_id())), names
 
 
-def _labels(members: DataFrame, cells: DataFrame) -> DataFrame:
+def _labels(located: DataFrame) -> DataFrame:
     """(id, label) of every id that lies in a dense cell; ids of one cluster have one label."""
-    links = materialize(members.join(cells, ["c1", "c2"]).groupBy("id").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")))
+    links = materialize(located.groupBy("id").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")))
     edges = links.select(F.explode("hubs").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
     parts = connected_components(edges).select(F.col("node").alias("least"), "component")
     return links.select("id", "least").join(parts, "least", "left").select("id", F.coalesce("component", "least").alias("label"))
@@ -102,28 +106,13 @@ def density_clusters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     represented by its first member, so no task gathers its members; the loop runs over cells' first members only.
     """
     values, names = _numbered(df, keys, value)
-    labels = materialize(_labels(*dense_cells(values, names)))
+    labels = materialize(_labels(dense_cells(values, names)))
     held = values.join(labels, "id")
     firsts = held.groupBy("label").agg(F.min("value").alias("first_value"))
     back = [F.when(F.col(n) != "\0", F.col(n)).alias(k) for k, n in zip(keys, names, strict=True)]
     return held.join(firsts, "label").select(*back, "value", "first_value")
 
 
-def describe_clusters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per cluster: keys, first_value, n_values, n_rows, and the most frequent member of its densest cell as `typical`."""
-    values, names = _numbered(df, keys, value)
-    members, cells = dense_cells(values, names)
-    labels = materialize(_labels(members, cells))
-    rows = df.where(F.col(value).isNotNull()).groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
-    held = materialize(values.join(labels, "id").join(rows, [*names, "value"]))
-    sizes = held.groupBy("label", *names).agg(F.count(F.lit(1)).alias("n_values"), F.sum("n_rows").alias("n_rows"), F.min("value").alias("first_value"))
-    inside = members.join(cells, ["c1", "c2"]).join(held.select("id", "label", "value", F.col("n_rows").alias("rows_of_value")), "id")
-    best = inside.groupBy("label", "c1", "c2", "n_values").agg(F.max_by("value", F.struct("rows_of_value", "value")).alias("typical"), F.max("rows_of_value").alias("most"))
-    densest = best.groupBy("label").agg(F.max_by("typical", F.struct("n_values", "most", "typical")).alias("typical"))
-    back = [F.when(F.col(n) != "\0", F.col(n)).alias(k) for k, n in zip(keys, names, strict=True)]
-    return sizes.join(densest, "label").select(*back, "first_value", "n_values", "n_rows", "typical")
-
-
 def typical_members(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group and member of its densest cell: keys, first_value, n_values, n_rows, rank, typical and its typical_rows.
 
@@ -132,12 +121,12 @@ def typical_members(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     cell comes out, so ranks are counted per group in sorted partitions.
     """
     values, names = _numbered(df, keys, value)
-    members, cells = dense_cells(values, names)
-    labels = materialize(_labels(members, cells))
+    located = materialize(dense_cells(values, names))
+    labels = materialize(_labels(located))
     rows = df.where(F.col(value).isNotNull()).groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("value_rows"))
     held = materialize(values.join(labels, "id", "left").withColumn("alone", F.col("label").isNull()).withColumn("label", F.coalesce("label", "id")).join(rows, [*names, "value"]))
     sizes = held.groupBy("label", "alone", *names).agg(F.count(F.lit(1)).alias("n_values"), F.sum("value_rows").alias("n_rows"), F.min("value").alias("first_value"))
-    inside = materialize(members.join(cells, ["c1", "c2"]).join(held.select("id", "label", "value", "value_rows"), "id"))
+    inside = materialize(located.drop("hub").join(held.select("id", "label", "value", "value_rows"), "id"))
     rated = inside.groupBy("label", "c1", "c2", "n_values").agg(F.max(F.struct("value_rows", "value")).alias("best"))
     densest = rated.groupBy("label").agg(F.max(F.struct("n_values", F.col("best"), "c1", "c2")).alias("d")).select("label", "d.c1", "d.c2")
     chosen = inside.join(densest, ["label", "c1", "c2"]).select("label", F.lit(False).alias("alone"), "value", "value_rows")
