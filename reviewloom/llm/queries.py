@@ -27,7 +27,7 @@ def typed_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = materialize(typed_aspects(spark, sf_dir))
     entries = reference_entries(table(spark, sf_dir, "aspect_synonyms"))
-    return values.join(map_to_entries(values.select("value").distinct(), entries), "value")
+    return values.join(map_to_entries(materialize(values.select("value").distinct()), entries), "value")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
