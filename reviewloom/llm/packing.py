@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,26 +48,35 @@ def encoder(vocabulary: str, pattern: str) -> object:
     return _ENCODERS[vocabulary]
 
 
-#: Characters per call of the encoder; a text is cut at white space only, where no token of the pattern crosses a word.
+#: Characters from which a text is handed to the encoder part by part; it steers memory, not results.
 CHUNK = 100_000
 
 
-def count_tokens(text: str, encode: Callable[[str], list[int]]) -> int:
-    """Tokens of a whole text; long texts are counted in chunks that end before white space."""
-    total, start = 0, 0
-    while len(text) - start > CHUNK:
-        cut = text.rfind(" ", start + 1, start + CHUNK)
-        cut = cut if cut > start and not text[cut - 1].isspace() else start + CHUNK
-        total += len(encode(text[start:cut]))
-        start = cut
-    return total + len(encode(text[start:]))
+def _parts(text: str, pattern: str) -> Iterator[str]:
+    """A long text in parts that begin and end where the split pattern cuts, so that no token crosses a border.
+
+    A stretch that the pattern does not cut, such as letters without end, is one part, whatever its length.
+    """
+    start = 0
+    for piece in regex.finditer(pattern, text):
+        # behind white space the pattern looks ahead, so a part ends behind other characters only
+        if piece.end() - start >= CHUNK and not text[piece.end() - 1].isspace():
+            yield text[start : piece.end()]
+            start = piece.end()
+    if start < len(text):
+        yield text[start:]
+
+
+def count_tokens(text: str, encode: Callable[[str], list[int]], pattern: str) -> int:
+    """Tokens of a whole text, the same as in one call of the encoder."""
+    return len(encode(text)) if len(text) <= CHUNK else sum(len(encode(part)) for part in _parts(text, pattern))
 
 
 def _counter(item_id: str, text: str, vocabulary: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, pattern).encode_ordinary
         for batch in batches:
-            sizes = [None if t is None else count_tokens(t, encode) for t in batch.column(text).to_pylist()]
+            sizes = [None if t is None else count_tokens(t, encode, pattern) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(item_id), pa.array(sizes, pa.int64())], ["item_id", "n_tokens"])
 
     return run
@@ -79,6 +89,25 @@ def token_counts(df: DataFrame, item_id: str, text: str, vocabulary: str | None
     return df.select(item_id, text).mapInArrow(_counter(item_id, text, own_vocabulary, own_pattern), f"item_id {kind}, n_tokens bigint")
 
 
+def packing_faults(counts: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: items with tokens, and how many of them are missing, repeated, split though they fit, or of a changed size,
+    and how many containers hold more than the capacity.
+
+    counts: item_id, n_tokens; packed: the result of pack_items. All faults of a right packing are 0.
+    """
+    per_item = packed.groupBy("item_id").agg(F.sum("n_tokens").alias("packed"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("places"))
+    joined = counts.where("n_tokens > 0").join(per_item, "item_id", "left")
+    items = joined.agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.count_if(F.col("packed").isNull()).alias("n_missing"),
+        F.count_if(F.col("pieces") > F.col("places")).alias("n_repeated"),
+        F.count_if((F.col("n_tokens") <= capacity) & (F.col("pieces") > 1)).alias("n_split"),
+        F.count_if(F.col("packed") != F.col("n_tokens")).alias("n_changed"),
+    )
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("n_overfull"))
+    return items.withColumn("one", F.lit(1)).join(over.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def harmonic(sizes: np.ndarray, capacity: int, classes: int = CLASSES) -> np.ndarray:
     """Container number of each item; every size must lie between 1 and the capacity."""
     bins = np.full(len(sizes), -1, dtype=np.int64)

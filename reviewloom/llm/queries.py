@@ -9,7 +9,7 @@ from reviewloom.llm.canonical import map_to_entries, reference_entries
 from reviewloom.llm.density import density_clusters, typical_members
 from reviewloom.llm.format_duplicates import copy_counts, format_duplicates
 from reviewloom.llm.leakage import leaked_items, reparameterised_items
-from reviewloom.llm.packing import pack_items, token_counts
+from reviewloom.llm.packing import pack_items, packing_faults, token_counts
 from reviewloom.llm.quality import document_statistics, not_prose
 from reviewloom.llm.sentences import split_sentences
 from reviewloom.operators.flatten import flatten_nested
@@ -96,6 +96,12 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("max_tokens"), F.round(F.avg("n_tokens") / 2048, 4).alias("filled_share"))
 
 
+def p8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with tokens, and what is wrong with their containers: nothing."""
+    counts = materialize(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return packing_faults(counts, pack_items(counts))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a test item."""
     return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
@@ -120,6 +126,6 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p5_found, p5_clusters, p6_found, p6_targets, p6_documents, p8_containers, p8_fill, p9_found, p9_variants, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p5_found, p5_clusters, p6_found, p6_targets, p6_documents, p8_containers, p8_fill, p8_faults, p9_found, p9_variants, p10_found, p10_statistics)}
 
 from reviewloom.llm.sql import ORACLES  # noqa: E402, F401

