@@ -63,3 +63,15 @@ def test_copies_and_empty_table(spark):
     df = spark.createDataFrame([("r", "b", "Hi there"), ("r", "a", "hi, there!"), ("r", "a", "hi, there!"), ("q", "c", "hi there")], "run string, id string, t string")
     assert {tuple(r) for r in copy_counts(df, "run", "id", "t").collect()} == {("r", "a", 2), ("q", "c", 1)}
     assert format_duplicates(df.limit(0), "run", "id", "t").count() == 0
+
+
+def test_records_of_one_fingerprint_are_told_apart_by_their_parts(spark, monkeypatch):
+    monkeypatch.setattr(module, "_sum_of_hashes", lambda pieces, seed: module.F.lit(0).cast("long"))
+    rows = rows_of(300)
+    df = spark.createDataFrame(rows, "run string, id string, t string")
+    assert {tuple(r) for r in format_duplicates(df, "run", "id", "t").collect()} == brute(rows)
+    want = collections.defaultdict(set)
+    for run, i, t in rows:
+        if i is not None and t is not None:
+            want[run, key(t)].add(i)
+    assert collections.Counter(map(tuple, copy_counts(df, "run", "id", "t").collect())) == collections.Counter((run, min(ids), len(ids)) for (run, _), ids in want.items())
