@@ -9,23 +9,53 @@ sentences by spaces.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Abbreviations after which a sentence goes on (fixed values; en, de, fr, es).
-ALWAYS = frozenset(
-    "mr mrs ms messrs dr prof lt sgt capt col gen rev hon st mt vs approx incl excl cf e.g i.e viz eg ie esp resp est dept al "
-    "ca bzw z.b d.h u.a z.t i.d.r inkl exkl hr fr frau zzgl vgl evtl ggf sog bspw env c.-à-d c-à-d p.ex mme mlle mm "
-    "aprox sra srta sr d dña ud uds p.ej".split()
-)
-#: Abbreviations only before a number (fixed values).
-BEFORE_NUMBER = frozenset("no nos nr núm num n art fig figs p pp pg s vol ch sec eq abb kap pág págs jan feb mar apr jun jul aug sep sept oct nov dec".split())
-#: Abbreviations that may also end a sentence (fixed values).
-MAY_END = frozenset("etc p.m a.m u.s u.s.a u.k e.u u.n d.c ph.d m.d inc ltd co corp jr usw usf s.a s.l ee.uu cía".split())
+#: Abbreviations after which a sentence goes on, by language (fixed values). Arabic and Hindi write them with a full stop too, Thai
+#: before a name; Chinese and Japanese have none of their own.
+ALWAYS = {
+    "en": frozenset("mr mrs ms messrs dr prof lt sgt capt col gen rev hon st mt vs approx incl excl cf e.g i.e viz eg ie esp resp dept".split()),
+    "de": frozenset("dr prof hr fr st ca bzw z.b d.h u.a z.t i.d.r inkl exkl zzgl vgl evtl ggf sog bspw dipl ing".split()),
+    "fr": frozenset("m mm mme mmes mlle mlles dr pr me st ste env cf c.-à-d c-à-d p.ex".split()),
+    "es": frozenset("sr sra sres sras srta dr dra prof d dña ud uds aprox p.ej".split()),
+    "ar": frozenset("د أ.د م ص ت".split()),
+    "hi": frozenset("डॉ प्रो श्री पं कु रु".split()),
+    "th": frozenset("ดร นพ พญ ผศ รศ พ.ศ ค.ศ".split()),
+}
+#: Abbreviations only before a number, by language (fixed values).
+BEFORE_NUMBER = {
+    "en": frozenset("no nos nr num art fig figs p pp pg s vol ch sec eq est jan feb mar apr jun jul aug sep sept oct nov dec".split()),
+    "de": frozenset("nr nrn no art abb s bd kap jan feb mär apr jun jul aug sep sept okt nov dez".split()),
+    "fr": frozenset("n no nos num art fig p pp vol ch chap sec janv févr avr juil sept oct nov déc".split()),
+    "es": frozenset("n no núm num art fig p pp pág págs vol cap ene feb mar abr may jun jul ago sep sept oct nov dic".split()),
+}
+#: Abbreviations that may also end a sentence, by language (fixed values).
+MAY_END = {
+    "en": frozenset("etc p.m a.m u.s u.s.a u.k e.u u.n d.c ph.d m.d inc ltd co corp jr".split()),
+    "de": frozenset("etc usw usf u.s u.s.a p.m a.m".split()),
+    "fr": frozenset("etc u.s u.s.a p.m a.m".split()),
+    "es": frozenset("etc ee.uu u.s u.s.a p.m a.m s.a s.l cía".split()),
+}
+#: Words that tell the language of a text in Latin script (fixed values).
+FUNCTION_WORDS = {
+    "en": frozenset("the and is was are it its to of my our this that with for not but they we you have has had in on at after from about i so very".split()),
+    "de": frozenset("der die das und ist war nicht ich mit ein eine einen für auf zu dem den sie wir es aber nach im am sich hat".split()),
+    "fr": frozenset("le la les et est était un une des du je pas pour que dans il elle ce cette mon ma nous avec mais après sur au ne".split()),
+    "es": frozenset("el la los las y es era un una de del que por con mi se lo en muy pero al para su después nos".split()),
+}
+#: Abbreviations that are words in some of these languages: they hold in the languages that list them only (fixed values).
+WORDS_TOO = frozenset("col me d m ca est gen hon rev st fr ing dipl art may mar vol sec cap dec fig no nos num n s p co corp".split())
+_LISTED = frozenset().union(*(words for kind in (ALWAYS, BEFORE_NUMBER, MAY_END) for words in kind.values()))
+_OWN_SCRIPT = {"ar": regex.compile(r"\p{Script=Arabic}"), "hi": regex.compile(r"\p{Script=Devanagari}"), "th": regex.compile(r"\p{Script=Thai}")}
+
+
 #: Words that open a sentence more often than they follow a name (fixed values).
 OPENERS = frozenset("the my our your his her their its it they we you i he she if in at is are was were do does did who what why when where would after before this that these those a an not no yes so even both ask put for".split())
 #: Verbs of speaker clauses (fixed values; en, de, fr, es).
@@ -80,18 +110,53 @@ def _token_before(text: str, start: int, dot: int) -> str:
     return text[i:dot].lstrip("(（[\"'“”„«‘’´`*_¿¡").lower()
 
 
-def _abbreviation(text: str, start: int, dot: int, after: int) -> bool:
+class _Suppressed:
+    """The abbreviations of the language of a text, which is told when the first one is asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.found = text, None
+
+    def lists(self) -> tuple[frozenset, frozenset, frozenset]:
+        if self.found is None:
+            self.found = _lists_of(_language(self.text))
+        return self.found
+
+
+def _language(text: str) -> str | None:
+    """Language by script, or by the function words that occur most often; None if no or several languages lead."""
+    for name, script in _OWN_SCRIPT.items():
+        if script.search(text):
+            return name
+    words = Counter(w.lower() for w in _WORD.findall(text))
+    counts = {name: sum(words[w] for w in own) for name, own in FUNCTION_WORDS.items()}
+    first, second = sorted(counts.values(), reverse=True)[:2]
+    return max(counts, key=counts.get) if first > second else None
+
+
+@cache
+def _lists_of(language: str | None) -> tuple[frozenset, frozenset, frozenset]:
+    """The three lists for a text in a language: its own, and those of all others that are no words anywhere.
+
+    Where no language is told, the number behind an abbreviation is sign enough.
+    """
+    every = [frozenset().union(*kind.values()) for kind in (ALWAYS, BEFORE_NUMBER, MAY_END)]
+    always, number, may_end = (all_ - WORDS_TOO | kind.get(language, frozenset()) for all_, kind in zip(every, (ALWAYS, BEFORE_NUMBER, MAY_END), strict=True))
+    return always, number if language else every[1], may_end
+
+
+def _abbreviation(text: str, start: int, dot: int, after: int, suppressed: _Suppressed) -> bool:
     """Whether the full stop at `dot` belongs to an abbreviation inside a sentence that goes on at `after`."""
     token = _token_before(text, start, dot)
     if not token:
         return False
+    always, before_number, may_end = suppressed.lists() if token in _LISTED else (frozenset(),) * 3
     following = _WORD.match(text, after)
     word = following.group() if following else ""
-    if token in ALWAYS or (token.rsplit(".", 1)[-1] in ALWAYS and "." not in token):
+    if token in always or token == "al" and text[start:dot].lower().endswith("et al"):
         return True
-    if token in BEFORE_NUMBER and word[:1].isdigit():
+    if token in before_number and word[:1].isdigit():
         return True
-    if token in MAY_END:
+    if token in may_end:
         if not word or text[after] in "¿¡":
             return False
         if _cased(text[start:dot]):
@@ -129,7 +194,7 @@ def _speaker_follows(text: str, after: int) -> bool:
     return len(words) <= 5 and any(w.split("'")[-1] in SPEECH for w in words[1:]) and text[after].islower() or len(words) <= 2 and words[-1] in SPEECH
 
 
-def _ends(text: str, start: int, match: regex.Match) -> bool:
+def _ends(text: str, start: int, match: regex.Match, suppressed: _Suppressed) -> bool:
     """Whether the terminator run `match` ends the sentence that began at `start`."""
     stops, marks, end = match.group("stops"), match.group("marks"), match.end()
     after = _SPACE.match(text, end).end()
@@ -141,7 +206,7 @@ def _ends(text: str, start: int, match: regex.Match) -> bool:
     follows = text[after]
     if follows in ",;:،；：，、" and after == end:
         return False
-    if plain and not marks and (after == end or _abbreviation(text, start, match.start(), after)):
+    if plain and not marks and (after == end or _abbreviation(text, start, match.start(), after, suppressed)):
         return False  # no space behind a full stop: decimals, versions, addresses
     if _inner_bracket(text, start, marks, match.start()):
         return False
@@ -184,6 +249,7 @@ def sentence_starts(text: str | None) -> list[int]:
     if not text or text.isspace():
         return []
     starts: list[int] = []
+    suppressed = _Suppressed(text)
     ending = _END_LOW_QUOTES if "„" in text or "‚" in text else _END
     cuts = {m.end() for m in _BLANK_LINE.finditer(text)} | {m.end() for m in _SPACED_SCRIPT.finditer(text)}
     for m in _LINE.finditer(text):
@@ -211,7 +277,7 @@ def sentence_starts(text: str | None) -> list[int]:
             continue
         if match is None:
             break
-        if _ends(text, begin, match):
+        if _ends(text, begin, match, suppressed):
             starts.append(begin)
             begin = position = _SPACE.match(text, match.end()).end()
         else:

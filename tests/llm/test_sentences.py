@@ -28,6 +28,14 @@ CASES = [
     "Shipping From The U.S. Warehouse Cost $5. ⏎Fine.",
     "I paid $4; they paid $5. ⏎if not, wait.",
     "It broke. ⏎exactly as described. ⏎The team (Mr.",
+    "Sie ist eine kluge Frau. ⏎Der Mann kam spät. ⏎Fr. Orvask und Hr. Quandry sind nicht da.",
+    "Je ne sais pas où il est. ⏎Il reviendra demain. ⏎M. Orvask et Mme. Quandry sont là, env. 3 jours.",
+    "Subimos al. ⏎Después bajamos del col. ⏎El Dr. Orvask y la Sra. Quandry no están.",
+    "The firm was founded est. 1990 by Orvask et al. in a shed. ⏎Col. Quandry and Gen. Pelquist met on Mt. Viskerley.",
+    "He is a gen. ⏎Das ist ca. 5 Meter von der Straße weg. ⏎Der Rest ist gut.",
+    "डॉ. शर्मा ने यह बॉक्स भेजा। ⏎यह अच्छा है।",
+    "التقى د. خالد بالفريق. ⏎وصل الطرد.",
+    "Siehe Abb. 3 und Kap. 4. ⏎Das ist die Art. ⏎Das war usw. nicht gut.",
 ]
 
 
@@ -53,3 +61,10 @@ def test_operator(spark):
     with pytest.raises(ValueError):
         split_sentences(df, "text", ["sentence"])
     assert split_sentences(df.limit(0), "text", ["id"]).count() == 0
+
+
+def test_languages():
+    from reviewloom.llm.sentences import _language
+
+    cases = {"en": "The lid is broken and it leaks.", "de": "Der Deckel ist nicht gut.", "fr": "Le couvercle est pas dans la boîte.", "es": "La tapa es muy buena y el envío no.", "th": "ฝาปิดไม่สนิท", "hi": "यह बॉक्स", "ar": "الطرد", None: "Orvask 12"}
+    assert {k: _language(t) for k, t in cases.items()} == {k: k for k in cases}
