@@ -1,10 +1,10 @@
 """Nested JSON payloads as flat child tables (one row per list element, linked to its parent).
 
-Pass one infers the merged schema of all payloads: each worker merges the field paths of its rows, and only distinct paths
-leave it. Pass two expands every list of that schema, level by level, in one scan: a child row carries the keys of its
-parent record, the place of its list's owner and its own place. Both passes are narrow, so no key is ever gathered in one
-task. JSON is decoded in Arrow batches: decoding, unwrapping and re-encoding mixed shapes with variant expressions took
-several times the processor time of the C decoder, as every level evaluates its input again.
+Pass one infers the merged schema of all payloads: each worker merges the fields of its rows into one tree, and only its
+distinct nodes leave it. Pass two expands every list of that schema, level by level, in one scan: a child row carries the keys
+of its parent record, the place of its list's owner and its own place. Both passes are narrow, so no key is ever gathered in
+one task, and neither has a limit of depth. JSON is decoded in Arrow batches: decoding, unwrapping and re-encoding mixed shapes
+with variant expressions took several times the processor time of the C decoder, as every level evaluates its input again.
 """
 
 from __future__ import annotations
@@ -13,18 +13,15 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Levels of string encoding and of wrapper objects that are looked through.
-WRAPPER_DEPTH = 4
-#: Distinct field paths that may reach the driver; more means that keys are data, which calls for a map and not for tables.
-MAX_PATHS = 10_000
-#: Length of the field paths that are told apart; lists nested deeper than this are values of their element.
-MAX_DEPTH = 40
-#: Stands for the elements of a list in a path.
+#: Distinct fields and lists that may reach the driver; more means that keys are data, which calls for a map and not for tables.
+MAX_FIELDS = 10_000
+#: Stands for the elements of a list inside a list in the name of the inner one.
 ELEMENTS = "[]"
 
 Path = tuple[str, ...]
@@ -32,31 +29,119 @@ Path = tuple[str, ...]
 
 @dataclass
 class ListSpec:
-    """A list inside a record: its path below the record and the lists inside its elements."""
+    """A list inside a record: its path below the record, and the numbers of the lists inside its elements."""
 
     path: Path
-    children: list[ListSpec] = field(default_factory=list)
+    children: list[int] = field(default_factory=list)
+
+
+@dataclass
+class Node:
+    """A field of the merged schema, or the elements of a list: whether it was a list, its fields, and its elements."""
+
+    is_list: bool = False
+    fields: dict[str, Node] = field(default_factory=dict)
+    elements: Node | None = None
+
+
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\]|\\.)*")|(-?\d[\d.eE+-]*|true|false|null|NaN|-?Infinity))', re.DOTALL)
+_REST = re.compile(r"[ \t\n\r]*")
+
+
+def _loads_deep(text: str) -> object:
+    """json.loads for texts that are nested more deeply than its stack allows."""
+    result: list = []
+    inside: list = [result]
+    names: list[str | None] = [None]
+    wanted, at = "value", 0
+    while inside:
+        token = _TOKEN.match(text, at)
+        if token is None:
+            raise ValueError(f"no JSON at {at}")
+        at, mark = token.end(), token.group(1)
+        here = inside[-1]
+        if mark in ("]", "}"):
+            if wanted not in ("more", "first", "first name") or len(inside) == 1 or isinstance(here, dict) != (mark == "}"):
+                raise ValueError(f"{mark} at {at}")
+            inside.pop()
+            names.pop()
+            wanted = "more"
+        elif mark == ",":
+            if wanted != "more" or len(inside) == 1:
+                raise ValueError(f", at {at}")
+            wanted = "name" if isinstance(here, dict) else "value"
+        elif mark == ":":
+            if wanted != "colon":
+                raise ValueError(f": at {at}")
+            wanted = "value"
+        elif wanted in ("name", "first name"):
+            if token.group(2) is None:
+                raise ValueError(f"no name at {at}")
+            names[-1], wanted = json.loads(token.group(2)), "colon"
+        elif wanted in ("value", "first"):
+            value = {"[": list, "{": dict}[mark]() if mark else json.loads(token.group(2) or token.group(3))
+            if isinstance(here, dict):
+                here[names[-1]] = value
+            else:
+                here.append(value)
+            wanted = "more"
+            if mark:
+                inside.append(value)
+                names.append(None)
+                wanted = "first" if mark == "[" else "first name"
+        else:
+            raise ValueError(f"unexpected value at {at}")
+        if wanted == "more" and len(inside) == 1:
+            break
+    if _REST.match(text, at).end() < len(text):
+        raise ValueError(f"more after the value at {at}")
+    return result[0]
+
+
+class _Written(str):
+    """Text that is already JSON."""
+
+
+def _dumps_deep(value: object) -> str:
+    """json.dumps for values that are nested more deeply than its stack allows."""
+    out, left = [], [value]
+    while left:
+        here = left.pop()
+        if isinstance(here, _Written):
+            out.append(here)
+        elif isinstance(here, dict):
+            parts = [x for i, (k, v) in enumerate(here.items()) for x in (_Written(f"{', ' if i else ''}{json.dumps(k, ensure_ascii=False)}: "), v)]
+            left += reversed([_Written("{"), *parts, _Written("}")])
+        elif isinstance(here, list):
+            parts = [x for i, v in enumerate(here) for x in (_Written(", " if i else ""), v)]
+            left += reversed([_Written("["), *parts, _Written("]")])
+        else:
+            out.append(json.dumps(here, ensure_ascii=False))
+    return "".join(out)
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _loads_deep(text)
 
 
 def decode(text: str | None) -> object:
-    """Value of a JSON text; looks through string encoding, code fences and text around the JSON. None if there is none."""
+    """Value of a JSON text; looks through any string encoding, code fences and text around the JSON. None if there is none."""
     value: object = text
-    for _ in range(WRAPPER_DEPTH):
-        if not isinstance(value, str):
-            return value
+    while isinstance(value, str):
         try:
-            value = json.loads(value)
+            value = _loads(value)
         except ValueError:
             inner = re.search(r"[\[{].*[\]}]", value, re.DOTALL)
             if inner is None:
                 return None
             try:
-                value = json.loads(inner.group())
+                value = _loads(inner.group())
             except ValueError:
                 return None
-        except RecursionError:
-            return None
-    return None if isinstance(value, str) else value
+    return value
 
 
 def elements(value: object) -> list:
@@ -68,70 +153,122 @@ def elements(value: object) -> list:
     return [value] if isinstance(value, dict) else []
 
 
-def _walk(value: object, found: set[tuple[Path, str]]) -> None:
-    open_values = [(value, ())]
-    while open_values:
-        here, path = open_values.pop()
-        if isinstance(here, dict):
-            found.add((path, "object"))
-            open_values += [(inner, (*path, name)) for name, inner in here.items() if isinstance(inner, (dict, list))]
-            found.update(((*path, name), "value") for name, inner in here.items() if not isinstance(inner, (dict, list)))
-        elif isinstance(here, list):
-            found.add((path, "list"))
-            if len(path) < MAX_DEPTH:
-                open_values += [(inner, (*path, ELEMENTS)) for inner in here if isinstance(inner, (dict, list))]
+class _Fields:
+    """Fields and lists of the values of one worker, numbered; 0 is the value itself."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, str | None], int] = {}
+        self.lists: set[int] = set()
+
+    def child(self, node: int, name: str | None) -> int:
+        return self.known.setdefault((node, name), len(self.known) + 1)
+
+    def add(self, value: object) -> None:
+        open_values = [(value, 0)]
+        while open_values:
+            here, node = open_values.pop()
+            if isinstance(here, dict):
+                for name, inner in here.items():
+                    child = self.child(node, name)
+                    if isinstance(inner, (dict, list)):
+                        open_values.append((inner, child))
+            elif isinstance(here, list):
+                self.lists.add(node)
+                child = self.child(node, None)
+                open_values += [(inner, child) for inner in here if isinstance(inner, (dict, list))]
+
+    def rows(self) -> Iterator[tuple[str, str, str | None, bool]]:
+        """(id, parent, name, is_list) with ids that are the same on every worker; a NULL name stands for elements."""
+        ids = {0: ""}
+        yield "", "", None, 0 in self.lists
+        for (node, name), child in self.known.items():  # parents were added before their children
+            ids[child] = blake2b(f"{ids[node]}/{'e' if name is None else 'f' + name}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+            yield ids[child], ids[node], name, child in self.lists
 
 
 def _infer(payload: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[Path, str]] = set()
+        found = _Fields()
         for batch in batches:
             for text in batch.column(payload).to_pylist():
-                _walk(decode(text), found)
-        rows = sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array([list(p) for p, _ in rows], pa.list_(pa.string())), pa.array([k for _, k in rows], pa.string())], ["path", "kind"])
+                found.add(decode(text))
+        rows = list(found.rows())
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "parent", "name", "is_list"])
 
     return run
 
 
-def infer_paths(df: DataFrame, payload: str) -> set[tuple[Path, str]]:
-    """Merged schema of a JSON text column over all rows, as (path, kind) pairs. Its size follows the schema, not the rows."""
-    found = df.select(payload).mapInArrow(_infer(payload), "path array<string>, kind string").distinct()
-    rows = found.limit(MAX_PATHS + 1).collect()
-    if len(rows) > MAX_PATHS:
-        raise ValueError(f"more than {MAX_PATHS} distinct field paths in {payload}")
-    return {(tuple(r["path"]), r["kind"]) for r in rows}
-
-
-def wrapper_paths(paths: set[tuple[Path, str]], root_fields: Iterable[str]) -> list[Path]:
-    """Paths at which the record may stand, shortest first: those below which a root field was seen."""
-    wanted = set(root_fields)
-    found = {p[:-1] for p, _ in paths if p and p[-1] in wanted and ELEMENTS not in p and len(p) <= WRAPPER_DEPTH}
-    return sorted(found, key=lambda p: (len(p), p))
-
+def infer_schema(df: DataFrame, payload: str) -> Node:
+    """Merged schema of a JSON text column over all rows. Its size follows the schema, not the rows."""
+    found = df.select(payload).mapInArrow(_infer(payload), "id string, parent string, name string, is_list boolean").distinct()
+    rows = found.limit(2 * MAX_FIELDS + 1).collect()  # a field may be a list in some rows and none in others
+    nodes: dict[str, Node] = {}
+    for r in rows:
+        node = nodes.setdefault(r["id"], Node())
+        node.is_list |= r["is_list"]
+    if len(nodes) > MAX_FIELDS or len(rows) > 2 * MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} distinct fields in {payload}")
+    for r in rows:
+        if r["id"]:
+            parent = nodes[r["parent"]]
+            if r["name"] is None:
+                parent.elements = nodes[r["id"]]
+            else:
+                parent.fields[r["name"]] = nodes[r["id"]]
+    return nodes.get("", Node())
+
+
+def record_roots(schema: Node, root_fields: Iterable[str]) -> list[tuple[Path, Node]]:
+    """Where the record may stand inside wrapper objects, shortest path first: where a root field was seen."""
+    wanted, found, open_nodes = set(root_fields), [], [((), schema)]
+    for path, node in open_nodes:  # grows while it is read, level by level
+        if not wanted.isdisjoint(node.fields):
+            found.append((path, node))
+        open_nodes += [((*path, name), node.fields[name]) for name in sorted(node.fields) if node.fields[name].fields]
+    return found
+
+
+def declare_lists(node: Node, names: Iterable[str]) -> None:
+    """Lists that are known by name, so that they keep their level even where no row here shows them as lists."""
+    for name in names:
+        here = node
+        for part in name.split("."):
+            here = here.fields.setdefault(part, Node())
+        here.is_list = True
 
-def list_tree(paths: set[tuple[Path, str]], roots: Iterable[Path]) -> list[ListSpec]:
-    """Tree of the lists below the given roots. A field that is a list in some rows and an object in others is a list."""
-    lists: set[Path] = set()
-    below = {p[len(r) :]: kind for r in roots for p, kind in paths if p[: len(r)] == r and kind == "list"}
-    everything = {p[len(r) :] for r in roots for p, _ in paths if p[: len(r)] == r}
-    lists.update(p for p in below if p)
 
-    def build(prefixes: set[Path]) -> list[ListSpec]:
-        here = {p[len(prefix) :] for prefix in prefixes for p in lists if p[: len(prefix)] == prefix and len(p) > len(prefix)}
-        tops = sorted(p for p in here if p and p[0] != ELEMENTS and not any(p[:n] in here for n in range(1, len(p))))
-        specs = []
-        for top in tops:
-            inner = {q for prefix in prefixes for q in ((*prefix, *top), (*prefix, *top, ELEMENTS))}
-            specs.append(ListSpec(top, build({q for q in inner if any(e[: len(q)] == q for e in everything)})))
-        return specs
+def _forms_of_elements(lists: list[Node]) -> list[Node]:
+    """All forms of the elements of lists: an object in place of a list is its only element, lists in lists hold elements too."""
+    forms = []
+    for node in lists:
+        while node is not None:
+            forms.append(node)
+            node = node.elements
+    return forms
 
-    return build({()})
 
+def list_specs(records: list[Node]) -> list[ListSpec]:
+    """The lists inside a record, of which `records` are all forms; the first entry stands for the record itself.
 
-def _declared(names: Iterable[str], root: Path) -> set[tuple[Path, str]]:
-    """Lists that are known by name, so that they keep their level even where no row here shows them as lists."""
-    return {((*root, *name.split(".")), "list") for name in names}
+    A field that is a list in some rows is one in all. Lists are named by number, so that no depth is too much to pickle.
+    """
+    specs = [ListSpec(())]
+    open_records = [(records, specs[0])]
+    while open_records:
+        forms, owner = open_records.pop()
+        open_fields = [((), forms)]
+        while open_fields:
+            path, nodes = open_fields.pop()
+            for name in sorted({f for n in nodes for f in n.fields}):
+                inner = [n.fields[name] for n in nodes if name in n.fields]
+                if any(n.is_list for n in inner):
+                    owner.children.append(len(specs))
+                    specs.append(ListSpec((*path, name)))
+                    open_records.append((_forms_of_elements(inner), specs[-1]))
+                elif any(n.fields for n in inner):
+                    open_fields.append(((*path, name), inner))
+    return specs
 
 
 def _at(value: object, path: Path) -> object:
@@ -140,24 +277,30 @@ def _at(value: object, path: Path) -> object:
     return value
 
 
-def _expand(items: list, spec: ListSpec, name: str, prefix: str, parent: str | None, out: list[tuple]) -> None:
-    for i, item in enumerate(items):
-        if item is None:
-            continue
-        place = f"{prefix}{i}"
-        out.append((name, place, i, parent, item))
-        for child in spec.children:
-            inner = elements(_at(item, child.path))
-            if inner:
-                _expand(inner, child, f"{name}.{'.'.join(child.path)}", f"{place}.", place, out)
+def _expand(items: list, number: int, name: str, specs: list[ListSpec], out: list[tuple]) -> None:
+    open_lists = [(items, specs[number], name, "", None)]
+    while open_lists:
+        items, spec, name, prefix, parent = open_lists.pop()
+        for i, item in enumerate(items):
+            if item is None:
+                continue
+            place = f"{prefix}{i}"
+            out.append((name, place, i, parent, item))
+            for child in (specs[n] for n in spec.children):
+                if inner := elements(_at(item, child.path)):
+                    open_lists.append((inner, child, f"{name}.{'.'.join(child.path)}", f"{place}.", place))
+            if isinstance(item, list) and item:
+                open_lists.append((item, spec, f"{name}.{ELEMENTS}", f"{place}.", place))
 
 
 def _text(value: object) -> str | None:
-    """A value as text; NULL for one that is nested too deeply to be written."""
+    """A value as text."""
+    if value is None or isinstance(value, str):
+        return value
     try:
-        return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+        return json.dumps(value, ensure_ascii=False)
     except RecursionError:
-        return None
+        return _dumps_deep(value)
 
 
 def _expander(payload: str, keys: list[str], specs: list[ListSpec], roots: list[Path], root_fields: set[str], root_list: str | None, fields: tuple[str, ...], with_value: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -175,10 +318,11 @@ def _expander(payload: str, keys: list[str], specs: list[ListSpec], roots: list[
             for n, text in enumerate(batch.column(payload).to_pylist()):
                 value, out = decode(text), []
                 if root_list is not None:
-                    _expand(elements(value), ListSpec((), specs), root_list, "", None, out)
+                    _expand(elements(value), 0, root_list, specs, out)
                 elif isinstance(value := record(value), dict):
-                    for spec in specs:
-                        _expand(elements(_at(value, spec.path)), spec, ".".join(spec.path), "", None, out)
+                    for n_list in specs[0].children:
+                        path = specs[n_list].path
+                        _expand(elements(_at(value, path)), n_list, ".".join(path), specs, out)
                 rows += out
                 owners += [n] * len(out)
             taken = batch.select(keys).take(pa.array(owners, pa.int64()))
@@ -211,21 +355,24 @@ def flatten_nested(
 
     Result: keys, list_name, item_path (0-based, `outer.inner`), ordinal, parent_path (of the owning element), fields.
     JSON nulls give no row but count in the places; an object in place of a list is a list of one; bare values are
-    elements without fields. NULL, blank or broken payloads and empty lists give no rows; an empty table an empty result.
+    elements without fields; a list directly inside a list is an element and, as `outer.[]`, a list of its own. NULL, blank or broken payloads and empty lists give no rows; an empty table an empty result.
     """
     fields, wanted = tuple(fields), set(root_fields)
     own = {"list_name", "item_path", "ordinal", "parent_path", "value", *fields}
     if own & set(keys):
         raise ValueError(f"key columns named like the result's: {sorted(own & set(keys))}")
     rows = df.select(*dict.fromkeys([*keys, payload])).where(df[payload].isNotNull())
-    paths = infer_paths(rows, payload)
+    schema = infer_schema(rows, payload)
     if root_list is None:
-        roots = wrapper_paths(paths, wanted) if wanted else []
-        specs = list_tree(paths.union(*(_declared(declared, r) for r in roots or [()])), roots or [()])
+        roots = record_roots(schema, wanted) if wanted else []
+        forms = [node for _, node in roots] or [schema]
+        for node in forms:
+            declare_lists(node, declared)
     else:
         roots = []
-        inner = [d[len(root_list) + 1 :] for d in declared if d.startswith(root_list + ".")]
-        specs = list_tree(paths | _declared(inner, ()), [(ELEMENTS,), ()])
+        forms = _forms_of_elements([schema])
+        declare_lists(schema, [d[len(root_list) + 1 :] for d in declared if d.startswith(root_list + ".")])
+    specs = list_specs(forms)
     columns = [df.schema[k] for k in keys] + [T.StructField(n, T.StringType()) for n in ("list_name", "item_path")] + [T.StructField("ordinal", T.IntegerType()), T.StructField("parent_path", T.StringType())]
     columns += [T.StructField(f, T.StringType()) for f in fields] + ([T.StructField("value", T.StringType())] if with_value else [])
-    return rows.mapInArrow(_expander(payload, keys, specs, roots, wanted, root_list, fields, with_value), T.StructType([T.StructField(c.name, c.dataType) for c in columns]))
+    return rows.mapInArrow(_expander(payload, keys, specs, [path for path, _ in roots], wanted, root_list, fields, with_value), T.StructType([T.StructField(c.name, c.dataType) for c in columns]))

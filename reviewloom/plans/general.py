@@ -104,7 +104,7 @@ def p4_category_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["run_id", "cluster_id", "created_at"]
     stats = table(spark, sf_dir, "cluster_stats")
-    listed = flatten_nested(stats, "representative_sentence_ids", keys, root_list="ids", fields=["sentence_id"], with_value=True)
+    listed = flatten_nested(stats, "representative_sentence_ids", keys, root_list="ids", fields=["sentence_id"], with_value=True).where("not startswith(value, '[')")
     reports = table(spark, sf_dir, "cluster_reports")
     quoted = flatten_nested(reports, "evidence_items", keys, root_list="evidence_items", fields=["sentence_id"])
     valid = table(spark, sf_dir, "aspect_sentiment_valid")

@@ -1,7 +1,10 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+import reviewloom.operators.flatten as flatten
 from reviewloom.operators.flatten import flatten_nested
 
 
@@ -77,8 +80,60 @@ def test_empty_table_extra_columns_and_clashes(spark):
         flatten_nested(df, "payload", ["value"], FIELDS)
 
 
+def nested(levels):
+    text = '"x"'
+    for _ in range(levels):
+        text = f'{{"l": [{text}, null]}}'
+    return text
+
+
+@pytest.mark.parametrize("levels", [3, 25, 900])
+def test_every_level_of_a_deep_payload(spark, levels):
+    df = spark.createDataFrame([("a", nested(levels))], "k string, payload string")
+    got = rows(flatten_nested(df, "payload", ["k"]))
+    assert got == {("a", ".".join(["l"] * (n + 1)), ".".join(["0"] * (n + 1))) for n in range(levels)}
+
+
+def test_many_encodings_and_wrappers(spark):
+    text = '{"aspects": [{"aspect": "a"}]}'
+    for _ in range(6):
+        text = json.dumps(text)
+    wrapped = '{"aspects": [{"aspect": "b"}]}'
+    for i in range(9):
+        wrapped = f'{{"w{i}": {wrapped}}}'
+    df = spark.createDataFrame([("text", text), ("object", wrapped)], "k string, payload string")
+    assert rows(flatten_nested(df, "payload", ["k"], FIELDS)) == {("text", "aspects", "0"), ("object", "aspects", "0")}
+
+
+def test_lists_inside_lists(spark):
+    df = spark.createDataFrame([("a", '{"l": [[{"m": [1]}, null, 2], 3, []]}')], "k string, payload string")
+    assert rows(flatten_nested(df, "payload", ["k"])) == {("a", "l", "0"), ("a", "l", "1"), ("a", "l", "2"), ("a", "l.[]", "0.0"), ("a", "l.[]", "0.2"), ("a", "l.[].m", "0.0.0")}
+
+
 def test_very_long_and_deep_payloads(spark):
     long = json.dumps({"aspects": [{"aspect": "x" * 10} for _ in range(20_000)]})
-    deep = '{"aspects": ' + "[" * 5000 + "]" * 5000 + "}"
+    deep = '{"aspects": [1, ' + '{"a": [' * 3000 + "]}" * 3000 + "]}"
     df = spark.createDataFrame([("long", long), ("deep", deep)], "k string, payload string")
     assert flatten_nested(df, "payload", ["k"], FIELDS).where("k = 'long'").count() == 20_000
+    out = {(r["list_name"], r["item_path"]): r["value"] for r in flatten_nested(df.where("k = 'deep'"), "payload", ["k"], FIELDS, with_value=True).where("list_name = 'aspects' or item_path like '1.0.0.0'").collect()}
+    assert out["aspects", "1"] == '{"a": [' * 3000 + "]}" * 3000 and set(out) == {("aspects", "0"), ("aspects", "1"), ("aspects.a.a.a", "1.0.0.0")}
+
+
+def test_too_many_fields_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(flatten, "MAX_FIELDS", 5)
+    df = spark.createDataFrame([("a", json.dumps({f"k{i}": i for i in range(9)}))], "k string, payload string")
+    with pytest.raises(ValueError, match="fields"):
+        flatten_nested(df, "payload", ["k"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.floats(allow_nan=False) | st.text() | st.integers(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=3), x, max_size=4)))
+def test_deep_reader_and_writer_agree_with_the_plain_ones(value):
+    text = json.dumps(value, indent=1)
+    assert flatten._loads_deep(text) == value and flatten._dumps_deep(value) == json.dumps(value, ensure_ascii=False)
+
+
+@pytest.mark.parametrize("text", ["", "[", "{", "[1,]", '{"a"}', '{"a":}', '{"a":1,}', "[1 2]", "1 2", "]", "{]", "[}", "nul", '{1: 2}', ",", "[,1]"])
+def test_deep_reader_refuses_what_is_no_json(text):
+    with pytest.raises(ValueError):
+        flatten._loads_deep(text)
