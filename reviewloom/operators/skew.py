@@ -1,9 +1,11 @@
 """Per-key work that stays even when a few keys hold most rows: fragment-replicate by estimated load.
 
-Loads are counted with map-side partial sums. Keys above the target load of a task are split into shards in proportion to
-their load; all other keys are folded into a fixed number of hash buckets. Buckets and shards are packed onto tasks by
-decreasing load, and rows are sent straight to their task. The matching side of a join is copied only to the shards of
-split keys. What reaches the driver is bounded: the buckets, and the split keys, of which there are at most rows / target.
+Loads are estimated by one sketch of frequent items, which every task fills from its own rows and which merges to a bounded
+size; no key is shuffled for it. Keys above the target load of a task are split into shards in proportion to their load; all
+other keys are folded into a fixed number of hash buckets. For a join, buckets and shards are packed onto tasks by decreasing
+load, rows are sent straight to their task, and the matching side is copied only to the shards of split keys. Aggregates are
+summed inside each input partition first, so that only partial results of shards move. Estimates steer the balance alone;
+results do not depend on them.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets into which the keys below the target load are folded.
 BUCKETS = 4096
+#: Items per task that the sketch of frequent keys tracks.
+TRACKED_PER_TASK = 40
 
 
 @dataclass
@@ -26,15 +30,10 @@ class Placement:
     target: int
     heavy: list[tuple[object, int, int]]  # key, rows, shards
     table: list[tuple[int, int, int]]  # unit, shard, task; units below BUCKETS are buckets, above are heavy keys
-    loads: list[int]  # by task
+    loads: list[float]  # by task, estimated
 
 
-def key_loads(df: DataFrame, key: str) -> DataFrame:
-    """Rows per key (key_value, n_rows); repeated rows count, NULL keys are left out."""
-    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key_value")).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def pack(units: list[tuple[int, int, int]], tasks: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+def pack(units: list[tuple[int, int, float]], tasks: int) -> tuple[list[tuple[int, int, int]], list[int]]:
     """Longest-processing-time packing of (unit, shard, load) onto tasks: the next largest goes to the least loaded task."""
     heap = [(0, t) for t in range(tasks)]
     placed, loads = [], [0] * tasks
@@ -50,22 +49,22 @@ def _bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def plan_placement(df: DataFrame, key: str, tasks: int, loads: DataFrame | None = None) -> Placement:
-    """Placement of the keys of `df` on `tasks` tasks. An empty table gives a placement without load."""
-    loads = (key_loads(df, key) if loads is None else loads).withColumn("bucket", _bucket(F.col("key_value")))
-    totals = loads.groupBy("bucket").agg(F.sum("n_rows").alias("n")).collect()
-    total = sum(r["n"] for r in totals)
+def plan_placement(df: DataFrame, key: str, tasks: int) -> Placement:
+    """Placement of the keys of `df` on `tasks` tasks. An empty table gives a placement without load; NULL keys have none.
+
+    The sketch tracks TRACKED_PER_TASK items per task, so that its error stays far below the load of one. Light keys count as
+    spread evenly over the buckets.
+    """
+    most = 2 * tasks  # no more keys can hold half of the target each
+    tracked = min(1_000_000, max(10_000, TRACKED_PER_TASK * tasks))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, {most}, {tracked})").alias("top")).first()
+    total = found["n"]
     target = max(1, -(-total // tasks))
-    # at most `tasks` keys can reach half of the target twice over, so this list is bounded by 2 * tasks
-    heavy = [(r["key_value"], r["n_rows"], -(-2 * r["n_rows"] // target)) for r in loads.where(F.col("n_rows") > target / 2).collect()]
+    heavy = [(r["item"], r["count"], -(-2 * r["count"] // target)) for r in found["top"] if r["count"] > target / 2]
     heavy.sort(key=lambda h: (-h[1], str(h[0])))
-    light = {r["bucket"]: r["n"] for r in totals}
-    spark = df.sparkSession
-    if heavy:
-        keys = spark.createDataFrame([(k, n) for k, n, _ in heavy], loads.select("key_value", "n_rows").schema)
-        for r in keys.select(_bucket(F.col("key_value")).alias("bucket"), "n_rows").collect():
-            light[r["bucket"]] -= r["n_rows"]
-    units = [(b, 0, light.get(b, 0)) for b in range(BUCKETS)]
+    light = max(0, total - sum(n for _, n, _ in heavy)) / BUCKETS
+    units = [(b, 0, light) for b in range(BUCKETS)]
     units += [(BUCKETS + i, s, n // shards) for i, (_, n, shards) in enumerate(heavy) for s in range(shards)]
     placed, by_task = pack(units, tasks)
     return Placement(tasks, target, heavy, placed, by_task)
@@ -125,10 +124,13 @@ def default_tasks(df: DataFrame) -> int:
 
 
 def balanced_group_agg(df: DataFrame, key: str, partial: list[Column], final: list[Column], placement: Placement | None = None) -> DataFrame:
-    """Per-key results in two steps: per shard of a key on balanced tasks, then over the few shards of each key.
+    """Per-key results in two steps: per shard of a key, then over the few shards of each key.
 
-    partial: aggregates of the first step, aliased; final: aggregates over those aliases. NULL keys form no group.
+    partial: aggregates of the first step, aliased, that Spark can begin before a shuffle; final: aggregates over those
+    aliases. NULL keys form no group. The shards of a heavy key are its input partitions modulo their number, so that each
+    task sends one partial row per key, and a key that fills all partitions is added up in several tasks.
     """
     placement = placement or plan_placement(df, key, default_tasks(df))
-    shards = fragment(df, key, placement).groupBy("fr_task", key).agg(*partial)
+    rows = _units(df.where(F.col(key).isNotNull()), key, placement)
+    shards = rows.withColumn("fr_shard", F.pmod(F.spark_partition_id(), F.col("fr_shards"))).groupBy("fr_shard", key).agg(*partial)
     return shards.groupBy(key).agg(*final)

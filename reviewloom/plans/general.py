@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.flatten import flatten_nested
 from reviewloom.operators.references import clean_id, orphan_references, orphans_by_period
-from reviewloom.operators.skew import balanced_group_agg, default_tasks, fragment_replicate_join, key_loads, plan_placement
+from reviewloom.operators.skew import balanced_group_agg, fragment_replicate_join
 from reviewloom.sources.tables import table
 
 #: Fields that mark the record of an extraction payload inside its wrappers.
@@ -62,17 +62,12 @@ P4_SOURCES = {"reviews": ("parent_asin", "rating"), "aspect_sentiment_valid": ("
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that hold at least HEAVY_SHARE of the rows."""
+    """Keys that hold at least HEAVY_SHARE of the rows, from the counts that the shards of each key add up to."""
     out = None
     for name, (key, _) in P4_SOURCES.items():
-        df = table(spark, sf_dir, name)
-        loads = key_loads(df, key)
-        least = HEAVY_SHARE * df.count()
-        # tasks so small that every key of the wanted share is above the load of one
-        placement = plan_placement(df, key, max(default_tasks(df), int(1 / HEAVY_SHARE) + 1), loads)
-        rows = [(k, n) for k, n, _ in placement.heavy]
-        heavy = spark.createDataFrame(rows, loads.schema).where(F.col("n_rows") >= least)
-        part = heavy.select(F.lit(name).alias("source_table"), "key_value")
+        df = table(spark, sf_dir, name).select(key)
+        counts = balanced_group_agg(df, key, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n_rows")])
+        part = counts.where(F.col("n_rows") >= HEAVY_SHARE * df.count()).select(F.lit(name).alias("source_table"), F.col(key).alias("key_value"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.operators.skew import balanced_group_agg, fragment, fragment_replicate_join, key_loads, pack, plan_placement
+from reviewloom.operators.skew import balanced_group_agg, fragment, fragment_replicate_join, pack, plan_placement
 
 
 @pytest.fixture
@@ -44,7 +44,21 @@ def test_two_step_aggregate_equals_plain(hot):
 
 def test_empty_and_single_key_tables(spark):
     empty = spark.createDataFrame([], "k string, x double")
-    assert key_loads(empty, "k").count() == 0
+    assert plan_placement(empty, "k", 4).heavy == [] and plan_placement(empty, "k", 4).target == 1
     assert balanced_group_agg(empty, "k", [F.count("x").alias("c")], [F.sum("c").alias("c")]).count() == 0
     one = spark.range(1000).select(F.lit("a").alias("k"), F.lit(1.0).alias("x"))
     assert balanced_group_agg(one, "k", [F.count("x").alias("c")], [F.sum("c").alias("c")]).collect()[0]["c"] == 1000
+
+
+def test_aggregates_move_partial_rows_only(hot):
+    placement = plan_placement(hot, "k", 8)
+    assert placement.heavy[0][0] == "hot" and placement.heavy[0][2] > 1 and abs(placement.heavy[0][1] - 3000) < 100
+    plan = balanced_group_agg(hot, "k", [F.sum("x").alias("s")], [F.sum("s").alias("s")], placement)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "partial_sum" in below and "REPARTITION" not in plan
+
+
+def test_extra_columns_and_other_types(spark):
+    df = spark.range(400).select((F.col("id") % 2).alias("k"), F.lit("a").alias("fr_extra"), F.col("id").cast("int").alias("value"))
+    got = balanced_group_agg(df, "k", [F.count("value").alias("c")], [F.sum("c").alias("c")])
+    assert {tuple(r) for r in got.collect()} == {(0, 200), (1, 200)}
