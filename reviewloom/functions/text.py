@@ -31,7 +31,7 @@ def split_plain(text: Column, longer_than: int = 5) -> Column:
     return F.filter(F.transform(F.split(text, "[.!?]+"), strip), lambda s: F.length(s) > longer_than)
 
 
-def _list(words: list[str]) -> Column:
+def constant_list(words: list[str]) -> Column:
     """Constant array; list tests over it stay small in generated code, whatever the length of the list."""
     return F.array(*[F.lit(w) for w in words])
 
@@ -41,16 +41,16 @@ def hits(text: Column, words: list[str]) -> Column:
 
     `text` should be a plain column: it is read once per entry.
     """
-    return F.size(F.filter(_list(words), lambda w: F.contains(text, w)))
+    return F.size(F.filter(constant_list(words), lambda w: F.contains(text, w)))
 
 
 def any_hit(text: Column, words: list[str]) -> Column:
-    return F.exists(_list(words), lambda w: F.contains(text, w))
+    return F.exists(constant_list(words), lambda w: F.contains(text, w))
 
 
 def first_hit(text: Column, words: list[str]) -> Column:
     """First entry of the list, in its order, that occurs as a substring."""
-    return F.try_element_at(F.filter(_list(words), lambda w: F.contains(text, w)), F.lit(1))
+    return F.try_element_at(F.filter(constant_list(words), lambda w: F.contains(text, w)), F.lit(1))
 
 
 def find(text: Column, part: Column) -> Column:
@@ -71,6 +71,25 @@ def review_pk(parent: Column, user: Column, unix_ts: Column, title: Column, text
     return F.md5(F.concat_ws("|", *[F.coalesce(f, F.lit("")) for f in fields]))
 
 
+#: Epoch values from here on are milliseconds; in seconds they lie beyond the year 5000.
+MILLISECONDS_FROM = 100_000_000_000
+
+
+def epoch_seconds(unix_ts: Column) -> Column:
+    """Epoch seconds of a column that mixes seconds and milliseconds."""
+    return F.when(unix_ts >= MILLISECONDS_FROM, F.floor(unix_ts / 1000).cast("long")).otherwise(unix_ts)
+
+
+def between_seconds(unix_ts: Column, first: int | None, last: int | None) -> Column:
+    """Whether a time in seconds or milliseconds lies in a closed range of seconds; comparisons of the bare column reach the scan."""
+    seconds, millis = unix_ts < MILLISECONDS_FROM, unix_ts >= MILLISECONDS_FROM
+    if first is not None:
+        seconds, millis = seconds & (unix_ts >= first), millis & (unix_ts >= first * 1000)
+    if last is not None:
+        seconds, millis = seconds & (unix_ts <= last), millis & (unix_ts < (last + 1) * 1000)
+    return seconds | millis
+
+
 def slice_id(category: str | None, asin: str | None, time_range: str | None, filters: dict | None) -> str:
     """Identifier of a data slice: 12 hex digits over its parts, or `default`."""
     import hashlib

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.graph import connected_components
+from reviewloom.operators.ordering import dense_ranks
 from reviewloom.operators.vectors import nearest
 from reviewloom.sources.tables import materialize
 
@@ -99,5 +100,5 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
 def offset_labels(df: DataFrame, bucket: str, label: str, noise: int = -1) -> DataFrame:
     """Labels that are unique over all buckets: ranks of (bucket, label) from 0; noise keeps its mark."""
     pairs = df.where(F.col(label) != noise).select(bucket, label).distinct()
-    ranked = pairs.withColumn("global_label", (F.dense_rank().over(Window.orderBy(bucket, label)) - 1).cast("int"))
+    ranked = dense_ranks(pairs, [bucket, label], "global_label").withColumn("global_label", F.col("global_label").cast("int"))
     return df.join(ranked, [bucket, label], "left").withColumn("global_label", F.coalesce("global_label", F.lit(noise)))

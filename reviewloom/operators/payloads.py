@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.text import SPACE, find, strip
 from reviewloom.operators import normalize
-from reviewloom.operators.flatten import flatten_nested
+from reviewloom.operators.flatten import decode, flatten_nested
 
 FIELDS = ("aspect", "sentiment", "issue", "evidence_text", "sentiment_score")
 
@@ -30,17 +30,22 @@ def _walk(text: Column, at: Column, word: Column) -> Column:
     return F.when(at["open"] & (place >= 0), F.struct((place + F.length(word)).alias("end"), F.lit(True).alias("open"))).otherwise(F.struct(at["end"].alias("end"), F.lit(False).alias("open")))
 
 
+def _has_record(payload: str) -> Column:
+    """Whether a payload holds a JSON object, looked for as flattening does."""
+    return F.udf(lambda text: isinstance(decode(text), dict), "boolean", useArrow=True)(payload)
+
+
 def judge_payloads(raw: DataFrame, sentences: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
     """(valid, issues) of the latest successful payloads, judged against the sentences of their own run.
 
-    raw: run_id, sentence_id, llm_output; sentences: run_id, sentence_id, target_sentence. A payload without a record is
-    PARSE_FAIL, evidence that is not in the sentence EVIDENCE_NOT_FOUND; both are issues. Of equal opinions of a sentence
+    raw: run_id, sentence_id, llm_output; sentences: run_id, sentence_id, target_sentence. A payload without a record, NULL
+    included, is PARSE_FAIL, evidence that is not in the sentence EVIDENCE_NOT_FOUND; both are issues. Of equal opinions of a sentence
     one is kept. Rows without a sentence in their run are left out.
     """
     rows = raw.join(sentences.groupBy("run_id", "sentence_id").agg(F.min("target_sentence").alias("target_sentence")), ["run_id", "sentence_id"])
     listed = flatten_nested(rows, "llm_output", ["run_id", "sentence_id", "target_sentence"], ("aspects", "has_opinion", "extraction_warnings"), declared=["aspects"], fields=FIELDS).where("list_name = 'aspects'")
     found = normalize.evidence_found(F.col("evidence_text"), F.col("target_sentence"))
-    broken = rows.where(F.get_json_object("llm_output", "$").isNull()).select("run_id", "sentence_id", F.lit("PARSE_FAIL").alias("issue_type"))
+    broken = rows.where(~_has_record("llm_output")).select("run_id", "sentence_id", F.lit("PARSE_FAIL").alias("issue_type"))
     lost = listed.where(~found).select("run_id", "sentence_id", F.lit("EVIDENCE_NOT_FOUND").alias("issue_type"))
     names = normalize.normalize_aspects(listed.withColumnRenamed("aspect", "aspect_raw"), fuzzy=fuzzy)
     kept = listed.where(found).withColumnRenamed("aspect", "aspect_raw").join(names, "aspect_raw").withColumn("issue_norm", strip(F.lower("issue")))
@@ -49,6 +54,12 @@ def judge_payloads(raw: DataFrame, sentences: DataFrame, fuzzy: bool = True) ->
     return valid.select("run_id", "sentence_id", "aspect_norm", "issue_norm", "r.aspect_raw", "r.sentiment", "r.sentiment_score", "r.evidence_text"), broken.unionByName(lost)
 
 
+def new_opinions(judged: DataFrame, stored: DataFrame) -> DataFrame:
+    """Judged opinions that the run does not hold yet, by sentence, aspect and issue; what the run holds counts if it is VALID."""
+    keys = ["run_id", "sentence_id", "aspect_norm", "issue_norm"]
+    return judged.join(stored.where("validity_label = 'VALID'").select(*keys), keys, "left_anti")
+
+
 def trace_evidence(evidence: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
     """Evidence items whose sentence is among the cluster's samples.
 

@@ -106,6 +106,16 @@ def insights(stats: DataFrame, samples: DataFrame) -> DataFrame:
     return rows.select(*keys, name.alias("cluster_name"), summary.alias("summary"), priority(size, neg).alias("priority"), template_confidence(size, neg).alias("confidence"), rule["action"].alias("action"), rule["owner_team"].alias("owner_team"), urgency(neg).alias("urgency"), (1 + (neg > 0.7).cast("int")).alias("n_actions"))
 
 
+def busy_sentences(valid: DataFrame, more_than: int = 10) -> DataFrame:
+    """(run_id, sentence_id, n) of sentences with more than so many VALID opinions, repeated rows counted."""
+    return valid.where("validity_label = 'VALID'").groupBy("run_id", "sentence_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
+
+
+def cluster_key_text(aspect: Column, issue: Column) -> Column:
+    """The text that stands for an opinion when it is encoded."""
+    return F.concat(F.lit("Aspect: "), F.coalesce(aspect, F.lit("")), F.lit("\nIssue: "), F.coalesce(issue, F.lit("")))
+
+
 def coverage_metrics(counts: DataFrame) -> DataFrame:
     """Metrics in tall form from one row of counts per run; the share of valid aspects is capped at 1."""
     rates = {
@@ -136,28 +146,42 @@ def number(value: Column, places: int = 4) -> Column:
     return F.when(value.isNotNull(), F.format_string(f"%.{places}f", F.round(value, places))).otherwise("")
 
 
+#: Columns of the export, in order (fixed values).
+EXPORT_COLUMNS = (
+    "aspect_norm cluster_id cluster_name is_noise issue_norm sentiment cluster_key_text priority cluster_size neg_ratio intra_cluster_distance inter_cluster_distance separation_ratio cohesion "
+    "cluster_confidence sentiment_consistency insight_confidence representative_sentence_ids summary sentence_id review_pk parent_asin timestamp rating verified_purchase helpful_vote sentence_index "
+    "target_sentence prev_sentence next_sentence context_text"
+).split()
+
+
+def export_order() -> list[Column]:
+    """Order of the export within a run: noise comes last within an aspect, ids sort as padded text, later sentences first."""
+    noise = F.col("cluster_id") == "noise"
+    padded = F.when(noise, "zzz_noise").otherwise(F.lpad("cluster_id", 10, "0"))
+    return [F.col("aspect_norm"), noise.cast("int"), padded, F.col("unix_ts").desc_nulls_last(), F.col("sentence_id"), F.col("issue_norm"), F.col("sentiment")]
+
+
 def export_rows(clusters: DataFrame, stats: DataFrame, reports: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Export rows of clustered sentences with statistics, insight and sentence, all as text, with their order.
+    """Export rows of clustered opinions with statistics, insight and sentence, all as text, and unix_ts for the order.
 
-    clusters: run_id, aspect_norm, cluster_id, sentence_id. Noise comes last within an aspect; ids sort as padded text.
+    clusters: run_id, aspect_norm, cluster_id, sentence_id, issue_norm, sentiment, cluster_key_text, is_noise. What is
+    missing is empty. A cluster counts with its first report, a sentence with its first row in the run.
     """
     keys = ["run_id", "aspect_norm", "cluster_id"]
-    r = first_per(reports, keys, [F.asc("created_at"), F.col("cluster_name").asc_nulls_last()]).select(*keys, "cluster_name", "priority", F.col("confidence").alias("insight_confidence"))
-    s = first_per(sentences, ["run_id", "sentence_id"], [F.asc("created_at"), F.col("target_sentence").asc_nulls_last()]).select("run_id", "sentence_id", "review_pk", "unix_ts", "rating", "verified_purchase", "target_sentence")
-    joined = clusters.join(stats.select(*keys, "cluster_size", "neg_ratio", "cohesion", "cluster_confidence"), keys, "left").join(r, keys, "left").join(s, ["run_id", "sentence_id"], "left")
-    noise = F.col("cluster_id") == "noise"
-    padded = F.when(noise, "zzz_noise").otherwise(F.lpad("cluster_id", 10, "0"))
-    order = Window.partitionBy("run_id").orderBy("aspect_norm", noise.cast("int"), padded, F.desc_nulls_last("unix_ts"), "sentence_id")
-    yes = F.when(F.col("verified_purchase"), "是").when(F.col("verified_purchase").isNotNull(), "否").otherwise("")
-    return joined.select(
-        *keys,
-        "sentence_id",
-        F.coalesce(F.col("cluster_size").cast("string"), F.lit("")).alias("cluster_size"),
-        *[number(F.col(c)).alias(c) for c in ("neg_ratio", "cohesion", "cluster_confidence", "insight_confidence")],
-        F.coalesce("cluster_name", F.lit("")).alias("cluster_name"),
-        F.coalesce("priority", F.lit("")).alias("priority"),
-        number(F.col("rating"), 1).alias("rating"),
-        yes.alias("verified"),
-        flat(F.col("target_sentence")).alias("target_sentence"),
-        F.row_number().over(order).alias("row_no"),
-    )
+    own = ["review_pk", "parent_asin", "unix_ts", "rating", "verified_purchase", "helpful_vote", "sentence_index", "target_sentence", "prev_sentence", "next_sentence", "context_text"]
+    r = first_per(reports, keys, [F.asc("created_at"), F.col("cluster_name").asc_nulls_last()]).select(*keys, "cluster_name", "summary", "priority", F.col("confidence").alias("insight_confidence"))
+    s = first_per(sentences, ["run_id", "sentence_id"], [F.asc("created_at"), F.col("target_sentence").asc_nulls_last(), F.col("context_text").asc_nulls_last()]).select("run_id", "sentence_id", *own)
+    measures = ["neg_ratio", "intra_cluster_distance", "inter_cluster_distance", "separation_ratio", "cohesion", "cluster_confidence", "sentiment_consistency"]
+    joined = clusters.join(stats.select(*keys, "cluster_size", *measures, "representative_sentence_ids"), keys, "left").join(r, keys, "left").join(s, ["run_id", "sentence_id"], "left")
+    yes = lambda c: F.when(c, "是").when(c.isNotNull(), "否").otherwise("")
+    shown = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EXPORT_COLUMNS if c != "timestamp"} | {"timestamp": F.coalesce(F.col("unix_ts").cast("string"), F.lit(""))}
+    shown |= {c: number(F.col(c)) for c in (*measures, "insight_confidence")} | {"rating": number(F.col("rating"), 1)}
+    shown |= {c: flat(F.col(c)) for c in ("target_sentence", "prev_sentence", "next_sentence", "context_text")}
+    shown |= {"verified_purchase": yes(F.col("verified_purchase")), "is_noise": F.when(F.col("is_noise"), "是").otherwise("否")}
+    return joined.select("run_id", "unix_ts", *[shown[c].alias(c) for c in EXPORT_COLUMNS])
+
+
+def export_summary(clusters: DataFrame) -> DataFrame:
+    """Per run: records, clusters without noise, noise records, and the aspects in order."""
+    aspects = F.array_join(F.sort_array(F.collect_set(F.nullif(F.col("aspect_norm"), F.lit("")))), ",")
+    return clusters.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct(F.when(F.col("cluster_id") != "noise", F.col("cluster_id"))).alias("n_clusters"), F.count_if("is_noise").alias("n_noise"), aspects.alias("aspects"))

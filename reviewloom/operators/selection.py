@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.functions.text import merged_clean, non_empty, review_pk, split_plain, truncated
+from reviewloom.functions.text import between_seconds, merged_clean, non_empty, review_pk, split_plain, truncated
 
 
 class EmptySelection(ValueError):
@@ -16,7 +16,7 @@ class EmptySelection(ValueError):
 
 @dataclass(frozen=True)
 class Slice:
-    """Optional conditions of a slice; NULL values never meet a condition."""
+    """Optional conditions of a slice; NULL values never meet a condition. Times are seconds."""
 
     category: str | None = None
     parent_asin: str | None = None
@@ -43,16 +43,17 @@ def distinct_reviews(reviews: DataFrame) -> DataFrame:
 def select_reviews(reviews: DataFrame, meta: DataFrame, wanted: Slice = Slice()) -> DataFrame:
     """Reviews of the slice with product title and category; a product listed twice gives its reviews twice.
 
-    A condition on the category makes the left join an inner one. With a limit, the smallest keys are taken.
+    A condition on the category makes the left join an inner one. With a limit, the smallest keys are taken. Product and
+    time are part of a review's key, so their conditions come before rows are made distinct and reach the scan; the others
+    look at the one row that stands for a key.
     """
+    if wanted.parent_asin is not None:
+        reviews = reviews.where(F.col("parent_asin") == wanted.parent_asin)
+    if wanted.first_ts is not None or wanted.last_ts is not None:
+        reviews = reviews.where(between_seconds(F.col("unix_ts"), wanted.first_ts, wanted.last_ts))
     r = distinct_reviews(reviews)
-    for column, value in (("parent_asin", wanted.parent_asin), ("verified_purchase", wanted.verified)):
-        if value is not None:
-            r = r.where(F.col(column) == F.lit(value))
-    if wanted.first_ts is not None:
-        r = r.where(F.col("unix_ts") >= wanted.first_ts)
-    if wanted.last_ts is not None:
-        r = r.where(F.col("unix_ts") <= wanted.last_ts)
+    if wanted.verified is not None:
+        r = r.where(F.col("verified_purchase") == F.lit(wanted.verified))
     if wanted.min_helpful is not None:
         r = r.where(F.col("helpful_vote") >= wanted.min_helpful)
     m = meta.select("parent_asin", F.col("title").alias("product_title"), "main_category")

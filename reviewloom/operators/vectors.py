@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.operators.ordering import dense_ranks
+
 #: Targets that are held by every worker at a time (about 2 MB at 64 dimensions).
 BLOCK = 4096
 #: Rows that are multiplied with a block at a time (about 16 MB of scores).
@@ -197,6 +199,7 @@ def merge_small(df: DataFrame, cluster: str, key: str, vector: str, smallest: in
 
 
 def dense_labels(df: DataFrame, key: str, label: str, noise: int = -1) -> DataFrame:
-    """(key, dense_label): surviving labels renumbered from 0 in their order, noise kept. Labels are few beside the rows."""
-    kept = df.where(F.col(label) != noise).select(label).distinct().withColumn("dense_label", (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
+    """(key, dense_label): surviving labels renumbered from 0 in their order, noise kept."""
+    kept = df.where(F.col(label) != noise).select(label).distinct()
+    kept = dense_ranks(kept, [label], "dense_label").withColumn("dense_label", F.col("dense_label").cast("int"))
     return df.join(kept, label, "left").select(key, F.coalesce("dense_label", F.lit(noise)).alias("dense_label"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators import kernels, payloads, providers, reports
-from reviewloom.operators.selection import build_sentences, distinct_reviews, normalize_reviews
-from reviewloom.plans.general import decoded_json, list_rows
-from reviewloom.plans.opinions_sql import NORMALIZED, REVIEWS, SENTENCES, cascade, chain, strip, validity
+from reviewloom.operators.selection import build_sentences, distinct_reviews, first_per, normalize_reviews
+from reviewloom.operators.flatten import flatten_nested
+from reviewloom.plans.general import PAYLOAD_FIELDS, decoded_json, list_rows
+from reviewloom.plans.opinions_sql import NORMALIZED, REVIEWS, SENTENCES, cascade, chain, strip, validity, words_in
 from reviewloom.sources.tables import table
 
 
@@ -76,10 +77,17 @@ def n15_payload_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a25_payload_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aspects in the latest payloads that are plain JSON objects."""
+    """Aspects in the latest payload of every sentence, wherever the record stands in it."""
     raw, _ = _latest(spark, sf_dir)
-    n = F.coalesce(F.json_array_length(F.get_json_object("llm_output", "$.aspects")), F.lit(0))
-    return raw.groupBy("run_id").agg(F.sum(n).alias("n_aspects"), F.count_if(n > 0).alias("n_with_aspects"))
+    listed = flatten_nested(raw, "llm_output", ["run_id", "sentence_id"], PAYLOAD_FIELDS, declared=["aspects"]).where("list_name = 'aspects'")
+    found = listed.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_aspects"), F.count_distinct("sentence_id").alias("n_with_aspects"))
+    return raw.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_payloads")).join(found, "run_id", "left").fillna(0)
+
+
+def j09_new_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged opinions of the latest payloads that the stored run does not hold."""
+    judged = payloads.judge_payloads(*_latest(spark, sf_dir), fuzzy=False)[0]
+    return payloads.new_opinions(judged, table(spark, sf_dir, "aspect_sentiment_valid")).select("run_id", "sentence_id", "aspect_norm", "issue_norm")
 
 
 def l05_evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +100,6 @@ def l05_evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l08_traced_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of the stored reports traced to the samples of its cluster."""
-    from reviewloom.operators.flatten import flatten_nested
-    from reviewloom.operators.selection import first_per
-
     keys = ["run_id", "aspect_norm", "cluster_id"]
     once = first_per(table(spark, sf_dir, "cluster_reports"), keys, [F.asc("created_at"), F.col("evidence_items").asc_nulls_last()])
     items = flatten_nested(once, "evidence_items", keys, root_list="evidence_items", fields=["sentence_id", "quote"])
@@ -104,13 +109,15 @@ def l08_traced_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v04_rebuilt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many sentence ids of the stored runs the pipeline derives again from the reviews."""
+    """How many review keys and sentence ids of the stored runs the pipeline derives again from the reviews."""
     made = build_sentences(normalize_reviews(distinct_reviews(table(spark, sf_dir, "reviews")).withColumnsRenamed({"title": "review_title", "text": "review_text"})))
-    stored = table(spark, sf_dir, "review_sentences").select("review_pk").distinct()
-    return stored.join(made.select("review_pk").distinct().withColumn("known", F.lit(1)), "review_pk", "left").agg(F.count(F.lit(1)).alias("n_reviews"), F.count("known").alias("n_known"))
+    stored = table(spark, sf_dir, "review_sentences")
+    known = lambda key: stored.select(key).distinct().join(made.select(key).distinct().withColumn("known", F.lit(1)), key, "left")
+    counted = [known(key).agg(F.lit(key).alias("key"), F.count(F.lit(1)).alias("n_stored"), F.count("known").alias("n_known")) for key in ("review_pk", "sentence_id")]
+    return counted[0].unionByName(counted[1])
 
 
-QUERIES = {f.__name__: f for f in (c01_encoded_issues, c02_issue_vectors, c04_merged_aspects, c06_bucket_clusters, c07_hierarchical_density, c11_reranked, l04_completed, n14_judged_payloads, n15_payload_issues, a25_payload_aspects, l05_evidence_spans, l08_traced_evidence, v04_rebuilt_ids)}
+QUERIES = {f.__name__: f for f in (c01_encoded_issues, c02_issue_vectors, c04_merged_aspects, c06_bucket_clusters, c07_hierarchical_density, c11_reranked, l04_completed, n14_judged_payloads, n15_payload_issues, a25_payload_aspects, j09_new_opinions, l05_evidence_spans, l08_traced_evidence, v04_rebuilt_ids)}
 
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sentence_id ORDER BY created_at DESC, retry_count DESC, llm_model NULLS LAST, prompt_version NULLS LAST, llm_output NULLS LAST) AS k
   FROM aspect_sentiment_raw WHERE parse_status = 'SUCCESS') WHERE k = 1)"""
@@ -128,14 +135,39 @@ listed AS (
 kept AS (SELECT l.*, aspect_norm, {strip("lower(issue_raw)")} AS issue_norm FROM listed l JOIN cascade c ON l.aspect_raw = c.aspect_raw WHERE found),
 judged AS (SELECT *, row_number() OVER (PARTITION BY run_id, sentence_id, aspect_norm, issue_norm ORDER BY ordinal) AS k FROM kept WHERE {validity("aspect_norm", "issue_norm")} = 'VALID')
 """
+#: Evidence as a whole, or its first three words and then every further word in order, as a recursion over the words.
+_SPANS = f"""WITH RECURSIVE pairs AS (
+  SELECT DISTINCT v.run_id, v.sentence_id, evidence_text, lower(target_sentence) AS s, {strip("lower(evidence_text)")} AS e, coalesce(evidence_text, '') <> '' AND coalesce(target_sentence, '') <> '' AS usable
+  FROM (SELECT DISTINCT run_id, sentence_id, evidence_text FROM aspect_sentiment_valid) v
+  JOIN (SELECT run_id, sentence_id, min(target_sentence) AS target_sentence FROM review_sentences GROUP BY 1, 2) t ON v.run_id = t.run_id AND v.sentence_id = t.sentence_id
+), worded AS (SELECT *, {words_in("e")} AS ws, strpos(s, e) - 1 AS whole FROM pairs),
+headed AS (SELECT *, strpos(s, array_to_string(ws[1:3], ' ')) - 1 AS head FROM worded),
+walk AS (
+  SELECT run_id, sentence_id, evidence_text, s, ws, head, 0 AS i, head AS e_end, true AS open FROM headed WHERE usable AND whole < 0 AND len(ws) > 0 AND head >= 0
+  UNION ALL
+  SELECT run_id, sentence_id, evidence_text, s, ws, head, i + 1, CASE WHEN open AND strpos(substring(s, e_end + 1), ws[i + 1]) > 0 THEN e_end + strpos(substring(s, e_end + 1), ws[i + 1]) - 1 + length(ws[i + 1]) ELSE e_end END,
+    open AND strpos(substring(s, e_end + 1), ws[i + 1]) > 0 FROM walk WHERE i < len(ws)
+)
+SELECT h.run_id, h.sentence_id, h.evidence_text, CAST(CASE WHEN NOT usable THEN -1 WHEN whole >= 0 THEN whole WHEN w.e_end IS NOT NULL THEN h.head ELSE -1 END AS INT) AS start_char,
+  CAST(CASE WHEN NOT usable THEN -1 WHEN whole >= 0 THEN whole + length(h.evidence_text) WHEN w.e_end IS NOT NULL THEN w.e_end ELSE -1 END AS INT) AS end_char
+FROM headed h LEFT JOIN walk w ON w.i = len(w.ws) AND h.run_id = w.run_id AND h.sentence_id = w.sentence_id AND h.evidence_text = w.evidence_text"""
 ORACLES = {
     "n14_judged_payloads": _JUDGED + "SELECT run_id, sentence_id, aspect_norm, issue_norm, aspect_raw, sentiment, sentiment_score, evidence_text FROM judged WHERE k = 1",
     "n15_payload_issues": _JUDGED
-    + """SELECT run_id, issue_type, count(*) AS n FROM (SELECT run_id, 'PARSE_FAIL' AS issue_type FROM decoded WHERE NOT json_valid(llm_output) UNION ALL SELECT run_id, 'EVIDENCE_NOT_FOUND' FROM listed WHERE NOT found) GROUP BY 1, 2""",
-    "v04_rebuilt_ids": f"""SELECT count(*) AS n_reviews, count(k) AS n_known FROM (SELECT DISTINCT review_pk FROM review_sentences) s
-      LEFT JOIN (SELECT DISTINCT review_pk AS k FROM ({chain(REVIEWS, NORMALIZED, SENTENCES)} SELECT review_pk FROM sentences)) m ON s.review_pk = m.k""",
+    + """SELECT run_id, issue_type, count(*) AS n FROM (SELECT run_id, 'PARSE_FAIL' AS issue_type FROM decoded WHERE coalesce(json_type(p), '') <> 'OBJECT' UNION ALL SELECT run_id, 'EVIDENCE_NOT_FOUND' FROM listed WHERE NOT found) GROUP BY 1, 2""",
+    "v04_rebuilt_ids": " UNION ALL ".join(
+        f"""SELECT '{key}' AS key, count(*) AS n_stored, count(k) AS n_known FROM (SELECT DISTINCT {key} FROM review_sentences) s
+      LEFT JOIN (SELECT DISTINCT {key} AS k FROM ({chain(REVIEWS, NORMALIZED, SENTENCES)} SELECT * FROM sentences)) m ON s.{key} = m.k"""
+        for key in ("review_pk", "sentence_id")
+    ),
     "c02_issue_vectors": "SELECT aspect_norm, count(*) AS n_rows, count(DISTINCT issue_norm) AS n_texts FROM aspect_sentiment_valid WHERE validity_label = 'VALID' AND issue_norm IS NOT NULL GROUP BY 1",
     "l04_completed": "SELECT 'SUCCESS' AS parse_status, CAST(0 AS INT) AS retry_count, count(DISTINCT sentence_id) AS n FROM review_sentences",
-    "a25_payload_aspects": f"""WITH {_LATEST}, c AS (SELECT run_id, CASE WHEN json_valid(llm_output) THEN coalesce(json_array_length(llm_output, '$.aspects'), 0) ELSE 0 END AS n FROM latest)
-      SELECT run_id, CAST(sum(n) AS BIGINT) AS n_aspects, count(*) FILTER (WHERE n > 0) AS n_with_aspects FROM c GROUP BY 1""",
+    "a25_payload_aspects": f"""WITH {_LATEST}, decoded AS (SELECT 'raw' AS source_table, run_id, sentence_id AS parent_key, {decoded_json("llm_output")} AS p FROM latest),
+      records AS (SELECT * EXCLUDE (p), coalesce(json_extract(p, '$.result'), json_extract(p, '$.data.output'), p) AS r FROM decoded), items AS ({list_rows("records", "json_extract(r, '$.aspects')", "aspects")})
+      SELECT run_id, n_payloads, coalesce(n_aspects, 0) AS n_aspects, coalesce(n_with_aspects, 0) AS n_with_aspects FROM (SELECT run_id, count(*) AS n_payloads FROM latest GROUP BY 1)
+      LEFT JOIN (SELECT run_id, count(*) AS n_aspects, count(DISTINCT parent_key) AS n_with_aspects FROM items GROUP BY 1) USING (run_id)""",
+    "j09_new_opinions": _JUDGED
+    + """SELECT run_id, sentence_id, aspect_norm, issue_norm FROM judged j WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM aspect_sentiment_valid v
+      WHERE v.validity_label = 'VALID' AND v.run_id = j.run_id AND v.sentence_id = j.sentence_id AND v.aspect_norm = j.aspect_norm AND v.issue_norm = j.issue_norm)""",
+    "l05_evidence_spans": _SPANS,
 }

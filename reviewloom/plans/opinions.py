@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.functions.text import epoch_seconds
 from reviewloom.operators import extraction, normalize, opinion, selection
 from reviewloom.operators.selection import Slice
 from reviewloom.plans import opinions_sql
 from reviewloom.sources.tables import table
 
-SLICE = Slice(first_ts=1_650_000_000, last_ts=1_720_000_000_000, min_helpful=0)
+SLICE = Slice(first_ts=1_650_000_000, last_ts=1_720_000_000, min_helpful=0)
 
 
 def _selected(spark: SparkSession, sf_dir: str, wanted: Slice = Slice()) -> DataFrame:
@@ -27,6 +28,19 @@ def j01_selected_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(spark, sf_dir, SLICE).select("review_pk", "parent_asin", "asin", "user_id", "unix_ts", "rating", "verified_purchase", "helpful_vote", "review_title", "product_title", "main_category")
 
 
+def x14_epoch_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of the reviews in one unit, counted by year."""
+    seconds = epoch_seconds(F.col("unix_ts"))
+    return table(spark, sf_dir, "reviews").where("unix_ts is not null").groupBy(F.year(F.timestamp_seconds(seconds)).alias("year")).agg(F.count(F.lit(1)).alias("n_reviews"), F.min(seconds).alias("first"), F.max(seconds).alias("last"))
+
+
+def f02_product_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of one product, the one with the smallest name among the most reviewed."""
+    counts = table(spark, sf_dir, "reviews").where("parent_asin is not null").groupBy("parent_asin").agg(F.count(F.lit(1)).alias("n"))
+    first = counts.orderBy(F.desc("n"), "parent_asin").first()
+    return _selected(spark, sf_dir, Slice(parent_asin=first["parent_asin"] if first else "")).select("review_pk", "parent_asin", "rating", "product_title")
+
+
 def f01_category_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slice by category and verification, counted per product."""
     return _selected(spark, sf_dir, Slice(category="Home", verified=True)).groupBy("parent_asin").agg(F.count(F.lit(1)).alias("n_reviews"))
@@ -150,6 +164,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (s02_review_keys, j01_selected_reviews, f01_category_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, flagship)
+    for f in (s02_review_keys, j01_selected_reviews, x14_epoch_seconds, f01_category_slice, f02_product_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, flagship)
 }
 ORACLES = opinions_sql.ORACLES

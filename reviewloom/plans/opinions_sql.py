@@ -209,11 +209,16 @@ TO_OPINIONS = (*TO_CANDIDATES, OPINIONS)
 TO_JUDGED = (*TO_OPINIONS, JUDGED)
 _DOCS = f"normalized AS (SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS review_pk, parent_asin, epoch(fetched_at) AS unix_ts, CAST(NULL AS DOUBLE) AS rating, {clean('NULL::VARCHAR', 'text')} AS clean_text FROM documents) WHERE length(clean_text) >= 10)"
 
+SECONDS = "CASE WHEN unix_ts >= 100000000000 THEN unix_ts // 1000 ELSE unix_ts END"
 ORACLES = {
     "s02_review_keys": chain(REVIEWS) + "SELECT review_pk, parent_asin, unix_ts, rating FROM reviews_1",
     "j01_selected_reviews": chain(REVIEWS)
-    + """SELECT review_pk, r.parent_asin, asin, user_id, unix_ts, rating, verified_purchase, helpful_vote, r.title AS review_title, m.title AS product_title, main_category
-FROM reviews_1 r LEFT JOIN meta m ON r.parent_asin = m.parent_asin WHERE unix_ts BETWEEN 1650000000 AND 1720000000000 AND helpful_vote >= 0""",
+    + f"""SELECT review_pk, r.parent_asin, asin, user_id, unix_ts, rating, verified_purchase, helpful_vote, r.title AS review_title, m.title AS product_title, main_category
+FROM reviews_1 r LEFT JOIN meta m ON r.parent_asin = m.parent_asin WHERE {SECONDS} BETWEEN 1650000000 AND 1720000000 AND helpful_vote >= 0""",
+    "x14_epoch_seconds": f"SELECT CAST(year(make_timestamp(s * 1000000)) AS INT) AS year, count(*) AS n_reviews, min(s) AS first, max(s) AS last FROM (SELECT {SECONDS} AS s FROM reviews WHERE unix_ts IS NOT NULL) GROUP BY 1",
+    "f02_product_slice": chain(REVIEWS)
+    + """SELECT review_pk, r.parent_asin, rating, m.title AS product_title FROM reviews_1 r LEFT JOIN meta m ON r.parent_asin = m.parent_asin
+WHERE r.parent_asin = (SELECT parent_asin FROM reviews WHERE parent_asin IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",
     "f01_category_slice": chain(REVIEWS) + "SELECT r.parent_asin, count(*) AS n_reviews FROM reviews_1 r JOIN meta m ON r.parent_asin = m.parent_asin WHERE main_category = 'Home' AND verified_purchase = true GROUP BY 1",
     "o01_first_reviews": chain(REVIEWS) + "SELECT review_pk, m.title AS product_title FROM reviews_1 r LEFT JOIN meta m ON r.parent_asin = m.parent_asin ORDER BY review_pk, m.title NULLS LAST, main_category NULLS LAST LIMIT 100",
     "j08_meta_context": chain(META, CONTEXT) + "SELECT * FROM context",

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators import opinion, reports
+from reviewloom.operators.ordering import numbered
 from reviewloom.operators.selection import first_per
 from reviewloom.plans.opinions_sql import q, scored
+from reviewloom.sources import sinks
 from reviewloom.sources.tables import table
 
 KEYS = ["run_id", "aspect_norm", "cluster_id"]
@@ -34,19 +36,19 @@ def a01_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a04_duplicate_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten most repeated opinions."""
     keys = ["run_id", "sentence_id", "aspect_norm", "issue_norm"]
-    counts = table(spark, sf_dir, "aspect_sentiment_valid").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = table(spark, sf_dir, "aspect_sentiment_valid").where("validity_label = 'VALID'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return counts.orderBy(F.desc("n"), *keys).limit(10)
 
 
 def a05_aspect_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aspects named more than once in a sentence; normal if every issue differs."""
-    g = table(spark, sf_dir, "aspect_sentiment_valid").groupBy("run_id", "sentence_id", "aspect_norm").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("issue_norm").alias("n_issues")).where("n > 1")
+    g = table(spark, sf_dir, "aspect_sentiment_valid").where("validity_label = 'VALID'").groupBy("run_id", "sentence_id", "aspect_norm").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("issue_norm").alias("n_issues")).where("n > 1")
     return g.withColumn("verdict", F.when(F.col("n") == F.col("n_issues"), "normal").otherwise("duplicate"))
 
 
 def a06_busy_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with more than three opinions."""
-    return table(spark, sf_dir, "aspect_sentiment_valid").groupBy("run_id", "sentence_id").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
+    """Sentences with more than ten valid opinions."""
+    return reports.busy_sentences(table(spark, sf_dir, "aspect_sentiment_valid"))
 
 
 def a08_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,17 +115,22 @@ def l09_model_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*KEYS, reports.default_confidence(F.col("cluster_size")).alias("confidence"), reports.fallback_priority(F.col("cluster_size"), F.col("neg_ratio")).alias("priority"))
 
 
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clustered rows: every valid opinion with the first cluster of its aspect that its sentence represents; all others are noise."""
+    heads = reports.representatives(_stats(spark, sf_dir)).groupBy("run_id", "aspect_norm", "sentence_id").agg(F.min("cluster_id").alias("cluster_id"))
+    rows = table(spark, sf_dir, "aspect_sentiment_valid").where("validity_label = 'VALID'").select("run_id", "aspect_norm", "sentence_id", "issue_norm", "sentiment").distinct()
+    cluster, text = F.coalesce("cluster_id", F.lit("noise")), reports.cluster_key_text(F.col("aspect_norm"), F.col("issue_norm"))
+    return rows.join(heads, ["run_id", "aspect_norm", "sentence_id"], "left").select("run_id", "aspect_norm", cluster.alias("cluster_id"), "sentence_id", "issue_norm", "sentiment", text.alias("cluster_key_text"), F.col("cluster_id").isNull().alias("is_noise"))
+
+
 def s18_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Export rows of all clustered sentences."""
-    stats = _stats(spark, sf_dir)
-    clusters = reports.representatives(stats).select(*KEYS, "sentence_id").distinct()
-    return reports.export_rows(clusters, stats, table(spark, sf_dir, "cluster_reports"), table(spark, sf_dir, "review_sentences"))
+    """Export rows of all clustered opinions, in order."""
+    return numbered(reports.export_rows(_clustered(spark, sf_dir), _stats(spark, sf_dir), table(spark, sf_dir, "cluster_reports"), table(spark, sf_dir, "review_sentences")), ["run_id"], reports.export_order(), "row_no").select("run_id", "row_no", *reports.EXPORT_COLUMNS)
 
 
 def s19_export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.representatives(_stats(spark, sf_dir))
-    aspects = F.array_join(F.sort_array(F.collect_set("aspect_norm")), ",")
-    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("cluster_id").alias("n_clusters"), F.count_if(F.col("cluster_id") == "noise").alias("n_noise"), aspects.alias("aspects"))
+    """Records, clusters, noise and aspects of each run's export."""
+    return reports.export_summary(_clustered(spark, sf_dir))
 
 
 def s16_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,17 +140,20 @@ def s16_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("original").agg(F.max("normalized").alias("normalized"))
 
 
+def _as_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a run log: users are runs, types are steps."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("step_name"), F.col("event_id").cast("string").alias("state"), F.col("value").alias("output_rows"), F.lit(None).cast("string").alias("error"), F.col("ts").alias("logged_at"))
+
+
 def s11_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest state of every step from an append-only log: the events, with users as runs and types as steps."""
-    log = table(spark, sf_dir, "events")
-    state = F.max(F.struct("ts", "event_id", "value")).alias("last")
-    return log.groupBy("user_id", "event_type").agg(state, F.count(F.lit(1)).alias("n_events")).select("user_id", "event_type", F.col("last.event_id").alias("event_id"), F.col("last.value").alias("value"), "n_events")
+    """Latest state of every step of every run from an append-only log."""
+    return sinks.latest_states(_as_log(spark, sf_dir)).select("run_id", "step_name", "state", "output_rows")
 
 
 def s13_cleaned_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log without some steps of some runs, as an inverted filter."""
-    gone = (F.col("user_id") % 7 == 0) & F.col("event_type").isin("click", "view")
-    return table(spark, sf_dir, "events").where(~F.coalesce(gone, F.lit(False))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"))
+    """The log after some steps of one run were cleaned, counted by step."""
+    log = _as_log(spark, sf_dir)
+    return sinks.without_steps(log, "7", ["click", "view"]).groupBy("step_name").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 def j03_open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +163,6 @@ def j03_open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_rows"), F.count("o_custkey").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-def j09_orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Existence check as an anti join."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left_anti").select("o_orderkey", "o_orderstatus")
-
-
 def s05_parameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A read with named parameters."""
     text = "SELECT s_nationkey, count(*) AS n_suppliers FROM {suppliers} WHERE s_acctbal >= :least GROUP BY s_nationkey"
@@ -170,7 +174,7 @@ QUERIES = {
     for f in (
         w01_latest_extractions, w02_first_opinions, a01_run_counts, a04_duplicate_opinions, a05_aspect_repeats, a06_busy_sentences, a08_products, a24_coverage_metrics, r10_metric_display,
         a07_cluster_means, f15_representatives, j05_cluster_samples, o02_largest_clusters, o03_report_rows, r02_insights, l09_model_defaults, s18_export, s19_export_summary, s16_taxonomy,
-        s11_run_log, s13_cleaned_log, j03_open_orders, j09_orders_without_lines, s05_parameterised,
+        s11_run_log, s13_cleaned_log, j03_open_orders, s05_parameterised,
     )
 }
 
@@ -181,6 +185,12 @@ _REPS = """reps AS (
   SELECT * FROM (SELECT run_id, aspect_norm, cluster_id, CAST(i - 1 AS INT) AS position, ids[i] AS sentence_id
     FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM (SELECT *, CAST(CAST(representative_sentence_ids AS JSON) AS VARCHAR[]) AS ids FROM stats))) WHERE sentence_id IS NOT NULL
 )"""
+_CLUSTERED = """clustered AS (
+  SELECT run_id, aspect_norm, coalesce(cluster_id, 'noise') AS cluster_id, sentence_id, issue_norm, sentiment, cluster_id IS NULL AS is_noise, 'Aspect: ' || coalesce(aspect_norm, '') || chr(10) || 'Issue: ' || coalesce(issue_norm, '') AS cluster_key_text
+  FROM (SELECT DISTINCT run_id, aspect_norm, sentence_id, issue_norm, sentiment FROM aspect_sentiment_valid WHERE validity_label = 'VALID')
+  LEFT JOIN (SELECT run_id, aspect_norm, sentence_id, min(cluster_id) AS cluster_id FROM reps GROUP BY 1, 2, 3) USING (run_id, aspect_norm, sentence_id)
+)"""
+_ONE_LINE = "translate(coalesce({}, ''), chr(10) || chr(13), '  ')"
 _SAMPLES = """samples AS (
   SELECT * FROM (
     SELECT r.*, s.target_sentence, sample_aspect, issue_norm, CAST(row_number() OVER (PARTITION BY r.run_id, aspect_norm, cluster_id ORDER BY position, sample_aspect NULLS LAST, issue_norm NULLS LAST) AS INT) AS sample_no
@@ -225,10 +235,10 @@ ORACLES = {
       ORDER BY created_at DESC, issue_norm NULLS LAST, sentiment NULLS LAST, sentiment_score NULLS LAST, evidence_text NULLS LAST) AS k FROM aspect_sentiment_valid) WHERE k = 1""",
     "a01_run_counts": """SELECT run_id, count(*) AS n_records, count(DISTINCT sentence_id) AS n_sentences, count(*) FILTER (WHERE validity_label = 'VALID') AS n_valid, count(*) FILTER (WHERE validity_label = 'NOISE') AS n_noise,
       count(*) FILTER (WHERE validity_label = 'INVALID') AS n_invalid, round(avg(sentiment_score), 6) AS mean_score FROM aspect_sentiment_valid GROUP BY 1""",
-    "a04_duplicate_opinions": "SELECT run_id, sentence_id, aspect_norm, issue_norm, count(*) AS n FROM aspect_sentiment_valid GROUP BY 1, 2, 3, 4 HAVING count(*) > 1 ORDER BY n DESC, 1, 2, 3, 4 LIMIT 10",
+    "a04_duplicate_opinions": "SELECT run_id, sentence_id, aspect_norm, issue_norm, count(*) AS n FROM aspect_sentiment_valid WHERE validity_label = 'VALID' GROUP BY 1, 2, 3, 4 HAVING count(*) > 1 ORDER BY n DESC, 1, 2, 3, 4 LIMIT 10",
     "a05_aspect_repeats": """SELECT run_id, sentence_id, aspect_norm, count(*) AS n, count(DISTINCT issue_norm) AS n_issues, CASE WHEN count(*) = count(DISTINCT issue_norm) THEN 'normal' ELSE 'duplicate' END AS verdict
-      FROM aspect_sentiment_valid GROUP BY 1, 2, 3 HAVING count(*) > 1""",
-    "a06_busy_sentences": "SELECT run_id, sentence_id, count(*) AS n FROM aspect_sentiment_valid GROUP BY 1, 2 HAVING count(*) > 3",
+      FROM aspect_sentiment_valid WHERE validity_label = 'VALID' GROUP BY 1, 2, 3 HAVING count(*) > 1""",
+    "a06_busy_sentences": "SELECT run_id, sentence_id, count(*) AS n FROM aspect_sentiment_valid WHERE validity_label = 'VALID' GROUP BY 1, 2 HAVING count(*) > 10",
     "a08_products": "SELECT DISTINCT run_id, parent_asin FROM review_sentences",
     "a24_coverage_metrics": _METRICS + "SELECT * FROM metrics",
     "r10_metric_display": _METRICS + "SELECT run_id, metric_name, CASE WHEN contains(metric_name, 'coverage') OR contains(metric_name, 'rate') THEN printf('%.2f', round(metric_value * 100, 2)) || '%' ELSE printf('%.4f', metric_value) END AS shown FROM metrics",
@@ -258,20 +268,23 @@ ORACLES = {
       FROM stats s LEFT JOIN top t ON s.run_id = t.run_id AND s.aspect_norm = t.aspect_norm AND s.cluster_id = t.cluster_id LEFT JOIN early e ON s.run_id = e.run_id AND s.aspect_norm = e.aspect_norm AND s.cluster_id = e.cluster_id""",
     "l09_model_defaults": f"""WITH {_STATS} SELECT run_id, aspect_norm, cluster_id, CASE WHEN cluster_size > 5 THEN 0.8 WHEN cluster_size > 2 THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence,
       CASE WHEN cluster_size < 10 THEN 'low' WHEN neg_ratio > 0.5 AND cluster_size > 20 THEN 'high' ELSE 'medium' END AS priority FROM stats WHERE cluster_size IS NOT NULL AND neg_ratio IS NOT NULL""",
-    "s18_export": f"""WITH {_STATS}, {_REPS}, c AS (SELECT DISTINCT run_id, aspect_norm, cluster_id, sentence_id FROM reps),
-      r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, aspect_norm, cluster_id ORDER BY created_at, cluster_name NULLS LAST) AS k FROM cluster_reports) WHERE k = 1),
-      t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sentence_id ORDER BY created_at, target_sentence NULLS LAST) AS k FROM review_sentences) WHERE k = 1)
-      SELECT c.run_id, c.aspect_norm, c.cluster_id, c.sentence_id, coalesce(CAST(cluster_size AS VARCHAR), '') AS cluster_size, {_FMT.format("neg_ratio", 4)} AS neg_ratio, {_FMT.format("cohesion", 4)} AS cohesion,
-        {_FMT.format("cluster_confidence", 4)} AS cluster_confidence, {_FMT.format("r.confidence", 4)} AS insight_confidence, coalesce(cluster_name, '') AS cluster_name, coalesce(priority, '') AS priority, {_FMT.format("rating", 1)} AS rating,
-        CASE WHEN verified_purchase THEN '是' WHEN verified_purchase IS NOT NULL THEN '否' ELSE '' END AS verified, translate(coalesce(target_sentence, ''), chr(10) || chr(13), '  ') AS target_sentence,
-        CAST(row_number() OVER (PARTITION BY c.run_id ORDER BY c.aspect_norm, CASE WHEN c.cluster_id = 'noise' THEN 1 ELSE 0 END, CASE WHEN c.cluster_id = 'noise' THEN 'zzz_noise' ELSE lpad(c.cluster_id, 10, '0') END, unix_ts DESC NULLS LAST, c.sentence_id) AS INT) AS row_no
-      FROM c LEFT JOIN stats s ON c.run_id = s.run_id AND c.aspect_norm = s.aspect_norm AND c.cluster_id = s.cluster_id LEFT JOIN r ON c.run_id = r.run_id AND c.aspect_norm = r.aspect_norm AND c.cluster_id = r.cluster_id
-      LEFT JOIN t ON c.run_id = t.run_id AND c.sentence_id = t.sentence_id""",
-    "s19_export_summary": f"WITH {_STATS}, {_REPS} SELECT run_id, count(*) AS n_records, count(DISTINCT cluster_id) AS n_clusters, count(*) FILTER (WHERE cluster_id = 'noise') AS n_noise, string_agg(DISTINCT aspect_norm, ',' ORDER BY aspect_norm) AS aspects FROM reps GROUP BY 1",
+    "s18_export": f"""WITH {_STATS}, {_REPS}, {_CLUSTERED},
+      r AS (SELECT run_id, aspect_norm, cluster_id, cluster_name, summary, priority, confidence AS insight_confidence FROM (SELECT *, row_number() OVER (PARTITION BY run_id, aspect_norm, cluster_id ORDER BY created_at, cluster_name NULLS LAST) AS k FROM cluster_reports) WHERE k = 1),
+      t AS (SELECT run_id, sentence_id, review_pk, parent_asin, unix_ts, rating, verified_purchase, helpful_vote, sentence_index, target_sentence, prev_sentence, next_sentence, context_text
+        FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sentence_id ORDER BY created_at, target_sentence NULLS LAST, context_text NULLS LAST) AS k FROM review_sentences) WHERE k = 1),
+      z AS (SELECT run_id, aspect_norm, cluster_id, cluster_size, neg_ratio, intra_cluster_distance, inter_cluster_distance, separation_ratio, cohesion, cluster_confidence, sentiment_consistency, representative_sentence_ids FROM stats)
+      SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY aspect_norm, CASE WHEN cluster_id = 'noise' THEN 1 ELSE 0 END, CASE WHEN cluster_id = 'noise' THEN 'zzz_noise' ELSE lpad(cluster_id, 10, '0') END, unix_ts DESC NULLS LAST, sentence_id, coalesce(issue_norm, ''), coalesce(sentiment, '')) AS row_no,
+        aspect_norm, cluster_id, coalesce(cluster_name, '') AS cluster_name, CASE WHEN is_noise THEN '是' ELSE '否' END AS is_noise, coalesce(issue_norm, '') AS issue_norm, coalesce(sentiment, '') AS sentiment, cluster_key_text, coalesce(priority, '') AS priority,
+        coalesce(CAST(cluster_size AS VARCHAR), '') AS cluster_size, {_FMT.format("neg_ratio", 4)} AS neg_ratio, {_FMT.format("intra_cluster_distance", 4)} AS intra_cluster_distance, {_FMT.format("inter_cluster_distance", 4)} AS inter_cluster_distance,
+        {_FMT.format("separation_ratio", 4)} AS separation_ratio, {_FMT.format("cohesion", 4)} AS cohesion, {_FMT.format("cluster_confidence", 4)} AS cluster_confidence, {_FMT.format("sentiment_consistency", 4)} AS sentiment_consistency, {_FMT.format("insight_confidence", 4)} AS insight_confidence,
+        coalesce(representative_sentence_ids, '') AS representative_sentence_ids, coalesce(summary, '') AS summary, sentence_id, coalesce(review_pk, '') AS review_pk, coalesce(parent_asin, '') AS parent_asin, coalesce(CAST(unix_ts AS VARCHAR), '') AS timestamp,
+        {_FMT.format("rating", 1)} AS rating, CASE WHEN verified_purchase THEN '是' WHEN verified_purchase IS NOT NULL THEN '否' ELSE '' END AS verified_purchase, coalesce(CAST(helpful_vote AS VARCHAR), '') AS helpful_vote, coalesce(CAST(sentence_index AS VARCHAR), '') AS sentence_index,
+        {_ONE_LINE.format("target_sentence")} AS target_sentence, {_ONE_LINE.format("prev_sentence")} AS prev_sentence, {_ONE_LINE.format("next_sentence")} AS next_sentence, {_ONE_LINE.format("context_text")} AS context_text
+      FROM clustered LEFT JOIN z USING (run_id, aspect_norm, cluster_id) LEFT JOIN r USING (run_id, aspect_norm, cluster_id) LEFT JOIN t USING (run_id, sentence_id)""",
+    "s19_export_summary": f"WITH {_STATS}, {_REPS}, {_CLUSTERED} SELECT run_id, count(*) AS n_records, count(DISTINCT cluster_id) FILTER (WHERE cluster_id <> 'noise') AS n_clusters, count(*) FILTER (WHERE is_noise) AS n_noise, string_agg(DISTINCT nullif(aspect_norm, ''), ',' ORDER BY nullif(aspect_norm, '')) AS aspects FROM clustered GROUP BY 1",
     "s16_taxonomy": r"SELECT original, max(normalized) AS normalized FROM (SELECT lower(regexp_replace(original, '^\s+|\s+$', '', 'g')) AS original, lower(regexp_replace(normalized, '^\s+|\s+$', '', 'g')) AS normalized FROM aspect_synonyms) WHERE original <> '' AND normalized <> '' GROUP BY 1",
-    "s11_run_log": "SELECT user_id, event_type, event_id, value, n_events FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n_events, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC, value DESC) AS k FROM events) WHERE k = 1",
-    "s13_cleaned_log": "SELECT event_type, count(*) AS n_events FROM events WHERE NOT coalesce(user_id % 7 = 0 AND event_type IN ('click', 'view'), false) GROUP BY 1",
+    "s11_run_log": "SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS step_name, CAST(event_id AS VARCHAR) AS state, value AS output_rows FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS k FROM events) WHERE k = 1",
+    "s13_cleaned_log": "SELECT event_type AS step_name, count(*) AS n_events FROM events WHERE NOT (user_id = 7 AND event_type IN ('click', 'view')) GROUP BY 1",
     "j03_open_orders": "SELECT c_mktsegment, count(*) AS n_rows, count(o_custkey) AS n_orders, round(sum(o_totalprice), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT' GROUP BY 1",
-    "j09_orders_without_lines": "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "s05_parameterised": "SELECT s_nationkey, count(*) AS n_suppliers FROM supplier WHERE s_acctbal >= 1000.0 GROUP BY 1",
 }

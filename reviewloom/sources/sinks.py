@@ -49,6 +49,17 @@ def steps_from(order: list[str], first: str | None) -> list[str]:
     return order[order.index(first) :]
 
 
+def latest_states(log: DataFrame) -> DataFrame:
+    """(run_id, step_name, state, output_rows, error): the last event of every step; of events at one time the largest state."""
+    last = F.max_by(F.struct("state", "output_rows", "error"), F.struct("logged_at", "state"))
+    return log.groupBy("run_id", "step_name").agg(last.alias("s")).select("run_id", "step_name", "s.*")
+
+
+def without_steps(log: DataFrame, run: str, steps: Iterable[str]) -> DataFrame:
+    """The log without the events of some steps of a run; NULL runs and steps stay."""
+    return log.where(~F.coalesce((F.col("run_id") == run) & F.col("step_name").isin(list(steps)), F.lit(False)))
+
+
 class RunStore:
     """Tables of runs in one folder, partitioned by run, so that a run is read, replaced and dropped on its own."""
 
@@ -94,8 +105,7 @@ class RunStore:
 
     def state(self, run: str) -> DataFrame:
         """Latest state of every step of a run."""
-        log = self.spark.read.parquet(self.path("run_log")).where(F.col("run_id") == run)
-        return log.groupBy("step_name").agg(F.max_by(F.struct("state", "output_rows", "error"), "logged_at").alias("s")).select("step_name", "s.*")
+        return latest_states(self.spark.read.parquet(self.path("run_log")).where(F.col("run_id") == run)).drop("run_id")
 
     def run_steps(self, run: str, steps: dict, depends: dict[str, Iterable[str]], first: str | None = None) -> list[str]:
         """Run step functions (store, run) -> rows written in order, logging each; a failure is logged and raised."""
