@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions import lexicons as lx
-from reviewloom.functions.text import BEFORE, SPACE, WORD, any_hit, find, first_hit, hits, strip, window
+from reviewloom.functions.plans import filter_above
+from reviewloom.functions.text import BEFORE, SPACE, WORD, any_hit, constant_list, find, first_hit, hits, strip, window
 
 _CANDIDATE = "array<struct<stage:int,seed_no:int,place:int,text:string,seed:string,confidence:double>>"
 
@@ -19,15 +20,16 @@ def _n_words(text: Column) -> Column:
     return F.size(F.split(text, SPACE))
 
 
-def candidates(sentences: DataFrame) -> DataFrame:
-    """Aspect candidates of each sentence (sentence_id, target_sentence, context_text), one row per different text.
+def with_candidates(sentences: DataFrame) -> DataFrame:
+    """Adds `candidates`, an array of the aspect candidates of each sentence (target_sentence, context_text), first ones first.
 
     A seed with the word before and behind it (0.8), up to three words behind an adjective (0.6), and, where the sentence
     holds a pronoun, seeds of its context (0.5). Of equal texts the first counts: by stage, seed order, place.
     """
-    sentences = sentences.withColumns({"_s": F.lower("target_sentence"), "_context": F.lower("context_text")})
+    s, context = F.lower("target_sentence"), F.lower("context_text")
+    word_before = r"[\p{L}\p{N}_]*[\s\p{Z}]*"
+    sentences = sentences.withColumns({"_s": s, "_context": context})
     s, context = F.col("_s"), F.col("_context")
-    word_before = rf"[\p{{L}}\p{{N}}_]*[\s\p{{Z}}]*"
     parts = [F.when(F.contains(s, F.lit(w)), _found(F.regexp_extract_all(s, F.lit(f"{word_before}{w}[\\s\\p{{Z}}]*[\\p{{L}}\\p{{N}}_]*"), F.lit(0)), 1, n, w, 0.8)) for n, w in enumerate(lx.ASPECT_SEEDS)]
     phrase = f"{BEFORE}(?:{'|'.join(lx.ADJECTIVES)}){SPACE}({WORD}(?:{SPACE}{WORD}){{0,2}})"
     parts.append(F.filter(_found(F.regexp_extract_all(s, F.lit(phrase), F.lit(1)), 2, 0, None, 0.6), lambda c: ~c["text"].isin(lx.STOP_NOUNS)))
@@ -35,26 +37,44 @@ def candidates(sentences: DataFrame) -> DataFrame:
     referred = F.transform(seeds, lambda x: F.struct(F.lit(3).alias("stage"), x["n"].alias("seed_no"), F.lit(0).alias("place"), x["w"].alias("text"), x["w"].alias("seed"), F.lit(0.5).alias("confidence")))
     parts.append(F.when(any_hit(s, lx.PRONOUNS), referred))
     joined = F.flatten(F.array(*[F.coalesce(p.cast(_CANDIDATE), F.array().cast(_CANDIDATE)) for p in parts]))
-    rows = sentences.select("*", F.explode(F.filter(joined, lambda c: _n_words(c["text"]) <= 3)).alias("c")).select("*", "c.*").drop("c", "_s", "_context")
-    by_order = Window.partitionBy("sentence_id", "text").orderBy("stage", "seed_no", "place")
-    return rows.withColumn("_first", F.row_number().over(by_order)).where("_first = 1").drop("_first")
+    sentences = sentences.withColumn("_all", F.filter(joined, lambda c: _n_words(c["text"]) <= 3)).drop("_s", "_context")
+    first = F.filter("_all", lambda c, i: ~F.exists(F.slice("_all", 1, i), lambda e: e["text"] == c["text"]))
+    return sentences.withColumn("candidates", first).drop("_all")
+
+
+def candidates(sentences: DataFrame) -> DataFrame:
+    """The candidates of with_candidates as rows; sentences without any give none."""
+    return with_candidates(sentences).select("*", F.explode("candidates").alias("_c")).select("*", "_c.*").drop("_c", "candidates")
 
 
-def rank_candidates(rows: DataFrame, most: int = 5) -> DataFrame:
-    """Candidates that name something, best first, at most `most` per sentence.
+def ranked_candidates(sentences: DataFrame, most: int = 5) -> DataFrame:
+    """Candidates that name something, best first, at most `most` per sentence, as rows with candidate_rank.
 
-    A word of the candidate in the product's title or features adds 0.2, a sentiment word within 20 characters 0.1.
+    A word of the candidate in the product's title or features adds 0.2, a sentiment word within 20 characters 0.1. All of
+    it is done inside the row of the sentence, before the candidates become rows, and needs no shuffle.
     """
-    text, s = F.col("text"), F.col("_s")
-    kept = rows.where(~text.isin(lx.STOP_NOUNS) & (F.length(text) >= 2) & (_n_words(text) <= 4)).withColumn("_s", F.lower("target_sentence"))
     meta_text = F.concat(F.coalesce(F.concat(F.lower("product_title"), F.lit(" ")), F.lit("")), F.coalesce(F.lower("features_short"), F.lit("")))
-    kept = kept.withColumns({"_meta": meta_text, "_near": window(s, text, find(s, text), 20)})
-    in_meta = F.exists(F.split(text, SPACE), lambda w: F.contains("_meta", w)) & (F.col("_meta") != "")
-    with_word = (find(s, text) >= 0) & any_hit(F.col("_near"), lx.POSITIVE + lx.NEGATIVE)
-    confidence = F.col("confidence") + F.when(in_meta, 0.2).otherwise(0.0)
-    confidence = confidence + F.when(with_word, 0.1).otherwise(0.0)
-    best = Window.partitionBy("sentence_id").orderBy(F.desc("confidence"), "stage", "seed_no", "place", "text")
-    return kept.withColumn("confidence", confidence).withColumn("candidate_rank", F.row_number().over(best)).where(F.col("candidate_rank") <= most).drop("_s", "_meta", "_near")
+    rows = with_candidates(sentences).withColumns({"_s": F.lower("target_sentence"), "_meta": meta_text})
+    s, meta = F.col("_s"), F.col("_meta")
+
+    def rated(c: Column) -> Column:
+        text = c["text"]
+        near = window(s, text, find(s, text), 20)
+        in_meta = F.exists(F.split(text, SPACE), lambda w: F.contains(meta, w)) & (meta != "")
+        words = F.when(find(s, text) >= 0, F.filter(constant_list(lx.POSITIVE + lx.NEGATIVE), lambda w: F.contains(near, w))).otherwise(F.array().cast("array<string>"))
+        confidence = c["confidence"] + F.when(in_meta, 0.2).otherwise(0.0)
+        confidence = confidence + F.when(F.size(words) > 0, 0.1).otherwise(0.0)
+        return F.struct((-confidence).alias("order"), *[c[n].alias(n) for n in ("stage", "seed_no", "place", "text", "seed")], confidence.alias("confidence"), F.array_distinct(words).alias("sentiment_words"))
+
+    named = F.filter("candidates", lambda c: ~c["text"].isin(lx.STOP_NOUNS) & (F.length(c["text"]) >= 2) & (_n_words(c["text"]) <= 4))
+    best = F.slice(F.array_sort(F.transform(named, rated)), 1, most)
+    rows = rows.select("*", F.posexplode(best).alias("_i", "_c")).select("*", (F.col("_i") + 1).alias("candidate_rank"), "_c.*")
+    return rows.drop("candidates", "_s", "_meta", "_i", "_c", "order")
+
+
+def debug_features() -> Column:
+    """What led to an opinion, as JSON: the seed, the sentiment words near it, and a pattern, which no stage names."""
+    return F.to_json(F.struct(F.col("seed").alias("matched_seed"), "sentiment_words", F.lit(None).cast("string").alias("extraction_pattern")), {"ignoreNullFields": "false"})
 
 
 def classify(rows: DataFrame) -> DataFrame:
@@ -64,7 +84,8 @@ def classify(rows: DataFrame) -> DataFrame:
     """
     text, s = F.col("text"), F.lower(F.col("target_sentence"))
     near = F.col("_near")
-    rows = rows.withColumn("_near", window(s, text, F.greatest(find(s, text), F.lit(0)), 30)).withColumns({"_p": hits(near, lx.POSITIVE), "_n": hits(near, lx.NEGATIVE), "_f": any_hit(near, lx.FLIPS)}).where("_p + _n > 0")
+    rows = rows.withColumn("_near", window(s, text, F.greatest(find(s, text), F.lit(0)), 30)).withColumns({"_p": hits(near, lx.POSITIVE), "_n": hits(near, lx.NEGATIVE), "_f": any_hit(near, lx.FLIPS)})
+    rows = filter_above(rows, "_p + _n > 0")
     positive = F.when(F.col("_f"), F.col("_n")).otherwise(F.col("_p")) / (F.col("_p") + F.col("_n"))
     rows = rows.withColumn("_r", positive)
     sentiment = F.when(F.col("_r") > 0.6, "positive").when(F.col("_r") < 0.4, "negative").otherwise("neutral")
@@ -79,7 +100,7 @@ def issue_phrases(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_near": window(s, text, find(s, text), 15), "evidence_text": evidence, "_has": find(s, text) >= 0})
     near = F.col("_near")
     some = lambda pattern, group: F.nullif(F.regexp_extract(near, pattern, group), F.lit(""))
-    by_aspect = lambda tail, group: F.nullif(F.expr(f"regexp_extract(_near, concat(text, r'{tail}'), {group})"), F.lit(""))
+    by_aspect = lambda tail, group: F.nullif(F.expr(f"regexp_extract(_near, concat(r'\\Q', text, r'\\E', r'{tail}'), {group})"), F.lit(""))
     is_what = strip(by_aspect(f"{SPACE}(?:is|are|was|were){SPACE}({WORD}(?:{SPACE}{WORD})?)", 1))
     does = F.concat(by_aspect(f"{SPACE}({WORD}){SPACE}({WORD})", 1), F.lit(" "), by_aspect(f"{SPACE}({WORD}){SPACE}({WORD})", 2))
     too = F.concat(F.lit("too "), some(f"too{SPACE}({WORD})", 1))
@@ -94,4 +115,4 @@ def issue_phrases(rows: DataFrame) -> DataFrame:
 
 def extract(sentences: DataFrame, most: int = 5) -> DataFrame:
     """All steps: sentences (sentence_id, target_sentence, context_text, product_title, features_short) to opinions."""
-    return issue_phrases(classify(rank_candidates(candidates(sentences), most))).withColumnRenamed("text", "aspect_raw")
+    return issue_phrases(classify(ranked_candidates(sentences, most))).withColumnRenamed("text", "aspect_raw")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.functions.plans import filter_above
 from reviewloom.functions.text import between_seconds, merged_clean, non_empty, review_pk, split_plain, truncated
 
 
@@ -83,7 +84,7 @@ def meta_context(selected: DataFrame, meta: DataFrame) -> DataFrame:
 def normalize_reviews(selected: DataFrame, min_length: int = 10) -> DataFrame:
     """Cleaned text of reviews that keep at least `min_length` characters, with cleaning flags (NULL if none)."""
     out = selected.select("review_pk", "parent_asin", "unix_ts", "rating", merged_clean(F.col("review_title"), F.col("review_text")).alias("clean_text"), F.when(non_empty(F.col("review_title")).isNull(), "no_title").alias("cleaning_flags"))
-    return out.where(F.length("clean_text") >= min_length)
+    return filter_above(out, F.length("clean_text") >= min_length)
 
 
 def build_sentences(normalized: DataFrame, context_window: int = 1) -> DataFrame:

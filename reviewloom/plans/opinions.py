@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.functions.plans import filter_above
 from reviewloom.functions.text import epoch_seconds
 from reviewloom.operators import extraction, normalize, opinion, selection
 from reviewloom.operators.selection import Slice
@@ -95,13 +96,13 @@ def a22_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opinions of the candidate sentences with product context (right-hand filter before the join)."""
-    kept = _scored(spark, sf_dir).where("is_candidate")
+    kept = filter_above(_scored(spark, sf_dir), "is_candidate")
     context = selection.meta_context(table(spark, sf_dir, "reviews"), table(spark, sf_dir, "meta")).select("parent_asin", "product_title", "features_short")
     return kept.join(context, "parent_asin", "left")
 
 
 def t07_aspect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extraction.rank_candidates(extraction.candidates(_opinions(spark, sf_dir)))
+    rows = extraction.ranked_candidates(_opinions(spark, sf_dir))
     return rows.select("sentence_id", "candidate_rank", "text", "stage", F.round("confidence", 4).alias("confidence"))
 
 
