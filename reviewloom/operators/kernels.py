@@ -1,9 +1,9 @@
-"""Clustering kernels for buckets of bounded size, and the choice of a method by bucket size.
+"""Clustering kernels for buckets, and the choice of a method by bucket size.
 
-Average linkage and hierarchical density clustering need all distances of a bucket, so they run on buckets of at most
-MAX_KERNEL_ROWS rows, one Arrow group each. Larger buckets go to the distributed density clustering, or, where the method
-must not depend on size, to the same hierarchical one with distances computed row by row: memory grows with the rows, time
-with their square, in one task per bucket.
+A bucket of one row is its own cluster, small ones go to agglomerative clustering, all others to hierarchical density
+clustering. Linkage needs all distances of a bucket at once, so it is refused above MAX_KERNEL_ROWS rows. Hierarchical density
+clustering computes them row by row there, with the same result: memory grows with the rows, time with their square, in one
+task per bucket. DBSCAN, if asked for, is spread over all executors whatever the size of a bucket.
 """
 
 from __future__ import annotations
@@ -12,15 +12,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.neighbor_graph import dbscan
-from reviewloom.sources.tables import materialize
 
 #: Buckets below this go to average linkage.
 SMALL = 100
-#: Buckets above this are too large for a kernel that holds all distances.
+#: Rows of which all distances are held at once, at most.
 MAX_KERNEL_ROWS = 5_000
 #: A bucket stage is worth its cost from so many rows per bucket.
 ROWS_PER_BUCKET = 100.0
@@ -44,15 +43,18 @@ def _renumber(labels: np.ndarray) -> np.ndarray:
     return np.array([-1 if x < 0 else known.setdefault(int(x), len(known)) for x in labels], dtype=np.int64)
 
 
-def agglomerative(vectors: np.ndarray, threshold: float | None = 0.5, n_clusters: int | None = None, by: str = "cosine") -> np.ndarray:
-    """Average linkage until the closest clusters are farther apart than the threshold, or n_clusters are left.
+def agglomerative(vectors: np.ndarray, threshold: float | None = 0.5, n_clusters: int | None = None, by: str = "cosine", linkage: str = "average") -> np.ndarray:
+    """Linkage until the closest clusters are farther apart than the threshold, or n_clusters are left.
 
-    Ties join the clusters that hold the earlier rows.
+    linkage: average, or ward, which measures Euclidean distance whatever `by` asks for. Ties join the clusters that hold
+    the earlier rows.
     """
     n = len(vectors)
+    if n > MAX_KERNEL_ROWS:
+        raise ValueError(f"agglomerative clustering of {n} rows; it needs all distances at once, of at most {MAX_KERNEL_ROWS}")
     if n < 2:
         return np.zeros(n, dtype=np.int64)
-    d = _distances(np.asarray(vectors, dtype=np.float64), by)
+    d = _distances(np.asarray(vectors, dtype=np.float64), "euclidean" if linkage == "ward" else by)
     np.fill_diagonal(d, np.inf)
     size, labels, alive = np.ones(n), np.arange(n), n
     while alive > (n_clusters or 1):
@@ -60,7 +62,13 @@ def agglomerative(vectors: np.ndarray, threshold: float | None = 0.5, n_clusters
         if n_clusters is None and d[i, j] > threshold:
             break
         i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        if linkage == "ward":
+            joint = size[i] + size[j] + size
+            with np.errstate(invalid="ignore"):
+                merged = np.sqrt(((size[i] + size) * d[i] ** 2 + (size[j] + size) * d[j] ** 2 - size * d[i, j] ** 2) / joint)
+            merged[~np.isfinite(d[i]) | ~np.isfinite(d[j])] = np.inf
+        else:
+            merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i], d[:, i] = merged, merged
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
@@ -194,7 +202,7 @@ def hdbscan(vectors: np.ndarray, min_cluster_size: int | None = None, min_sample
     return _renumber(labels)
 
 
-def _bucket_kernel(method: str | None, threshold: float, min_cluster_size: int | None, min_samples: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _bucket_kernel(method: str | None, options: dict, min_cluster_size: int | None, min_samples: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("k", kind="stable")
         n = len(frame)
@@ -203,7 +211,7 @@ def _bucket_kernel(method: str | None, threshold: float, min_cluster_size: int |
         if used == "single":
             labels = np.zeros(n, dtype=np.int64)
         elif used == "agglomerative":
-            labels = agglomerative(vectors, threshold)
+            labels = agglomerative(vectors, **options)
         else:
             labels = hdbscan(vectors, min_cluster_size, min_samples)
         return pd.DataFrame({"k": frame["k"], "bucket": frame["bucket"], "method": used, "label": labels.astype("int32")})
@@ -211,30 +219,62 @@ def _bucket_kernel(method: str | None, threshold: float, min_cluster_size: int |
     return run
 
 
-def cluster_buckets(df: DataFrame, bucket: str, key: str, vector: str, method: str | None = None, threshold: float = 0.5, min_cluster_size: int | None = None, min_samples: int = 3, eps: float = 0.5, exact: bool = False) -> DataFrame:
+def _bucketed(df: DataFrame, bucket: str, key: str, vector: str) -> DataFrame:
+    return df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.coalesce(F.col(bucket).cast("string"), F.lit("")).alias("bucket"))
+
+
+def cluster_buckets(
+    df: DataFrame,
+    bucket: str,
+    key: str,
+    vector: str,
+    method: str | None = None,
+    threshold: float | None = 0.5,
+    min_cluster_size: int | None = None,
+    min_samples: int = 3,
+    eps: float = 0.5,
+    n_clusters: int | None = None,
+    linkage: str = "average",
+    metric: str = "cosine",
+) -> DataFrame:
     """(key, bucket, method, label) of every row: labels count from 0 within a bucket, -1 is noise.
 
-    A bucket of one row is its own cluster; below SMALL rows average linkage is used, up to MAX_KERNEL_ROWS hierarchical
-    density clustering, beyond that DBSCAN over all executors, whatever `method` asks for, unless `exact`
-    keeps the hierarchical one at any size. Parameters follow the method that is used. NULL buckets form one bucket; keys must be unique.
+    method: agglomerative, hdbscan or dbscan; without it, a bucket of one row is its own cluster, below SMALL rows linkage
+    is used and beyond that hierarchical density clustering, at any size. Linkage of a bucket above MAX_KERNEL_ROWS rows is
+    an error. NULL buckets form one bucket; keys must be unique; rows without a vector are left out.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.coalesce(F.col(bucket).cast("string"), F.lit("")).alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    sized = materialize(rows.join(sizes, "bucket"))
-    small = (sized if exact else sized.where(F.col("n") <= MAX_KERNEL_ROWS)).drop("n")
-    done = small.groupBy("bucket").applyInPandas(_bucket_kernel(method, threshold, min_cluster_size, min_samples), f"k {kind}, bucket string, method string, label int")
-    large = sized.where(F.col("n") > MAX_KERNEL_ROWS)
-    if not exact and not large.isEmpty():
-        found = dbscan(large, "k", "v", eps, min_samples, scope="bucket").join(large.select("k", "bucket"), "k")
+    rows = _bucketed(df, bucket, key, vector)
+    if method == "dbscan":
+        found = dbscan(rows, "k", "v", eps, min_samples, scope="bucket").join(rows.select("k", "bucket"), "k")
         names = found.where("cluster is not null").select("bucket", "cluster").distinct()
-        earlier = names.alias("a").join(names.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("b.cluster") < F.col("a.cluster")), "left")
-        ranks = earlier.groupBy(F.col("a.bucket").alias("bucket"), F.col("a.cluster").alias("cluster")).agg(F.count("b.cluster").cast("int").alias("label"))
-        wide = found.join(ranks, ["bucket", "cluster"], "left").select("k", "bucket", F.lit("dbscan").alias("method"), F.coalesce("label", F.lit(-1)).alias("label"))
-        done = done.unionByName(wide)
+        ranks = names.withColumn("label", (F.dense_rank().over(Window.partitionBy("bucket").orderBy("cluster")) - 1).cast("int"))
+        done = found.join(ranks, ["bucket", "cluster"], "left").select("k", "bucket", F.lit("dbscan").alias("method"), F.coalesce("label", F.lit(-1)).alias("label"))
+    else:
+        options = {"threshold": threshold, "n_clusters": n_clusters, "by": metric, "linkage": linkage}
+        done = rows.groupBy("bucket").applyInPandas(_bucket_kernel(method, options, min_cluster_size, min_samples), f"k {kind}, bucket string, method string, label int")
     return done.select(F.col("k").alias(key), "bucket", "method", "label")
 
 
+def condensed_trees(df: DataFrame, bucket: str, key: str, vector: str, min_cluster_size: int | None = None, min_samples: int = 3) -> DataFrame:
+    """(bucket, parent, child, lambda_value, child_size, key): the density hierarchy of every bucket, one row per link.
+
+    Clusters are numbered from the number of rows of the bucket on, the root first; a point's link carries its key. Buckets
+    of one row have no links.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("k", kind="stable")
+        keys, n = frame["k"].tolist(), len(frame)
+        links = condensed_tree(np.asarray(frame["v"].tolist(), dtype=np.float64), min_cluster_size or max(10, int(0.005 * n)), min_samples)
+        rows = [(frame["bucket"].iloc[0], p, c, float(x), size, keys[c] if c < n else None) for p, c, x, size in links]
+        return pd.DataFrame(rows, columns=["bucket", "parent", "child", "lambda_value", "child_size", "k"])
+
+    schema = f"bucket string, parent int, child int, lambda_value double, child_size int, k {kind}"
+    return _bucketed(df, bucket, key, vector).groupBy("bucket").applyInPandas(run, schema).withColumnRenamed("k", key)
+
+
 def worth_two_stages(df: DataFrame, bucket: str) -> bool:
     """Whether rows per bucket are many enough for clustering bucket by bucket."""
     r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(bucket).alias("b")).first()

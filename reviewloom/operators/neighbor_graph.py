@@ -43,55 +43,91 @@ def reconcile_labels(labels: DataFrame, edges: DataFrame, key: str, label: str,
     return rows.join(least, "part", "left").select(key, F.coalesce("least", F.lit(noise)).alias("new_label"))
 
 
-def _tile(eps: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _close(left: pd.Series, right: pd.Series, eps: float) -> np.ndarray:
+    a, b = (np.asarray(v.tolist(), dtype=np.float64) for v in (left, right))
+    return (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T <= eps * eps + 1e-12
+
+
+def _neighbour_counts(eps: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        n = _close(left["v"], right["v2"], eps).sum(1) if len(left) and len(right) else np.zeros(len(left), dtype=np.int64)
+        return pd.DataFrame({"k": left["k"], "n": n})
+
+    return run
+
+
+def _tile_links(eps: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What a pair of tiles adds to the graph of core rows: each core row with the smallest of its component, and each other
+    row with its smallest core neighbour. That is at most one link per row, however many pairs are close."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right[right["core2"]].sort_values("k2", kind="stable")
         if left.empty or right.empty:
-            return pd.DataFrame({"src": left["k"].iloc[:0], "dst": right["k2"].iloc[:0]})
-        a, b = (np.asarray(v.tolist(), dtype=np.float64) for v in (left["v"], right["v2"]))
-        squares = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
-        i, j = np.nonzero(squares <= eps * eps + 1e-12)
-        return pd.DataFrame({"src": left["k"].to_numpy()[i], "dst": right["k2"].to_numpy()[j]})
+            return pd.DataFrame({"src": left["k"].iloc[:0], "dst": right["k2"].iloc[:0], "among": pd.Series(dtype="bool")})
+        near = _close(left["v"], right["v2"], eps)
+        core, first = left["core"].to_numpy(dtype=bool), near.argmax(1)
+        label, rows = np.arange(len(right)), near[core]
+        moving = rows.any()
+        while moving:  # minimum labels over the bipartite graph of this pair
+            of_row = np.where(rows, label[None, :], len(right)).min(1)
+            of_column = np.minimum(label, np.where(rows, of_row[:, None], len(right)).min(0))
+            moving = (of_column != label).any()
+            label = of_column
+        ids, own = right["k2"].to_numpy(), left["k"].to_numpy()
+        linked = rows.any(1) if core.any() else np.zeros(0, dtype=bool)
+        heads = np.where(rows, label[None, :], len(right)).min(1)[linked] if core.any() else np.zeros(0, dtype=np.int64)
+        beside = ~core & near.any(1)
+        moved = np.flatnonzero(label != np.arange(len(right)))
+        parts = [(own[core][linked], ids[heads], True), (ids[moved], ids[label[moved]], True), (own[beside], ids[first[beside]], False)]
+        return pd.concat([pd.DataFrame({"src": a, "dst": b, "among": c}) for a, b, c in parts], ignore_index=True)
 
     return run
 
 
-def distance_links(df: DataFrame, key: str, vector: str, eps: float, scope: str | None = None) -> DataFrame:
-    """(src, dst) of all ordered pairs within `eps` (of one scope, if given), each row with itself included.
+def _tiles(df: DataFrame, key: str, vector: str, eps: float, scope: str | None) -> tuple[DataFrame, DataFrame]:
+    """(rows, pairs): rows (k, v, scope, slab, tile) and the pairs of tiles that can hold rows within eps.
 
     Rows within eps differ by at most eps in any coordinate, so a row meets only its own slab of width eps along the
-    first coordinate and the two beside it. Slabs are cut into tiles of bounded size; a tile pair is one matrix product,
-    and only pairs within reach leave it.
+    first coordinate and the two beside it. Slabs are cut into tiles of bounded size; a pair of tiles is one matrix product.
     """
-    kind = df.schema[key].dataType.simpleString()
     within = F.lit("") if scope is None else F.coalesce(F.col(scope).cast("string"), F.lit(""))
     slab = F.floor(F.col(vector)[0].cast("double") / eps).cast("long")
-    rows = materialize(df.select(F.col(key).alias("k"), F.col(vector).alias("v"), within.alias("scope"), slab.alias("slab")))
-    sizes = rows.groupBy("scope", "slab").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
+    rows = materialize(df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), within.alias("scope"), slab.alias("slab")))
+    sizes = materialize(rows.groupBy("scope", "slab").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles")))
     tiled = rows.join(sizes, ["scope", "slab"]).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int")).drop("tiles")
-    partner = sizes.select("scope", F.col("slab").alias("other"), F.col("tiles").alias("other_tiles"))
-    beside = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    left = tiled.withColumn("other", beside("slab")).join(partner, ["scope", "other"]).withColumn("other_tile", F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)))
-    near = partner.withColumn("slab", beside("other")).join(sizes, ["scope", "slab"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    right = tiled.withColumnsRenamed({"slab": "other", "tile": "other_tile"}).join(near.select("scope", "other", "slab", "tile"), ["scope", "other"])
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    near = sizes.withColumn("other", F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)))
+    near = near.join(sizes.select("scope", F.col("slab").alias("other"), F.col("tiles").alias("other_tiles")), ["scope", "other"])
+    pairs = near.withColumn("tile", every("tiles")).withColumn("other_tile", every("other_tiles")).select("scope", "slab", "tile", "other", "other_tile")
+    return tiled, pairs
+
+
+def _paired(rows: DataFrame, pairs: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """`run` over every pair of tiles; columns of the second tile are called k2, v2 and so on."""
     on = ["scope", "slab", "tile", "other", "other_tile"]
-    left = left.select(*on, "k", "v")
-    right = right.select(*[F.col(c).alias(f"{c}_2") for c in on], F.col("k").alias("k2"), F.col("v").alias("v2"))
-    return left.groupBy(*on).cogroup(right.groupBy(*[f"{c}_2" for c in on])).applyInPandas(_tile(eps), f"src {kind}, dst {kind}")
+    own = [c for c in rows.columns if c not in ("scope", "slab", "tile")]
+    left = rows.join(pairs, ["scope", "slab", "tile"]).select(*on, *own)
+    right = rows.withColumnsRenamed({"slab": "other", "tile": "other_tile"}).join(pairs, ["scope", "other", "other_tile"])
+    right = right.select(*[F.col(c).alias(f"{c}_2") for c in on], *[F.col(c).alias(f"{c}2") for c in own])
+    return left.groupBy(*on).cogroup(right.groupBy(*[f"{c}_2" for c in on])).applyInPandas(run, schema)
 
 
 def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples: int = 5, scope: str | None = None) -> DataFrame:
     """(key, cluster): cluster is the smallest core key of the cluster, NULL for noise.
 
     Core rows have at least `min_samples` rows within eps, themselves included; a row beside several clusters joins that
-    of its smallest core neighbour. Repeated keys must be removed before.
+    of its smallest core neighbour. Keys must be unique; rows without a vector are noise. Neighbours are counted first and
+    pairs are never written: every pair of tiles gives at most one link per row.
     """
-    links = materialize(distance_links(df, key, vector, eps, scope))
-    core = links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(F.col("src").alias("core"))
-    into_core = links.join(core.withColumnRenamed("core", "dst"), "dst", "left_semi")
-    among = into_core.join(core.withColumnRenamed("core", "src"), "src", "left_semi")
-    parts = connected_components(among)
+    kind = df.schema[key].dataType.simpleString()
+    rows, pairs = _tiles(df, key, vector, eps, scope)
+    counts = _paired(rows, pairs, _neighbour_counts(eps), f"k {kind}, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    marked = materialize(rows.join(counts, "k").withColumn("core", F.col("n") >= min_samples).drop("n"))
+    links = materialize(_paired(marked, pairs, _tile_links(eps), f"src {kind}, dst {kind}, among boolean"))
+    parts = connected_components(links.where("among").select("src", "dst"))
+    core = marked.where("core").select(F.col("k").alias("core"))
     named = core.join(parts.withColumnRenamed("node", "core"), "core", "left").select("core", F.coalesce("component", "core").alias("cluster"))
-    beside = into_core.join(core.withColumnRenamed("core", "src"), "src", "left_anti").groupBy("src").agg(F.min("dst").alias("core"))
+    beside = links.where("not among").groupBy("src").agg(F.min("dst").alias("core"))
     border = beside.join(named, "core").select(F.col("src").alias(key), "cluster")
     found = named.withColumnRenamed("core", key).select(key, "cluster").unionByName(border)
     return df.select(key).join(found, key, "left")

@@ -1,7 +1,8 @@
-"""Vector arithmetic, nearest neighbours in blocks, medoids, and statistics of given clusters.
+"""Vector arithmetic, nearest neighbours, medoids, and statistics of given clusters.
 
-A set of targets is read in blocks of bounded size; each block goes to the workers once and is multiplied with their rows
-by matrix products. Only best matches leave a worker, so a pair that is no match is never written or shuffled.
+Few targets, by a checked size in bytes, are held by every worker. Beyond that both sides are cut into tiles of bounded size,
+and each pair of tiles is one product of matrices on some executor. Only best matches leave a worker, so a pair that is no
+match is never written or shuffled.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.ordering import dense_ranks
 
-#: Targets that are held by every worker at a time (about 2 MB at 64 dimensions).
-BLOCK = 4096
-#: Rows that are multiplied with a block at a time (about 16 MB of scores).
+#: Bytes of target vectors up to which every worker holds all of them.
+BROADCAST_BYTES = 64 * 1024 * 1024
+#: Rows and targets of a tile (about 4 MB of vectors at 64 dimensions).
+TILE_ROWS, TILE_TARGETS = 4096, 4096
+#: Groups whose sums a worker holds before it hands them on.
+HELD_SUMS = 50_000
+#: Rows that are multiplied with a tile at a time (about 16 MB of scores).
 STRIPE = 512
 
 
@@ -46,10 +51,39 @@ def normalized(a: Column, dimensions: int | None = None) -> Column:
     return F.transform(cut, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
 
 
+def _partial_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict[object, list] = {}
+
+    def handed_on() -> pd.DataFrame:
+        rows = [(k, n, v) for k, (n, v) in held.items()]
+        held.clear()
+        return pd.DataFrame(rows, columns=["k", "n", "v"])
+
+    for frame in frames:
+        if len(frame):
+            codes, keys = pd.factorize(frame["k"], use_na_sentinel=False)
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
+            totals = np.add.reduceat(np.asarray(frame["v"].tolist(), dtype=np.float64)[order], starts, axis=0)
+            for key, n, total in zip(keys, np.bincount(codes), totals, strict=True):
+                key = None if pd.isna(key) else key
+                n_held, v_held = held.get(key, (0, 0.0))
+                held[key] = [n_held + int(n), v_held + total]
+        if len(held) > HELD_SUMS:
+            yield handed_on()
+    yield handed_on()
+
+
 def sums(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Element-wise sums per key: (key, n, total). Partial sums are made before the shuffle."""
-    parts = df.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
-    return parts.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("total"))
+    """Element-wise sums per key: (key, n, total). Each partition adds its vectors in batches; only its sums are shuffled.
+
+    NULL vectors are left out; NULL keys are one group. All vectors must be of one length.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    parts = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(_partial_sums, f"k {kind}, n bigint, v array<double>")
+    long = parts.select("k", "n", F.posexplode("v").alias("pos", "x"))
+    added = long.groupBy("k", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return added.groupBy(F.col("k").alias(key)).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("total"))
 
 
 def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -57,20 +91,6 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     return sums(df, key, vector).select(key, "n", F.transform("total", lambda x: x / F.col("n")).alias("centroid"))
 
 
-def _blocks(targets: DataFrame, key: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Targets in blocks of BLOCK rows, never more than one on the driver."""
-    rows = targets.select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    ids, vectors = [], []
-    for r in rows.toLocalIterator():
-        ids.append(r["k"])
-        vectors.append(r["v"])
-        if len(ids) == BLOCK:
-            yield ids, np.asarray(vectors, dtype=np.float64)
-            ids, vectors = [], []
-    if ids:
-        yield ids, np.asarray(vectors, dtype=np.float64)
-
-
 def _scores(rows: np.ndarray, block: np.ndarray, by: str) -> np.ndarray:
     products = rows @ block.T
     if by == "dot":
@@ -82,49 +102,143 @@ def _scores(rows: np.ndarray, block: np.ndarray, by: str) -> np.ndarray:
     return -np.sqrt(np.maximum(lengths[0] ** 2 + lengths[1] ** 2 - 2 * products, 0))
 
 
-def _best(ids: list, block: np.ndarray, by: str, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    order = np.argsort(np.array(ids, dtype=object), kind="stable")
-    ids, block = [ids[i] for i in order], block[order]
+def _top(keys: list, vectors: np.ndarray, ids: np.ndarray, targets: np.ndarray, by: str, most: int) -> Iterator[pd.DataFrame]:
+    """Best targets of each row; targets are sorted by id, so that of equal scores the smaller id comes first."""
+    places: dict[object, list[int]] = {}
+    for place, i in enumerate(ids):
+        places.setdefault(i, []).append(place)
+    for start in range(0, len(keys), STRIPE):
+        part = keys[start : start + STRIPE]
+        scores = _scores(vectors[start : start + STRIPE], targets, by)
+        for i, k in enumerate(part):
+            scores[i, places.get(k, [])] = -np.inf
+        top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :most]
+        n = np.repeat(np.arange(len(part)), top.shape[1])
+        out = pd.DataFrame({"k": np.array(part, dtype=object)[n], "target": ids[top.ravel()], "score": scores[n, top.ravel()]})
+        yield out[np.isfinite(out["score"])]
+
+
+def _sorted_targets(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    frame = frame.sort_values("k", kind="stable")
+    ids = np.empty(len(frame), dtype=object)
+    ids[:] = frame["k"].tolist()
+    return ids, np.asarray(frame["v"].tolist(), dtype=np.float64)
+
+
+def _against_all(held: pd.DataFrame, by: str, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    ids, targets = _sorted_targets(held)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in (f.iloc[i : i + STRIPE] for f in frames for i in range(0, len(f), STRIPE)):
-            scores = _scores(np.asarray(frame["v"].tolist(), dtype=np.float64), block, by)
-            for i, k in enumerate(frame["k"]):
-                scores[i, [j for j, t in enumerate(ids) if t == k] if len(ids) < 64 else _places(ids, k)] = -np.inf
-            top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :most]
-            n = np.repeat(np.arange(len(frame)), top.shape[1])
-            out = pd.DataFrame({"k": frame["k"].to_numpy()[n], "target": np.array(ids, dtype=object)[top.ravel()], "score": scores[n, top.ravel()]})
-            yield out[np.isfinite(out["score"])]
+        for frame in frames:
+            if len(frame):
+                yield from _top(frame["k"].tolist(), np.asarray(frame["v"].tolist(), dtype=np.float64), ids, targets, by, most)
 
     return run
 
 
-def _places(ids: list, key: object) -> list[int]:
-    """Places of a key in sorted ids."""
-    import bisect
+def _against_tile(by: str, most: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(frame: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
+        if frame.empty or tile.empty:
+            return pd.DataFrame({"k": frame["k"].iloc[:0], "target": tile["k"].iloc[:0], "score": pd.Series(dtype="float64")})
+        parts = _top(frame["k"].tolist(), np.asarray(frame["v"].tolist(), dtype=np.float64), *_sorted_targets(tile), by, most)
+        return pd.concat(parts, ignore_index=True)
+
+    return run
+
 
-    i = bisect.bisect_left(ids, key)
-    return [i] if i < len(ids) and ids[i] == key else []
+def tile_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, left_rows: int, right_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (t, u): each row of the left in a tile t against every tile u, each row of the right the other way."""
+    t, u = max(1, -(-n_left // left_rows)), max(1, -(-n_right // right_rows))
+    tile = lambda n: F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return left.select("*", tile(t).alias("t")).select("*", every(u).alias("u")), right.select("*", tile(u).alias("u")).select("*", every(t).alias("t"))
 
 
-def nearest(rows: DataFrame, targets: DataFrame, key: str, vector: str, by: str = "cosine", most: int = 1) -> DataFrame:
+def nearest(rows: DataFrame, targets: DataFrame, key: str, vector: str, by: str = "cosine", most: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(k, target, score, rank) of the `most` best targets of each row; a row is never its own target.
 
     by: dot, cosine, or distance (score is the negative Euclidean distance). Ties go to the smaller target. Rows without
-    any other target are not returned. `targets` should be the smaller side: it is read in blocks.
+    any other target are not returned; NULL vectors are left out on both sides. The search is exact: targets beyond
+    `broadcast_bytes` are compared tile by tile on all executors, and the best of the tiles are merged.
     """
     kind = rows.schema[key].dataType.simpleString()
-    own = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    found = None
-    for ids, block in _blocks(targets, key, vector):
-        part = own.mapInPandas(_best(ids, block, by, most), f"k {kind}, target {kind}, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = own.select("k", F.col("k").alias("target"), F.lit(0.0).alias("score")).where("false")
+    schema = f"k {kind}, target {kind}, score double"
+    own, other = (df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")) for df in (rows, targets))
+    size = other.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("v")).alias("cells")).first()
+    if (size["cells"] or 0) * 8 <= broadcast_bytes:
+        if not size["n"]:
+            return own.select("k", F.col("k").alias("target"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where("false")
+        found = own.mapInPandas(_against_all(other.toPandas(), by, most), schema)
+    else:
+        left, right = tile_pairs(own, other, own.count(), size["n"], TILE_ROWS, TILE_TARGETS)
+        found = left.groupBy("t", "u").cogroup(right.groupBy("t", "u")).applyInPandas(_against_tile(by, most), schema)
     order = Window.partitionBy("k").orderBy(F.desc(F.round("score", 9)), "target")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def representatives(df: DataFrame, cluster: str, key: str, order: str, medoids: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """(cluster, ids): the first `most` members by `order`; a medoid that is not among them comes first instead of the last.
+
+    medoids: cluster, medoid. Ties of the order go to the smaller key.
+    """
+    place = Window.partitionBy(cluster).orderBy(order, key)
+    first = df.select(cluster, key, order).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= most)
+    listed = first.groupBy(cluster).agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", key))), lambda x: x[key]).alias("ids"))
+    if medoids is None:
+        return listed
+    with_medoid = F.when(F.col("medoid").isNull() | F.array_contains("ids", F.col("medoid")), F.col("ids")).otherwise(F.concat(F.array("medoid"), F.slice("ids", 1, most - 1)))
+    return listed.join(medoids.select(cluster, "medoid"), cluster, "left").select(cluster, with_medoid.alias("ids"))
+
+
+def majority(df: DataFrame, cluster: str, value: str, order: str) -> DataFrame:
+    """(cluster, value): the most frequent value of each cluster, of equally frequent ones the first by `order`."""
+    counts = df.groupBy(cluster, value).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    return counts.groupBy(cluster).agg(F.min_by(value, F.struct(-F.col("_n"), F.col("_first"))).alias(value))
+
+
+def cluster_ids(label: Column, noise: int = -1) -> Column:
+    """Cluster id as text; noise is called so."""
+    return F.when(label == noise, "noise").otherwise(label.cast("string"))
+
+
+def _distance_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Per row of the left and cluster of the right, the sum of distances and their number, without the row itself."""
+    if left.empty or right.empty:
+        return pd.DataFrame({"k": left["k"].iloc[:0], "c": left["c"].iloc[:0], "other": right["c"].iloc[:0], "s": pd.Series(dtype="float64"), "n": pd.Series(dtype="int64")})
+    right = right.sort_values("c", kind="stable")
+    starts = np.flatnonzero(np.r_[True, right["c"].to_numpy()[1:] != right["c"].to_numpy()[:-1]])
+    names, ids, b = right["c"].to_numpy()[starts], right["k"].to_numpy(), np.asarray(right["v"].tolist(), dtype=np.float64)
+    parts = []
+    for i in range(0, len(left), STRIPE):
+        part = left.iloc[i : i + STRIPE]
+        d = -_scores(np.asarray(part["v"].tolist(), dtype=np.float64), b, "distance")
+        same = part["k"].to_numpy()[:, None] == ids[None, :]
+        d[same] = 0
+        total, own = np.add.reduceat(d, starts, axis=1), np.add.reduceat((~same).astype(np.int64), starts, axis=1)
+        n = np.repeat(np.arange(len(part)), len(names))
+        parts.append(pd.DataFrame({"k": part["k"].to_numpy()[n], "c": part["c"].to_numpy()[n], "other": np.tile(names, len(part)), "s": total.ravel(), "n": own.ravel()}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def silhouette(df: DataFrame, cluster: str, key: str, vector: str, noise: int = -1) -> DataFrame:
+    """One row, silhouette: mean over all points that are no noise; -1 if there are fewer than two clusters or points to tell.
+
+    A point alone in its cluster scores 0. Distances are computed tile by tile, and sums per point and cluster leave them.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, cluster)}
+    # two selections, as both sides of a cogroup must not share their columns
+    own, other = (df.where((F.col(cluster) != noise) & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.col(vector).alias("v")) for _ in range(2))
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c").alias("c")).first()
+    left, right = tile_pairs(own, other, size["n"], size["n"], TILE_ROWS, TILE_TARGETS)
+    parts = left.groupBy("t", "u").cogroup(right.groupBy("t", "u")).applyInPandas(_distance_sums, f"k {kinds[key]}, c {kinds[cluster]}, other {kinds[cluster]}, s double, n bigint")
+    means = parts.groupBy("k", "c", "other").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    points = means.groupBy("k").agg(F.max(F.when(F.col("c") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("other"), F.col("d"))).alias("b"))
+    widest = F.greatest("a", "b")
+    value = F.when(F.col("a").isNull() | (widest == 0), 0.0).otherwise((F.col("b") - F.col("a")) / widest)
+    told = size["c"] >= 2 and size["n"] > size["c"]
+    return points.agg((F.avg(value) if told else F.lit(-1.0)).alias("silhouette"))
+
+
 def medoids(df: DataFrame, cluster: str, key: str, vector: str) -> DataFrame:
     """(cluster, medoid, vector) of each cluster: the member with the highest mean similarity to the others.
 
@@ -151,6 +265,7 @@ def cluster_statistics(df: DataFrame, cluster: str, vector: str, sentiment: str)
         F.count(F.lit(1)).alias("cluster_size"),
         F.avg(F.when(F.col(sentiment).isin("negative", "neg"), 1.0).otherwise(0.0)).alias("neg_ratio"),
         F.avg(euclidean(F.col(vector), F.col("centroid"))).alias("intra"),
+        F.stddev_pop(euclidean(F.col(vector), F.col("centroid"))).alias("intra_std"),
     )
     by_sentiment = df.groupBy(cluster, sentiment).agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy(cluster)
@@ -173,7 +288,7 @@ def cluster_statistics(df: DataFrame, cluster: str, vector: str, sentiment: str)
     relative = F.when(F.col("peers") > 0, intra / F.col("peers")).otherwise(1.0)
     confidence = F.when(~several, F.when(inter.isNull() | mean_intra.isNull(), 0.3).otherwise(sep / (1 + sep))).when(sep.isNull(), 0.5).when(F.col("peers").isNull(), sep / (1 + sep)).otherwise(sep / (1 + sep) / (1 + relative))
     consistency = F.when(F.col("kinds") > 1, 1 - F.col("h") / F.log2("kinds")).otherwise(1.0)
-    named = {"neg_ratio": F.col("neg_ratio"), "intra_cluster_distance": intra, "inter_cluster_distance": inter, "separation_ratio": sep, "cohesion": F.col("cohesion"), "cluster_confidence": confidence, "sentiment_consistency": consistency}
+    named = {"neg_ratio": F.col("neg_ratio"), "intra_cluster_distance": intra, "intra_cluster_std": F.col("intra_std"), "inter_cluster_distance": inter, "separation_ratio": sep, "cohesion": F.col("cohesion"), "cluster_confidence": confidence, "sentiment_consistency": consistency}
     return rows.select(cluster, "cluster_size", *[F.round(c, 5).alias(n) for n, c in named.items()])
 
 

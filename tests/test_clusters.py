@@ -66,22 +66,47 @@ def test_buckets_choose_their_method(spark, monkeypatch):
     x, want = blobs(20)
     buckets = ["one"] + ["few"] * 9 + ["some"] * 30 + ["x"] * 20
     df = frame(spark, np.concatenate([x, x]), bucket=buckets + ["many"] * 60)
-    got = kernels.cluster_buckets(df, "bucket", "k", "v", min_cluster_size=5, eps=0.8).collect()
-    assert {(r["bucket"], r["method"]) for r in got} == {("one", "single"), ("few", "agglomerative"), ("some", "hdbscan"), ("x", "hdbscan"), ("many", "dbscan")}
-    many = {r["k"] - 60: r["label"] for r in got if r["bucket"] == "many"}
-    assert groups([many[i] for i in range(60)])[0] == groups(want)[0] and set(many.values()) == {0, 1, 2}
+    got = kernels.cluster_buckets(df, "bucket", "k", "v", min_cluster_size=5).collect()
+    assert {(r["bucket"], r["method"]) for r in got} == {("one", "single"), ("few", "agglomerative"), ("some", "hdbscan"), ("x", "hdbscan"), ("many", "hdbscan")}
+    many = df.where("bucket = 'many'")
+    asked = {r["k"] - 60: r["label"] for r in kernels.cluster_buckets(many, "bucket", "k", "v", method="dbscan", eps=0.8).collect()}
+    assert groups([asked[i] for i in range(60)])[0] == groups(want)[0] and set(asked.values()) == {0, 1, 2}
+    wards = {r["k"] - 60: r["label"] for r in kernels.cluster_buckets(many.where("k < 110"), "bucket", "k", "v", method="agglomerative", n_clusters=3, linkage="ward").collect()}
+    assert groups([wards[i] for i in range(50)])[0] == groups(want[:50])[0]
     assert kernels.cluster_buckets(df.limit(0), "bucket", "k", "v").count() == 0
+    with pytest.raises(ValueError, match="at most 50"):
+        kernels.agglomerative(x)
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
+def test_ward_against_plain_merging():
+    x = np.random.default_rng(5).normal(0, 1, (18, 3))
+    parts = [[i] for i in range(18)]
+    while len(parts) > 4:
+        cost = {(i, j): len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum() for i, a in enumerate(parts) for j, b in enumerate(parts) if i < j}
+        i, j = min(cost, key=cost.get)
+        parts[i] += parts.pop(j)
+    assert groups(kernels.agglomerative(x, None, 4, linkage="ward"))[0] == {frozenset(p) for p in parts}
+
+
+def test_condensed_trees_as_a_table(spark):
+    x, _ = blobs(20)
+    df = frame(spark, np.concatenate([x, x[:1]]), bucket=["a"] * 60 + ["b"])
+    rows = kernels.condensed_trees(df, "bucket", "k", "v", 10).collect()
+    assert {r["bucket"] for r in rows} == {"a"}
+    assert sorted(r["k"] for r in rows if r["child"] < 60) == list(range(60)) and sum(r["child"] > 60 for r in rows) == 4
+    assert {r["parent"] for r in rows} >= {60} and all(r["lambda_value"] > 0 for r in rows)
+
+
+def test_nearest_in_tiles(spark, monkeypatch):
     x, _ = blobs(12, 5)
     df = frame(spark, x)
     cos = x / np.linalg.norm(x, axis=1, keepdims=True)
     cos = cos @ cos.T
     np.fill_diagonal(cos, -9)
-    for block in (5, 4096):
-        monkeypatch.setattr(vectors, "BLOCK", block)
-        got = vectors.nearest(df, df, "k", "v", most=3).collect()
+    monkeypatch.setattr(vectors, "TILE_ROWS", 7)
+    monkeypatch.setattr(vectors, "TILE_TARGETS", 5)
+    for held in (0, 10**6):
+        got = vectors.nearest(df, df, "k", "v", most=3, broadcast_bytes=held).collect()
         best = {i: [r["target"] for r in sorted(got, key=lambda r: r["rank"]) if r["k"] == i] for i in range(36)}
         assert best == {i: np.argsort(-np.round(cos[i], 9), kind="stable")[:3].tolist() for i in range(36)}
     assert vectors.nearest(df, df.limit(0), "k", "v").count() == 0
@@ -99,6 +124,38 @@ def test_medoid_is_the_member_of_highest_similarity(spark):
         assert m == members[np.argmax(np.round(sim.sum(1), 9))]
 
 
+def test_partial_sums(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HELD_SUMS", 3)
+    df = spark.createDataFrame([(i % 7 if i % 7 else None, [float(i), 1.0]) for i in range(60)] + [(1, None)], "c int, v array<double>").repartition(3)
+    want = {k: (len(g := [i for i in range(60) if (i % 7 or None) == k]), [float(sum(g)), float(len(g))]) for k in (None, *range(1, 7))}
+    assert {r["c"]: (r["n"], r["total"]) for r in vectors.sums(df, "c", "v").collect()} == want
+
+
+def test_representatives_and_majority(spark):
+    df = spark.createDataFrame([(1, i, f"a{i % 3}") for i in range(30)] + [(2, 99, "z"), (2, 98, "y")], "c int, k int, a string")
+    heads = spark.createDataFrame([(1, 25), (2, 98)], "c int, medoid int")
+    got = {r["c"]: r["ids"] for r in vectors.representatives(df, "c", "k", "k", heads).collect()}
+    assert got == {1: [25, *range(19)], 2: [98, 99]}
+    assert {r["c"]: r["ids"] for r in vectors.representatives(df, "c", "k", "k", most=2).collect()} == {1: [0, 1], 2: [98, 99]}
+    assert {r["c"]: r["a"] for r in vectors.majority(df, "c", "a", "k").collect()} == {1: "a0", 2: "y"}
+
+
+def test_silhouette(spark, monkeypatch):
+    x, want = blobs(12, 6)
+    labels = [int(a) for a in want[:-1]] + [-1]
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    kept, scores = [i for i in range(36) if labels[i] >= 0], []
+    for i in kept:
+        mean = {c: np.mean([d[i, j] for j in kept if labels[j] == c and j != i]) for c in range(3)}
+        a, b = mean[labels[i]], min(v for c, v in mean.items() if c != labels[i])
+        scores.append((b - a) / max(a, b))
+    df = frame(spark, x, c=labels)
+    monkeypatch.setattr(vectors, "TILE_ROWS", 9)
+    monkeypatch.setattr(vectors, "TILE_TARGETS", 8)
+    assert abs(vectors.silhouette(df, "c", "k", "v").first()[0] - np.mean(scores)) < 1e-9
+    assert vectors.silhouette(df.where("c < 1"), "c", "k", "v").first()[0] == -1.0 == vectors.silhouette(df.limit(0), "c", "k", "v").first()[0]
+
+
 def test_statistics_of_odd_clusters(spark):
     df = frame(spark, [[0.0, 0], [0, 0], [3, 4]], c=[1, 1, 2], s=["negative", "positive", "neg"])
     got = {r["c"]: r for r in vectors.cluster_statistics(df, "c", "v", "s").collect()}
