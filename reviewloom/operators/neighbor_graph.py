@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reviewloom.operators.graph import connected_components
 from reviewloom.operators.ordering import dense_ranks
 from reviewloom.operators.vectors import nearest
-from reviewloom.sources.tables import materialize
+from reviewloom.sources.tables import materialize, scratch
 
 #: Rows of a tile side; a tile is the unit of work of the distance join.
 TILE_ROWS = 2000
@@ -119,6 +119,12 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
     of its smallest core neighbour. Keys must be unique; rows without a vector are noise. Neighbours are counted first and
     pairs are never written: every pair of tiles gives at most one link per row.
     """
+    with scratch() as keep:
+        found = keep(materialize(_dbscan_labels(df, key, vector, eps, min_samples, scope)))
+    return df.select(key).join(found, key, "left")
+
+
+def _dbscan_labels(df: DataFrame, key: str, vector: str, eps: float, min_samples: int, scope: str | None) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     rows, pairs = _tiles(df, key, vector, eps, scope)
     counts = _paired(rows, pairs, _neighbour_counts(eps), f"k {kind}, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
@@ -129,8 +135,7 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
     named = core.join(parts.withColumnRenamed("node", "core"), "core", "left").select("core", F.coalesce("component", "core").alias("cluster"))
     beside = links.where("not among").groupBy("src").agg(F.min("dst").alias("core"))
     border = beside.join(named, "core").select(F.col("src").alias(key), "cluster")
-    found = named.withColumnRenamed("core", key).select(key, "cluster").unionByName(border)
-    return df.select(key).join(found, key, "left")
+    return named.withColumnRenamed("core", key).select(key, "cluster").unionByName(border)
 
 
 def offset_labels(df: DataFrame, bucket: str, label: str, noise: int = -1) -> DataFrame:

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import csv
 import json
+import logging
+import platform
+import shutil
 from collections.abc import Iterable
 from datetime import datetime
 from graphlib import TopologicalSorter
 from pathlib import Path
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.sources import schemas
+
 #: Tables that each step writes, in the order of the steps.
 STEP_TABLES = {
     "select": ("selected_reviews",),
@@ -74,13 +80,27 @@ class RunStore:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def write(self, df: DataFrame, table: str, run: str, **versions: str) -> None:
-        """Replace this run's rows of a table, stamped with run, versions and time; other runs are untouched."""
-        stamped = df.withColumns({"run_id": F.lit(run), "created_at": F.current_timestamp(), **{k: F.lit(v) for k, v in versions.items()}})
-        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.path(table))
+        """Replace this run's rows of a table, stamped with run, versions and time; other runs are untouched.
+
+        Tables of the registry are brought into their declared columns; an empty frame leaves an empty run.
+        """
+        self._stamped(df, table, run, versions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.path(table))
+
+    def append(self, df: DataFrame, table: str, run: str, **versions: str) -> None:
+        """Add rows to a run of a table, stamped and in its declared columns."""
+        self._stamped(df, table, run, versions).write.mode("append").partitionBy("run_id").parquet(self.path(table))
+
+    def _stamped(self, df: DataFrame, table: str, run: str, versions: dict[str, str]) -> DataFrame:
+        stamps = {"run_id": F.lit(run), "created_at": F.current_timestamp()} | {k: F.lit(v) for k, v in versions.items()}
+        declared = table in schemas.TABLES and {"pipeline_version", "data_slice_id"} <= versions.keys()
+        return schemas.conform(df.withColumns(stamps), table) if declared else df.withColumns(stamps)
 
     def read(self, table: str, run: str) -> DataFrame:
-        """Rows of one run; only its partition is read."""
-        return self.spark.read.option("mergeSchema", "true").parquet(self.path(table)).where(F.col("run_id") == run)
+        """Rows of one run; only its partition is read. A declared table without any run is empty."""
+        if table in schemas.TABLES and not self.exists(table):
+            return self.spark.createDataFrame([], schemas.schema_of(table))
+        rows = self.spark.read.option("mergeSchema", "true").parquet(self.path(table))
+        return rows.withColumn("run_id", F.col("run_id").cast("string")).where(F.col("run_id") == run)
 
     def drop(self, table: str, run: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/run_id={run}")
@@ -133,6 +153,64 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> int:
     return n
 
 
+def read_synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """(original, normalized) of a CSV with a header, trimmed and in lower case; blank sides drop, of equal originals the last line counts.
+
+    A taxonomy is a dictionary: it is read as one file, whose line order decides.
+    """
+    clean = {c: F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias(c) for c in ("original", "normalized")}
+    rows = spark.read.option("header", True).schema("original string, normalized string").csv(path).coalesce(1).withColumn("line", F.monotonically_increasing_id())
+    return rows.select("line", *clean.values()).where("original <> '' and normalized <> ''").groupBy("original").agg(F.max_by("normalized", "line").alias("normalized"))
+
+
+def read_terms(spark: SparkSession, path: str) -> list[str]:
+    """Terms of the first column of a CSV with a header, trimmed and in lower case, in the order of the file."""
+    with_header = spark.read.option("header", True).csv(path)
+    first = with_header.columns[0]
+    return [t for r in with_header.coalesce(1).select(first).collect() if (t := (r[0] or "").strip().lower())]  # a dictionary
+
+
+def snapshot_config(folder: str, config: dict, run: str, pipeline_version: str, slice_name: str = "default", source: str | None = None) -> Path:
+    """Save what a run was started with: a copy of its file, the configuration without private keys, and the environment."""
+    target = Path(folder) / "config"
+    target.mkdir(parents=True, exist_ok=True)
+    if source and Path(source).exists():
+        shutil.copy2(source, target / Path(source).name)
+    info = {"run_id": run, "pipeline_version": pipeline_version, "data_slice_id": slice_name, "created_at": datetime.now().isoformat(), "config_file": source}
+    write_json({"run_info": info, **_plain(_public(config))}, str(target / "run_config.json"))
+    write_json({"python_version": platform.python_version(), "spark_version": pyspark.__version__}, str(target / "environment.json"))
+    return target
+
+
+def _plain(value: object) -> object:
+    """A configuration as JSON can hold it: other objects as text."""
+    if isinstance(value, dict):
+        return {str(k): _plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [_plain(v) for v in value]
+    return value if value is None or isinstance(value, (str, int, float, bool)) else str(value)
+
+
+def log_to_file(folder: str, name: str = "reviewloom", level: int = logging.INFO) -> logging.Logger:
+    """Logger of a run that writes to the console and to a file in the run's folder; calling again adds no second handler."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    path, logger = str(Path(folder).resolve() / "run.log"), logging.getLogger(name)
+    logger.setLevel(level)
+    form = logging.Formatter("%(asctime)s %(name)s %(levelname)s %(message)s")
+    present = {getattr(h, "baseFilename", "console") for h in logger.handlers}
+    for key, handler in (("console", logging.StreamHandler), (path, lambda: logging.FileHandler(path, encoding="utf-8"))):
+        if key not in present:
+            made = handler()
+            made.setFormatter(form)
+            logger.addHandler(made)
+    return logger
+
+
+def safe_name(text: str, most: int = 50) -> str:
+    """Text as part of a file name: letters, digits, `-` and `_`; anything else becomes `_`."""
+    return "".join(c if c.isalnum() or c in "-_" else "_" for c in text)[:most]
+
+
 def write_json(row: dict, path: str) -> None:
     Path(path).write_text(json.dumps(row, ensure_ascii=False, indent=2), encoding="utf-8")
 
@@ -166,16 +244,11 @@ def _public(value: object) -> object:
     return [_public(v) for v in value] if isinstance(value, list) else value
 
 
-def markdown_report(title: str, counts: dict, metrics: list[dict], rows: list[dict]) -> str:
-    """Report of a run: its counts, its metrics, and its first clusters (the caller passes at most a page of rows)."""
-    lines = [f"# {title}", "", "| count | value |", "|---|---|", *[f"| {k} | {v} |" for k, v in counts.items()], "", "| metric | value |", "|---|---|", *[f"| {m['metric_name']} | {m['shown']} |" for m in metrics], ""]
-    for r in rows:
-        lines += [f"## {r['report_no']}. {r['cluster_name']}", "", f"priority {r['priority']}, {r['cluster_size']} records, {r['neg_ratio']} negative", ""]
-    return "\n".join(lines)
-
-
-def run_sql(spark: SparkSession, text: str, args: dict | None = None, **frames: DataFrame) -> DataFrame:
-    """Ad-hoc query with named parameters; anything but a query is an error."""
-    if not text.lstrip().upper().startswith(("SELECT", "WITH", "SHOW", "DESCRIBE", "EXPLAIN", "VALUES")):
+def run_sql(spark: SparkSession, text: str, args: dict | None = None, writes: bool = False, **frames: DataFrame) -> DataFrame:
+    """Ad-hoc statement with named parameters: a query gives its rows; anything else runs only if writes are allowed, and gives none."""
+    if text.lstrip().upper().startswith(("SELECT", "WITH", "SHOW", "DESCRIBE", "EXPLAIN", "VALUES")):
+        return spark.sql(text, args=args or {}, **frames)
+    if not writes:
         raise ValueError("only queries are allowed here")
-    return spark.sql(text, args=args or {}, **frames)
+    spark.sql(text, args=args or {}, **frames)
+    return spark.createDataFrame([], "result string")

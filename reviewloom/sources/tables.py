@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,21 +31,73 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Stages written by this process, and the blocks that will delete theirs, innermost last.
+_WRITTEN: set[str] = set()
+_BLOCKS: list[set[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: a cut of the lineage that survives lost executors.
 
-    Unlike a checkpoint of rows, the copy is columnar, compressed and carries sizes for join planning.
+    Unlike a checkpoint of rows, the copy is columnar, compressed and carries sizes for join planning. It is deleted by the
+    `scratch` block around it, by `discard`, or at the end of the process.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_discard_all)
+    _WRITTEN.add(path)
+    if _BLOCKS:
+        _BLOCKS[-1].add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _stages_of(df: DataFrame) -> set[str]:
+    files = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    return {p for p in _WRITTEN if any(f.rstrip("/").endswith(p.rsplit("/", 1)[1]) for f in files)}
+
+
+def _delete(paths: set[str]) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    for path in paths:
+        _WRITTEN.discard(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _discard_all() -> None:
+    try:
+        _delete(set(_WRITTEN))
+    except Exception:  # the session may be gone already
+        _WRITTEN.clear()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a materialised frame that no later plan reads."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/stage-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(_stages_of(df))
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose stages are deleted at its end, but for those of frames that went through the function it gives.
+
+    Frames that are read after the block must be kept, or not depend on a stage of the block.
+    """
+    own: set[str] = set()
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_stages_of(df))
+        return df
+
+    _BLOCKS.append(own)
+    try:
+        yield keep
+    finally:
+        _BLOCKS.remove(own)
+        if _BLOCKS:
+            _BLOCKS[-1].update(own & kept)
+        _delete(own - kept)

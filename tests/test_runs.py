@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators import payloads, providers
-from reviewloom.sources import sinks
+from reviewloom.sources import schemas, sinks
 from reviewloom.streaming.opinions import scored_sentences
 
 
@@ -51,8 +51,64 @@ def test_sinks_and_readers(spark, tmp_path):
     assert sinks.run_sql(spark, "WITH t AS (SELECT 1 AS x) SELECT x + :y AS z FROM t", {"y": 2}).collect()[0]["z"] == 3
     with pytest.raises(ValueError):
         sinks.run_sql(spark, "DROP TABLE x")
-    assert "## 1. name" in sinks.markdown_report("R", {"a": 1}, [{"metric_name": "m", "shown": "1 %"}], [{"report_no": 1, "cluster_name": "name", "priority": "high", "cluster_size": 3, "neg_ratio": 0.5}])
-
+    assert sinks.run_sql(spark, "CREATE OR REPLACE TEMP VIEW made AS SELECT 1 AS x", writes=True).count() == 0 and spark.table("made").count() == 1
+    (tmp_path / "s.csv").write_text("original,normalized\n Odor ,SMELL\nodor,scent\n,x\ny, \n", encoding="utf-8")
+    assert [tuple(r) for r in sinks.read_synonyms(spark, str(tmp_path / "s.csv")).collect()] == [("odor", "scent")]
+    (tmp_path / "n.csv").write_text("term\n Thing\n\nitem\n", encoding="utf-8")
+    assert sinks.read_terms(spark, str(tmp_path / "n.csv")) == ["thing", "item"]
+    assert sinks.safe_name("a b/c-d_é" + "x" * 60) == ("a_b_c-d_é" + "x" * 60)[:50]
+
+
+def test_snapshot_and_log(tmp_path):
+    source = tmp_path / "c.yaml"
+    source.write_text("a: 1")
+    folder = sinks.snapshot_config(str(tmp_path / "run"), {"a": 1, "_secret": 2, "p": tmp_path}, "r", "1", source=str(source))
+    saved = json.loads((folder / "run_config.json").read_text())
+    assert saved["a"] == 1 and "_secret" not in saved and saved["p"] == str(tmp_path) and saved["run_info"]["run_id"] == "r"
+    assert (folder / "c.yaml").exists() and "python_version" in json.loads((folder / "environment.json").read_text())
+    for _ in range(2):
+        logger = sinks.log_to_file(str(tmp_path / "run"), "test-log")
+    logger.info("über")
+    assert (tmp_path / "run/run.log").read_text(encoding="utf-8").count("über") == 1
+
+
+def test_declared_tables(spark, tmp_path):
+    assert len(schemas.TABLES) == 19 and all(schemas.schema_of(t).names for t in schemas.TABLES)
+    df = spark.createDataFrame([("s", "too_short")], "sentence_id string, filter_reason string")
+    out = schemas.conform(df, "opinion_candidates")
+    assert out.columns == schemas.schema_of("opinion_candidates").names and out.first()["priority_weight"] is None
+    with pytest.raises(ValueError, match="not declared"):
+        schemas.conform(df.withColumn("extra", F.lit(1)), "opinion_candidates")
+    with pytest.raises(ValueError, match="unknown"):
+        schemas.schema_of("nothing")
+    with pytest.raises(Exception, match="is NULL"):
+        schemas.require_declared(spark.createDataFrame([("s", None)], "sentence_id string, is_candidate boolean"), "opinion_candidates").collect()
+    store = sinks.RunStore(spark, f"file://{tmp_path}/declared")
+    assert store.read("opinion_candidates", "r").count() == 0
+    store.write(df, "opinion_candidates", "r", pipeline_version="1", data_slice_id="d")
+    store.append(df, "opinion_candidates", "r", pipeline_version="1", data_slice_id="d")
+    rows = store.read("opinion_candidates", "r")
+    assert rows.count() == 2 and set(rows.columns) == set(out.columns)
+    spark.sql("create database if not exists declared")
+    try:
+        assert len(schemas.create_tables(spark, "declared")) == 19 and schemas.create_tables(spark, "declared") == []
+    finally:
+        spark.sql("drop database declared cascade")
+
+
+def test_stages_are_deleted(spark):
+    from reviewloom.sources.tables import _WRITTEN, discard, materialize, scratch
+
+    before = set(_WRITTEN)
+    with scratch() as keep:
+        with scratch() as inner:
+            lost, kept = materialize(spark.range(3)), inner(materialize(spark.range(4)))
+        both = keep(materialize(kept.union(spark.range(2))))
+    assert both.count() == 6 and len(_WRITTEN - before) == 1
+    with pytest.raises(Exception):
+        lost.count()
+    discard(both)
+    assert _WRITTEN == before
 
 def test_retries_and_providers(spark):
     calls, pauses = [], []
