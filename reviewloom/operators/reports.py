@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.operators.flatten import decode
 from reviewloom.operators.selection import first_per
 
 #: Actions by aspect (fixed values), tried in this order; the last holds for all others.
@@ -17,6 +18,10 @@ ACTIONS = (
 )
 #: Texts of the summary (fixed values).
 SUMMARY = ("用户在 ", " 方面主要反馈 ", "，负面率 ", "，样本量 ", "。", "负面反馈占比较高，需要重点关注。", "整体反馈较为正面。", "various issues")
+#: Action added where most opinions are negative (fixed values).
+URGENT_ACTION = ("优先处理负面反馈，制定快速响应方案", "customer_service", "降低用户流失率", "跟踪用户反馈变化趋势")
+#: Why an evidence stands for its cluster, what a model's insight is called without name or summary, and missing samples (fixed values).
+REPRESENTATIVE, UNNAMED, NO_SUMMARY, NO_SAMPLES = "代表样本", "未命名簇", "无摘要", "无代表样本"
 SAMPLES, EVIDENCE, QUOTE = 20, 5, 200
 PRIORITIES = {"high": 1, "medium": 2, "low": 3}
 
@@ -89,21 +94,111 @@ def action_rule(aspect: Column) -> Column:
     return F.coalesce(*tests, rule(ACTIONS[-1]))
 
 
+def rationale(size: Column, neg: Column) -> Column:
+    """Why a cluster has its priority."""
+    share, n = percent(neg), size.cast("string")
+    return (
+        F.when(priority(size, neg) == "high", F.concat(F.lit("规模大("), n, F.lit(")且负面率高("), share, F.lit(")")))
+        .when(priority(size, neg) == "medium", F.concat(F.lit("规模中等("), n, F.lit(")，负面率"), share))
+        .otherwise(F.concat(F.lit("规模较小("), n, F.lit(")或负面率较低("), share, F.lit(")")))
+    )
+
+
+def _action(values: Column | tuple, urgent: Column) -> Column:
+    names = ("action", "owner_team", "expected_impact", "validation_plan")
+    held = [values[n] for n in names] if isinstance(values, Column) else [F.lit(v) for v in values]
+    return F.struct(*[v.alias(n) for n, v in zip(names, held, strict=True)], urgent.alias("urgency"))
+
+
+def action_items(aspect: Column, neg: Column) -> Column:
+    """Actions of a cluster: the rule of its aspect, and a second one where most opinions are negative."""
+    first, second = _action(action_rule(aspect), urgency(neg)), _action(URGENT_ACTION, F.lit("high"))
+    return F.when(neg > 0.7, F.array(first, second)).otherwise(F.array(first))
+
+
 def insights(stats: DataFrame, samples: DataFrame) -> DataFrame:
-    """Name, summary, priority, confidence and action of every cluster, from templates."""
+    """Name, summary, priority with its reason, confidence, evidence and actions of every cluster, from templates.
+
+    evidence_items and action_items are arrays of structs; `action`, `owner_team` and `urgency` are those of the first action.
+    """
     keys = ["run_id", "aspect_norm", "cluster_id"]
     tokens = samples.select(*keys, "sample_no", F.posexplode(F.slice(F.filter(F.split(F.lower(F.coalesce("issue_norm", F.lit(""))), r"\s+"), lambda w: w != ""), 1, 3)).alias("token_no", "token"))
     counted = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sample_no", "token_no")).alias("seen"))
     top = first_per(counted, keys, [F.desc("n"), F.col("seen.sample_no"), F.col("seen.token_no")]).select(*keys, F.col("token").alias("top_token"))
-    early = samples.where(F.col("sample_no") <= EVIDENCE).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sample_no", "issue_norm"))).alias("early"))
+    quoted = F.struct("sample_no", "issue_norm", "sentence_id", F.substring("target_sentence", 1, QUOTE).alias("quote"))
+    early = samples.where(F.col("sample_no") <= EVIDENCE).groupBy(*keys).agg(F.sort_array(F.collect_list(quoted)).alias("early"))
     terms = F.array_join(F.slice(F.filter(F.transform("early", lambda x: x["issue_norm"]), lambda t: t != ""), 1, 3), ", ")
+    evidence = F.transform("early", lambda x: F.struct(x["sentence_id"].alias("sentence_id"), x["quote"].alias("quote"), F.lit(REPRESENTATIVE).alias("why_representative")))
+    none = F.array().cast("array<struct<sentence_id:string,quote:string,why_representative:string>>")
     rows = stats.join(top, keys, "left").join(early, keys, "left")
     size, neg = F.coalesce("cluster_size", F.lit(0)), F.coalesce("neg_ratio", F.lit(0.0))
     name = F.concat("aspect_norm", F.coalesce(F.concat(F.lit(": "), "top_token"), F.lit(" issue cluster")))
-    head, about, share, count, end, much, little, none = (F.lit(x) for x in SUMMARY)
-    summary = F.concat(head, "aspect_norm", about, F.coalesce(F.nullif(terms, F.lit("")), none), share, percent(neg), count, size.cast("string"), end, F.when(neg > 0.7, much).when(neg < 0.3, little).otherwise(""))
-    rule = action_rule(F.col("aspect_norm"))
-    return rows.select(*keys, name.alias("cluster_name"), summary.alias("summary"), priority(size, neg).alias("priority"), template_confidence(size, neg).alias("confidence"), rule["action"].alias("action"), rule["owner_team"].alias("owner_team"), urgency(neg).alias("urgency"), (1 + (neg > 0.7).cast("int")).alias("n_actions"))
+    head, about, share, count, end, much, little, various = (F.lit(x) for x in SUMMARY)
+    summary = F.concat(head, "aspect_norm", about, F.coalesce(F.nullif(terms, F.lit("")), various), share, percent(neg), count, size.cast("string"), end, F.when(neg > 0.7, much).when(neg < 0.3, little).otherwise(""))
+    actions = action_items(F.col("aspect_norm"), neg)
+    rows = rows.select(*keys, name.alias("cluster_name"), summary.alias("summary"), priority(size, neg).alias("priority"), rationale(size, neg).alias("priority_rationale"), template_confidence(size, neg).alias("confidence"), F.coalesce(evidence, none).alias("evidence_items"), actions.alias("action_items"))
+    first = F.col("action_items")[0]
+    return rows.select("*", first["action"].alias("action"), first["owner_team"].alias("owner_team"), first["urgency"].alias("urgency"), F.size("action_items").alias("n_actions"))
+
+
+def fallback_insights(stats: DataFrame, samples: DataFrame) -> DataFrame:
+    """The plain insight of clusters whose model call failed: name, summary, priority, confidence, evidence and one action."""
+    keys = ["run_id", "aspect_norm", "cluster_id"]
+    size, neg = F.coalesce("cluster_size", F.lit(0)), F.coalesce("neg_ratio", F.lit(0.0))
+    own = insights(stats, samples).select(*keys, "evidence_items")
+    rows = stats.join(own, keys)
+    ranked = fallback_priority(size, neg)
+    name = F.concat("aspect_norm", F.lit(" issue cluster "), "cluster_id")
+    summary = F.concat(F.lit("Cluster contains "), size.cast("string"), F.lit(" issues related to "), "aspect_norm", F.lit(". Negative sentiment ratio: "), F.format_string("%.2f", F.round(neg * 100, 2)), F.lit("%."))
+    action = F.struct(F.concat(F.lit("Investigate "), "aspect_norm", F.lit(" issues")).alias("action"), F.lit("product").alias("owner_team"), F.lit(None).cast("string").alias("expected_impact"), F.lit(None).cast("string").alias("validation_plan"), ranked.alias("urgency"))
+    return rows.select(*keys, name.alias("cluster_name"), summary.alias("summary"), ranked.alias("priority"), F.lit(0.5).alias("confidence"), "evidence_items", F.array(action).alias("action_items"))
+
+
+def sample_blocks(samples: DataFrame, keys: list[str], most: int = SAMPLES) -> DataFrame:
+    """(keys, samples): the samples of each cluster as the text blocks of a prompt, in order."""
+    part = lambda label, c: F.concat(F.lit(f"  - {label}: "), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n"))
+    block = F.concat(F.lit("样本"), F.col("sample_no").cast("string"), F.lit(":\n"), part("sentence_id", "sentence_id"), part("句子", "target_sentence"), part("问题", "issue_norm"), part("情感", "sentiment"), part("有用票数", "helpful_vote"))
+    listed = samples.where(F.col("sample_no") <= most).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("sample_no", block.alias("block")))).alias("b"))
+    return listed.select(*keys, F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("samples"))
+
+
+def repaired_items(listed: DataFrame, keys: list[str], names: tuple[str, ...], main: str, others: tuple[str, ...]) -> DataFrame:
+    """Elements of a model's list as objects: bare texts become the main field, which older names may hold; empty ones drop.
+
+    listed: keys, ordinal, value (the element as text), and the fields `names`, `main` and `others` as text columns.
+    """
+    bare = F.when(~F.col("value").rlike(r"^\s*[\[{]"), F.col("value"))
+    text = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in (main, *others)], F.nullif(bare, F.lit("")))
+    return listed.select(*keys, "ordinal", text.alias(main), *[F.col(n) for n in names]).where(F.col(main).isNotNull())
+
+
+def repair_insight(answer: str | None) -> dict:
+    """A model's insight in its declared form: bare texts as objects, older field names, defaults for what is missing.
+
+    An answer without an object is a ValueError.
+    """
+    value = decode(answer)
+    if not isinstance(value, dict):
+        raise ValueError("no object")
+
+    def items(name: str, main: str, others: tuple[str, ...], optional: tuple[str, ...], fixed: dict) -> list[dict]:
+        out = []
+        for item in value.get(name) if isinstance(value.get(name), list) else []:
+            if isinstance(item, str):
+                item = {main: item}
+            if isinstance(item, dict):
+                text = next((str(item[c]) for c in (main, *others) if item.get(c)), "")
+                if text:
+                    out.append({**{k: item.get(k, v) for k, v in fixed.items()}, main: text, **{k: item.get(k) for k in optional}})
+        return out
+
+    out = {"cluster_name": value.get("cluster_name") or UNNAMED, "summary": value.get("summary") or NO_SUMMARY}
+    out["priority"] = value.get("priority") if value.get("priority") in PRIORITIES else "medium"
+    out["evidence_items"] = items("evidence_items", "quote", ("text", "evidence"), ("why_representative",), {"sentence_id": ""})
+    out["action_items"] = items("action_items", "action", ("text", "suggestion"), ("owner_team", "expected_impact", "validation_plan", "urgency"), {})
+    confidence = value.get("confidence")
+    out["confidence"] = float(confidence) if isinstance(confidence, (int, float)) and not isinstance(confidence, bool) else None
+    return out
 
 
 def busy_sentences(valid: DataFrame, more_than: int = 10) -> DataFrame:
@@ -142,6 +237,16 @@ def flat(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "\n\r", "  ")
 
 
+def thousands(value: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(value, 0)
+
+
+def shown_metric(name: Column, value: Column) -> Column:
+    """Shares in per cent, other metrics with four places."""
+    return F.when(name.rlike("coverage|rate"), F.concat(F.format_string("%.2f", F.round(value * 100, 2)), F.lit("%"))).otherwise(F.format_string("%.4f", value))
+
+
 def number(value: Column, places: int = 4) -> Column:
     return F.when(value.isNotNull(), F.format_string(f"%.{places}f", F.round(value, places))).otherwise("")
 
@@ -181,6 +286,12 @@ def export_rows(clusters: DataFrame, stats: DataFrame, reports: DataFrame, sente
     return joined.select("run_id", "unix_ts", *[shown[c].alias(c) for c in EXPORT_COLUMNS])
 
 
+def failure_ratios(counts: DataFrame) -> DataFrame:
+    """candidate_rate, valid_per_candidate and noise_rate of each run, from n_sentences, n_candidates, n_valid and n_noise."""
+    rates = {"candidate_rate": ("n_candidates", "n_sentences"), "valid_per_candidate": ("n_valid", "n_candidates"), "noise_rate": ("n_noise", "n_valid")}
+    return counts.select("run_id", *[F.round(guarded(F.col(a), F.col(b)), 6).alias(n) for n, (a, b) in rates.items()])
+
+
 def export_summary(clusters: DataFrame) -> DataFrame:
     """Per run: records, clusters without noise, noise records, and the aspects in order."""
     aspects = F.array_join(F.sort_array(F.collect_set(F.nullif(F.col("aspect_norm"), F.lit("")))), ",")

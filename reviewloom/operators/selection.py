@@ -74,11 +74,11 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 
 def meta_context(selected: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row per selected product that is known: its first listing by title, with shortened features and description."""
+    """One row per selected product that is known: its first listing by title, with shortened features, description and details."""
     one = first_per(meta, ["parent_asin"], [F.col(c).asc_nulls_last() for c in ("title", "main_category", "description", "details")])
     wanted = selected.select("parent_asin").where("parent_asin is not null").distinct()
     features = truncated(F.concat_ws(", ", F.col("features")))
-    return one.join(wanted, "parent_asin", "left_semi").select("parent_asin", F.col("title").alias("product_title"), "main_category", features.alias("features_short"), truncated(F.col("description")).alias("description_short"))
+    return one.join(wanted, "parent_asin", "left_semi").select("parent_asin", F.col("title").alias("product_title"), "main_category", features.alias("features_short"), truncated(F.col("description")).alias("description_short"), truncated(F.col("details")).alias("details_short"))
 
 
 def normalize_reviews(selected: DataFrame, min_length: int = 10) -> DataFrame:

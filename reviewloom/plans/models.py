@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.operators import kernels, payloads, providers, reports
-from reviewloom.operators.selection import build_sentences, distinct_reviews, first_per, normalize_reviews
+from reviewloom.functions import lexicons as lx
+from reviewloom.operators import kernels, normalize, payloads, providers, reports
+from reviewloom.operators.selection import build_sentences, distinct_reviews, first_per, meta_context, normalize_reviews
 from reviewloom.operators.flatten import flatten_nested
 from reviewloom.plans.general import PAYLOAD_FIELDS, decoded_json, list_rows
-from reviewloom.plans.opinions_sql import NORMALIZED, REVIEWS, SENTENCES, cascade, chain, strip, validity, words_in
+from reviewloom.plans.opinions_sql import CONTEXT, META, NORMALIZED, REVIEWS, SENTENCES, cascade, chain, q, strip, validity, words_in
 from reviewloom.sources.tables import table
 
 
@@ -54,11 +55,39 @@ def c11_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.rerank(pairs, "issue_raw", "issue_norm").select("issue_raw", "issue_norm", F.round("rerank_score", 5).alias("rerank_score"))
 
 
+#: Prompt of the stand-in model of extraction.
+EXTRACTION_PROMPT = "Name the aspects of the product that the sentence judges.\nSentence: {target_sentence}\nContext: {context_text}\nProduct: {product_title}\nFeatures: {features_short}"
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sentence_id, prompt) of every sentence of the reviews, with its product."""
+    rows = first_per(table(spark, sf_dir, "review_sentences"), ["sentence_id"], [F.col("target_sentence").asc_nulls_last(), F.col("context_text").asc_nulls_last(), F.col("parent_asin").asc_nulls_last()])
+    context = meta_context(table(spark, sf_dir, "review_sentences"), table(spark, sf_dir, "meta")).select("parent_asin", "product_title", "features_short")
+    rows = rows.join(context, "parent_asin", "left")
+    return rows.select("sentence_id", providers.fill_template(EXTRACTION_PROMPT, rows.columns).alias("prompt"))
+
+
+def l11_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of all sentences, filled from the template."""
+    return _prompts(spark, sf_dir)
+
+
 def l04_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of all sentences through the stand-in model, with status and attempts."""
-    rows = table(spark, sf_dir, "review_sentences").select("sentence_id", "target_sentence", "context_text").dropDuplicates(["sentence_id"])
-    prompt = F.concat(F.lit("Sentence: "), F.coalesce("target_sentence", F.lit("")), F.lit("\nContext: "), F.coalesce("context_text", F.lit("")))
-    return providers.complete_prompts(rows.withColumn("prompt", prompt), "sentence_id", "prompt").groupBy("parse_status", "retry_count").agg(F.count(F.lit(1)).alias("n"))
+    """Answers of the stand-in model to the prompts of all sentences, with the aspects that they name."""
+    answers = providers.complete_prompts(_prompts(spark, sf_dir), "sentence_id", "prompt", providers.build_completer(providers.ModelConfig("rules")))
+    named = F.array_join(F.transform(F.from_json(F.get_json_object("llm_output", "$.aspects"), "array<struct<aspect:string>>"), lambda a: a["aspect"]), ",")
+    return answers.select("sentence_id", "parse_status", "retry_count", named.alias("aspects"))
+
+
+def n06_model_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade with the stand-ins: spelling, vectors, and a model for what is left."""
+    names, _ = normalize.normalize_with_models(table(spark, sf_dir, "aspect_sentiment_valid"), embed=providers.HashedNgrams, complete=normalize.PrefixNormalizer)
+    return names
+
+
+def n06_new_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stand-in model adds to the synonyms after the cascade without spelling."""
+    return normalize.normalize_with_models(table(spark, sf_dir, "aspect_sentiment_valid"), fuzzy=False, complete=normalize.PrefixNormalizer)[1]
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +146,7 @@ def v04_rebuilt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted[0].unionByName(counted[1])
 
 
-QUERIES = {f.__name__: f for f in (c01_encoded_issues, c02_issue_vectors, c04_merged_aspects, c06_bucket_clusters, c07_hierarchical_density, c11_reranked, l04_completed, n14_judged_payloads, n15_payload_issues, a25_payload_aspects, j09_new_opinions, l05_evidence_spans, l08_traced_evidence, v04_rebuilt_ids)}
+QUERIES = {f.__name__: f for f in (c01_encoded_issues, c02_issue_vectors, c04_merged_aspects, c06_bucket_clusters, c07_hierarchical_density, c11_reranked, l11_prompts, l04_completed, n06_model_aspects, n06_new_synonyms, n14_judged_payloads, n15_payload_issues, a25_payload_aspects, j09_new_opinions, l05_evidence_spans, l08_traced_evidence, v04_rebuilt_ids)}
 
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sentence_id ORDER BY created_at DESC, retry_count DESC, llm_model NULLS LAST, prompt_version NULLS LAST, llm_output NULLS LAST) AS k
   FROM aspect_sentiment_raw WHERE parse_status = 'SUCCESS') WHERE k = 1)"""
@@ -135,6 +164,8 @@ listed AS (
 kept AS (SELECT l.*, aspect_norm, {strip("lower(issue_raw)")} AS issue_norm FROM listed l JOIN cascade c ON l.aspect_raw = c.aspect_raw WHERE found),
 judged AS (SELECT *, row_number() OVER (PARTITION BY run_id, sentence_id, aspect_norm, issue_norm ORDER BY ordinal) AS k FROM kept WHERE {validity("aspect_norm", "issue_norm")} = 'VALID')
 """
+_ASKED = """asked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY target_sentence NULLS LAST, context_text NULLS LAST, parent_asin NULLS LAST) AS k FROM review_sentences) WHERE k = 1)"""
+_STORED_CONTEXT = CONTEXT.replace("FROM reviews", "FROM review_sentences")
 #: Evidence as a whole, or its first three words and then every further word in order, as a recursion over the words.
 _SPANS = f"""WITH RECURSIVE pairs AS (
   SELECT DISTINCT v.run_id, v.sentence_id, evidence_text, lower(target_sentence) AS s, {strip("lower(evidence_text)")} AS e, coalesce(evidence_text, '') <> '' AND coalesce(target_sentence, '') <> '' AS usable
@@ -161,7 +192,15 @@ ORACLES = {
         for key in ("review_pk", "sentence_id")
     ),
     "c02_issue_vectors": "SELECT aspect_norm, count(*) AS n_rows, count(DISTINCT issue_norm) AS n_texts FROM aspect_sentiment_valid WHERE validity_label = 'VALID' AND issue_norm IS NOT NULL GROUP BY 1",
-    "l04_completed": "SELECT 'SUCCESS' AS parse_status, CAST(0 AS INT) AS retry_count, count(DISTINCT sentence_id) AS n FROM review_sentences",
+    "l11_prompts": chain(META, _STORED_CONTEXT, _ASKED)
+    + """SELECT sentence_id, 'Name the aspects of the product that the sentence judges.' || chr(10) || 'Sentence: ' || coalesce(target_sentence, '') || chr(10) || 'Context: ' || coalesce(context_text, '') || chr(10)
+      || 'Product: ' || coalesce(product_title, '') || chr(10) || 'Features: ' || coalesce(features_short, '') AS prompt FROM asked LEFT JOIN context USING (parent_asin)""",
+    "l04_completed": chain(_ASKED)
+    + f"""SELECT sentence_id, 'SUCCESS' AS parse_status, CAST(0 AS INT) AS retry_count, array_to_string(list_filter([{", ".join(map(q, lx.ASPECT_SEEDS))}], lambda w: contains(lower(split_part(coalesce(target_sentence, ''), chr(10), 1)), w)), ',') AS aspects FROM asked""",
+    # what the cascade leaves open: a term of the same first four letters is no new one, noise is none
+    "n06_new_synonyms": chain(cascade("aspect_sentiment_valid"))
+    + f"""SELECT DISTINCT a AS original, a AS normalized FROM cascade c JOIN aspects USING (aspect_raw) WHERE method = 'none' AND a NOT IN ({", ".join(map(q, lx.NOISE_TERMS))})
+      AND NOT EXISTS (SELECT 1 FROM syn WHERE left(v, 4) = left(a, 4))""",
     "a25_payload_aspects": f"""WITH {_LATEST}, decoded AS (SELECT 'raw' AS source_table, run_id, sentence_id AS parent_key, {decoded_json("llm_output")} AS p FROM latest),
       records AS (SELECT * EXCLUDE (p), coalesce(json_extract(p, '$.result'), json_extract(p, '$.data.output'), p) AS r FROM decoded), items AS ({list_rows("records", "json_extract(r, '$.aspects')", "aspects")})
       SELECT run_id, n_payloads, coalesce(n_aspects, 0) AS n_aspects, coalesce(n_with_aspects, 0) AS n_with_aspects FROM (SELECT run_id, count(*) AS n_payloads FROM latest GROUP BY 1)

@@ -10,7 +10,9 @@ from reviewloom.functions.text import epoch_seconds
 from reviewloom.operators import extraction, normalize, opinion, selection
 from reviewloom.operators.selection import Slice
 from reviewloom.plans import opinions_sql
-from reviewloom.sources.tables import table
+from reviewloom.pipeline import RunConfig, run_pipeline, table_name
+from reviewloom.sources.sinks import RunStore
+from reviewloom.sources.tables import materialize, table, temporary_folder
 
 SLICE = Slice(first_ts=1_650_000_000, last_ts=1_720_000_000, min_helpful=0)
 
@@ -112,7 +114,7 @@ def t11_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> DataFrame:
-    rows = extraction.extract(_opinions(spark, sf_dir))
+    rows = materialize(extraction.extract(_opinions(spark, sf_dir)))  # read by the names and by the rows
     names = normalize.normalize_aspects(rows, fuzzy=fuzzy)
     rows = rows.join(names, "aspect_raw").withColumn("issue_norm", F.lower(normalize.strip(F.col("issue_raw"))))
     label = normalize.validity(F.col("aspect_norm"), F.col("issue_norm"))
@@ -163,8 +165,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("main_category", "aspect_norm").agg(F.count(F.lit(1)).alias("n_opinions"), F.round(negative, 6).alias("neg_ratio"))
 
 
+def s10_run_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run from the reviews to its judged opinions, written step by step, and the run's partition read back."""
+    folder = temporary_folder(spark, "runs")
+    config = RunConfig(fuzzy=False)
+    run_pipeline(spark, folder, "run-1", table(spark, sf_dir, "reviews"), table(spark, sf_dir, "meta"), config, last="judge")
+    rows = RunStore(spark, folder).read(table_name(config, "aspect_sentiment_valid"), "run-1")
+    return rows.select("sentence_id", "parent_asin", "aspect_norm", "issue_norm", "sentiment", "sentiment_score", "evidence_text", "quality_flags")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (s02_review_keys, j01_selected_reviews, x14_epoch_seconds, f01_category_slice, f02_product_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, flagship)
+    for f in (s02_review_keys, j01_selected_reviews, x14_epoch_seconds, f01_category_slice, f02_product_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, s10_run_opinions, flagship)
 }
 ORACLES = opinions_sql.ORACLES

@@ -104,7 +104,8 @@ CONTEXT = """
 context AS (
   SELECT parent_asin, title AS product_title, main_category,
     CASE WHEN length(array_to_string(coalesce(features, []), ', ')) > 2048 THEN substring(array_to_string(features, ', '), 1, 2048) || '...' ELSE array_to_string(coalesce(features, []), ', ') END AS features_short,
-    CASE WHEN length(description) > 2048 THEN substring(description, 1, 2048) || '...' ELSE description END AS description_short
+    CASE WHEN length(description) > 2048 THEN substring(description, 1, 2048) || '...' ELSE description END AS description_short,
+    CASE WHEN length(details) > 2048 THEN substring(details, 1, 2048) || '...' ELSE details END AS details_short
   FROM meta_1 WHERE parent_asin IN (SELECT parent_asin FROM reviews WHERE parent_asin IS NOT NULL)
 )"""
 
@@ -237,6 +238,8 @@ WHERE r.parent_asin = (SELECT parent_asin FROM reviews WHERE parent_asin IS NOT
     "n12_unfound_evidence": """SELECT v.run_id, v.sentence_id, aspect_norm, 'EVIDENCE_NOT_FOUND' AS issue_type FROM aspect_sentiment_valid v
 JOIN (SELECT DISTINCT run_id, sentence_id, target_sentence FROM review_sentences) s ON v.run_id = s.run_id AND v.sentence_id = s.sentence_id
 WHERE NOT contains(lower(target_sentence), lower(coalesce(evidence_text, '')))""",
+    "s10_run_opinions": chain(*TO_JUDGED)
+    + """SELECT sentence_id, parent_asin, aspect_norm, issue_norm, sentiment, sentiment_score, evidence_text, quality_flags FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id, aspect_norm, issue_norm ORDER BY aspect_raw) AS n FROM judged WHERE validity_label = 'VALID') WHERE n = 1""",
     "flagship": chain(*TO_JUDGED)
     + """SELECT main_category, aspect_norm, count(*) AS n_opinions, round(avg(CASE WHEN sentiment IN ('negative', 'neg') THEN 1.0 ELSE 0.0 END), 6) AS neg_ratio
 FROM judged LEFT JOIN (SELECT parent_asin, main_category FROM meta_1) USING (parent_asin) WHERE validity_label = 'VALID' GROUP BY 1, 2""",

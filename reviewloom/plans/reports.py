@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.operators import opinion, reports
+from reviewloom.operators.flatten import flatten_nested
 from reviewloom.operators.ordering import numbered
 from reviewloom.operators.selection import first_per
+from reviewloom.plans.general import decoded_json, list_rows
 from reviewloom.plans.opinions_sql import q, scored
 from reviewloom.sources import sinks
 from reviewloom.sources.tables import table
@@ -68,8 +70,48 @@ def a24_coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r10_metric_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics as shown: shares in per cent, others with four places."""
     m = a24_coverage_metrics(spark, sf_dir)
-    shown = F.when(F.col("metric_name").rlike("coverage|rate"), F.concat(F.format_string("%.2f", F.round(F.col("metric_value") * 100, 2)), F.lit("%"))).otherwise(F.format_string("%.4f", "metric_value"))
-    return m.select("run_id", "metric_name", shown.alias("shown"))
+    return m.select("run_id", "metric_name", reports.shown_metric(F.col("metric_name"), F.col("metric_value")).alias("shown"))
+
+
+def o04_ordered_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics in the order of their names within a run, with their place."""
+    return numbered(a24_coverage_metrics(spark, sf_dir), ["run_id"], ["metric_name"], "place").select("run_id", "place", "metric_name", "metric_value")
+
+
+def x25_shown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts with thousands separators, as the report shows them."""
+    counts = table(spark, sf_dir, "review_sentences").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("run_id", reports.thousands(F.col("n")).alias("shown"), reports.thousands(F.col("n") * 1000).alias("shown_thousandfold"))
+
+
+def r09_failure_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates per sentence, valid opinions per candidate, and noise per valid opinion."""
+    sentences = table(spark, sf_dir, "review_sentences").groupBy("run_id", "sentence_id").agg(F.min("target_sentence").alias("target_sentence"))
+    s = opinion.score_sentences(sentences).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if("is_candidate").alias("n_candidates"))
+    label = lambda name: F.count_if(F.col("validity_label") == name).alias(f"n_{name.lower()}")
+    v = table(spark, sf_dir, "aspect_sentiment_valid").groupBy("run_id").agg(label("VALID"), label("NOISE"))
+    return reports.failure_ratios(s.join(v, "run_id", "left").fillna(0))
+
+
+def r07_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a report in one row per run: reviews, sentences, candidates, valid opinions, clusters, noise."""
+    sentences = table(spark, sf_dir, "review_sentences").groupBy("run_id", "sentence_id").agg(F.min("target_sentence").alias("target_sentence"), F.min("review_pk").alias("review_pk"))
+    s = opinion.score_sentences(sentences).groupBy("run_id").agg(F.count_distinct("review_pk").alias("n_reviews"), F.count(F.lit(1)).alias("n_sentences"), F.count_if("is_candidate").alias("n_candidates"))
+    v = table(spark, sf_dir, "aspect_sentiment_valid").groupBy("run_id").agg(F.count_if(F.col("validity_label") == "VALID").alias("n_valid"))
+    c = reports.export_summary(_clustered(spark, sf_dir)).select("run_id", "n_clusters", "n_noise")
+    return s.join(v, "run_id", "left").join(c, "run_id", "left").fillna(0)
+
+
+def x22_config_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifier of a clustering configuration: its fields as JSON in the order of their names, on every run."""
+    config = sinks.config_id({"method": "hdbscan", "min_samples": 3, "aspect": {"threshold": 0.85, "by": "cosine"}})
+    return table(spark, sf_dir, "cluster_stats").select("run_id").distinct().withColumn("clustering_config_id", F.lit(config))
+
+
+def x23_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aspects as parts of file names."""
+    name = F.substring(F.regexp_replace("aspect_norm", r"[^\p{L}\p{N}_-]", "_"), 1, 50)
+    return table(spark, sf_dir, "cluster_stats").where("aspect_norm is not null").select("aspect_norm", name.alias("file_name")).distinct()
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +147,47 @@ def o03_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_rows(table(spark, sf_dir, "cluster_reports"), _stats(spark, sf_dir)).select(*KEYS, "report_no", "priority", "cluster_size", "neg_ratio", "cluster_name")
 
 
-def r02_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.insights(_stats(spark, sf_dir), _samples(spark, sf_dir))
 
 
+def r02_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, summaries, priorities and first actions of all clusters."""
+    return _insights(spark, sf_dir).drop("evidence_items", "action_items")
+
+
+def r04_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of all clusters, one row per item."""
+    return _insights(spark, sf_dir).select(*KEYS, F.posexplode("evidence_items").alias("item_no", "e")).select(*KEYS, "item_no", "e.*")
+
+
+def r05_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions of all clusters, one row per item."""
+    return _insights(spark, sf_dir).select(*KEYS, F.posexplode("action_items").alias("item_no", "a")).select(*KEYS, "item_no", "a.*")
+
+
+def l07_repaired_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions of the stored reports, whatever form the model gave them."""
+    keys, names = ["run_id", "cluster_id", "aspect_norm"], ("owner_team", "urgency")
+    stored = table(spark, sf_dir, "cluster_reports").select(*keys, "action_items").distinct()
+    listed = flatten_nested(stored, "action_items", keys, root_list="action_items", fields=("action", "text", "suggestion", *names), with_value=True).where("list_name = 'action_items'")
+    return reports.repaired_items(listed, keys, names, "action", ("text", "suggestion"))
+
+
+def l10_fallback_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain insights of all clusters, as they stand in where a model fails."""
+    rows = reports.fallback_insights(_stats(spark, sf_dir), _samples(spark, sf_dir))
+    return rows.select(*KEYS, "cluster_name", "summary", "priority", "confidence", F.size("evidence_items").alias("n_evidence"), F.col("action_items")[0]["action"].alias("action"))
+
+
+def l11_sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of all clusters as the text of a prompt."""
+    more = first_per(table(spark, sf_dir, "aspect_sentiment_valid"), ["run_id", "sentence_id", "aspect_norm", "issue_norm"], [F.col("sentiment").asc_nulls_last()]).select("run_id", "sentence_id", F.col("aspect_norm").alias("sample_aspect"), "issue_norm", "sentiment")
+    votes = table(spark, sf_dir, "review_sentences").groupBy("run_id", "sentence_id").agg(F.max("helpful_vote").alias("helpful_vote"))
+    samples = _samples(spark, sf_dir).join(more, ["run_id", "sentence_id", "sample_aspect", "issue_norm"], "left").join(votes, ["run_id", "sentence_id"], "left")
+    return reports.sample_blocks(samples, KEYS)
+
+
 def l09_model_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence and priority where the model gave none."""
     s = _stats(spark, sf_dir).where("cluster_size is not null and neg_ratio is not null")
@@ -172,8 +251,8 @@ def s05_parameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        w01_latest_extractions, w02_first_opinions, a01_run_counts, a04_duplicate_opinions, a05_aspect_repeats, a06_busy_sentences, a08_products, a24_coverage_metrics, r10_metric_display,
-        a07_cluster_means, f15_representatives, j05_cluster_samples, o02_largest_clusters, o03_report_rows, r02_insights, l09_model_defaults, s18_export, s19_export_summary, s16_taxonomy,
+        w01_latest_extractions, w02_first_opinions, a01_run_counts, a04_duplicate_opinions, a05_aspect_repeats, a06_busy_sentences, a08_products, a24_coverage_metrics, r10_metric_display, o04_ordered_metrics, x25_shown_counts, r09_failure_ratios, r07_report_counts, x22_config_ids, x23_file_names,
+        a07_cluster_means, f15_representatives, j05_cluster_samples, o02_largest_clusters, o03_report_rows, r02_insights, r04_evidence, r05_actions, l07_repaired_actions, l10_fallback_insights, l11_sample_blocks, l09_model_defaults, s18_export, s19_export_summary, s16_taxonomy,
         s11_run_log, s13_cleaned_log, j03_open_orders, s05_parameterised,
     )
 }
@@ -242,6 +321,18 @@ ORACLES = {
     "a08_products": "SELECT DISTINCT run_id, parent_asin FROM review_sentences",
     "a24_coverage_metrics": _METRICS + "SELECT * FROM metrics",
     "r10_metric_display": _METRICS + "SELECT run_id, metric_name, CASE WHEN contains(metric_name, 'coverage') OR contains(metric_name, 'rate') THEN printf('%.2f', round(metric_value * 100, 2)) || '%' ELSE printf('%.4f', metric_value) END AS shown FROM metrics",
+    "o04_ordered_metrics": _METRICS + "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY metric_name) AS place, metric_name, metric_value FROM metrics",
+    "x25_shown_counts": "SELECT run_id, format('{:,}', count(*)) AS shown, format('{:,}', count(*) * 1000) AS shown_thousandfold FROM review_sentences GROUP BY 1",
+    "r09_failure_ratios": _METRICS
+    + """SELECT c.run_id, round(CASE WHEN n_sentences > 0 THEN n_candidates / CAST(n_sentences AS DOUBLE) ELSE 0 END, 6) AS candidate_rate, round(CASE WHEN n_candidates > 0 THEN n_valid / CAST(n_candidates AS DOUBLE) ELSE 0 END, 6) AS valid_per_candidate,
+      round(CASE WHEN n_valid > 0 THEN coalesce(n_noise, 0) / CAST(n_valid AS DOUBLE) ELSE 0 END, 6) AS noise_rate FROM counts c LEFT JOIN (SELECT run_id, count(*) FILTER (WHERE validity_label = 'NOISE') AS n_noise FROM aspect_sentiment_valid GROUP BY 1) n ON n.run_id = c.run_id""",
+    "r07_report_counts": _METRICS.rstrip()
+    + f""", {_STATS}, {_REPS}, {_CLUSTERED}
+      SELECT c.run_id, n_reviews, n_sentences, n_candidates, n_valid, coalesce(n_clusters, 0) AS n_clusters, coalesce(n_noise, 0) AS n_noise FROM counts c
+      JOIN (SELECT run_id, count(DISTINCT pk) AS n_reviews FROM (SELECT run_id, sentence_id, min(review_pk) AS pk FROM review_sentences GROUP BY 1, 2) GROUP BY 1) r ON r.run_id = c.run_id
+      LEFT JOIN (SELECT run_id, count(DISTINCT cluster_id) FILTER (WHERE cluster_id <> 'noise') AS n_clusters, count(*) FILTER (WHERE is_noise) AS n_noise FROM clustered GROUP BY 1) k ON k.run_id = c.run_id""",
+    "x22_config_ids": """SELECT DISTINCT run_id, '{"aspect": {"by": "cosine", "threshold": 0.85}, "method": "hdbscan", "min_samples": 3}' AS clustering_config_id FROM cluster_stats""",
+    "x23_file_names": "SELECT DISTINCT aspect_norm, substring(regexp_replace(aspect_norm, '[^\\pL\\pN_-]', '_', 'g'), 1, 50) AS file_name FROM cluster_stats WHERE aspect_norm IS NOT NULL",
     "a07_cluster_means": f"""WITH {_STATS} SELECT run_id, count(DISTINCT CASE WHEN cluster_id <> 'noise' THEN cluster_id END) AS n_clusters, round(avg(cluster_confidence), 6) AS mean_cluster_confidence,
       round(avg(separation_ratio), 6) AS mean_separation_ratio, round(avg(cohesion), 6) AS mean_cohesion, round(avg(sentiment_consistency), 6) AS mean_sentiment_consistency FROM stats WHERE cluster_confidence IS NOT NULL GROUP BY 1""",
     "f15_representatives": f"WITH {_STATS}, {_REPS} SELECT * FROM reps r WHERE EXISTS (SELECT 1 FROM review_sentences s WHERE s.run_id = r.run_id AND s.sentence_id = r.sentence_id)",
@@ -262,10 +353,33 @@ ORACLES = {
       SELECT s.run_id, s.aspect_norm, s.cluster_id, s.aspect_norm || coalesce(': ' || token, ' issue cluster') AS cluster_name,
         {_H} || s.aspect_norm || {_A} || coalesce(nullif(terms, ''), {_N}) || {_S} || {_PCT.format(_NEG)} || {_C} || CAST({_SIZE} AS VARCHAR) || {_E} || CASE WHEN {_NEG} > 0.7 THEN {_M} WHEN {_NEG} < 0.3 THEN {_L} ELSE '' END AS summary,
         {_PRIORITY} AS priority,
+        CASE {_PRIORITY} WHEN 'high' THEN '规模大(' || CAST({_SIZE} AS VARCHAR) || ')且负面率高(' || {_PCT.format(_NEG)} || ')' WHEN 'medium' THEN '规模中等(' || CAST({_SIZE} AS VARCHAR) || ')，负面率' || {_PCT.format(_NEG)}
+          ELSE '规模较小(' || CAST({_SIZE} AS VARCHAR) || ')或负面率较低(' || {_PCT.format(_NEG)} || ')' END AS priority_rationale,
         round(least(1.0, 0.7 + CASE WHEN {_SIZE} > 20 THEN 0.1 WHEN {_SIZE} > 10 THEN 0.05 ELSE 0 END + CASE WHEN {_NEG} > 0.8 OR {_NEG} < 0.2 THEN 0.1 ELSE 0 END)::DOUBLE, 4) AS confidence,
         {_rule(1).replace("aspect_norm", "s.aspect_norm")} AS action, {_rule(2).replace("aspect_norm", "s.aspect_norm")} AS owner_team,
         CASE WHEN {_NEG} > 0.7 THEN 'high' WHEN {_NEG} > 0.5 THEN 'medium' ELSE 'low' END AS urgency, CAST(1 + CASE WHEN {_NEG} > 0.7 THEN 1 ELSE 0 END AS INT) AS n_actions
       FROM stats s LEFT JOIN top t ON s.run_id = t.run_id AND s.aspect_norm = t.aspect_norm AND s.cluster_id = t.cluster_id LEFT JOIN early e ON s.run_id = e.run_id AND s.aspect_norm = e.aspect_norm AND s.cluster_id = e.cluster_id""",
+    "r04_evidence": f"WITH {_STATS}, {_REPS}, {_SAMPLES} SELECT run_id, aspect_norm, cluster_id, sample_no - 1 AS item_no, sentence_id, substring(target_sentence, 1, 200) AS quote, {q(reports.REPRESENTATIVE)} AS why_representative FROM samples WHERE sample_no <= 5",
+    "r05_actions": f"""WITH {_STATS}, n AS (SELECT *, CASE WHEN {_NEG} > 0.7 THEN 'high' WHEN {_NEG} > 0.5 THEN 'medium' ELSE 'low' END AS u FROM stats)
+      SELECT run_id, aspect_norm, cluster_id, CAST(0 AS INT) AS item_no, {_rule(1)} AS action, {_rule(2)} AS owner_team, {_rule(3)} AS expected_impact, {_rule(4)} AS validation_plan, u AS urgency FROM n
+      UNION ALL SELECT run_id, aspect_norm, cluster_id, 1, {", ".join(map(q, reports.URGENT_ACTION))}, 'high' FROM n WHERE {_NEG} > 0.7""",
+    "l07_repaired_actions": f"""WITH stored AS (SELECT DISTINCT 'r' AS source_table, run_id, aspect_norm || chr(9) || cluster_id AS parent_key, {decoded_json("action_items")} AS a FROM cluster_reports),
+      items AS ({list_rows("stored", "a", "action_items")}),
+      texts AS (SELECT *, CASE WHEN json_type(item) = 'OBJECT' THEN coalesce(nullif(json_extract_string(item, '$.action'), ''), nullif(json_extract_string(item, '$.text'), ''), nullif(json_extract_string(item, '$.suggestion'), ''))
+        WHEN json_type(item) <> 'ARRAY' THEN nullif(json_extract_string(item, '$'), '') END AS action FROM items)
+      SELECT run_id, split_part(parent_key, chr(9), 2) AS cluster_id, split_part(parent_key, chr(9), 1) AS aspect_norm, CAST(item_path AS INT) AS ordinal, action, json_extract_string(item, '$.owner_team') AS owner_team, json_extract_string(item, '$.urgency') AS urgency
+      FROM texts WHERE action IS NOT NULL""",
+    "l10_fallback_insights": f"""WITH {_STATS}, {_REPS}, {_SAMPLES}, p AS (SELECT *, {_SIZE} AS z, {_NEG} AS g FROM stats), n AS (SELECT run_id, aspect_norm, cluster_id, count(*) AS c FROM samples WHERE sample_no <= 5 GROUP BY ALL)
+      SELECT p.run_id, p.aspect_norm, p.cluster_id, p.aspect_norm || ' issue cluster ' || p.cluster_id AS cluster_name,
+        'Cluster contains ' || CAST(z AS VARCHAR) || ' issues related to ' || p.aspect_norm || '. Negative sentiment ratio: ' || printf('%.2f', round(g * 100, 2)) || '%.' AS summary,
+        CASE WHEN z < 10 THEN 'low' WHEN g > 0.5 AND z > 20 THEN 'high' ELSE 'medium' END AS priority, 0.5::DOUBLE AS confidence, CAST(coalesce(c, 0) AS INT) AS n_evidence, 'Investigate ' || p.aspect_norm || ' issues' AS action
+      FROM p LEFT JOIN n ON p.run_id = n.run_id AND p.aspect_norm = n.aspect_norm AND p.cluster_id = n.cluster_id""",
+    "l11_sample_blocks": f"""WITH {_STATS}, {_REPS}, {_SAMPLES}, more AS (SELECT run_id, sentence_id, aspect_norm AS sample_aspect, issue_norm, min(sentiment) AS sentiment FROM aspect_sentiment_valid GROUP BY 1, 2, 3, 4),
+      votes AS (SELECT run_id, sentence_id, max(helpful_vote) AS helpful_vote FROM review_sentences GROUP BY 1, 2),
+      blocks AS (SELECT run_id, aspect_norm, cluster_id, sample_no, '样本' || CAST(sample_no AS VARCHAR) || ':' || chr(10) || '  - sentence_id: ' || sentence_id || chr(10) || '  - 句子: ' || coalesce(target_sentence, '') || chr(10) || '  - 问题: ' || coalesce(issue_norm, '') || chr(10)
+        || '  - 情感: ' || coalesce(sentiment, '') || chr(10) || '  - 有用票数: ' || coalesce(CAST(helpful_vote AS VARCHAR), '') || chr(10) AS block
+        FROM samples LEFT JOIN more USING (run_id, sentence_id, sample_aspect, issue_norm) LEFT JOIN votes USING (run_id, sentence_id))
+      SELECT run_id, aspect_norm, cluster_id, string_agg(block, chr(10) ORDER BY sample_no) AS samples FROM blocks GROUP BY ALL""",
     "l09_model_defaults": f"""WITH {_STATS} SELECT run_id, aspect_norm, cluster_id, CASE WHEN cluster_size > 5 THEN 0.8 WHEN cluster_size > 2 THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence,
       CASE WHEN cluster_size < 10 THEN 'low' WHEN neg_ratio > 0.5 AND cluster_size > 20 THEN 'high' ELSE 'medium' END AS priority FROM stats WHERE cluster_size IS NOT NULL AND neg_ratio IS NOT NULL""",
     "s18_export": f"""WITH {_STATS}, {_REPS}, {_CLUSTERED},

@@ -32,6 +32,10 @@ STEP_TABLES = {
     "evaluation": ("evaluation_metrics",),
     "report": (),
 }
+#: What each step needs.
+STEP_NEEDS = {"select": (), "meta": ("select",), "preprocess": ("select",), "sentences": ("preprocess",), "opinion": ("sentences",), "extraction": ("opinion", "meta"), "judge": ("extraction",), "clustering": ("judge",), "insight": ("clustering",), "evaluation": ("judge", "clustering"), "report": ("insight", "evaluation")}
+#: Tables that the lexicon path writes under a name of its own.
+TRADITIONAL = ("aspect_sentiment_raw", "aspect_sentiment_valid", "extraction_issues", "issue_clusters", "cluster_stats", "cluster_reports")
 #: Lines from which a prompt template begins (fixed values).
 TEMPLATE_MARKS = ("## Prompt模板", "```")
 
@@ -96,10 +100,12 @@ class RunStore:
         return schemas.conform(df.withColumns(stamps), table) if declared else df.withColumns(stamps)
 
     def read(self, table: str, run: str) -> DataFrame:
-        """Rows of one run; only its partition is read. A declared table without any run is empty."""
-        if table in schemas.TABLES and not self.exists(table):
+        """Rows of one run; only its partition is read. A declared table has its declared columns, and without any run is empty."""
+        declared = table in schemas.TABLES
+        if declared and not self.exists(table):
             return self.spark.createDataFrame([], schemas.schema_of(table))
-        rows = self.spark.read.option("mergeSchema", "true").parquet(self.path(table))
+        reader = self.spark.read.schema(schemas.schema_of(table)) if declared else self.spark.read.option("mergeSchema", "true")
+        rows = reader.parquet(self.path(table))
         return rows.withColumn("run_id", F.col("run_id").cast("string")).where(F.col("run_id") == run)
 
     def drop(self, table: str, run: str) -> None:
@@ -141,13 +147,13 @@ class RunStore:
         return done
 
 
-def write_csv(df: DataFrame, path: str, order: list[str]) -> int:
+def write_csv(df: DataFrame, path: str, order: list[str], columns: list[str] | None = None) -> int:
     """One CSV file with a byte-order mark, rows in order, streamed through the driver partition by partition."""
-    n = 0
+    n, columns = 0, columns or df.columns
     with open(path, "w", encoding="utf-8-sig", newline="") as file:
         out = csv.writer(file)
-        out.writerow(df.columns)
-        for row in df.orderBy(*order).toLocalIterator():
+        out.writerow(columns)
+        for row in df.orderBy(*order).select(*columns).toLocalIterator():
             out.writerow(["" if v is None else v for v in row])
             n += 1
     return n
@@ -206,6 +212,11 @@ def log_to_file(folder: str, name: str = "reviewloom", level: int = logging.INFO
     return logger
 
 
+def config_id(config: dict) -> str:
+    """A configuration as JSON with its fields in the order of their names."""
+    return json.dumps(_plain(config), sort_keys=True, ensure_ascii=False)
+
+
 def safe_name(text: str, most: int = 50) -> str:
     """Text as part of a file name: letters, digits, `-` and `_`; anything else becomes `_`."""
     return "".join(c if c.isalnum() or c in "-_" else "_" for c in text)[:most]

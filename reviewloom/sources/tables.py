@@ -53,6 +53,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, which goes the way of a stage."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_discard_all)
+    _WRITTEN.add(path)
+    return path
+
+
 def _stages_of(df: DataFrame) -> set[str]:
     files = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     return {p for p in _WRITTEN if any(f.rstrip("/").endswith(p.rsplit("/", 1)[1]) for f in files)}

@@ -134,7 +134,7 @@ def test_failed_completions(spark):
             return ["no json"]
 
     df = spark.createDataFrame([(1, "p")], "k int, p string")
-    assert tuple(providers.complete_prompts(df, "k", "p", Broken, 2).collect()[0])[1:4] == ("FAIL", 2, "JSONDecodeError")
+    assert tuple(providers.complete_prompts(df, "k", "p", Broken, 2).collect()[0])[1:4] == ("FAIL", 2, "ValueError")
     assert providers.complete_prompts(df, "k", "p").collect()[0]["parse_status"] == "SUCCESS"
 
 
