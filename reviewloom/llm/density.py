@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.graph import connected_components
-from reviewloom.sources.tables import materialize
+from reviewloom.sources.tables import materialize, scratch
 
 #: Words that span a cell.
 CELL_WORDS = 3
@@ -106,7 +106,8 @@ def density_clusters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     represented by its first member, so no task gathers its members; the loop runs over cells' first members only.
     """
     values, names = _numbered(df, keys, value)
-    labels = materialize(_labels(dense_cells(values, names)))
+    with scratch() as keep:
+        labels = keep(materialize(_labels(dense_cells(values, names))))
     held = values.join(labels, "id")
     firsts = held.groupBy("label").agg(F.min("value").alias("first_value"))
     back = [F.when(F.col(n) != "\0", F.col(n)).alias(k) for k, n in zip(keys, names, strict=True)]
@@ -121,8 +122,9 @@ def typical_members(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     cell comes out, so ranks are counted per group in sorted partitions.
     """
     values, names = _numbered(df, keys, value)
-    located = materialize(dense_cells(values, names))
-    labels = materialize(_labels(located))
+    with scratch() as keep:
+        located = keep(materialize(dense_cells(values, names)))
+        labels = keep(materialize(_labels(located)))
     rows = df.where(F.col(value).isNotNull()).groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("value_rows"))
     held = materialize(values.join(labels, "id", "left").withColumn("alone", F.col("label").isNull()).withColumn("label", F.coalesce("label", "id")).join(rows, [*names, "value"]))
     sizes = held.groupBy("label", "alone", *names).agg(F.count(F.lit(1)).alias("n_values"), F.sum("value_rows").alias("n_rows"), F.min("value").alias("first_value"))

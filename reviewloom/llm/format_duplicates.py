@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.sources.tables import materialize
+from reviewloom.sources.tables import materialize, scratch
 
 #: Modulus of the summed hashes, a prime below 2 ** 61, so that sums never overflow a long.
 MODULUS = (1 << 61) - 1
@@ -90,7 +90,8 @@ def format_duplicates(df: DataFrame, scope: str, record_id: str, text: str) -> D
     any letter or digit are equal to each other; rows repeated under one id are one record.
     """
     rows = _fingerprints(df, scope, record_id, text)
-    compared = materialize(_compared(rows, materialize(_groups(rows))))
+    with scratch() as keep:
+        compared = keep(materialize(_compared(rows, materialize(_groups(rows)))))
     return _pairs(compared).where("record_id <> first_id").select("scope", "first_id", "record_id").distinct()
 
 

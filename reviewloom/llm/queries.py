@@ -67,6 +67,12 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typical_members(_valid_issues(spark, sf_dir), ["run_id", "aspect_norm"], "issue_norm").withColumnRenamed("first_value", "first_issue")
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every group of issues, groups of one included: values and rows."""
+    groups = typical_members(_valid_issues(spark, sf_dir), ["run_id", "aspect_norm"], "issue_norm")
+    return groups.where("rank = 1").select("run_id", "aspect_norm", F.col("first_value").alias("first_issue"), "n_values", "n_rows")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts of the true sentences in the contexts of first sentences."""
     rows = table(spark, sf_dir, "review_sentences").where("sentence_index = 0").select("run_id", "sentence_id", "context_text").distinct()
@@ -74,9 +80,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences in every target_sentence, which the upstream splitter left joined or cut."""
+    """The sentences of every target_sentence, which the upstream splitter left joined or cut, with their texts."""
     rows = table(spark, sf_dir, "review_sentences").select("run_id", "sentence_id", "target_sentence").distinct()
-    return split_sentences(rows, "target_sentence", ["run_id", "sentence_id"]).groupBy("run_id", "sentence_id").agg(F.count(F.lit(1)).alias("n_sentences"))
+    return split_sentences(rows, "target_sentence", ["run_id", "sentence_id"], with_text=True).select("run_id", "sentence_id", "start_char", "sentence").distinct()
+
+
+def p6_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every context_text, of whatever place in the review, with their texts."""
+    rows = table(spark, sf_dir, "review_sentences").select("run_id", "sentence_id", "context_text").distinct()
+    return split_sentences(rows, "context_text", ["run_id", "sentence_id"], with_text=True).select("run_id", "sentence_id", "start_char", "sentence").distinct()
 
 
 def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +138,11 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p5_found, p5_clusters, p6_found, p6_targets, p6_documents, p8_containers, p8_fill, p8_faults, p9_found, p9_variants, p10_found, p10_statistics)}
+def p10_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of every document: words, lines, and the shares that the problem names."""
+    return _statistics(spark, sf_dir).select("doc_id", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_copies, p5_found, p5_clusters, p5_groups, p6_found, p6_targets, p6_contexts, p6_documents, p8_containers, p8_fill, p8_faults, p9_found, p9_variants, p10_found, p10_statistics, p10_numbers)}
 
 from reviewloom.llm.sql import ORACLES  # noqa: E402, F401

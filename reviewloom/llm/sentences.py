@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 import regex
@@ -118,7 +117,8 @@ class _Suppressed:
 
     def lists(self) -> tuple[frozenset, frozenset, frozenset]:
         if self.found is None:
-            self.found = _lists_of(_language(self.text))
+            language = _language(self.text)
+            self.found = _BY_LANGUAGE.get(language) or _BY_LANGUAGE.setdefault(language, _lists_of(language))
         return self.found
 
 
@@ -133,7 +133,10 @@ def _language(text: str) -> str | None:
     return max(counts, key=counts.get) if first > second else None
 
 
-@cache
+#: Lists by language, filled as they are asked for; a decorated function would not travel to workers with its code.
+_BY_LANGUAGE: dict[str | None, tuple[frozenset, frozenset, frozenset]] = {}
+
+
 def _lists_of(language: str | None) -> tuple[frozenset, frozenset, frozenset]:
     """The three lists for a text in a language: its own, and those of all others that are no words anywhere.
 
