@@ -275,10 +275,14 @@ def condensed_trees(df: DataFrame, bucket: str, key: str, vector: str, min_clust
     return _bucketed(df, bucket, key, vector).groupBy("bucket").applyInPandas(run, schema).withColumnRenamed("k", key)
 
 
+def two_stage_gate(df: DataFrame, bucket: str) -> DataFrame:
+    """One row (n_rows, n_buckets, two_stages): whether rows per bucket are many enough for clustering bucket by bucket."""
+    counted = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(bucket).alias("n_buckets"))
+    return counted.select("*", (F.col("n_rows") > ROWS_PER_BUCKET * F.col("n_buckets")).alias("two_stages"))
+
+
 def worth_two_stages(df: DataFrame, bucket: str) -> bool:
-    """Whether rows per bucket are many enough for clustering bucket by bucket."""
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(bucket).alias("b")).first()
-    return r["b"] > 0 and r["n"] / r["b"] > ROWS_PER_BUCKET
+    return two_stage_gate(df, bucket).first()["two_stages"]
 
 
 def merge_names(names: DataFrame, name: str, vector: str, count: str, similarity: float = 0.85) -> DataFrame:

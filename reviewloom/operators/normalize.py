@@ -17,6 +17,8 @@ from reviewloom.functions.text import SPACE, strip
 from reviewloom.operators.providers import NORMALIZATION_FIELDS, Completer, Embedder, HashedNgrams, complete_prompts, fill_template, structured, with_example
 from reviewloom.sources.tables import materialize
 
+#: Entries that the cascade holds at most.
+MAX_SYNONYMS = 5_000
 #: Least scores of the strategies (fixed values).
 FUZZY, OVERLAP, SEMANTIC, MODEL = 0.75, 0.5, 0.7, 0.5
 
@@ -78,6 +80,20 @@ def normalize_aspects(aspects: DataFrame, synonyms: dict[str, str] = lx.ASPECT_S
     return out.select("aspect_raw", choose(1, a).alias("aspect_norm"), F.when(a == "", "empty").otherwise(choose(0, F.lit("none"))).alias("method"), F.round(choose(2, F.lit(0.0)), 6).alias("confidence"))
 
 
+def synonyms_of(entries: DataFrame) -> dict[str, str]:
+    """A table (original, normalized) as the dictionary of the cascade, in the order of the originals.
+
+    Both sides trimmed and in lower case, blank ones left out; of equal originals the last normalised name in order counts. More
+    than MAX_SYNONYMS entries are an error: this cascade reads every entry for every aspect.
+    """
+    clean = {c: strip(F.lower(F.col(c))).alias(c) for c in ("original", "normalized")}
+    rows = entries.select(*clean.values()).where("original <> '' and normalized <> ''").groupBy("original").agg(F.max("normalized").alias("normalized"))
+    held = rows.orderBy("original").limit(MAX_SYNONYMS + 1).collect()
+    if len(held) > MAX_SYNONYMS:
+        raise ValueError(f"more than {MAX_SYNONYMS} synonyms")
+    return {r["original"]: r["normalized"] for r in held}
+
+
 def _vocabulary(synonyms: dict[str, str]) -> list[str]:
     return sorted(set(synonyms.values()))
 

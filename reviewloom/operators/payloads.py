@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions import lexicons as lx
 from reviewloom.functions.text import SPACE, find, strip
 from reviewloom.operators import normalize
 from reviewloom.operators.flatten import decode, flatten_nested
@@ -35,7 +36,7 @@ def _has_record(payload: str) -> Column:
     return F.udf(lambda text: isinstance(decode(text), dict), "boolean", useArrow=True)(payload)
 
 
-def judge_payloads(raw: DataFrame, sentences: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
+def judge_payloads(raw: DataFrame, sentences: DataFrame, fuzzy: bool = True, synonyms: dict[str, str] = lx.ASPECT_SYNONYMS) -> tuple[DataFrame, DataFrame]:
     """(valid, issues) of the latest successful payloads, judged against the sentences of their own run.
 
     raw: run_id, sentence_id, llm_output; sentences: run_id, sentence_id, target_sentence. A payload without a record, NULL
@@ -47,7 +48,7 @@ def judge_payloads(raw: DataFrame, sentences: DataFrame, fuzzy: bool = True) ->
     found = normalize.evidence_found(F.col("evidence_text"), F.col("target_sentence"))
     broken = rows.where(~_has_record("llm_output")).select("run_id", "sentence_id", F.lit("PARSE_FAIL").alias("issue_type"))
     lost = listed.where(~found).select("run_id", "sentence_id", F.lit("EVIDENCE_NOT_FOUND").alias("issue_type"))
-    names = normalize.normalize_aspects(listed.withColumnRenamed("aspect", "aspect_raw"), fuzzy=fuzzy)
+    names = normalize.normalize_aspects(listed.withColumnRenamed("aspect", "aspect_raw"), synonyms, fuzzy)
     kept = listed.where(found).withColumnRenamed("aspect", "aspect_raw").join(names, "aspect_raw").withColumn("issue_norm", strip(F.lower("issue")))
     kept = kept.withColumn("validity_label", normalize.validity(F.col("aspect_norm"), F.col("issue_norm")))
     valid = kept.where("validity_label = 'VALID'").groupBy("run_id", "sentence_id", "aspect_norm", "issue_norm").agg(F.min(F.struct("ordinal", "aspect_raw", "sentiment", F.expr("try_cast(sentiment_score as double)").alias("sentiment_score"), "evidence_text")).alias("r"))

@@ -27,7 +27,8 @@ def orphan_references(parents: DataFrame, children: DataFrame) -> DataFrame:
     month = F.date_format("created_at", "yyyy-MM")
     refs = children.where("id is not null and scope is not null").groupBy("ref_table", month.alias("ref_month"), "scope", "ref_key", "id").agg(F.min("created_at").alias("ref_at"))
     marks = parents.where("id is not null and scope is not null").select("scope", "id", F.lit(1).alias("is_parent"), F.col("created_at").alias("parent_at"), F.lit(None).cast("timestamp").alias("ref_at"))
-    long = marks.unionByName(children.where("id is not null and scope is not null").select("scope", "id", F.lit(0).alias("is_parent"), F.lit(None).cast("timestamp").alias("parent_at"), F.col("created_at").cast("timestamp").alias("ref_at")))
+    # from the grouped references, whose shuffle is shared, so that children are read and decoded once
+    long = marks.unionByName(refs.select("scope", "id", F.lit(0).alias("is_parent"), F.lit(None).cast("timestamp").alias("parent_at"), F.col("ref_at").cast("timestamp").alias("ref_at")))
     keys = long.groupBy("scope", "id").agg(F.max("is_parent").alias("is_parent"), F.min("parent_at").alias("parent_at"), F.min("ref_at").alias("first_ref_at"))
     suspect = keys.where("is_parent = 0 or parent_at > first_ref_at").select("scope", "id", "is_parent", "parent_at")
     found = refs.join(suspect, ["scope", "id"]).withColumn("kind", F.when(F.col("is_parent") == 0, "missing").when(F.col("parent_at") > F.col("ref_at").cast("timestamp"), "late"))

@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.functions import lexicons as lx
 from reviewloom.functions.text import slice_id
 from reviewloom.operators import extraction, kernels, neighbor_graph, normalize, opinion, payloads, providers, reports, selection, vectors
 from reviewloom.operators.ordering import numbered
@@ -41,12 +42,14 @@ class RunConfig:
     extraction_model: providers.ModelConfig = field(default_factory=providers.ModelConfig)
     embed: Callable[[], providers.Embedder] = providers.HashedNgrams
     fuzzy: bool = True
+    synonyms: dict[str, str] = field(default_factory=lambda: dict(lx.ASPECT_SYNONYMS))
     aspect_similarity: float = 0.85
     linkage_threshold: float = 0.5
     min_samples: int = 3
     adsorb_from: float = 0.7
     merge_from: float = 0.75
     smallest_cluster: int = 2
+    two_stages: bool = True
 
     @property
     def slice_name(self) -> str:
@@ -118,14 +121,14 @@ class Run:
         if self.config.method == "lexicon":
             rows = raw.select("run_id", "sentence_id", "aspect_raw", "issue_raw", "sentiment", "sentiment_score", "evidence_text").join(own, ["run_id", "sentence_id"])
             found = normalize.evidence_found(F.col("evidence_text"), F.col("target_sentence"))
-            names = normalize.normalize_aspects(rows, fuzzy=self.config.fuzzy).select("aspect_raw", "aspect_norm")
+            names = normalize.normalize_aspects(rows, self.config.synonyms, self.config.fuzzy).select("aspect_raw", "aspect_norm")
             judged = rows.where(found).join(names, "aspect_raw").withColumn("issue_norm", normalize.strip(F.lower("issue_raw")))
             judged = judged.where(normalize.validity(F.col("aspect_norm"), F.col("issue_norm")) == "VALID")
             valid = first_per(judged, ["sentence_id", "aspect_norm", "issue_norm"], [F.col("aspect_raw")])
             issues = rows.where(~found).select("sentence_id", F.lit("EVIDENCE_NOT_FOUND").alias("issue_type"))
         else:
             latest = reports.latest_rows(raw, ["run_id", "sentence_id"])
-            valid, issues = payloads.judge_payloads(latest.select("run_id", "sentence_id", "llm_output"), own, fuzzy=self.config.fuzzy)
+            valid, issues = payloads.judge_payloads(latest.select("run_id", "sentence_id", "llm_output"), own, self.config.fuzzy, self.config.synonyms)
             valid = valid.withColumn("issue_raw", F.col("issue_norm")).join(own.drop("target_sentence"), ["run_id", "sentence_id"])
         self.write(issues.select("sentence_id", "issue_type"), "extraction_issues")
         flags = normalize.rating_conflict(F.col("rating"), F.col("sentiment")).alias("quality_flags")
@@ -145,6 +148,8 @@ class Run:
         merged = kernels.merge_names(named.join(providers.encode_texts(named, "text", c.embed), "text"), "text", "vector", "n", c.aspect_similarity)
         rows = rows.join(coded, F.col("cluster_key_text") == F.col("text")).drop("text").join(merged.withColumnRenamed("name", "aspect_norm"), "aspect_norm")
         rows = materialize(rows)
+        if not c.two_stages or not kernels.worth_two_stages(rows, "canonical"):
+            rows = rows.withColumn("canonical", F.lit("all"))
         local = kernels.cluster_buckets(rows, "canonical", "k", "vector", threshold=c.linkage_threshold, min_samples=c.min_samples)
         label = neighbor_graph.offset_labels(local, "bucket", "label").select("k", F.col("global_label").alias("cluster"))
         placed = materialize(rows.join(label, "k"))

@@ -137,6 +137,12 @@ def n07_normalized_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize_aspects(table(spark, sf_dir, "aspect_sentiment_valid"), fuzzy=False)
 
 
+def n01_taxonomy_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade without the spelling step over the stored opinions, with the synonyms of the table."""
+    synonyms = normalize.synonyms_of(table(spark, sf_dir, "aspect_synonyms"))
+    return normalize.normalize_aspects(table(spark, sf_dir, "aspect_sentiment_valid"), synonyms, fuzzy=False)
+
+
 def n03_fuzzy_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cascade; SQL has no such similarity."""
     return normalize.normalize_aspects(table(spark, sf_dir, "aspect_sentiment_valid"))
@@ -176,6 +182,6 @@ def s10_run_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (s02_review_keys, j01_selected_reviews, x14_epoch_seconds, f01_category_slice, f02_product_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, s10_run_opinions, flagship)
+    for f in (s02_review_keys, j01_selected_reviews, x14_epoch_seconds, f01_category_slice, f02_product_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n01_taxonomy_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, s10_run_opinions, flagship)
 }
 ORACLES = opinions_sql.ORACLES

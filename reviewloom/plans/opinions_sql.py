@@ -165,9 +165,14 @@ _NOISE = ", ".join(map(q, lx.NOISE_TERMS))
 _NOISE_ISSUES = ", ".join(map(q, lx.NOISE_ISSUES))
 
 
-def cascade(source: str) -> str:
+#: The synonyms of the table in the order of their originals.
+TABLE_SYNONYMS = """syn AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, k, v FROM (
+  SELECT k, max(v) AS v FROM (SELECT lower(regexp_replace(original, '^\\s+|\\s+$', '', 'g')) AS k, lower(regexp_replace(normalized, '^\\s+|\\s+$', '', 'g')) AS v FROM aspect_synonyms) WHERE k <> '' AND v <> '' GROUP BY 1))"""
+
+
+def cascade(source: str, synonyms: str = f"syn(i, k, v) AS (VALUES {_SYN})") -> str:
     return f"""
-syn(i, k, v) AS (VALUES {_SYN}),
+{synonyms},
 aspects AS (SELECT DISTINCT aspect_raw, coalesce({strip("lower(aspect_raw)")}, '') AS a FROM {source}),
 pairs AS (
   SELECT aspect_raw, a, i, k, v, length(k) / CAST(length(a) AS DOUBLE) AS part, len(list_intersect(list_distinct({words_in("a")}), list_distinct({words_in("k")}))) AS common, len(list_distinct(list_concat({words_in("a")}, {words_in("k")}))) AS total
@@ -234,6 +239,7 @@ WHERE r.parent_asin = (SELECT parent_asin FROM reviews WHERE parent_asin IS NOT
     "n16_judged_opinions": chain(*TO_JUDGED) + "SELECT sentence_id, aspect_norm, issue_norm, sentiment, sentiment_score, validity_label, quality_flags FROM judged_1",
     "a26_judge_counts": chain(*TO_JUDGED) + "SELECT validity_label, count(*) AS n_opinions FROM judged_1 GROUP BY 1",
     "n07_normalized_aspects": chain(cascade("aspect_sentiment_valid")) + "SELECT * FROM cascade",
+    "n01_taxonomy_aspects": chain(cascade("aspect_sentiment_valid", TABLE_SYNONYMS)) + "SELECT * FROM cascade",
     "n11_validity": f"SELECT DISTINCT aspect_norm, issue_norm, rating, sentiment, {validity('aspect_norm', 'issue_norm')} AS validity, {CONFLICT} AS conflict FROM aspect_sentiment_valid",
     "n12_unfound_evidence": """SELECT v.run_id, v.sentence_id, aspect_norm, 'EVIDENCE_NOT_FOUND' AS issue_type FROM aspect_sentiment_valid v
 JOIN (SELECT DISTINCT run_id, sentence_id, target_sentence FROM review_sentences) s ON v.run_id = s.run_id AND v.sentence_id = s.sentence_id

@@ -154,3 +154,27 @@ def test_conflicts_and_evidence(spark):
     assert all(r["got"] == r["want"] for r in df.select("*", normalize.rating_conflict(F.col("r"), F.col("s")).alias("got")).collect())
     df = spark.createDataFrame([("BROKE", "it broke", True), ("", "x", True), (None, "x", True), ("y", "x", False)], "e string, s string, want boolean")
     assert all(r["got"] == r["want"] for r in df.select("*", normalize.evidence_found(F.col("e"), F.col("s")).alias("got")).collect())
+
+
+def test_synonyms_from_a_table(spark, monkeypatch):
+    entries = spark.createDataFrame([(" Odor", "SMELL "), ("odor", "scent"), ("", "x"), ("y", None), ("b c", "d")], "original string, normalized string")
+    assert list(normalize.synonyms_of(entries).items()) == [("b c", "d"), ("odor", "smell")]
+    df = spark.createDataFrame([("ODOR",), ("the b c",)], "aspect_raw string")
+    got = {r["aspect_raw"]: (r["aspect_norm"], r["method"]) for r in normalize.normalize_aspects(df, normalize.synonyms_of(entries), fuzzy=False).collect()}
+    assert got == {"ODOR": ("smell", "exact"), "the b c": ("d", "keyword")}
+    monkeypatch.setattr(normalize, "MAX_SYNONYMS", 1)
+    with pytest.raises(ValueError):
+        normalize.synonyms_of(entries)
+
+
+def test_extraction_needs_no_shuffle(spark):
+    df = spark.createDataFrame([("s", "The battery is great", "The battery is great", None, None)], "sentence_id string, target_sentence string, context_text string, product_title string, features_short string")
+    plan = extraction.extract(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_two_stage_gate(spark):
+    from reviewloom.operators.kernels import worth_two_stages
+
+    rows = spark.range(202).select((F.col("id") % 2).alias("b"))
+    assert worth_two_stages(rows, "b") and not worth_two_stages(rows.limit(200), "b") and not worth_two_stages(rows.limit(0), "b")
