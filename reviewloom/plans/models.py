@@ -11,6 +11,7 @@ from reviewloom.operators.selection import build_sentences, distinct_reviews, fi
 from reviewloom.operators.flatten import flatten_nested
 from reviewloom.plans.general import PAYLOAD_FIELDS, decoded_json, list_rows
 from reviewloom.plans.opinions_sql import CONTEXT, META, NORMALIZED, REVIEWS, SENTENCES, cascade, chain, q, strip, validity, words_in
+from reviewloom.plans.reports import _REPS, _SAMPLES, _STATS
 from reviewloom.sources.tables import table
 
 
@@ -220,4 +221,18 @@ ORACLES = {
     + """SELECT run_id, sentence_id, aspect_norm, issue_norm FROM judged j WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM aspect_sentiment_valid v
       WHERE v.validity_label = 'VALID' AND v.run_id = j.run_id AND v.sentence_id = j.sentence_id AND v.aspect_norm = j.aspect_norm AND v.issue_norm = j.issue_norm)""",
     "l05_evidence_spans": _SPANS,
+    # blank ids from the first sample that holds the quote or is held by it, otherwise the first; foreign ids drop; no cluster stays bare
+    "l08_traced_evidence": f"""WITH {_STATS}, {_REPS}, {_SAMPLES},
+      once AS (SELECT 'r' AS source_table, run_id, aspect_norm || chr(9) || cluster_id AS parent_key, {decoded_json("evidence_items")} AS e FROM (SELECT *, row_number() OVER (PARTITION BY run_id, aspect_norm, cluster_id ORDER BY created_at, evidence_items NULLS LAST) AS k FROM cluster_reports) WHERE k = 1),
+      listed AS ({list_rows("once", "e", "evidence_items")}),
+      items AS (SELECT run_id, split_part(parent_key, chr(9), 1) AS aspect_norm, split_part(parent_key, chr(9), 2) AS cluster_id, CAST(item_path AS INT) AS ordinal, json_extract_string(item, '$.sentence_id') AS sentence_id, json_extract_string(item, '$.quote') AS quote FROM listed),
+      own AS (SELECT run_id, aspect_norm, cluster_id, sentence_id, target_sentence, min(sample_no) AS no FROM samples GROUP BY ALL),
+      met AS (SELECT i.run_id, i.aspect_norm, i.cluster_id, ordinal, quote, min_by(o.sentence_id, no) FILTER (WHERE contains(lower(target_sentence), {strip("lower(quote)")}) OR contains({strip("lower(quote)")}, lower(target_sentence))) AS hit, min_by(o.sentence_id, no) AS head
+        FROM items i JOIN own o ON i.run_id = o.run_id AND i.aspect_norm = o.aspect_norm AND i.cluster_id = o.cluster_id WHERE coalesce(i.sentence_id, '') = '' AND coalesce(quote, '') <> '' GROUP BY ALL),
+      kept AS (
+        SELECT run_id, aspect_norm, cluster_id, ordinal, sentence_id, quote FROM items i WHERE coalesce(sentence_id, '') <> '' AND EXISTS (SELECT 1 FROM own o WHERE i.run_id = o.run_id AND i.aspect_norm = o.aspect_norm AND i.cluster_id = o.cluster_id AND i.sentence_id = o.sentence_id)
+        UNION ALL SELECT run_id, aspect_norm, cluster_id, ordinal, coalesce(hit, head), quote FROM met),
+      bare AS (SELECT run_id, aspect_norm, cluster_id, CAST(0 AS INT) AS ordinal, min_by(sentence_id, no) AS sentence_id, substring(min_by(target_sentence, no), 1, 200) AS quote FROM own o
+        WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.run_id = o.run_id AND k.aspect_norm = o.aspect_norm AND k.cluster_id = o.cluster_id) GROUP BY ALL)
+      SELECT * FROM kept UNION ALL SELECT * FROM bare""",
 }

@@ -113,6 +113,11 @@ def t11_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sentence_id", "aspect_raw", "sentiment", "sentiment_score", "issue_raw", "evidence_text")
 
 
+def t12_debug_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What led to every opinion, as JSON."""
+    return extraction.extract(_opinions(spark, sf_dir)).select("sentence_id", "aspect_raw", extraction.debug_features().alias("debug_features"))
+
+
 def _judged(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> DataFrame:
     rows = materialize(extraction.extract(_opinions(spark, sf_dir)))  # read by the names and by the rows
     names = normalize.normalize_aspects(rows, fuzzy=fuzzy)
@@ -182,6 +187,6 @@ def s10_run_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (s02_review_keys, j01_selected_reviews, x14_epoch_seconds, f01_category_slice, f02_product_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n01_taxonomy_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, s10_run_opinions, flagship)
+    for f in (s02_review_keys, j01_selected_reviews, x14_epoch_seconds, f01_category_slice, f02_product_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, t12_debug_features, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n01_taxonomy_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, s10_run_opinions, flagship)
 }
 ORACLES = opinions_sql.ORACLES

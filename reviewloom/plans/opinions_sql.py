@@ -236,6 +236,9 @@ WHERE r.parent_asin = (SELECT parent_asin FROM reviews WHERE parent_asin IS NOT
     "a22_score_histogram": chain(*TO_SCORES) + "SELECT CAST(floor(priority_weight) AS INT) AS score, count(*) AS n_sentences FROM scored GROUP BY 1",
     "t07_aspect_candidates": chain(*TO_CANDIDATES) + "SELECT sentence_id, candidate_rank, text, stage, round(confidence, 4) AS confidence FROM ranked",
     "t11_opinions": chain(*TO_OPINIONS) + "SELECT sentence_id, aspect_raw, sentiment, sentiment_score, issue_raw, evidence_text FROM opinions",
+    "t12_debug_features": chain(*TO_OPINIONS)
+    + f"""SELECT sentence_id, text AS aspect_raw, CAST(to_json({{'matched_seed': CASE WHEN stage <> 2 THEN w END, 'sentiment_words': CASE WHEN spot >= 0 THEN list_filter([{", ".join(map(q, lx.POSITIVE + lx.NEGATIVE))}], lambda x: contains({window("s", "text", "spot", 20)}, x)) ELSE [] END,
+      'extraction_pattern': CAST(NULL AS VARCHAR)}}) AS VARCHAR) AS debug_features FROM rated JOIN (SELECT n AS n_seed, w FROM seeds) ON n_seed = seed_no""",
     "n16_judged_opinions": chain(*TO_JUDGED) + "SELECT sentence_id, aspect_norm, issue_norm, sentiment, sentiment_score, validity_label, quality_flags FROM judged_1",
     "a26_judge_counts": chain(*TO_JUDGED) + "SELECT validity_label, count(*) AS n_opinions FROM judged_1 GROUP BY 1",
     "n07_normalized_aspects": chain(cascade("aspect_sentiment_valid")) + "SELECT * FROM cascade",
