@@ -54,32 +54,39 @@ def _axes(values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _long_cells(long: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Cells of values with many axes, built from pairs of axes that are dense themselves."""
+    """Cells of sets of many axes, built from pairs of axes that are dense themselves."""
 
     def pairs(df: DataFrame) -> DataFrame:
-        a = df.select("id", F.posexplode("words").alias("i", "a"), "words")
-        return a.select("id", "a", F.explode(F.slice("words", F.col("i") + 2, F.size("words"))).alias("b"))
+        a = df.select("id", "n", F.posexplode("words").alias("i", "a"), "words")
+        return a.select("id", "n", "a", F.explode(F.slice("words", F.col("i") + 2, F.size("words"))).alias("b"))
 
     own = pairs(long)
     wanted = own.select("a", "b").distinct()
-    dense = pairs(frequent).join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    dense = pairs(frequent).join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
     kept = own.join(dense, ["a", "b"])
     right = kept.select("id", "a", F.col("b").alias("c"))
     third = kept.select("id", F.col("a").alias("b"), F.col("b").alias("c"))
     triples = kept.join(right, ["id", "a"]).where("c > b").join(third, ["id", "b", "c"], "left_semi")
-    return triples.select("id", _cell(F.col("a"), F.col("b"), F.col("c")).alias("cell"))
+    return triples.select("id", "n", _cell(F.col("a"), F.col("b"), F.col("c")).alias("cell"))
 
 
-def dense_cells(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(id, c1, c2, n_values, hub) of distinct values with ids: every dense cell of each value, its size and its first id."""
-    frequent = materialize(_axes(values, keys).where(F.size("words") >= CELL_WORDS))
+def dense_cells(values: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(sets, located) of distinct values with ids.
+
+    sets: id, set_id: values of the same axes lie in the same cells, and are located as one, called by the smallest id.
+    located: set_id, c1, c2, n_values, hub: every dense cell of a set, its number of values and its first set.
+    """
+    own = materialize(_axes(values, keys).where(F.size("words") >= CELL_WORDS))
+    name = [F.xxhash64(F.lit(i), "words").alias(f"s{i}") for i in (1, 2)]
+    frequent = materialize(own.groupBy("words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    sets = own.select("id", *name).join(frequent.select(F.col("id").alias("set_id"), *name), ["s1", "s2"]).select("id", "set_id")
     short, long = frequent.where(F.size("words") <= DIRECT_WORDS), frequent.where(F.size("words") > DIRECT_WORDS)
-    members = short.select("id", F.explode(_triples(F.col("words"))).alias("cell"))
+    members = short.select("id", "n", F.explode(_triples(F.col("words"))).alias("cell"))
     if not long.isEmpty():
         members = members.unionByName(_long_cells(long, frequent))
-    members = members.select("id", "cell.c1", "cell.c2")
-    cells = members.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_values"), F.min("id").alias("hub")).where("n_values > 1")
-    return members.join(cells, ["c1", "c2"])
+    members = members.select(F.col("id").alias("set_id"), "n", "cell.c1", "cell.c2")
+    cells = members.groupBy("c1", "c2").agg(F.sum("n").alias("n_values"), F.min("set_id").alias("hub")).where("n_values > 1")
+    return sets, members.drop("n").join(cells, ["c1", "c2"])
 
 
 def _numbered(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, list[str]]:
@@ -90,12 +97,13 @@ def _numbered(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, li
     return materialize(distinct.withColumn("id", F.monotonically_increasing_id())), names
 
 
-def _labels(located: DataFrame) -> DataFrame:
+def _labels(sets: DataFrame, located: DataFrame) -> DataFrame:
     """(id, label) of every id that lies in a dense cell; ids of one cluster have one label."""
-    links = materialize(located.groupBy("id").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")))
+    links = materialize(located.groupBy("set_id").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")))
     edges = links.select(F.explode("hubs").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
     parts = connected_components(edges).select(F.col("node").alias("least"), "component")
-    return links.select("id", "least").join(parts, "least", "left").select("id", F.coalesce("component", "least").alias("label"))
+    labels = links.select("set_id", "least").join(parts, "least", "left").select("set_id", F.coalesce("component", "least").alias("label"))
+    return sets.join(labels, "set_id").select("id", "label")
 
 
 def density_clusters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -107,7 +115,7 @@ def density_clusters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """
     values, names = _numbered(df, keys, value)
     with scratch() as keep:
-        labels = keep(materialize(_labels(dense_cells(values, names))))
+        labels = keep(materialize(_labels(*dense_cells(values, names))))
     held = values.join(labels, "id")
     firsts = held.groupBy("label").agg(F.min("value").alias("first_value"))
     back = [F.when(F.col(n) != "\0", F.col(n)).alias(k) for k, n in zip(keys, names, strict=True)]
@@ -123,12 +131,12 @@ def typical_members(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """
     values, names = _numbered(df, keys, value)
     with scratch() as keep:
-        located = keep(materialize(dense_cells(values, names)))
-        labels = keep(materialize(_labels(located)))
+        sets, located = (keep(materialize(df)) for df in dense_cells(values, names))
+        labels = keep(materialize(_labels(sets, located)))
     rows = df.where(F.col(value).isNotNull()).groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("value_rows"))
     held = materialize(values.join(labels, "id", "left").withColumn("alone", F.col("label").isNull()).withColumn("label", F.coalesce("label", "id")).join(rows, [*names, "value"]))
     sizes = held.groupBy("label", "alone", *names).agg(F.count(F.lit(1)).alias("n_values"), F.sum("value_rows").alias("n_rows"), F.min("value").alias("first_value"))
-    inside = materialize(located.drop("hub").join(held.select("id", "label", "value", "value_rows"), "id"))
+    inside = materialize(located.drop("hub").join(held.join(sets, "id").select("set_id", "label", "value", "value_rows"), "set_id"))
     rated = inside.groupBy("label", "c1", "c2", "n_values").agg(F.max(F.struct("value_rows", "value")).alias("best"))
     densest = rated.groupBy("label").agg(F.max(F.struct("n_values", F.col("best"), "c1", "c2")).alias("d")).select("label", "d.c1", "d.c2")
     chosen = inside.join(densest, ["label", "c1", "c2"]).select("label", F.lit(False).alias("alone"), "value", "value_rows")
