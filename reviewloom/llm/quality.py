@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.plans import filter_above
+
 #: Common words that are compared at most; a longer list is an error, not cut.
 MAX_COMMON_WORDS = 50_000
 #: Prose holds at least one sentence end per so many words; texts of unspaced scripts are judged by characters.
@@ -74,36 +76,44 @@ def _made_of_cells(line: Column) -> Column:
     return _has(line, "\t") | _has(line, "|") & line.rlike(r"\|.*\|") | _has(line, "</t") & line.rlike("</t[dh]>") | quoted | fields | columns | _has(line, ",") & ~line.rlike(r",\s")
 
 
-def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """One row per document: its statistics, the verdict `kind` (prose, list, table or junk), and the rules that it fails.
-
-    documents: doc_id, text; common_words: word. NULL and blank texts have no words and are junk. Shares are between 0 and
-    1; a share of nothing is 0. Repeated rows are judged alike, each for itself. `reasons` names every published rule and
-    every rule of the verdict that the text fails, for prose too.
-    """
+def _common(common_words: DataFrame) -> list[str]:
     common = [r["word"] for r in common_words.where("word is not null").select(F.lower("word").alias("word")).distinct().limit(MAX_COMMON_WORDS + 1).collect()]
     if len(common) > MAX_COMMON_WORDS:
         raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
+    return common
+
+
+def _measured(documents: DataFrame) -> DataFrame:
+    """Words, sentence ends and visible characters of each document: what the first rule of the verdict asks for."""
     text = F.coalesce("text", F.lit(""))
     tokens = F.array_remove(F.split(F.lower(text), _NO_WORD), "")
-    base = documents.select("doc_id", text.alias("text"), F.filter(F.split(text, r"\r\n|[\n\r\x{2028}\x{2029}]"), lambda x: x.rlike(r"\S")).alias("lines"), tokens.alias("words"))
+    base = documents.select("doc_id", text.alias("text"), tokens.alias("words"))
     bare = F.regexp_replace("text", "(?m)" + _BULLET, "")
-    visible = F.length(F.regexp_replace("text", r"[\s\p{Z}]+", ""))
+    return base.select("*", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).alias("word_chars"), F.regexp_count(bare, F.lit(_END)).alias("n_ends"), F.length(F.regexp_replace("text", r"[\s\p{Z}]+", "")).alias("visible"))
+
+
+def _reads_as_sentences() -> Column:
+    return (F.col("n_ends") > 0) & (F.col("n_words") <= MAX_WORDS_PER_END * F.col("n_ends")) & (F.col("n_words") > F.col("n_ends"))
+
+
+def _judged(measured: DataFrame, common: list[str]) -> DataFrame:
+    """All statistics of measured documents, their verdicts, and the rules that they fail."""
+    base = measured.withColumn("lines", F.filter(F.split("text", r"\r\n|[\n\r\x{2028}\x{2029}]"), lambda x: x.rlike(r"\S")))
     foreign = F.octet_length("text") > F.length("text")
     unmarked = F.array_join(F.filter("lines", lambda x: ~x.rlike(_BULLET) & ~_made_of_cells(x)), " ")
     unspaced_chars = lambda t: F.when(foreign, F.length(t) - F.length(F.regexp_replace(t, _UNSPACED, ""))).otherwise(0)
     is_common = lambda w: w.isin(common) if common else F.lit(False)
     counted = base.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
+        "words",
+        "n_words",
+        "word_chars",
+        "n_ends",
+        "visible",
         F.size("lines").cast("long").alias("n_lines"),
-        F.length(F.array_join("words", "")).alias("word_chars"),
         F.size(F.array_distinct("words")).alias("n_distinct"),
         F.size(F.filter("words", is_common)).alias("n_common"),
-        "words",
-        F.regexp_count(bare, F.lit(_END)).alias("n_ends"),
-        visible.alias("visible"),
-        (visible - _held(F.col("text"), "|;,\"'-")).alias("without_rules"),
+        (F.col("visible") - _held(F.col("text"), "|;,\"'-")).alias("without_rules"),
         unspaced_chars(F.col("text")).alias("n_unspaced"),
         unspaced_chars(unmarked).alias("n_unmarked_unspaced"),
         _count(F.col("lines"), lambda x: F.reverse(x).rlike(_LINE_END)).alias("n_punct_lines"),
@@ -128,7 +138,7 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
         _share(F.col("n_cell_lines"), F.col("n_lines")).alias("cell_line_share"),
         _share(F.col("n_common"), F.col("n_words")).alias("common_word_share"),
     )
-    ends = (F.col("n_ends") > 0) & (F.col("n_words") <= MAX_WORDS_PER_END * F.col("n_ends")) & (F.col("n_words") > F.col("n_ends"))
+    ends = _reads_as_sentences()
     unspaced = F.col("n_unspaced") >= MIN_UNSPACED * F.col("visible")
     lines_of_marks = (F.col("bullet_line_share") >= MIN_BULLET_LINES) | (F.col("cell_line_share") >= MIN_CELL_LINES)
     # without spaces a run of letters is a clause; runs that are short, or stand in lines of marks only, are items
@@ -175,8 +185,22 @@ def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFr
     return stats.select("doc_id", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in shares], F.col("n_ends").cast("long").alias("n_sentence_ends"), kind.alias("kind"), named.alias("reasons"))
 
 
-def not_prose(statistics: DataFrame) -> DataFrame:
-    """(doc_id, kind) of the documents whose verdict is list, table or junk, each once."""
-    # a filter on `kind` would be pushed below the statistics and repeat all of their expressions; it stops at a generator
-    verdicts = statistics.select("doc_id", F.explode(F.array("kind")).alias("kind"))
+def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+    """One row per document: its statistics, the verdict `kind` (prose, list, table or junk), and the rules that it fails.
+
+    documents: doc_id, text; common_words: word. NULL and blank texts have no words and are junk. Shares are between 0 and
+    1; a share of nothing is 0. Repeated rows are judged alike, each for itself. `reasons` names every published rule and
+    every rule of the verdict that the text fails, for prose too.
+    """
+    return _judged(_measured(documents), _common(common_words))
+
+
+def not_prose(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+    """(doc_id, kind) of the documents whose verdict is list, table or junk, each once.
+
+    The verdicts are those of document_statistics. Its first rule settles most documents: what reads as sentences and is made
+    of letters is prose whatever the other rules say, so these are asked for the rest only.
+    """
+    settled = _reads_as_sentences() & (F.col("word_chars") >= MIN_ALNUM * F.col("visible"))
+    verdicts = _judged(filter_above(_measured(documents), ~settled), _common(common_words)).select("doc_id", F.explode(F.array("kind")).alias("kind"))
     return verdicts.where("kind <> 'prose'").distinct()

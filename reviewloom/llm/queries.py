@@ -130,7 +130,7 @@ def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are not prose."""
-    return not_prose(_statistics(spark, sf_dir)).select("doc_id", "kind")
+    return not_prose(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "common_words"))
 
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

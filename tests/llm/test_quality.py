@@ -53,4 +53,13 @@ def test_empty_tables_and_long_text(spark):
     docs = spark.createDataFrame([(1, "It works well. " * 20_000)], "doc_id long, text string")
     none = spark.createDataFrame([], "lang string, word string")
     assert document_statistics(docs, none).collect()[0]["kind"] == "prose"
-    assert not_prose(document_statistics(docs.limit(0), none)).count() == 0
+    assert not_prose(docs.limit(0), none).count() == 0
+
+
+def test_documents_that_are_no_prose_have_the_verdicts_of_the_statistics(spark):
+    rows = [(i, t) for i, t in enumerate(x for texts in TEXTS.values() for x in texts)]
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string")
+    common = spark.createDataFrame([("en", w) for w in "the a i it is and of to in for but not we".split()], "lang string, word string")
+    want = {(r["doc_id"], r["kind"]) for r in document_statistics(docs, common).collect() if r["kind"] != "prose"}
+    got = [tuple(r) for r in not_prose(docs, common).collect()]
+    assert set(got) == want and len(got) == len(want) > 20
