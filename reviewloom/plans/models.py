@@ -44,6 +44,12 @@ def c06_bucket_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.cluster_buckets(rows, "bucket", "k", "vector")
 
 
+def c06_bucket_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The method of every bucket of issues, its rows, and whether labels count from 0 without gaps."""
+    found = c06_bucket_clusters(spark, sf_dir).groupBy("bucket", "method").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n"), F.max("label").alias("last"))
+    return found.select("bucket", "method", "n_rows", (F.col("n") == F.col("last") + 1).alias("without_gaps"))
+
+
 def c03_two_stage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the valid opinions are enough per aspect for clustering aspect by aspect."""
     return kernels.two_stage_gate(table(spark, sf_dir, "aspect_sentiment_valid").where("validity_label = 'VALID'"), "aspect_norm")
@@ -157,7 +163,7 @@ def v04_rebuilt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted[0].unionByName(counted[1])
 
 
-QUERIES = {f.__name__: f for f in (c01_encoded_issues, c02_issue_vectors, c03_two_stage_gate, s22_density_trees, c04_merged_aspects, c06_bucket_clusters, c07_hierarchical_density, c11_reranked, l11_prompts, l04_completed, n06_model_aspects, n06_new_synonyms, n14_judged_payloads, n15_payload_issues, a25_payload_aspects, j09_new_opinions, l05_evidence_spans, l08_traced_evidence, v04_rebuilt_ids)}
+QUERIES = {f.__name__: f for f in (c01_encoded_issues, c02_issue_vectors, c03_two_stage_gate, s22_density_trees, c04_merged_aspects, c06_bucket_clusters, c06_bucket_methods, c07_hierarchical_density, c11_reranked, l11_prompts, l04_completed, n06_model_aspects, n06_new_synonyms, n14_judged_payloads, n15_payload_issues, a25_payload_aspects, j09_new_opinions, l05_evidence_spans, l08_traced_evidence, v04_rebuilt_ids)}
 
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sentence_id ORDER BY created_at DESC, retry_count DESC, llm_model NULLS LAST, prompt_version NULLS LAST, llm_output NULLS LAST) AS k
   FROM aspect_sentiment_raw WHERE parse_status = 'SUCCESS') WHERE k = 1)"""
@@ -202,6 +208,9 @@ ORACLES = {
       LEFT JOIN (SELECT DISTINCT {key} AS k FROM ({chain(REVIEWS, NORMALIZED, SENTENCES)} SELECT * FROM sentences)) m ON s.{key} = m.k"""
         for key in ("review_pk", "sentence_id")
     ),
+    "c01_encoded_issues": "SELECT DISTINCT issue_norm AS text, CAST(64 AS INT) AS dimensions, 1.0::DOUBLE AS squares FROM aspect_sentiment_valid WHERE issue_norm IS NOT NULL",
+    "c06_bucket_methods": """SELECT bucket, CASE WHEN n < 2 THEN 'single' WHEN n < 100 THEN 'agglomerative' ELSE 'hdbscan' END AS method, n AS n_rows, true AS without_gaps
+      FROM (SELECT concat_ws('|', run_id, aspect_norm) AS bucket, count(DISTINCT issue_norm) AS n FROM aspect_sentiment_valid WHERE validity_label = 'VALID' AND issue_norm IS NOT NULL GROUP BY 1)""",
     "c03_two_stage_gate": "SELECT count(*) AS n_rows, count(DISTINCT aspect_norm) AS n_buckets, count(*) > 100 * count(DISTINCT aspect_norm) AS two_stages FROM aspect_sentiment_valid WHERE validity_label = 'VALID'",
     "c02_issue_vectors": "SELECT aspect_norm, count(*) AS n_rows, count(DISTINCT issue_norm) AS n_texts FROM aspect_sentiment_valid WHERE validity_label = 'VALID' AND issue_norm IS NOT NULL GROUP BY 1",
     "l11_prompts": chain(META, _STORED_CONTEXT, _ASKED)
