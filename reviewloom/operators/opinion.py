@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +27,26 @@ PATTERNS = (
     ("time_experience_pattern", 1.0, f"{BEFORE}(?:after|since){SPACE}{WORD}{SPACE}(?:months?|years?|days?|weeks?)"),
     ("continuous_experience_pattern", 1.0, f"{BEFORE}(?:been|have been|has been){SPACE}{WORD}ing"),
 )
+#: What a text must hold for a pattern to have a chance: plain searches spare most texts the pattern.
+HOLDS = {
+    "suggestion_pattern": ("should", "would", "could", "might"),
+    "recommendation_pattern": ("recommend", "suggest", "advise"),
+    "expectation_pattern": ("wish", "hope", "expect"),
+    "comparison_pattern": ("than",),
+    "comparative_pattern": ("than",),
+    "problem_pattern": ("with",),
+    "negation_verb_pattern": ("n't",),
+    "intensity_pattern": ("too", "so", "very", "extremely"),
+    "negation_evaluation_pattern": ("not", "never"),
+    "time_experience_pattern": ("after", "since"),
+    "continuous_experience_pattern": ("been",),
+}
 FIRST_PERSON = f"{BEFORE}(?:i|my|me|we|our){BEHIND}"
 
 
 def _patterns(text: Column) -> Column:
-    return F.array(*[F.struct(F.lit(name).alias("name"), F.lit(points).alias("points"), text.rlike(p).alias("hit")) for name, points, p in PATTERNS])
+    held = {name: reduce(or_, [F.contains(text, F.lit(w)) for w in words]) for name, words in HOLDS.items()}
+    return F.array(*[F.struct(F.lit(name).alias("name"), F.lit(points).alias("points"), (held[name] & text.rlike(p)).alias("hit")) for name, points, p in PATTERNS])
 
 
 def score_sentences(sentences: DataFrame, text: str = "target_sentence", shortest: int = 10, longest: int = 500, threshold: float = 2.0) -> DataFrame:
