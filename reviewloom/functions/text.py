@@ -102,5 +102,12 @@ def slice_id(category: str | None, asin: str | None, time_range: str | None, fil
     return hashlib.md5("|".join(parts).encode()).hexdigest()[:12] if parts else "default"
 
 
+def slice_id_of(category: Column, asin: Column, time_range: Column) -> Column:
+    """The identifier of slice_id for columns: NULL parts are left out; `default` if none is there."""
+    part = lambda name, c: F.concat(F.lit(f"{name}:"), F.nullif(c, F.lit("")))
+    joined = F.concat_ws("|", part("category", category), part("asin", asin), part("time", time_range))
+    return F.when(joined == "", "default").otherwise(F.substring(F.md5(joined), 1, 12))
+
+
 def truncated(text: Column, limit: int = 2048) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.graph import connected_components
 from reviewloom.operators.ordering import dense_ranks
+from reviewloom.operators.providers import Reranker, rerank
 from reviewloom.operators.vectors import nearest
 from reviewloom.sources.tables import materialize, scratch
 
@@ -35,6 +36,22 @@ def best_edges(rows: DataFrame, targets: DataFrame, key: str, vector: str, least
     return pairs.groupBy("src", "dst").agg(F.max("score").alias("score"))
 
 
+def reranked_edges(rows: DataFrame, key: str, vector: str, text: str, bucket: str, build: Callable[[], Reranker], least: float = 0.6, most: int = 10, candidates: int = 50) -> DataFrame:
+    """(src, dst, score): undirected edges inside a bucket whose texts a reranker finds alike, the best per pair, no loops.
+
+    Each row's nearest rows by vector are its candidates; those of its bucket are scored, and it keeps the `most` best of them
+    from `least` on. NULL is a bucket of its own. Texts are scored where the pairs are.
+    """
+    near = nearest(rows, rows, key, vector, most=candidates).select("k", "target")
+    own = rows.select(F.col(key).alias("k"), F.col(bucket).alias("bucket"), F.col(text).alias("text"))
+    other = own.withColumnsRenamed({"k": "target", "bucket": "other", "text": "other_text"})
+    pairs = near.join(own, "k").join(other, "target").where(F.col("bucket").eqNullSafe(F.col("other"))).select("k", "target", "text", "other_text")
+    scored = rerank(pairs, "text", "other_text", build).where(F.col("rerank_score") >= least)
+    order = Window.partitionBy("k").orderBy(F.desc("rerank_score"), "target")
+    kept = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return kept.groupBy(F.least("k", "target").alias("src"), F.greatest("k", "target").alias("dst")).agg(F.max("rerank_score").alias("score"))
+
+
 def reconcile_labels(labels: DataFrame, edges: DataFrame, key: str, label: str, noise: int = -1) -> DataFrame:
     """(key, new_label): per component without any label all stay noise, otherwise all take its smallest label."""
     parts = connected_components(edges.select("src", "dst")).withColumnsRenamed({"node": key, "component": "part"})

@@ -50,6 +50,9 @@ class RunConfig:
     merge_from: float = 0.75
     smallest_cluster: int = 2
     two_stages: bool = True
+    reranker: Callable[[], providers.Reranker] | None = None
+    rerank_from: float = 0.6
+    rerank_candidates: int = 50
 
     @property
     def slice_name(self) -> str:
@@ -153,6 +156,10 @@ class Run:
         local = kernels.cluster_buckets(rows, "canonical", "k", "vector", threshold=c.linkage_threshold, min_samples=c.min_samples)
         label = neighbor_graph.offset_labels(local, "bucket", "label").select("k", F.col("global_label").alias("cluster"))
         placed = materialize(rows.join(label, "k"))
+        if c.reranker is not None:
+            edges = neighbor_graph.reranked_edges(placed, "k", "vector", "cluster_key_text", "canonical", c.reranker, c.rerank_from, candidates=c.rerank_candidates)
+            joined = neighbor_graph.reconcile_labels(placed.select("k", "cluster"), edges, "k", "cluster")
+            placed = materialize(placed.drop("cluster").join(joined.withColumnRenamed("new_label", "cluster"), "k"))
         placed = materialize(placed.join(vectors.adsorb_noise(placed, "cluster", "k", "vector", c.adsorb_from), "k").drop("cluster").withColumnRenamed("new_cluster", "cluster"))
         placed = materialize(placed.join(vectors.merge_small(placed, "cluster", "k", "vector", c.smallest_cluster, c.merge_from), "k").drop("cluster").withColumnRenamed("new_cluster", "cluster"))
         dense = vectors.dense_labels(placed, "k", "cluster").withColumnRenamed("dense_label", "cluster")

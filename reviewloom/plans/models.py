@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions import lexicons as lx
-from reviewloom.operators import kernels, normalize, payloads, providers, reports
+from reviewloom.operators import kernels, neighbor_graph, normalize, payloads, providers, reports
 from reviewloom.operators.selection import build_sentences, distinct_reviews, first_per, meta_context, normalize_reviews
 from reviewloom.operators.flatten import flatten_nested
 from reviewloom.plans.general import PAYLOAD_FIELDS, decoded_json, list_rows
@@ -84,6 +84,13 @@ def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sentence_id", providers.fill_template(EXTRACTION_PROMPT, rows.columns).alias("prompt"))
 
 
+def c12_reranked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between the issues of an aspect that the stand-in reranker finds alike."""
+    valid = table(spark, sf_dir, "aspect_sentiment_valid").where("validity_label = 'VALID'").select("aspect_norm", "issue_norm").distinct()
+    rows = valid.join(providers.encode_texts(valid, "issue_norm"), F.col("issue_norm") == F.col("text")).select(F.concat_ws("|", "aspect_norm", "issue_norm").alias("k"), "aspect_norm", "text", "vector")
+    return neighbor_graph.reranked_edges(rows, "k", "vector", "text", "aspect_norm", providers.CosineReranker).select("src", "dst", F.round("score", 5).alias("score"))
+
+
 def l11_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of all sentences, filled from the template."""
     return _prompts(spark, sf_dir)
@@ -163,7 +170,7 @@ def v04_rebuilt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted[0].unionByName(counted[1])
 
 
-QUERIES = {f.__name__: f for f in (c01_encoded_issues, c02_issue_vectors, c03_two_stage_gate, s22_density_trees, c04_merged_aspects, c06_bucket_clusters, c06_bucket_methods, c07_hierarchical_density, c11_reranked, l11_prompts, l04_completed, n06_model_aspects, n06_new_synonyms, n14_judged_payloads, n15_payload_issues, a25_payload_aspects, j09_new_opinions, l05_evidence_spans, l08_traced_evidence, v04_rebuilt_ids)}
+QUERIES = {f.__name__: f for f in (c01_encoded_issues, c02_issue_vectors, c03_two_stage_gate, s22_density_trees, c04_merged_aspects, c06_bucket_clusters, c06_bucket_methods, c07_hierarchical_density, c11_reranked, c12_reranked_edges, l11_prompts, l04_completed, n06_model_aspects, n06_new_synonyms, n14_judged_payloads, n15_payload_issues, a25_payload_aspects, j09_new_opinions, l05_evidence_spans, l08_traced_evidence, v04_rebuilt_ids)}
 
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, sentence_id ORDER BY created_at DESC, retry_count DESC, llm_model NULLS LAST, prompt_version NULLS LAST, llm_output NULLS LAST) AS k
   FROM aspect_sentiment_raw WHERE parse_status = 'SUCCESS') WHERE k = 1)"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.plans import filter_above
-from reviewloom.functions.text import epoch_seconds
+from reviewloom.functions.text import epoch_seconds, slice_id_of
 from reviewloom.operators import extraction, normalize, opinion, selection
 from reviewloom.operators.selection import Slice
 from reviewloom.plans import opinions_sql
@@ -37,6 +37,12 @@ def x14_epoch_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "reviews").where("unix_ts is not null").groupBy(F.year(F.timestamp_seconds(seconds)).alias("year")).agg(F.count(F.lit(1)).alias("n_reviews"), F.min(seconds).alias("first"), F.max(seconds).alias("last"))
 
 
+def v02_slice_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of the slices by category and product."""
+    rows = table(spark, sf_dir, "meta").select("main_category", "parent_asin").distinct()
+    return rows.select("main_category", "parent_asin", slice_id_of(F.col("main_category"), F.col("parent_asin"), F.lit("1-2")).alias("data_slice_id"))
+
+
 def f02_product_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slice of one product, the one with the smallest name among the most reviewed."""
     counts = table(spark, sf_dir, "reviews").where("parent_asin is not null").groupBy("parent_asin").agg(F.count(F.lit(1)).alias("n"))
@@ -187,6 +193,6 @@ def s10_run_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (s02_review_keys, j01_selected_reviews, x14_epoch_seconds, f01_category_slice, f02_product_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, t12_debug_features, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n01_taxonomy_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, s10_run_opinions, flagship)
+    for f in (s02_review_keys, j01_selected_reviews, x14_epoch_seconds, f01_category_slice, v02_slice_ids, f02_product_slice, o01_first_reviews, j08_meta_context, x03_normalized_reviews, x04_sentences, x04_document_sentences, opinion_scores, opinion_scores_of_stored, a22_score_histogram, t07_aspect_candidates, t11_opinions, t12_debug_features, n16_judged_opinions, a26_judge_counts, n07_normalized_aspects, n01_taxonomy_aspects, n03_fuzzy_aspects, n11_validity, n12_unfound_evidence, s10_run_opinions, flagship)
 }
 ORACLES = opinions_sql.ORACLES

@@ -222,6 +222,7 @@ ORACLES = {
     + f"""SELECT review_pk, r.parent_asin, asin, user_id, unix_ts, rating, verified_purchase, helpful_vote, r.title AS review_title, m.title AS product_title, main_category
 FROM reviews_1 r LEFT JOIN meta m ON r.parent_asin = m.parent_asin WHERE {SECONDS} BETWEEN 1650000000 AND 1720000000 AND helpful_vote >= 0""",
     "x14_epoch_seconds": f"SELECT CAST(year(make_timestamp(s * 1000000)) AS INT) AS year, count(*) AS n_reviews, min(s) AS first, max(s) AS last FROM (SELECT {SECONDS} AS s FROM reviews WHERE unix_ts IS NOT NULL) GROUP BY 1",
+    "v02_slice_ids": "SELECT DISTINCT main_category, parent_asin, substring(md5(concat_ws('|', 'category:' || nullif(main_category, ''), 'asin:' || nullif(parent_asin, ''), 'time:1-2')), 1, 12) AS data_slice_id FROM meta",
     "f02_product_slice": chain(REVIEWS)
     + """SELECT review_pk, r.parent_asin, rating, m.title AS product_title FROM reviews_1 r LEFT JOIN meta m ON r.parent_asin = m.parent_asin
 WHERE r.parent_asin = (SELECT parent_asin FROM reviews WHERE parent_asin IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",

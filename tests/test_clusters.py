@@ -213,3 +213,20 @@ def test_a_large_bucket_is_clustered_by_the_method_asked_for(spark, monkeypatch,
     assert kernels.hdbscan(x, 5).tolist() == want and len(set(want)) > 2
     got = {r["vec_id"]: (r["method"], r["label"]) for r in models.c07_hierarchical_density(spark, str(tmp_path)).collect()}
     assert got == {i: ("hdbscan", c) for i, c in enumerate(want)}
+
+
+def test_reranked_edges_against_brute_force(spark):
+    from reviewloom.operators.providers import CosineReranker, HashedNgrams
+
+    texts = ["lid broke", "lid broken", "the lid broke", "too loud", "very loud", "so loud", "lid broke off", "loud"]
+    v = HashedNgrams().encode(texts)
+    rows = [(i, [float(a) for a in x], t, ["a", "b", None][i % 3]) for i, (x, t) in enumerate(zip(v, texts, strict=True))]
+    df = spark.createDataFrame(rows, "k long, v array<double>, t string, b string")
+    score, want = v @ v.T, {}
+    for i in range(8):
+        near = [j for j in np.argsort(-np.round(score[i], 9), kind="stable") if j != i][:6]
+        kept = sorted((j for j in near if j % 3 == i % 3 and score[i, j] >= 0.3), key=lambda j: (-score[i, j], j))[:1]
+        want |= {(min(i, j), max(i, j)): score[i, j] for j in kept}
+    got = {(r["src"], r["dst"]): r["score"] for r in neighbor_graph.reranked_edges(df, "k", "v", "t", "b", CosineReranker, 0.3, 1, 6).collect()}
+    assert got.keys() == want.keys() and len(got) > 1 and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert neighbor_graph.reranked_edges(df.limit(0), "k", "v", "t", "b", CosineReranker).count() == 0

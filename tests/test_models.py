@@ -149,7 +149,7 @@ def test_a_whole_run_and_its_resumption(spark, tmp_path, method):
     rows = [("p" + str(i % 3), f"a{i}", f"u{i}", 1_700_000_000 + i, float(1 + i % 5), True, i, "Title", texts[i % 5] + f" Number {i} here") for i in range(40)]
     reviews = spark.createDataFrame(rows + rows[:3], "parent_asin string, asin string, user_id string, unix_ts long, rating double, verified_purchase boolean, helpful_vote int, title string, text string")
     meta = spark.createDataFrame([(f"p{i}", f"Product {i}", "Home", ["f1", "f2"], "d", "{}") for i in range(3)], "parent_asin string, title string, main_category string, features array<string>, description string, details string")
-    folder, out, config = f"file://{tmp_path}/store", str(tmp_path / "out"), RunConfig(method=method)
+    folder, out, config = f"file://{tmp_path}/store", str(tmp_path / "out"), RunConfig(method=method, reranker=providers.CosineReranker if method == "lexicon" else None)
     done = run_pipeline(spark, folder, "r1", reviews, meta, config, out)
     assert len(done) == 11
     store = sinks.RunStore(spark, folder)
