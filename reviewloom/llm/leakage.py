@@ -1,10 +1,10 @@
 """Passages of held-out test items inside a corpus, also with exchanged numbers, names and units.
 
-Texts are cut into words. Windows of words are hashed; the windows of the test items are few and meet those of the corpus
-in a hash join that leaves the corpus where it is, and the words themselves are compared for each hit. For exchanged
-passages, numbers and units become typed placeholders and the names of an item are told by their form; its windows meet
-those of the corpus by words that are no names, and the slots are checked word by word: slots exchanged consistently are a
-re-parameterised passage.
+Texts are cut into words, and numbers, units and the names of the items become typed placeholders. Windows of these templates
+are hashed; the windows of the test items are few and meet those of the corpus in a hash join that leaves the corpus where it
+is. The words themselves are compared for each hit: all slots equal is a leaked passage. In an exchanged passage a name may be
+one that no item holds and that has no form to tell it by, so windows meet by two words that are no names instead, and the
+slots are checked word by word: slots exchanged consistently are a re-parameterised passage.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from reviewloom.sources.tables import materialize
 
 #: Words of a window.
 WINDOW = 12
-#: Item windows that are copied to every executor (16 bytes and a few words each); more are joined by a shuffle.
+#: Item windows that are copied to every executor (16 bytes and their words each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 #: Different hashes up to which the words of documents are tested for them before any join; it steers cost, not results.
 PREFILTER_WINDOWS = 10_000
@@ -48,20 +48,29 @@ def _kind(w: Column) -> Column:
     return F.when(w.isin(NUMBER_WORDS) | digits, "<number>").when(w.isin(UNITS), "<unit>")
 
 
-def _marks(df: DataFrame, key: str, window: int, leads: list[int] | None = None) -> DataFrame:
-    """(key, lead, hash, check) of every different window, or of those that begin with the two words of a wanted lead.
+def _template(tokens: Column, names: list[str]) -> Column:
+    """Words with numbers, units and names replaced by typed placeholders."""
+    return F.transform(tokens, lambda w: _kind(w).when(w.isin(names), "<name>").otherwise(w))
 
-    A window that a text repeats counts once. `hash` and `check` are two hashes of all words of the window, 128 bits in all; `lead` is one of its first two words.
+
+def _marks(df: DataFrame, key: str, window: int, names: list[str], leads: list[int] | None = None) -> DataFrame:
+    """(key, lead, hash, check, held) of every different window, or of those that begin with the two words of a wanted lead.
+
+    A window that a text repeats counts once. `hash` is one of the window's template, `check` one of its words, which keeps
+    windows that differ in their slots from meeting in all pairs; `held` are the words and `lead` is a hash of the first two.
     """
     count = F.greatest(F.size("words") - window + 1, F.lit(0))
     first_two = F.zip_with(F.slice("words", 1, count), F.slice("words", 2, count), lambda a, b: F.xxhash64(a, b))
 
     def mark(lead: Column, i: Column) -> Column:
         own = F.slice("words", i + 1, window)
-        return F.struct(lead.alias("lead"), F.xxhash64(own).alias("hash"), F.xxhash64(F.lit(1), own).alias("check"))
+        template = F.slice("template", i + 1, window) if leads is None else _template(own, names)
+        return F.struct(lead.alias("lead"), F.xxhash64(template).alias("hash"), F.xxhash64(F.lit(1), own).alias("check"), F.array_join(own, " ").alias("held"))
 
     marks = F.transform("leads", mark) if leads is None else F.filter(F.transform("leads", lambda x, i: F.when(x.isin(leads), mark(x, i))), lambda m: m.isNotNull())
     tokens = df.select(key, words(F.col("text")).alias("words")).withColumn("leads", first_two)
+    if leads is None:  # each word is in many windows then, and typed once
+        tokens = tokens.withColumn("template", _template(F.col("words"), names))
     return tokens.select(key, F.explode(F.array_distinct(marks)).alias("m")).select(key, "m.*")
 
 
@@ -72,23 +81,25 @@ def _few(df: DataFrame, column: str) -> list[int] | None:
 
 
 def matching_windows(documents: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, item_id, hash): every window that a document shares with an item, told by 128 bits of two hashes.
+    """(doc_id, item_id, hash): every window that a document shares with an item, by its template and then word by word.
 
     documents: doc_id, text; items: item_id, text. NULL texts and texts of fewer words than the window hold none. The
-    documents are read once; only hashes of windows leave the scan, and of few items only those that hit.
+    documents are read once, and of few items only windows that hit leave the scan. If the items hold more windows than are
+    broadcast, a first reading shuffles hashes alone and leaves the item windows that some document may hold.
     """
-    asked = materialize(_marks(items, "item_id", window).distinct())
+    names = [r["word"] for r in _occurrences(items).where("name").select("word").distinct().collect()]
+    asked = materialize(_marks(items, "item_id", window, names).distinct())
+    marks = _marks(documents, "doc_id", window, names, _few(asked, "lead"))
+    if asked.count() > broadcast_windows:
+        asked = materialize(asked.join(marks.select("hash", "check"), ["hash", "check"], "left_semi"))
+        marks = _marks(documents, "doc_id", window, names, _few(asked, "lead"))
     hint = F.broadcast if asked.count() <= broadcast_windows else (lambda df: df)
-    marks = _marks(documents, "doc_id", window, _few(asked, "lead"))
-    return marks.join(hint(asked.drop("lead")), ["hash", "check"]).select("doc_id", "item_id", "hash")
+    met = marks.join(hint(asked.drop("lead").withColumnRenamed("held", "item_held")), ["hash", "check"])
+    return met.where("held = item_held").select("doc_id", "item_id", "hash")
 
 
-def item_words(items: DataFrame) -> DataFrame:
-    """(item_id, tokens): the words of each text in order, with template, its count, and whether their form tells a name.
-
-    Told by the form of each occurrence: a word with a capital inside a sentence is a name; one that starts a sentence is,
-    unless the items write it small anywhere.
-    """
+def _occurrences(items: DataFrame) -> DataFrame:
+    """(item_id, text, position, word, name) of every word of the items; `name` as item_words tells it."""
     parts = F.regexp_extract_all("text", F.lit(r"[^\p{L}\p{N}]*[\p{L}\p{N}]+"), F.lit(0))
     seen = items.distinct().select("item_id", "text", F.posexplode(parts).alias("position", "part"))
     raw = F.regexp_extract("part", r"[\p{L}\p{N}]+$", 0)
@@ -96,7 +107,16 @@ def item_words(items: DataFrame) -> DataFrame:
     seen = seen.select("item_id", "text", "position", raw.alias("raw"), F.lower(raw).alias("word"), inside.alias("inside"))
     small = seen.where("raw = word").select("word", F.lit(True).alias("small")).distinct()
     named = (F.col("raw") != F.col("word")) & (F.col("inside") | F.col("small").isNull()) & _kind(F.col("word")).isNull()
-    seen = seen.join(small, "word", "left").withColumn("name", named).withColumn("template", _kind(F.col("word")).otherwise(F.col("word")))
+    return seen.join(small, "word", "left").select("item_id", "text", "position", "word", named.alias("name"))
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_id, tokens): the words of each text in order, with template, its count, and whether their form tells a name.
+
+    Told by the form of each occurrence: a word with a capital inside a sentence is a name; one that starts a sentence is,
+    unless the items write it small anywhere.
+    """
+    seen = _occurrences(items).withColumn("template", _kind(F.col("word")).otherwise(F.col("word")))
     counts = seen.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
     token = F.struct("position", "word", "template", "name", "n")
     return seen.join(counts, "template").groupBy("item_id", "text").agg(F.sort_array(F.collect_list(token)).alias("tokens")).select("item_id", "tokens")

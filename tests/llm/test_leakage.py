@@ -102,3 +102,20 @@ def test_exchange_for_a_name_that_no_item_holds(spark):
     items = spark.createDataFrame([(1, item), (2, None), (3, "A quandry is no name here")], "item_id long, text string")
     assert {r["doc_id"] for r in reparameterised_items(df, items, window=19).collect()} == {1, 2, 3, 7, 10}
     assert reparameterised_items(df, items.limit(0)).count() == reparameterised_items(df.limit(0), items).count() == 0
+
+
+def test_windows_meet_by_template_and_differ_by_slots(spark):
+    other = ITEM.replace("twelve", "fifty").replace("seven", "nine").replace("cycles", "kg").replace("Quandry", "Viskerley")
+    texts = [(1, ITEM.replace("cycles", "days")), (2, other)]
+    found = matching_windows(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")).collect()
+    hashes = {pair: {r["hash"] for r in found if (r["doc_id"], r["item_id"]) == pair} for pair in {(r["doc_id"], r["item_id"]) for r in found}}
+    assert set(hashes) == {(1, 1), (2, 2)} and hashes[1, 1] == hashes[2, 2] and len(hashes[1, 1]) == 9
+
+
+def test_windows_of_equal_hashes_are_compared_word_by_word(spark, monkeypatch):
+    monkeypatch.setattr(module.F, "xxhash64", lambda *columns: module.F.lit(7).cast("long"))
+    items = [(1, ITEM), (2, DE), (3, DOCS[4][1])]
+    docs, df = spark.createDataFrame([d for d in DOCS if d[0] != 6] + [(6, DE.lower())], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for broadcast_windows in (module.BROADCAST_WINDOWS, 0):
+        got = {tuple(r) for r in matching_windows(docs, df, broadcast_windows=broadcast_windows).select("doc_id", "item_id").distinct().collect()}
+        assert got == brute(DOCS, items) and {(5, 3), (6, 2)} <= got
