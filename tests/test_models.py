@@ -81,6 +81,27 @@ def test_rerankers_in_order():
         providers.FirstWorking([Fails()]).score([("a", "b")])
 
 
+def test_a_failed_reranker_is_no_score(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "a"), ("a", "b")], "x string, y string")
+    monkeypatch.setattr(providers, "retried", lambda call: call)  # without pauses
+
+    class Answers:
+        def __init__(self, values):
+            self.values = values
+
+        def score(self, pairs):
+            if self.values is None:
+                raise OSError("the server is gone")
+            return self.values[: len(pairs)]
+
+    for values in (None, [], [0.5], [0.5, float("nan")], [0.5, None]):
+        with pytest.raises(Exception, match="server is gone|pairs|NoneType"):
+            providers.rerank(df.coalesce(1), "x", "y", lambda v=values: Answers(v)).collect()
+    assert sorted(r["rerank_score"] for r in providers.rerank(df.coalesce(1), "x", "y", lambda: Answers([1.0, 0.5])).collect()) == [0.5, 1.0]
+    with pytest.raises(ValueError):
+        providers.FirstWorking([])
+
+
 def test_structured_answers():
     good = '{"has_opinion": true, "aspects": [{"aspect": "a", "sentiment": "s", "issue": "i", "evidence_text": "e", "sentiment_score": "0.5"}]}'
     out = providers.structured_extraction(f"Sure:\n```json\n{good}\n```")
