@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.graph import connected_components
 from reviewloom.operators.ordering import dense_ranks
-from reviewloom.operators.providers import Reranker, rerank
-from reviewloom.operators.vectors import nearest
+from reviewloom.operators.providers import Reranker, rerank, reranked
+from reviewloom.operators.vectors import near_pairs, nearest
 from reviewloom.sources.tables import materialize, scratch
 
 #: Rows of a tile side; a tile is the unit of work of the distance join.
 TILE_ROWS = 2000
+#: Bytes of vectors up to which every worker holds all rows whose pairs are reranked.
+HELD_BYTES = 256 * 1024 * 1024
 
 
 def best_edges(rows: DataFrame, targets: DataFrame, key: str, vector: str, least: float, most: int = 10, candidates: int = 50, bucket: str | None = None) -> DataFrame:
@@ -36,17 +38,37 @@ def best_edges(rows: DataFrame, targets: DataFrame, key: str, vector: str, least
     return pairs.groupBy("src", "dst").agg(F.max("score").alias("score"))
 
 
-def reranked_edges(rows: DataFrame, key: str, vector: str, text: str, bucket: str, build: Callable[[], Reranker], least: float = 0.6, most: int = 10, candidates: int = 50) -> DataFrame:
+def reranked_edges(rows: DataFrame, key: str, vector: str, text: str, bucket: str, build: Callable[[], Reranker], least: float = 0.6, most: int = 10, candidates: int = 50, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(src, dst, score): undirected edges inside a bucket whose texts a reranker finds alike, the best per pair, no loops.
 
     Each row's nearest rows by vector are its candidates; those of its bucket are scored, and it keeps the `most` best of them
-    from `least` on. NULL is a bucket of its own. Texts are scored where the pairs are.
+    from `least` on. NULL is a bucket of its own. Texts are scored where the pairs are: up to `held_bytes` of vectors, a row's pairs
+    are found, scored and chosen in one task; beyond, they are merged from tiles.
     """
-    near = nearest(rows, rows, key, vector, most=candidates).select("k", "target")
-    own = rows.select(F.col(key).alias("k"), F.col(bucket).alias("bucket"), F.col(text).alias("text"))
-    other = own.withColumnsRenamed({"k": "target", "bucket": "other", "text": "other_text"})
-    pairs = near.join(own, "k").join(other, "target").where(F.col("bucket").eqNullSafe(F.col("other"))).select("k", "target", "text", "other_text")
-    scored = rerank(pairs, "text", "other_text", build).where(F.col("rerank_score") >= least)
+    with scratch() as keep:
+        own = materialize(rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(bucket).cast("string").alias("bucket"), F.col(text).alias("text")))
+        return keep(materialize(_reranked_edges(own, build, least, most, candidates, held_bytes)))
+
+
+def _chosen(build: Callable[[], Reranker], least: float, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in reranked(frames, "text", "other_text", build):
+            frame = frame[frame["rerank_score"] >= least]
+            frame = frame.iloc[np.lexsort((frame["place"], -frame["rerank_score"], frame["i"]))]
+            yield frame.groupby("i").head(most)[["k", "target", "rerank_score"]]
+
+    return run
+
+
+def _reranked_edges(own: DataFrame, build: Callable[[], Reranker], least: float, most: int, candidates: int, held_bytes: int) -> DataFrame:
+    kind = own.schema["k"].dataType.simpleString()
+    if (own.agg(F.sum(F.size("v"))).first()[0] or 0) * 8 <= held_bytes:
+        scored = near_pairs(own, candidates, _chosen(build, least, most), f"k {kind}, target {kind}, rerank_score double")
+    else:
+        near = nearest(own, own, "k", "v", most=candidates).select("k", "target")
+        other = own.select(F.col("k").alias("target"), F.col("bucket").alias("other"), F.col("text").alias("other_text"))
+        pairs = near.join(own, "k").join(other, "target").where(F.col("bucket").eqNullSafe(F.col("other"))).select("k", "target", "text", "other_text")
+        scored = rerank(pairs, "text", "other_text", build).where(F.col("rerank_score") >= least)
     order = Window.partitionBy("k").orderBy(F.desc("rerank_score"), "target")
     kept = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return kept.groupBy(F.least("k", "target").alias("src"), F.greatest("k", "target").alias("dst")).agg(F.max("rerank_score").alias("score"))

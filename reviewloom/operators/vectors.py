@@ -24,6 +24,8 @@ TILE_ROWS, TILE_TARGETS = 4096, 4096
 HELD_SUMS = 50_000
 #: Rows that are multiplied with a tile at a time (about 16 MB of scores).
 STRIPE = 512
+#: Targets of a product (8 MB of scores in single precision), and pairs whose scores are computed at once in double precision.
+BLOCK, PAIRS = 4096, 65_536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -102,20 +104,86 @@ def _scores(rows: np.ndarray, block: np.ndarray, by: str) -> np.ndarray:
     return -np.sqrt(np.maximum(lengths[0] ** 2 + lengths[1] ** 2 - 2 * products, 0))
 
 
-def _top(keys: list, vectors: np.ndarray, ids: np.ndarray, targets: np.ndarray, by: str, most: int) -> Iterator[pd.DataFrame]:
-    """Best targets of each row; targets are sorted by id, so that of equal scores the smaller id comes first."""
-    places: dict[object, list[int]] = {}
-    for place, i in enumerate(ids):
-        places.setdefault(i, []).append(place)
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true cells of a mask, looked for eight cells at a time."""
+    if mask.shape[1] % 8:
+        return np.nonzero(mask)
+    eights = np.flatnonzero(mask.view(np.uint64))
+    n, within = np.nonzero(mask.reshape(-1, 8)[eights])
+    return np.divmod(eights[n] * 8 + within, mask.shape[1])
+
+
+class Targets:
+    """Vectors to search, sorted by id, held in an order without pattern: what is near a row is spread evenly over all blocks."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, by: str) -> None:
+        self.ids, self.by = ids, by
+        self.place = np.random.default_rng(0).permutation(len(ids))
+        self.vectors = vectors[self.place]
+        self.at: dict[object, list[int]] = {}
+        for p, i in enumerate(ids[self.place]):
+            self.at.setdefault(i, []).append(p)
+        if by == "cosine":
+            self.lengths = np.linalg.norm(self.vectors, axis=1)
+            self.quick = self._unit(self.vectors, self.lengths)
+
+    @staticmethod
+    def _unit(vectors: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return np.divide(vectors, lengths[:, None], out=np.zeros_like(vectors), where=lengths[:, None] > 0).astype(np.float32)
+
+    def _exact(self, rows: np.ndarray, lengths: np.ndarray, i: np.ndarray, p: np.ndarray) -> np.ndarray:
+        parts = [np.zeros(0)]
+        for n in range(0, len(i), PAIRS):
+            a, b = i[n : n + PAIRS], p[n : n + PAIRS]
+            products, scale = np.einsum("ij,ij->i", rows[a], self.vectors[b]), lengths[a] * self.lengths[b]
+            parts.append(np.divide(products, scale, out=np.zeros_like(products), where=scale > 0))
+        return np.concatenate(parts)
+
+    def best(self, keys: list, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, id, score) of each row's best targets as places in `keys` and `ids`, the best first, of equal scores the smaller id.
+
+        Cosines are first computed in single precision: a pair stays out if it is below what the row has `most` of, by more than
+        twice the error of that precision. The scores of all others are computed in double precision, and these decide.
+        """
+        cosine = self.by == "cosine"
+        error = (rows.shape[1] + 8) * 2.0**-22 if cosine else 0.0
+        if cosine:
+            lengths = np.linalg.norm(rows, axis=1)
+            quick = self._unit(rows, lengths)
+        own = np.array([(i, p) for i, k in enumerate(keys) for p in self.at.get(k, ())], dtype=np.int64).reshape(-1, 2)
+        floor = np.full(len(rows), -np.inf)
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        waiting = 0
+        for start in range(0, len(self.ids), BLOCK):
+            stop = start + BLOCK
+            rough = quick @ self.quick[start:stop].T if cosine else _scores(rows, self.vectors[start:stop], self.by)
+            mine = own[(own[:, 1] >= start) & (own[:, 1] < stop)]
+            rough[mine[:, 0], mine[:, 1] - start] = -np.inf
+            if np.isneginf(floor).any() and rough.shape[1] >= most:
+                floor = np.maximum(floor, np.partition(np.where(np.isnan(rough), -np.inf, rough), -most, axis=1)[:, -most] - error - 1e-9)
+            i, p = _where(rough >= np.maximum(floor - error, -1e30)[:, None].astype(rough.dtype))
+            found.append((i, p + start, self._exact(rows, lengths, i, p + start) if cosine else rough[i, p]))
+            waiting += len(i)
+            if waiting > most * len(rows) or stop >= len(self.ids):
+                i, p, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                i, p, s = (x[np.isfinite(s)] for x in (i, p, s))
+                order = np.lexsort((self.place[p], -np.round(s, 9), i))
+                i, p, s = i[order], p[order], s[order]
+                kept = np.arange(len(i)) - np.searchsorted(i, np.arange(len(rows)))[i] < most
+                i, p, s = i[kept], p[kept], s[kept]
+                full = np.bincount(i, minlength=len(rows)) == most
+                floor[full] = np.round(s, 9)[np.cumsum(np.bincount(i, minlength=len(rows)))[full] - 1] - 1e-9
+                found, waiting = [(i, p, s)], 0
+        i, p, s = found[0]
+        return i, self.place[p], s
+
+
+def _top(keys: list, vectors: np.ndarray, targets: Targets, most: int) -> Iterator[pd.DataFrame]:
+    """Best targets of each row, of equal scores the smaller id first."""
     for start in range(0, len(keys), STRIPE):
         part = keys[start : start + STRIPE]
-        scores = _scores(vectors[start : start + STRIPE], targets, by)
-        for i, k in enumerate(part):
-            scores[i, places.get(k, [])] = -np.inf
-        top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :most]
-        n = np.repeat(np.arange(len(part)), top.shape[1])
-        out = pd.DataFrame({"k": np.array(part, dtype=object)[n], "target": ids[top.ravel()], "score": scores[n, top.ravel()]})
-        yield out[np.isfinite(out["score"])]
+        i, t, s = targets.best(part, vectors[start : start + STRIPE], most)
+        yield pd.DataFrame({"k": np.array(part, dtype=object)[i], "target": targets.ids[t], "score": s})
 
 
 def _sorted_targets(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -126,12 +194,13 @@ def _sorted_targets(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _against_all(held: pd.DataFrame, by: str, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    ids, targets = _sorted_targets(held)
+    ids, vectors = _sorted_targets(held)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        targets = Targets(ids, vectors, by)
         for frame in frames:
             if len(frame):
-                yield from _top(frame["k"].tolist(), np.asarray(frame["v"].tolist(), dtype=np.float64), ids, targets, by, most)
+                yield from _top(frame["k"].tolist(), np.asarray(frame["v"].tolist(), dtype=np.float64), targets, most)
 
     return run
 
@@ -140,7 +209,7 @@ def _against_tile(by: str, most: int) -> Callable[[pd.DataFrame, pd.DataFrame],
     def run(frame: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
         if frame.empty or tile.empty:
             return pd.DataFrame({"k": frame["k"].iloc[:0], "target": tile["k"].iloc[:0], "score": pd.Series(dtype="float64")})
-        parts = _top(frame["k"].tolist(), np.asarray(frame["v"].tolist(), dtype=np.float64), *_sorted_targets(tile), by, most)
+        parts = _top(frame["k"].tolist(), np.asarray(frame["v"].tolist(), dtype=np.float64), Targets(*_sorted_targets(tile), by), most)
         return pd.concat(parts, ignore_index=True)
 
     return run
@@ -176,6 +245,37 @@ def nearest(rows: DataFrame, targets: DataFrame, key: str, vector: str, by: str
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def near_pairs(df: DataFrame, most: int, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What `run` makes of the pairs of each row and its `most` nearest other rows by cosine, if both are in one bucket.
+
+    df: k (unique), v, bucket, text; the bucket is text, and NULL is a bucket. `run` gets the whole of a row's pairs in one frame of
+    (i, k, text, place, target, other_text), i and place being numbers in the order of the rows and of the keys. Every worker
+    holds all vectors, buckets and texts, as flat arrays, so that no pair is moved before `run` has seen it.
+    """
+    held = df.select("k", F.col("v").cast("array<double>").alias("v"), "bucket", "text").toArrow()
+    ids, buckets, texts = (np.array([None, *held[c].to_pylist()], dtype=object)[1:] for c in ("k", "bucket", "text"))
+    vectors = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in held["v"].chunks)]).reshape(max(1, len(ids)), -1)
+    del held
+    order = np.argsort(ids, kind="stable")
+    context = df.sparkSession.sparkContext
+    sent = context.broadcast((ids[order], vectors[order], buckets[order], texts[order]))
+    tasks = max(2 * context.defaultParallelism, -(-len(ids) // TILE_ROWS))
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors, buckets, texts = sent.value
+        targets = Targets(ids, vectors, "cosine")
+        for frame in frames:
+            for start in range(0, len(frame), STRIPE):
+                part = frame.iloc[start : start + STRIPE]
+                i, t, _ = targets.best(part["k"].tolist(), np.asarray(part["v"].tolist(), dtype=np.float64), most)
+                own = part["bucket"].to_numpy(dtype=object)
+                same = own[i] == buckets[t]
+                i, t = i[same], t[same]
+                yield pd.DataFrame({"i": i, "k": part["k"].to_numpy(dtype=object)[i], "text": part["text"].to_numpy(dtype=object)[i], "place": t, "target": ids[t], "other_text": texts[t]})
+
+    return df.repartition(tasks).mapInPandas(lambda frames: run(pairs(frames)), schema)
+
+
 def representatives(df: DataFrame, cluster: str, key: str, order: str, medoids: DataFrame | None = None, most: int = 20) -> DataFrame:
     """(cluster, ids): the first `most` members by `order`; a medoid that is not among them comes first instead of the last.
 

@@ -230,3 +230,43 @@ def test_reranked_edges_against_brute_force(spark):
     got = {(r["src"], r["dst"]): r["score"] for r in neighbor_graph.reranked_edges(df, "k", "v", "t", "b", CosineReranker, 0.3, 1, 6).collect()}
     assert got.keys() == want.keys() and len(got) > 1 and all(abs(got[p] - want[p]) < 1e-9 for p in want)
     assert neighbor_graph.reranked_edges(df.limit(0), "k", "v", "t", "b", CosineReranker).count() == 0
+
+
+def test_rows_of_reranked_edges_are_made_once(spark):
+    from reviewloom.operators.providers import CosineReranker, HashedNgrams
+
+    texts = [f"{a} {b}" for a in ("lid", "motor", "strap") for b in ("broke", "broken", "broke off", "is loud", "is very loud", "slips")] + [None]
+    v = HashedNgrams().encode([t or "" for t in texts])
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    rows = [(i, [float(a) for a in x], t, ["a", None][i % 2]) for i, (x, t) in enumerate(zip(v, texts, strict=True))]
+    df = spark.createDataFrame(rows, "k long, v array<double>, t string, b string").mapInPandas(counted, "k long, v array<double>, t string, b string")
+    edges = neighbor_graph.reranked_edges(df, "k", "v", "t", "b", CosineReranker, 0.3, 2, 8)
+    held = {(r["src"], r["dst"]): r["score"] for r in edges.collect()}
+    assert made.value == len(rows)
+    tiled = {(r["src"], r["dst"]): r["score"] for r in neighbor_graph.reranked_edges(df, "k", "v", "t", "b", CosineReranker, 0.3, 2, 8, held_bytes=0).collect()}
+    assert held.keys() == tiled.keys() and len(held) > 9 and all(abs(held[p] - tiled[p]) < 1e-12 for p in held)
+
+
+@pytest.mark.parametrize("by", ["cosine", "distance", "dot"])
+def test_best_targets_against_a_sort(monkeypatch, by):
+    monkeypatch.setattr(vectors, "BLOCK", 24)
+    monkeypatch.setattr(vectors, "PAIRS", 50)
+    random = np.random.default_rng(3)
+    x = random.integers(-2, 3, (150, 4)).astype(float)  # many ties, equal rows and rows of zeros
+    x[[7, 90]] = 0
+    ids = np.array(sorted(f"k{i}" for i in range(150)), dtype=object)
+    score = np.round(vectors._scores(x, x, by), 9)
+    np.fill_diagonal(score, -np.inf)
+    for most in (1, 5, 40, 200):
+        want = [np.argsort(-s, kind="stable")[: min(most, 149)].tolist() for s in score]
+        i, t, s = vectors.Targets(ids, x, by).best(ids.tolist(), x, most)
+        assert [t[i == n].tolist() for n in range(150)] == want
+        assert np.allclose(s, score[i, t], atol=1e-8)
+    i, t, _ = vectors.Targets(ids, np.where(x == 2, np.nan, x), by).best(["other"], np.ones((1, 4)), 3)
+    assert len(t) == 3 and not (x[t] == 2).any()
