@@ -273,7 +273,8 @@ def near_pairs(df: DataFrame, most: int, run: Callable[[Iterator[pd.DataFrame]],
                 i, t = i[same], t[same]
                 yield pd.DataFrame({"i": i, "k": part["k"].to_numpy(dtype=object)[i], "text": part["text"].to_numpy(dtype=object)[i], "place": t, "target": ids[t], "other_text": texts[t]})
 
-    return df.repartition(tasks).mapInPandas(lambda frames: run(pairs(frames)), schema)
+    # rows of like texts in one task meet the same texts
+    return df.repartitionByRange(tasks, "bucket", "text", "k").mapInPandas(lambda frames: run(pairs(frames)), schema)
 
 
 def representatives(df: DataFrame, cluster: str, key: str, order: str, medoids: DataFrame | None = None, most: int = 20) -> DataFrame:
