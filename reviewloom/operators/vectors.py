@@ -7,6 +7,8 @@ match is never written or shuffled.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -114,18 +116,26 @@ def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Targets:
-    """Vectors to search, sorted by id, held in an order without pattern: what is near a row is spread evenly over all blocks."""
+    """Vectors to search, known by their ids in order, held in an order without pattern: what is near a row is spread evenly over all blocks."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, by: str) -> None:
-        self.ids, self.by = ids, by
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray | Iterator[np.ndarray], by: str) -> None:
+        """vectors: a row per id, or parts that hold the rows one after the other, of which one is in memory at a time."""
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.by = ids[order], by
         self.place = np.random.default_rng(0).permutation(len(ids))
-        self.vectors = vectors[self.place]
         self.at: dict[object, list[int]] = {}
-        for p, i in enumerate(ids[self.place]):
+        for p, i in enumerate(self.ids[self.place]):
             self.at.setdefault(i, []).append(p)
-        if by == "cosine":
-            self.lengths = np.linalg.norm(self.vectors, axis=1)
-            self.quick = self._unit(self.vectors, self.lengths)
+        spot, start = np.empty(len(ids), dtype=np.int64), 0
+        spot[order[self.place]] = np.arange(len(ids))
+        for part in [vectors] if isinstance(vectors, np.ndarray) else vectors:
+            if not start:
+                self.vectors, self.lengths, self.quick = np.zeros((len(ids), part.shape[1])), np.zeros(len(ids)), np.zeros((len(ids) if by == "cosine" else 0, part.shape[1]), dtype=np.float32)
+            at = spot[start : start + len(part)]
+            self.vectors[at], self.lengths[at] = part, np.linalg.norm(part, axis=1)
+            if by == "cosine":
+                self.quick[at] = self._unit(part, self.lengths[at])
+            start += len(part)
 
     @staticmethod
     def _unit(vectors: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -252,18 +262,17 @@ def near_pairs(df: DataFrame, most: int, run: Callable[[Iterator[pd.DataFrame]],
     (i, k, text, place, target, other_text), i and place being numbers in the order of the rows and of the keys. Every worker
     holds all vectors, buckets and texts, as flat arrays, so that no pair is moved before `run` has seen it.
     """
-    held = df.select("k", F.col("v").cast("array<double>").alias("v"), "bucket", "text").toArrow()
-    ids, buckets, texts = (np.array([None, *held[c].to_pylist()], dtype=object)[1:] for c in ("k", "bucket", "text"))
-    vectors = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in held["v"].chunks)]).reshape(max(1, len(ids)), -1)
-    del held
-    order = np.argsort(ids, kind="stable")
+    rows = df.select("k", F.col("v").cast("array<double>").alias("v"), "bucket", "text")
     context = df.sparkSession.sparkContext
-    sent = context.broadcast((ids[order], vectors[order], buckets[order], texts[order]))
-    tasks = max(2 * context.defaultParallelism, -(-len(ids) // TILE_ROWS))
+    # compressed where they are, as the driver passes them on
+    sent = context.broadcast({"parts": [(bytes(r["head"]), bytes(r["vectors"])) for r in rows.mapInPandas(_packed, "head binary, vectors binary").collect()]})
+    tasks = max(2 * context.defaultParallelism, -(-rows.count() // TILE_ROWS))
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, buckets, texts = sent.value
-        targets = Targets(ids, vectors, "cosine")
+        held = sent.value
+        if "targets" not in held:  # once for all tasks of a worker
+            held["targets"] = _unpacked(held["parts"])
+        targets, buckets, texts = held["targets"]
         for frame in frames:
             for start in range(0, len(frame), STRIPE):
                 part = frame.iloc[start : start + STRIPE]
@@ -271,10 +280,27 @@ def near_pairs(df: DataFrame, most: int, run: Callable[[Iterator[pd.DataFrame]],
                 own = part["bucket"].to_numpy(dtype=object)
                 same = own[i] == buckets[t]
                 i, t = i[same], t[same]
-                yield pd.DataFrame({"i": i, "k": part["k"].to_numpy(dtype=object)[i], "text": part["text"].to_numpy(dtype=object)[i], "place": t, "target": ids[t], "other_text": texts[t]})
+                yield pd.DataFrame({"i": i, "k": part["k"].to_numpy(dtype=object)[i], "text": part["text"].to_numpy(dtype=object)[i], "place": t, "target": targets.ids[t], "other_text": texts[t]})
 
     # rows of like texts in one task meet the same texts
-    return df.repartitionByRange(tasks, "bucket", "text", "k").mapInPandas(lambda frames: run(pairs(frames)), schema)
+    return rows.repartitionByRange(tasks, "bucket", "text", "k").mapInPandas(lambda frames: run(pairs(frames)), schema)
+
+
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch of rows, its keys, buckets and texts, and its vectors, compressed."""
+    for frame in frames:
+        if len(frame):
+            head, v = [frame[c].tolist() for c in ("k", "bucket", "text")], np.asarray(frame["v"].tolist(), dtype=np.float64)
+            yield pd.DataFrame({name: [zlib.compress(pickle.dumps(x, 5), 1)] for name, x in (("head", head), ("vectors", v))})
+
+
+def _unpacked(parts: list[tuple[bytes, bytes]]) -> tuple[Targets, np.ndarray, np.ndarray]:
+    """The targets, and their buckets and texts in the order of the ids."""
+    heads = [pickle.loads(zlib.decompress(head)) for head, _ in parts]
+    ids, buckets, texts = (np.array([None, *(x for head in heads for x in head[n])], dtype=object)[1:] for n in range(3))
+    del heads
+    order = np.argsort(ids, kind="stable")
+    return Targets(ids, (pickle.loads(zlib.decompress(v)) for _, v in parts), "cosine"), buckets[order], texts[order]
 
 
 def representatives(df: DataFrame, cluster: str, key: str, order: str, medoids: DataFrame | None = None, most: int = 20) -> DataFrame:
